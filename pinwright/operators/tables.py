@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
+from ..sources.shared import staged
 from . import ordered
 
 TABLE = ["doc_id", "table_seq"]
@@ -74,14 +75,6 @@ def _merged(upper: Column, lower: Column) -> Column:
     return pairs
 
 
-def _pin_table(row: Column) -> Column:
-    return (
-        row.isNotNull()
-        & F.coalesce(F.exists(row, R.is_pin_header), F.lit(False))
-        & F.coalesce(F.exists(row, R.is_name_header), F.lit(False))
-    )
-
-
 def _labelled(row: Column) -> Column:
     """Second heading row under a lone PIN title: unknown columns become pin columns."""
     cells = _filled(row)
@@ -104,16 +97,24 @@ def detect_headers(cells: DataFrame) -> DataFrame:
     rows 1+2 merged. A heading needs a pin and a name column; one column may
     serve as both.
     """
-    shape = cells.groupBy(*TABLE).agg(
-        (F.max("row_idx") + 1).alias("n_rows"), F.min("page_num").alias("page_num"))
-    top = rows_of(cells.filter("row_idx <= 2"))
-    heads = top.groupBy(*TABLE).agg(*[
-        F.max_by("row", F.when(F.col("row_idx") == i, F.lit(1))).alias(f"r{i}") for i in range(3)
-    ])
+    # One pass: table length, page, and the cells of the three possible heading rows.
+    near = F.when(F.col("row_idx") <= 2, F.struct("row_idx", "col_idx", "text"))
+    work = cells.groupBy(*TABLE).agg(
+        (F.max("row_idx") + 1).alias("n_rows"), F.min("page_num").alias("page_num"),
+        F.collect_list(near).alias("_top"))
+
+    def heading(i):
+        own = F.filter("_top", lambda c: c["row_idx"] == i)
+        by_col = F.map_from_entries(F.transform(own, lambda c: F.struct(c["col_idx"], c["text"])))
+        width = F.array_max(F.transform(own, lambda c: c["col_idx"]))
+        cells_ = F.transform(F.sequence(F.lit(0), width), lambda k: F.try_element_at(by_col, k))
+        return F.when(F.size(own) > 0, cells_)
+
+    for i in range(3):
+        work = work.withColumn(f"r{i}", heading(i))
     n = F.col("n_rows")
     pads = [F.coalesce(F.col(f"r{i}"), F.array().cast("array<string>")) for i in range(3)]
-    title = F.element_at(F.filter(F.transform(_filled(pads[0]), F.upper), lambda c: c != ""), 1)
-    title = F.when(F.size(F.filter(_filled(pads[0]), lambda c: c != "")) > 0, title)
+    title = F.try_element_at(F.filter(F.transform(_filled(pads[0]), F.upper), lambda c: c != ""), F.lit(1))
     forms = [
         (1, n >= 2, pads[0]),
         (2, n > 2, _merged(pads[0], pads[1])),
@@ -121,64 +122,54 @@ def detect_headers(cells: DataFrame) -> DataFrame:
         (2, (n > 2) & title.isin("PIN", "PINS"), _labelled(pads[1])),
         (3, n > 3, _merged(pads[1], pads[2])),
     ]
-    work = heads.join(shape, TABLE)
-    for i, (_, cond, row) in enumerate(forms):
-        work = work.withColumn(f"f{i}", F.when(cond, row))
-    picks = [
-        (_pin_table(F.col(f"f{i}")),
-         F.struct(F.lit(i + 1).alias("form"), F.lit(start).alias("data_start"),
-                  F.col(f"f{i}").alias("header")))
-        for i, (start, _, _) in enumerate(forms)
-    ]
-    chosen = F.when(picks[0][0], picks[0][1])
-    for cond, value in picks[1:]:
-        chosen = chosen.when(cond, value)
+    candidates = F.array(*[
+        F.struct(F.lit(i + 1).alias("form"), F.lit(start).alias("data_start"), F.when(cond, row).alias("header"))
+        for i, (start, cond, row) in enumerate(forms)])
+    # One row per heading cell, so that every role pattern runs once per cell.
+    spread = work.select(*TABLE, "page_num", "n_rows", F.explode(candidates).alias("_f")).select(
+        *TABLE, "page_num", "n_rows", "_f.form", "_f.data_start", F.posexplode("_f.header").alias("col", "text"))
+    c = F.col("text")
+    roles = spread.select("*", F.struct(
+        "col", "text", R.is_pin_header(c).alias("pin"), R.is_name_header(c).alias("name"),
+        R.is_type_header(c).alias("type"), R.is_desc_header(c).alias("desc"), R.is_alt_header(c).alias("alt")).alias("_c"))
+    whole = roles.groupBy(*TABLE, "page_num", "n_rows", "form", "data_start").agg(
+        F.array_sort(F.collect_list("_c")).alias("heads"),
+        F.max("_c.pin").alias("_pin"), F.max("_c.name").alias("_name"))
     return (
-        work.withColumn("_h", chosen).filter("_h is not null")
-        .select(*TABLE, "page_num", "n_rows", "_h.form", "_h.data_start", "_h.header")
+        whole.filter("_pin and _name").groupBy(*TABLE)
+        .agg(F.min_by(F.struct("page_num", "n_rows", "form", "data_start", "heads"), "form").alias("_h"))
+        .select(*TABLE, "_h.*").withColumn("header", F.transform("heads", lambda h: h["text"]))
     )
 
 
-def _first_where(header: Column, test) -> Column:
-    """0-based first column passing ``test(cell, index)``; null when none does."""
-    at = F.array_position(F.transform(header, test), F.lit(True))
-    return F.when(at > 0, (at - 1).cast("int"))
-
-
 def column_roles(headers: DataFrame) -> DataFrame:
     """Column of each role: name before type before description before alternates.
 
     The pin column is the first pin column that is not the name column.
     """
-    def other(i, *cols):
-        cond = F.lit(True)
-        for c in cols:
-            cond = cond & (F.coalesce(F.col(c), F.lit(-1)) != i)
-        return cond
-
-    h = F.col("header")
-    work = headers.withColumn("name_col", _first_where(h, lambda c, i: R.is_name_header(c)))
-    work = work.withColumn("type_col", _first_where(
-        h, lambda c, i: R.is_type_header(c) & other(i, "name_col")))
-    work = work.withColumn("desc_col", _first_where(
-        h, lambda c, i: R.is_desc_header(c) & other(i, "name_col", "type_col")))
-    spots = F.transform(h, lambda c, i: F.when(
-        R.is_alt_header(c) & other(i, "name_col", "type_col", "desc_col"), i))
-    pins = F.transform(h, lambda c, i: F.when(R.is_pin_header(c) & other(i, "name_col"), i))
-    return work.withColumn("alt_cols", F.array_compact(spots)).withColumn(
-        "pin_cols", F.array_compact(pins)
-    ).withColumn("pin_col", R.first_of(F.col("pin_cols")))
+    def taken(*cols):
+        return lambda h: F.array_contains(F.array(*[F.coalesce(F.col(c), F.lit(-1)) for c in cols]), h["col"])
+
+    def columns(role, *before):
+        free = (lambda h: h[role] & ~taken(*before)(h)) if before else (lambda h: h[role])
+        return F.transform(F.filter("heads", free), lambda h: h["col"])
+
+    work = headers.withColumn("name_col", R.first_of(columns("name")))
+    work = work.withColumn("type_col", R.first_of(columns("type", "name_col")))
+    work = work.withColumn("desc_col", R.first_of(columns("desc", "name_col", "type_col")))
+    return work.withColumn("alt_cols", columns("alt", "name_col", "type_col", "desc_col")).withColumn(
+        "pin_cols", columns("pin", "name_col")).withColumn("pin_col", R.first_of(F.col("pin_cols")))
 
 
 def layouts(headers: DataFrame) -> DataFrame:
     """One layout per pin column; several columns keep their heading as a label."""
-    roles = column_roles(headers).filter("name_col is not null and pin_col is not null")
     label = R.strip(F.replace(
         F.coalesce(F.get("header", F.col("pin_col")), F.lit("")), F.lit("\n"), F.lit(" ")))
     return (
-        roles.select(*TABLE, "page_num", "n_rows", "data_start", "header", "name_col", "type_col",
-                     "desc_col", "alt_cols", F.size("pin_cols").alias("_many"),
-                     F.posexplode("pin_cols").alias("layout", "pin_col"))
+        column_roles(headers).drop("pin_col")
+        .select(*TABLE, "page_num", "n_rows", "data_start", "header", "name_col", "type_col",
+                "desc_col", "alt_cols", F.size("pin_cols").alias("_many"),
+                F.posexplode("pin_cols").alias("layout", "pin_col"))
         .withColumn("label", F.when(F.col("_many") > 1, label).otherwise(""))
         .drop("header", "_many")
     )
@@ -191,6 +182,8 @@ def table_groups(lay: DataFrame) -> DataFrame:
     page is at most one further. Layouts of a multi-package table alternate and
     therefore start a new group each.
     """
+    # One small row per table, read several times below: written once.
+    lay = staged(lay, "layouts")
     order = ["table_seq", "layout"]
     block = F.floor(F.col("table_seq") / 4096)
     prev = ordered.last_before(

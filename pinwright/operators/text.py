@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
+from ..sources.shared import staged
 from . import ordered
 
 
@@ -168,21 +169,25 @@ def orderable_packages(docs: DataFrame) -> DataFrame:
     return _first_named(ordering.unionByName(listed))
 
 
+def _mentions(rank: int, pattern: str, name: str) -> Column:
+    """Matches of one package pattern as (rank, at, name, count) structs."""
+    counted = "{0}" in name
+
+    def entry(m, i):
+        full = F.concat(F.lit(name.replace("{0}", "")), m) if counted else F.lit(name)
+        count = m if counted else F.lit(None).cast("string")
+        return F.struct(F.lit(rank).alias("rank"), i.alias("at"), full.alias("name"), count.alias("count"))
+
+    return F.transform(
+        F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(1 if counted else 0)), entry)
+
+
 def mentioned_packages(docs: DataFrame) -> DataFrame:
     """Every package mention in the text: (doc_id, pos, name, pin_count).
 
     Order is pattern rank first, then place in the text, as a single number.
     """
-    hits = F.concat(*[
-        F.transform(
-            F.regexp_extract_all("text", F.lit("(?i)" + pat), F.lit(1 if "{0}" in name else 0)),
-            lambda m, i, rank=rank, name=name: F.struct(
-                F.lit(rank).alias("rank"), i.alias("at"),
-                (F.concat(F.lit(name.replace("{0}", "")), m) if "{0}" in name else F.lit(name)).alias("name"),
-                (m if "{0}" in name else F.lit(None).cast("string")).alias("count")),
-        )
-        for rank, (pat, name) in enumerate(L.PACKAGE_PATTERNS)
-    ])
+    hits = F.concat(*[_mentions(rank, pat, name) for rank, (pat, name) in enumerate(L.PACKAGE_PATTERNS)])
     count = F.coalesce("_h.count", F.lit("0")).cast("int")
     return (
         docs.select("doc_id", F.posexplode(hits).alias("pos", "_h"))
@@ -270,7 +275,6 @@ FET_PINS = [("1", "G", "input", "Gate"), ("2", "S", "passive", "Source"), ("3",
 BJT_PINS = [("1", "C", "passive", "Collector"), ("2", "B", "input", "Base"),
             ("3", "E", "passive", "Emitter")]
 
-_ROW = "struct<pos:int,number:string,name:string,description:string,pin_type:string,alt_numbers:array<string>>"
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -284,15 +288,100 @@ def _after_first(text: Column, pattern: str) -> Column:
         text, F.regexp_instr(text, F.lit(pattern)) + F.length(head), F.length(text)))
 
 
-def _pin(pos, number, name, description, pin_type, alternates=None):
-    alternates = F.array().cast("array<string>") if alternates is None else alternates
-    return F.struct(pos.cast("int").alias("pos"), number.alias("number"), name.alias("name"),
-                    description.alias("description"), pin_type.alias("pin_type"),
-                    alternates.alias("alt_numbers"))
+# Kinds of raw matches; the tens digit is the strategy.
+DUAL, SINGLE, EPAD, PARAGRAPH, NAMED, LISTED = 11, 12, 13, 20, 30, 31
+
+
+def _raw_matches(docs: DataFrame) -> DataFrame:
+    """One row per raw pattern match: (doc_id, headed, fet, bjt, kind, at, m, tail).
+
+    Documents without any match keep one row with a null kind.
+    """
+    t = F.col("text")
 
+    def tagged(kind, matches, tails=None):
+        def entry(m, i):
+            tail = F.lit("") if tails is None else F.get(tails, i)
+            return F.struct(F.lit(kind).alias("kind"), i.alias("at"), m.alias("m"), tail.alias("tail"))
+        return F.coalesce(F.transform(matches, entry),
+                          F.array().cast("array<struct<kind:int,at:int,m:string,tail:string>>"))
 
-def _typed(pos, number, name, description, alternates=None):
-    return _pin(pos, number, name, description, R.infer_pin_type(name, description), alternates)
+    up = F.upper(t)
+
+    def says(*words):
+        return R.contains_any(up, words)
+
+    d = docs.select(
+        "doc_id", "text",
+        F.coalesce(_after_first(t, SECTION_HEAD), _after_first(t, SECTION_HEAD_SPLIT)).alias("_after"),
+        ((says("N-CHANNEL", "NMOS") | says("P-CHANNEL", "PMOS")) & says("MOSFET", "FET", "DRAIN")).alias("fet"),
+        (says("NPN", "PNP") & says("TRANSISTOR", "BJT", "COLLECTOR")).alias("bjt"))
+    end = F.regexp_instr(F.col("_after"), F.lit(SECTION_END))
+    # Line breaks inside parentheses are closed up before paragraphs are read.
+    joined = t
+    for _ in range(5):
+        joined = F.regexp_replace(joined, r"\((?=[^)]*\))([^)]*)\n([^)]*)\)", "($1 $2)")
+    d = d.select(
+        "doc_id", "text", "fet", "bjt", F.col("_after").isNotNull().alias("headed"),
+        F.when(end > 0, F.substring(F.col("_after"), F.lit(1), end - 1)).otherwise(F.col("_after")).alias("_sec"),
+        F.when(t.rlike(r"(?i)PIN\s+FUNCTIONS"), joined).alias("_joined"))
+    sec, para = F.col("_sec"), F.col("_joined")
+    d = d.select("*", _found(sec, LINE_DUAL).alias("_dual"), _found(sec, LINE_SINGLE).alias("_single"))
+    dual = (F.size("_dual") >= 3) & (F.size("_dual") >= F.size("_single") * 0.5)
+    tails = F.regexp_extract_all(para, F.lit(NAMED_PINS + r"(?=([\s\S]{0,200}))"), F.lit(4))
+    raw = F.concat(
+        F.when(dual, tagged(DUAL, F.col("_dual"))).otherwise(tagged(SINGLE, F.col("_single"))),
+        tagged(EPAD, _found(sec, LINE_EPAD)),
+        tagged(PARAGRAPH, _found(para, NAMED_PINS), tails),
+        tagged(NAMED, _found(t, GENERIC_NAMED)),
+        tagged(LISTED, _found(t, GENERIC_LINE)),
+    )
+    return d.select("doc_id", "headed", "fet", "bjt", F.explode_outer(raw).alias("_e")).select(
+        "doc_id", "headed", "fet", "bjt", "_e.*")
+
+
+def _parsed(raw: DataFrame) -> DataFrame:
+    """Raw matches to pin candidates; what no strategy accepts is dropped."""
+    kind, m = F.col("kind"), F.col("m")
+
+    def group(table):
+        return R.case_chain([(kind == k, R.strip(F.regexp_extract(m, pat, g))) for k, (pat, g) in table.items()],
+                            F.lit(None).cast("string"))
+
+    tail = R.strip(F.col("tail"))
+    sentence = F.when(F.contains(tail, F.lit(".")), F.concat(
+        R.strip(F.substring_index(tail, ".", 1)), F.lit("."))).otherwise(F.substring(tail, 1, 80))
+    shift = F.when(kind == EPAD, 1_000_000).when(kind == LISTED, 10_000_000).otherwise(0)
+    rows = raw.filter("kind is not null").select(
+        "doc_id", "kind", F.floor(kind / 10).cast("int").alias("strategy"),
+        ((F.col("at") + shift) * 2).alias("pos"),
+        group({DUAL: (LINE_DUAL, 2), SINGLE: (LINE_SINGLE, 1), PARAGRAPH: (NAMED_PINS, 2),
+               NAMED: (GENERIC_NAMED, 1), LISTED: (GENERIC_LINE, 1)}).alias("numbers"),
+        group({DUAL: (LINE_DUAL, 3), SINGLE: (LINE_SINGLE, 2), PARAGRAPH: (NAMED_PINS, 1),
+               NAMED: (GENERIC_NAMED, 2), LISTED: (GENERIC_LINE, 2)}).alias("name"),
+        F.when(kind == PARAGRAPH, sentence).otherwise(group({
+            DUAL: (LINE_DUAL, 4), SINGLE: (LINE_SINGLE, 3), EPAD: (LINE_EPAD, 1),
+            LISTED: (GENERIC_LINE, 3)})).alias("description"),
+        F.when(kind == PARAGRAPH, F.regexp_extract(m, NAMED_PINS, 3)).alias("pad"))
+    number = R.strip(F.substring_index("numbers", ",", 1))
+    others = F.when(F.contains("numbers", F.lit(",")), F.regexp_replace(
+        F.regexp_replace("numbers", r"^[^,]*,\s*", ""), r"\s*,\s*", ",")).otherwise("")
+    accepted = (
+        F.when(kind.isin(DUAL, SINGLE), _small(number) & ~F.col("name").rlike(r"^[0-9.]+[A-Z]$"))
+        .when(kind == PARAGRAPH, ~F.upper("name").isin(COMMON_WORDS))
+        .when(kind.isin(NAMED, LISTED), _small(number) & (F.length("name") <= 20)
+              & ~F.col("name").rlike(r"^[0-9.]+$"))
+        .otherwise(True))
+    rows = rows.filter(accepted)
+    pins = rows.filter(kind != EPAD).select(
+        "doc_id", "strategy", "pos", number.alias("number"), "name", F.coalesce("description", F.lit("")).alias("description"),
+        others.alias("alt_numbers"), F.lit(None).cast("string").alias("fixed"))
+    pads = rows.filter((kind == EPAD) | (F.coalesce("pad", F.lit("")) != "")).select(
+        "doc_id", "strategy", (F.col("pos") + 1).alias("pos"), F.lit("EP").alias("number"),
+        F.when(kind == EPAD, "GND").otherwise(F.col("name")).alias("name"),
+        F.when((kind == EPAD) & (F.col("description") != ""), F.col("description")).otherwise("Exposed pad").alias("description"),
+        F.lit("").alias("alt_numbers"), F.lit("power_in").alias("fixed"))
+    return pins.unionByName(pads)
 
 
 def pins_from_text(docs: DataFrame, hint: int = 0) -> DataFrame:
@@ -303,112 +392,36 @@ def pins_from_text(docs: DataFrame, hint: int = 0) -> DataFrame:
     lines, and the standard pinout of transistors, which also replaces pins that
     look like misread text. First occurrence per number is kept.
     """
-    t = F.col("text")
-    none = F.array().cast(f"array<{_ROW}>")
-    d = docs.withColumn("_after", F.coalesce(_after_first(t, SECTION_HEAD),
-                                             _after_first(t, SECTION_HEAD_SPLIT)))
-    d = d.withColumn("_headed", F.col("_after").isNotNull())
-    end = F.regexp_instr(F.col("_after"), F.lit(SECTION_END))
-    d = d.withColumn("_section", F.coalesce(F.when(end > 0, F.substring(
-        F.col("_after"), F.lit(1), end - 1)).otherwise(F.col("_after")), F.lit("")))
-    d = d.withColumn("_dual", _found(F.col("_section"), LINE_DUAL)).withColumn(
-        "_single", _found(F.col("_section"), LINE_SINGLE))
-
-    def line_pins(matches, pattern, g):
-        rows = F.transform(matches, lambda m, i: F.struct(
-            i.alias("i"), F.regexp_extract(m, pattern, g).alias("n"),
-            R.strip(F.regexp_extract(m, pattern, g + 1)).alias("name"),
-            R.strip(F.regexp_extract(m, pattern, g + 2)).alias("d")))
-        kept = F.filter(rows, lambda r: _small(r["n"])
-                        & ~r["name"].rlike(r"^[0-9.]+[A-Z]$"))
-        return F.transform(kept, lambda r: _typed(r["i"], r["n"], r["name"], r["d"]))
-
-    dual = (F.size("_dual") >= 3) & (F.size("_dual") >= F.size("_single") * 0.5)
-    d = d.withColumn("_s1", F.when(dual, line_pins(F.col("_dual"), LINE_DUAL, 2)).otherwise(
-        line_pins(F.col("_single"), LINE_SINGLE, 1)))
-    epad = R.first_of(_found(F.col("_section"), LINE_EPAD))
-    epad_text = R.strip(F.regexp_extract(epad, LINE_EPAD, 1))
-    epad_row = F.array(_pin(F.lit(1_000_000), F.lit("EP"), F.lit("GND"), F.when(
-        F.regexp_extract(epad, LINE_EPAD, 1) == "", F.lit("Exposed pad")).otherwise(epad_text),
-        F.lit("power_in")))
-    d = d.withColumn("_s1", F.when(F.col("_headed"), F.concat(
-        "_s1", F.when(epad.isNotNull(), epad_row).otherwise(none))).otherwise(none))
-
-    # Named paragraphs. Line breaks inside parentheses are closed up first.
-    joined = t
-    for _ in range(5):
-        joined = F.regexp_replace(joined, r"\(([^)]*)\n([^)]*)\)", "($1 $2)")
-    d = d.withColumn("_joined", F.when(
-        (F.size("_s1") == 0) & t.rlike(r"(?i)PIN\s+FUNCTIONS"), joined))
-    # Each declaration together with the text that follows it.
-    follow = NAMED_PINS + r"(?=([\s\S]{0,200}))"
-    spans = F.regexp_extract_all(F.col("_joined"), F.lit(f"(?:{NAMED_PINS})"), F.lit(0))
-    tails = F.regexp_extract_all(F.col("_joined"), F.lit(follow), F.lit(4))
-
-    def paragraph(m, i):
-        name = R.strip(F.regexp_extract(m, NAMED_PINS, 1))
-        numbers = F.transform(F.split(F.regexp_extract(m, NAMED_PINS, 2), ","), R.strip)
-        tail = R.strip(F.get(tails, i))
-        sentence = F.when(F.contains(tail, F.lit(".")), F.concat(
-            R.strip(F.element_at(F.split(tail, r"\.", -1), 1)), F.lit("."))).otherwise(
-            F.substring(tail, 1, 80))
-        return F.struct(i.alias("i"), name.alias("name"), numbers.alias("numbers"),
-                        sentence.alias("d"), F.regexp_extract(m, NAMED_PINS, 3).alias("ep"))
-
-    paras = F.filter(F.transform(spans, paragraph), lambda p: ~F.upper(p["name"]).isin(COMMON_WORDS))
-    d = d.withColumn("_paras", paras)
-    heads = F.transform("_paras", lambda p: _typed(p["i"] * 2, F.element_at(p["numbers"], 1), p["name"], p["d"],
-        F.slice(p["numbers"], F.lit(2), F.greatest(F.size(p["numbers"]) - 1, F.lit(0)))))
-    ep_rows = F.transform(F.slice(F.filter("_paras", lambda p: p["ep"] != ""), 1, 1),
-                          lambda p: _pin(p["i"] * 2 + 1, F.lit("EP"), p["name"], F.lit("Exposed pad"),
-                                         F.lit("power_in")))
-    d = d.withColumn("_s2", F.coalesce(F.array_sort(F.concat(heads, ep_rows)), none))
-
-    def generic(pattern, shift, described):
-        rows = F.transform(_found(t, pattern), lambda m, i: F.struct(
-            (i + shift).alias("i"), F.regexp_extract(m, pattern, 1).alias("n"),
-            R.strip(F.regexp_extract(m, pattern, 2)).alias("name"),
-            (R.strip(F.regexp_extract(m, pattern, 3)) if described else F.lit("")).alias("d")))
-        kept = F.filter(rows, lambda r: _small(r["n"]) & (F.length(r["name"]) <= 20)
-                        & ~r["name"].rlike(r"^[0-9.]+$"))
-        return F.transform(kept, lambda r: _typed(r["i"], r["n"], r["name"], r["d"]))
-
-    d = d.withColumn("_s3", F.when((F.size("_s1") == 0) & (F.size("_s2") == 0), F.concat(
-        generic(GENERIC_NAMED, 0, False), generic(GENERIC_LINE, 10_000_000, True))).otherwise(none))
-    d = d.withColumn("_p", F.when(F.size("_s1") > 0, F.col("_s1")).when(
-        F.size("_s2") > 0, F.col("_s2")).otherwise(F.col("_s3")))
-    d = d.withColumn("_by", F.when(F.size("_s1") > 0, 1).when(F.size("_s2") > 0, 2).otherwise(3))
-
-    digits = lambda p: p["number"].rlike(r"^\d+$")
-    value = lambda p: p["number"].try_cast("bigint")
-    junk = (
-        (F.size("_p") == 0)
-        | F.exists("_p", lambda p: digits(p) & (value(p) > 50))
-        | F.exists("_p", lambda p: F.upper(p["name"]).isin(JUNK_NAMES))
-        | (F.size(F.filter("_p", lambda p: digits(p) & (value(p) <= 4))) < hint)
-    )
-    up = F.upper(t)
-
-    def says(*words):
-        return R.contains_any(up, words)
-
-    fet = (says("N-CHANNEL", "NMOS") | says("P-CHANNEL", "PMOS")) & says("MOSFET", "FET", "DRAIN")
-    bjt = says("NPN", "PNP") & says("TRANSISTOR", "BJT", "COLLECTOR")
-
-    def template(rows):
-        return F.array(*[_pin(F.lit(i), F.lit(n), F.lit(nm), F.lit(ds), F.lit(ty))
-                         for i, (n, nm, ty, ds) in enumerate(rows)])
-
-    replace = F.lit(hint <= 4) & junk
-    d = d.withColumn("_by", F.when(replace & (fet | bjt), 4).otherwise(F.col("_by"))).withColumn(
-        "_p", F.when(replace & fet, template(FET_PINS)).when(replace & bjt, template(BJT_PINS))
-        .otherwise(F.col("_p")))
-    rows = d.select("doc_id", F.when(F.col("_headed"), 0.5).otherwise(0.3).alias("confidence"),
-                    F.col("_by").alias("strategy"), F.explode("_p").alias("_r"))
-    flat = rows.select("doc_id", "_r.pos", "_r.number", "_r.name", "_r.pin_type", "_r.description",
-                       F.array_join("_r.alt_numbers", ",").alias("alt_numbers"),
-                       "strategy", "confidence")
-    return ordered.first_per_key(flat, ["doc_id", "number"], ["pos"])
+    # The texts are read once; their matches are a small table used three times.
+    raw = staged(_raw_matches(docs), "matches")
+    parsed = _parsed(raw)
+    value = F.when(F.col("number").rlike(r"^\d+$"), F.col("number").try_cast("bigint"))
+    per_strategy = parsed.groupBy("doc_id", "strategy").agg(
+        F.max(F.coalesce(value > 50, F.lit(False))).alias("_high"),
+        F.max(F.upper("name").isin(JUNK_NAMES)).alias("_junk"),
+        F.count_if(value <= 4).alias("_low"))
+    best = per_strategy.groupBy("doc_id").agg(
+        F.min_by(F.struct("strategy", (F.col("_high") | F.col("_junk") | (F.col("_low") < hint)).alias("junk")),
+                 "strategy").alias("_b"))
+    flags = raw.groupBy("doc_id").agg(F.max("headed").alias("headed"), F.max("fet").alias("fet"), F.max("bjt").alias("bjt"))
+    misread = F.coalesce("_b.junk", F.lit(True)) & F.lit(hint <= 4)
+    chosen = flags.join(best, "doc_id", "left").select(
+        "doc_id", F.when(F.col("headed"), 0.5).otherwise(0.3).alias("confidence"),
+        F.col("_b.strategy").alias("_s"),
+        F.when(misread & F.col("fet"), "fet").when(misread & F.col("bjt"), "bjt").alias("_template"))
+    read = parsed.join(chosen.filter("_template is null"), "doc_id").filter("strategy = _s").drop("_s", "_template")
+    pinouts = docs.sparkSession.createDataFrame(
+        [(t, i, n, name, kind, text) for t, rows in (("fet", FET_PINS), ("bjt", BJT_PINS))
+         for i, (n, name, kind, text) in enumerate(rows)],
+        "_template string, pos int, number string, name string, fixed string, description string")
+    standard = chosen.filter("_template is not null").join(F.broadcast(pinouts), "_template").select(
+        "doc_id", F.lit(4).alias("strategy"), "pos", "number", "name", "description",
+        F.lit("").alias("alt_numbers"), "fixed", "confidence")
+    every = ordered.first_per_key(read.unionByName(standard), ["doc_id", "number"], ["pos"])
+    return every.select(
+        "doc_id", "pos", "number", "name",
+        F.coalesce("fixed", R.infer_pin_type(F.col("name"), F.col("description"))).alias("pin_type"),
+        "description", "alt_numbers", "strategy", "confidence")
 
 
 def _small(number: Column) -> Column:

@@ -10,6 +10,7 @@ from ..operators import ordered
 from ..operators import pins as P
 from ..operators import tables as T
 from ..operators import text as X
+from ..sources.shared import staged
 
 
 def pins_from_tables(cells: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -17,9 +18,9 @@ def pins_from_tables(cells: DataFrame, wanted: DataFrame) -> DataFrame:
 
     ``wanted(doc_id, expected_count, package, base)``.
     """
-    groups = T.table_groups(T.layouts(T.detect_headers(cells)))
-    rows = T.read_pins(cells, groups)
-    best = T.best_pins(rows, T.score_groups(rows, groups, wanted))
+    groups = staged(T.table_groups(T.layouts(T.detect_headers(cells))), "groups")
+    rows = staged(T.read_pins(cells, groups), "pins")
+    best = staged(T.best_pins(rows, T.score_groups(rows, groups, wanted)), "best")
     kept = P.quality_gate(best)
     return P.add_exposed_pad(kept, ["table_seq", "layout", "row_idx", "num_pos"],
                              F.struct(F.col("table_seq"), F.col("layout"),

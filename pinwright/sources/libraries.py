@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
-from ..operators import ordered
 
 # Tokens of library text, numbered-pad pattern, sub-symbol names.
 TOKEN = r'\(|\)|"(?:[^"\\]|\\.)*"|[^\s()"]+'
@@ -54,44 +53,53 @@ def shred(files: DataFrame) -> DataFrame:
     ``top`` is the enclosing second-level node. Depth is a running sum of +1/-1,
     the parent the last node opened one level up. Files with unbalanced brackets
     or an opening bracket without a tag are left out.
+
+    The windows run per file. A file is one input row and its token array was
+    built inside one task, so such a group is never larger than a single row.
     """
+    order = Window.partitionBy("file").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     tokens = files.select(
         "file", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
-    step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
-    block = ordered.block_of("pos")
-    t = ordered.running_sum(tokens.withColumn("_step", step), ["file"], ["pos"], F.col("_step"), "_sum", block)
-    # Closing brackets beyond the outermost level are ignored.
-    t = ordered.running_min(t, ["file"], ["pos"], F.least("_sum", F.lit(0)), "_low", block)
-    t = t.withColumn("depth", (F.col("_sum") - F.col("_low")).cast("int"))
-    t = ordered.last_before(t, ["file"], ["pos"], F.col("tok"), "_before", block)
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
-    bad = t.groupBy("file").agg(
-        F.max_by("depth", "pos").alias("_end"),
-        F.max(opens & F.coalesce(F.col("_before") == "(", F.lit(False))).alias("_untagged"),
-    ).filter("_end > 0 or _untagged").select("file")
-    t = t.join(bad, "file", "left_anti")
-    # Candidates per level: a node looks for its parent one level up, an atom at its own.
-    as_parent = t.filter(opens).select("file", "pos", "tok", "depth", F.col("depth").alias("_level"),
-                                       F.lit(1).alias("_role"))
-    as_child = t.filter(~closes & (F.col("depth") > 0)).select(
-        "file", "pos", "tok", "depth", F.when(opens, F.col("depth") - 1).otherwise(F.col("depth")).alias("_level"),
-        F.lit(0).alias("_role"))
-    linked = ordered.last_before(
-        as_parent.unionByName(as_child), ["file", "_level"], ["pos", "_role"],
-        F.when(F.col("_role") == 1, F.col("pos")), "parent", block).filter("_role = 0")
-    linked = ordered.last_before(
-        linked, ["file"], ["pos"], F.when(opens & (F.col("depth") == 2), F.col("pos")), "top", block)
-    nodes = linked.filter(opens).select(
-        "file", F.col("pos").alias("node"), "parent", "depth",
-        F.when(F.col("depth") == 2, F.col("pos")).when(F.col("depth") > 2, F.col("top")).alias("top"))
-    atoms = linked.filter(~opens).groupBy("file", F.col("parent").alias("node")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", _unquoted(F.col("tok")).alias("v")))),
-                    lambda a: a["v"]).alias("_atoms"))
-    return nodes.join(atoms, ["file", "node"], "left").select(
-        "file", "node", "parent", "depth", "top",
-        F.coalesce(R.first_of(F.col("_atoms")), F.lit("")).alias("tag"),
-        F.coalesce(F.slice("_atoms", F.lit(2), F.greatest(F.size("_atoms") - 1, F.lit(0))),
-                   F.array().cast("array<string>")).alias("values"))
+    step = F.when(opens, 1).when(closes, -1).otherwise(0)
+    t = tokens.withColumn("_sum", F.sum(step).over(upto))
+    # Closing brackets beyond the outermost level are ignored.
+    t = t.withColumn("depth", (F.col("_sum") - F.min(F.least("_sum", F.lit(0))).over(upto)).cast("int"))
+    t = t.withColumn("_untagged", opens & (F.lag("tok").over(order) == "("))
+    whole = Window.partitionBy("file")
+    t = (
+        t.withColumn("_end", F.last("depth").over(order.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("_bad", F.max(F.coalesce("_untagged", F.lit(False))).over(whole))
+        .filter("_end = 0 and not _bad")
+        .withColumn("top", F.last(F.when(opens & (F.col("depth") == 2), F.col("pos")), ignorenulls=True).over(upto))
+        .select("file", "pos", "tok", "depth", "top")
+    )
+    # Every node stands at its own level as a possible parent and one level up as a
+    # child; an atom belongs to its own level. The last node opened at the level wins.
+    roles = F.when(opens, F.array(
+        F.struct(F.col("depth").alias("level"), F.lit(1).alias("role")),
+        F.struct((F.col("depth") - 1).alias("level"), F.lit(0).alias("role")),
+    )).otherwise(F.array(F.struct(F.col("depth").alias("level"), F.lit(0).alias("role"))))
+    at_level = Window.partitionBy("file", "level").orderBy("pos", "role").rowsBetween(
+        Window.unboundedPreceding, -1)
+    linked = (
+        t.filter(~closes & (F.col("depth") > 0)).withColumn("_r", F.explode(roles))
+        .select("file", "pos", "tok", "depth", "top", "_r.level", "_r.role")
+        .withColumn("parent", F.last(F.when(F.col("role") == 1, F.col("pos")), ignorenulls=True).over(at_level))
+        .filter("role = 0")
+        .withColumn("node", F.when(opens, F.col("pos")).otherwise(F.col("parent")))
+    )
+    atom = F.when(~opens, F.struct("pos", _unquoted(F.col("tok")).alias("v")))
+    own = F.when(opens, F.struct("parent", "depth", "top"))
+    return (
+        linked.groupBy("file", "node")
+        .agg(F.max(own).alias("_n"), F.transform(F.array_sort(F.collect_list(atom)), lambda a: a["v"]).alias("_atoms"))
+        .select("file", "node", "_n.parent", "_n.depth",
+                F.when(F.col("_n.depth") >= 2, F.col("_n.top")).alias("top"),
+                F.coalesce(R.first_of(F.col("_atoms")), F.lit("")).alias("tag"),
+                F.slice("_atoms", F.lit(2), F.greatest(F.size("_atoms") - 1, F.lit(0))).alias("values"))
+    )
 
 
 def value_at(i: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _fallback: list[str] = []
 
@@ -18,3 +18,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
             _fallback.append(tempfile.mkdtemp(prefix="pinwright-"))
         base = _fallback[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage where an intermediate result is read several times; the
+    files outlive any executor.
+    """
+    folder = shared_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
