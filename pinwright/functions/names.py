@@ -8,7 +8,7 @@ number, and each side can compute its forms before the join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lookups as L
@@ -121,3 +121,42 @@ def same_pin_name(a: Column, b: Column) -> Column:
         | F.array_contains(a["roles"], b["n"])
         | F.arrays_overlap(a["aliases"], b["aliases"])
     )
+
+
+def match_keys(forms: Column) -> Column:
+    """Join keys of a name: two equivalent names share at least one of them."""
+    def tag(t, c):
+        return F.concat(F.lit(t + ":"), c)
+
+    return F.array_distinct(F.concat(
+        F.array(tag("n", forms["n"]), tag("m", forms["marked"]), tag("b", forms["base"]),
+                tag("b", forms["first"]), tag("j", forms["joined"]), tag("s", forms["slashed"]),
+                tag("k", forms["slash_joined"]), tag("p", forms["separated"]),
+                tag("c", forms["subscript"]), tag("u", forms["unbracketed"]), tag("r", forms["n"])),
+        F.transform(forms["parts"], lambda p: tag("b", p)),
+        F.transform(forms["roles"], lambda r: tag("r", r)),
+        F.transform(forms["aliases"], lambda a: tag("a", a.cast("string"))),
+    ))
+
+
+def judged_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct (a, b) name pairs with ``same``; forms are built once per name."""
+    distinct = pairs.select(a, b).distinct()
+    names = distinct.select(F.explode(F.array(a, b)).alias("_name")).distinct().select(
+        "_name", name_forms(F.col("_name")).alias("_forms"))
+    fa = names.select(F.col("_name").alias(a), F.col("_forms").alias("_fa"))
+    fb = names.select(F.col("_name").alias(b), F.col("_forms").alias("_fb"))
+    return distinct.join(fa, a).join(fb, b).select(
+        a, b, same_pin_name(F.col("_fa"), F.col("_fb")).alias("same"))
+
+
+def equivalent_names(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
+    """All equivalent (a, b) pairs between two sets of names, by shared form keys."""
+    def keyed(df, name, out):
+        named = df.select(name).distinct().withColumn(out, name_forms(F.col(name)))
+        return named.select(name, out, F.explode_outer(match_keys(F.col(out))).alias("_k"))
+
+    return (
+        keyed(left, a, "_fa").join(keyed(right, b, "_fb"), "_k")
+        .filter(same_pin_name(F.col("_fa"), F.col("_fb"))).select(a, b).distinct()
+    )

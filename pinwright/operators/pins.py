@@ -8,12 +8,13 @@ end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
-from ..functions.names import name_forms, same_pin_name
+from ..functions.names import equivalent_names, judged_pairs
+from ..sources.shared import staged
 from . import ordered
 from .search import contains_join
 
@@ -218,28 +219,12 @@ def _by_number(pins: DataFrame, pos: str) -> DataFrame:
         F.count(F.lit(1)).alias("listed"))
 
 
-def _match_keys(forms: Column) -> Column:
-    """Join keys of a name: two equivalent names share at least one of them."""
-    def tag(t, c):
-        return F.concat(F.lit(t + ":"), c)
-
-    return F.array_distinct(F.concat(
-        F.array(tag("n", forms["n"]), tag("m", forms["marked"]), tag("b", forms["base"]),
-                tag("b", forms["first"]), tag("j", forms["joined"]), tag("s", forms["slashed"]),
-                tag("k", forms["slash_joined"]), tag("p", forms["separated"]),
-                tag("c", forms["subscript"]), tag("u", forms["unbracketed"]), tag("r", forms["n"])),
-        F.transform(forms["parts"], lambda p: tag("b", p)),
-        F.transform(forms["roles"], lambda r: tag("r", r)),
-        F.transform(forms["aliases"], lambda a: tag("a", a.cast("string"))),
-    ))
-
-
 def diff_rows(extracted: DataFrame, expected: DataFrame) -> DataFrame:
     """Pin-by-pin outcome: ok, renamed, missing, extra or thermal.
 
-    A thermal pad under a label ("EP") takes the first missing pin of equivalent
-    name, in order; left-over thermal pads do not count as extra.
-    ``extracted(doc_id, number, name, row_pos)``, ``expected(…, pin_pos)``.
+    ``extracted(doc_id, number, name, row_pos)``, ``expected(…, pin_pos)``. The
+    joined rows are written once, because counting, name comparison and thermal
+    pads each read them. Names are compared once per distinct pair.
     """
     a = _by_number(extracted, "row_pos").select(
         "doc_id", "number", F.col("name").alias("a_name"), F.col("pos").alias("a_pos"),
@@ -249,42 +234,38 @@ def diff_rows(extracted: DataFrame, expected: DataFrame) -> DataFrame:
         F.col("listed").alias("b_listed"))
     label = F.upper("number").isin(L.THERMAL_LABELS) | F.upper(R.strip(F.col("a_name"))).isin(
         L.THERMAL_LABELS)
-    return (
-        a.join(b, ["doc_id", "number"], "full")
-        .withColumn("status", F.when(F.col("a_name").isNull(), "missing")
-                    .when(F.col("b_name").isNull(), F.when(label, "thermal").otherwise("extra"))
-                    .when(same_pin_name(name_forms(F.col("a_name")), name_forms(F.col("b_name"))), "ok")
-                    .otherwise("renamed"))
+    side = (
+        F.when(F.col("a_name").isNull(), "missing")
+        .when(F.col("b_name").isNull(), F.when(label, "thermal").otherwise("extra"))
+        .when(F.upper(R.strip(F.col("a_name"))) == F.upper(R.strip(F.col("b_name"))), "ok")
+        .otherwise("differs")
     )
+    rows = staged(a.join(b, ["doc_id", "number"], "full").withColumn("side", side), "diff")
+    judged = judged_pairs(rows.filter("side = 'differs'"), "a_name", "b_name")
+    return rows.join(judged, ["a_name", "b_name"], "left").withColumn(
+        "status", F.when(F.col("side") != "differs", F.col("side"))
+        .when(F.col("same"), "ok").otherwise("renamed")).drop("same")
 
 
 def reconcile_thermal(rows: DataFrame) -> DataFrame:
     """(doc_id, number) of missing pins taken over by thermal pads.
 
-    Pads choose in order, each the first free missing pin of equivalent name.
-    The r-th pad of a document needs only its first r candidates, because at most
-    r-1 are taken before its turn, so candidate lists stay short and exact.
+    A thermal pad under a label ("EP") takes the first free missing pin of
+    equivalent name; pads choose in order. The r-th pad of a document needs only
+    its first r candidates, because at most r-1 are taken before its turn, so
+    candidate lists stay short and exact. Which names agree is settled once per
+    distinct name.
     """
-    pads = rows.filter("status = 'thermal'").select("doc_id", F.col("number").alias("pad"), "a_pos",
-                                                    name_forms(F.col("a_name")).alias("_fa"))
-    holders = pads.select("doc_id").distinct()
-    gaps = rows.filter("status = 'missing'").join(holders, "doc_id", "left_semi").select(
-        "doc_id", "number", "b_pos", name_forms(F.col("b_name")).alias("_fb"))
-    pairs = (
-        pads.withColumn("_k", F.explode(_match_keys(F.col("_fa"))))
-        .join(gaps.withColumn("_k", F.explode(_match_keys(F.col("_fb")))), ["doc_id", "_k"])
-        .filter(same_pin_name(F.col("_fa"), F.col("_fb")))
-        .select("doc_id", "pad", "a_pos", "number", "b_pos").distinct()
-    )
+    pads = rows.filter("side = 'thermal'").select("doc_id", F.col("number").alias("pad"), "a_pos", "a_name")
+    gaps = rows.filter("side = 'missing'").select("doc_id", "number", "b_pos", "b_name")
+    agree = equivalent_names(pads, "a_name", gaps, "b_name")
     count = pads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pads"))
-    single = (
-        pairs.join(count.filter("_pads = 1"), "doc_id", "left_semi")
-        .groupBy("doc_id").agg(F.min_by("number", "b_pos").alias("number"))
-    )
-    multi = pairs.join(count.filter("_pads > 1"), "doc_id")
-    multi = ordered.rank_in(multi, ["doc_id", "pad"], ["b_pos"], "_nth", F.floor(F.col("b_pos") / 4096))
+    pairs = pads.join(agree, "a_name").join(gaps, ["doc_id", "b_name"]).join(count, "doc_id")
+    single = pairs.filter("_pads = 1").groupBy("doc_id").agg(F.min_by("number", "b_pos").alias("number"))
+    order = Window.partitionBy("doc_id", "pad").orderBy("b_pos")
     lists = (
-        multi.filter("_nth <= _pads").groupBy("doc_id", "pad", "a_pos")
+        pairs.filter("_pads > 1").withColumn("_nth", F.row_number().over(order))
+        .filter("_nth <= _pads").groupBy("doc_id", "pad", "a_pos")
         .agg(F.array_sort(F.collect_list(F.struct("b_pos", "number"))).alias("_c"))
         .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a_pos", "_c"))).alias("_p"))
     )
@@ -411,10 +392,10 @@ def merge_pins(pins: DataFrame, power_only: bool = False) -> DataFrame:
     merge and other pins stay as they are.
     """
     key = F.upper("name")
-    mergeable = F.col("pin_type") == "power_in" if power_only else F.lit(True)
-    keyed = pins.withColumn("_g", F.when(mergeable, key)).withColumn(
-        "_solo", F.when(~mergeable, F.col("row_pos")))
-    keyed = keyed.withColumn("_g", F.coalesce("_g", F.concat(F.lit("\x00"), F.col("_solo").cast("string"))))
+    if power_only:
+        key = F.when(F.col("pin_type") == "power_in", key).otherwise(
+            F.concat(F.lit("\x00"), F.col("row_pos").cast("string")))
+    keyed = pins.withColumn("_g", key)
     first = keyed.groupBy("doc_id", "_g").agg(
         F.min_by("number", "row_pos").alias("primary_number"), F.min("row_pos").alias("primary_pos"))
     return keyed.join(first, ["doc_id", "_g"]).select(

@@ -185,7 +185,8 @@ def stream_of(spark, sf, name):
     """The table as a file stream with the schema of the batch table."""
     path = f"{sf}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    # As a pattern, so that one file and a folder of part files both work.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 # --- derived inputs; the expressions are plain SQL that both engines accept ----------

@@ -138,8 +138,9 @@ def wildcard_match(s, d):
 def pin_name_equivalence(s, d):
     a = fx.pins(s, d).groupBy("doc_id", "number").agg(F.max_by("name", "row_pos").alias("pin_name"))
     b = fx.truth(s, d).withColumnRenamed("name", "true_name")
-    same = N.same_pin_name(N.name_forms(F.col("pin_name")), N.name_forms(F.col("true_name")))
-    return a.join(b, ["doc_id", "number"]).select("doc_id", "number", "pin_name", "true_name", same.alias("same"))
+    both = a.join(b, ["doc_id", "number"])
+    return both.join(N.judged_pairs(both, "pin_name", "true_name"), ["pin_name", "true_name"]).select(
+        "doc_id", "number", "pin_name", "true_name", "same")
 
 
 @query

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import shared_folder
 
@@ -79,4 +80,4 @@ def run_folded(stream: DataFrame, step: Step, state_schema: str) -> DataFrame:
 
 
 def _with_batch(stream: DataFrame):
-    return stream.schema.add("batch", "bigint")
+    return T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
