@@ -1 +1,5 @@
-ORACLES = {}
+"""SQL counterparts of the registered queries, by query name."""
+
+from . import scalars
+
+ORACLES = {**scalars.O}

@@ -234,7 +234,11 @@ def address_tier(url: Column) -> Column:
 def rank_addresses(urls: Column) -> Column:
     """Stable tier order of an address array, rejected sites and repeats removed."""
     tagged = F.transform(urls, lambda u: F.struct(address_tier(u).alias("tier"), u.alias("url")))
-    tiers = [F.filter(tagged, lambda x, t=t: x["tier"] == t) for t in (0, 1, 2)]
+
+    def of_tier(t):
+        return F.filter(tagged, lambda x: x["tier"] == t)
+
+    tiers = [of_tier(t) for t in (0, 1, 2)]
     return F.array_distinct(F.transform(F.concat(*tiers), lambda x: x["url"]))
 
 
