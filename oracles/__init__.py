@@ -1,5 +1,5 @@
 """SQL counterparts of the registered queries, by query name."""
 
-from . import scalars
+from . import relations, scalars
 
-ORACLES = {**scalars.O}
+ORACLES = {**scalars.O, **relations.O}
