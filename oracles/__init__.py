@@ -1,5 +1,5 @@
 """SQL counterparts of the registered queries, by query name."""
 
-from . import relations, scalars
+from . import layouts, relations, scalars
 
-ORACLES = {**scalars.O, **relations.O}
+ORACLES = {**scalars.O, **relations.O, **layouts.O}

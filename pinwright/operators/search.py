@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
+from ..sources.shared import staged
 from . import ordered
 
 # Scores of the match tiers and the pin-count adjustment.
@@ -203,7 +204,8 @@ def match_symbols(docs: DataFrame, symbols: DataFrame, doc_pins: DataFrame,
     d = R.split_suffix(d, "_pn", "_base", "_code").drop("_code")
     asked = d.select(F.col("_pn").alias("query"), "pin_count").union(
         d.filter("_base <> _pn").select("_base", "pin_count"))
-    best = top_matches(search_symbols(asked, symbols), 10)
+    # At most ten rows per distinct request, read three times below.
+    best = staged(top_matches(search_symbols(asked, symbols), 10), "matches")
     head = best.filter("rank = 1").select(
         "query", "pin_count", F.struct("ord", "lib", "name", "score").alias("_top"))
     d = (
@@ -290,7 +292,7 @@ def match_footprints(packages: DataFrame, footprints: DataFrame) -> DataFrame:
     broad = unsolved.withColumn("_family", family).filter("_family <> name").select(
         "doc_id", "pin_count", F.upper(R.strip(F.col("_family"))).alias("query"))
     asked = terms.select("query", "pin_count").union(broad.select("query", "pin_count"))
-    best = top_matches(search_footprints(asked, footprints), 5)
+    best = staged(top_matches(search_footprints(asked, footprints), 5), "matches")
     gap = F.abs(F.col("pad_count") - F.col("pin_count"))
     hit = (
         terms.join(best.filter("rank = 1"), ["query", "pin_count"])

@@ -194,7 +194,7 @@ def table_groups(lay: DataFrame) -> DataFrame:
     )
     starts = F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)
     grouped = ordered.running_sum(prev, ["doc_id"], order, starts, "group_no", block)
-    return grouped.drop("_p").withColumn("group_no", F.col("group_no").cast("int"))
+    return staged(grouped.drop("_p").withColumn("group_no", F.col("group_no").cast("int")), "groups")
 
 
 def continuation_fill(rows: DataFrame, keys, order, block: Column) -> DataFrame:
@@ -209,9 +209,8 @@ def continuation_fill(rows: DataFrame, keys, order, block: Column) -> DataFrame:
     state = F.when(sets, F.struct("io", "description"))
     seen = ordered.last_before(rows, keys, order, state, "_s", block)
     use = blank & F.col("_s.io").isNotNull()
-    return seen.withColumn("io", F.when(use, F.col("_s.io")).otherwise(F.col("io"))).withColumn(
-        "description", F.when(use, F.col("_s.description")).otherwise(F.col("description"))
-    ).drop("_s")
+    fill = {c: F.when(use, F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in ("io", "description")}
+    return seen.select(*[fill.get(c, F.col(c)) for c in rows.columns])
 
 
 def read_pins(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -283,6 +282,7 @@ def score_groups(pins: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataF
                     + F.when(F.coalesce(variant, F.lit(False)), 50000).otherwise(0))
         .select("doc_id", "group_no", "unique_pins", "data_rows", "priority", "confidence")
     )
+    scored = staged(scored, "scores")
     winner = scored.groupBy("doc_id").agg(
         F.max_by("group_no", F.struct("priority", "confidence", -F.col("group_no"))).alias("_g"))
     return scored.join(winner, "doc_id").withColumn("best", F.col("group_no") == F.col("_g")).drop("_g")

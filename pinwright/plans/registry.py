@@ -713,7 +713,7 @@ def bounding_box(s, d):
 
 
 def _rounded(df, places=6):
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 @query

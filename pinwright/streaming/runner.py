@@ -76,7 +76,7 @@ def run_folded(stream: DataFrame, step: Step, state_schema: str) -> DataFrame:
 
     (stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
      .foreachBatch(fold).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(schemas[0]).parquet(f"{folder}/out")
+    return spark.read.schema(schemas[0]).parquet(f"{folder}/out").drop("batch")
 
 
 def _with_batch(stream: DataFrame):
