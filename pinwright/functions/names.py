@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lookups as L
-from .rules import strip
+from .rules import lookup, strip
 
 
 def bare_polarity(n: Column) -> Column:
@@ -47,10 +47,7 @@ def _alias_ids(n: Column) -> Column:
     for i, pair in enumerate(L.NAME_ALIASES):
         for name in pair:
             table.setdefault(name, []).append(i)
-    entries = []
-    for name, ids in table.items():
-        entries += [F.lit(name), F.array(*[F.lit(i) for i in ids])]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), n), F.array().cast("array<int>"))
+    return F.coalesce(lookup(table, n), F.array().cast("array<int>"))
 
 
 def _amplifier_roles(n: Column) -> Column:

@@ -27,10 +27,19 @@ def first_of(arr: Column) -> Column:
     return F.try_element_at(arr, F.lit(1))
 
 
+def sql_text(value) -> str:
+    """A literal as SQL text, so that a whole table costs one call to the JVM."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, list):
+        return "array(" + ", ".join(sql_text(v) for v in value) + ")"
+    return str(value)
+
+
 def lookup(table: dict, key: Column) -> Column:
     """Value of ``key`` in a small literal map, null when absent."""
-    entries = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*entries), key)
+    entries = ", ".join(sql_text(x) for kv in table.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def case_chain(branches, otherwise) -> Column:
@@ -60,8 +69,7 @@ def bare_number(pn: Column) -> Column:
 
 def listed_suffix(bare: Column) -> Column:
     """First suffix in list order that ends the number; null when none does."""
-    suffixes = F.array(*[F.lit(s) for s in L.SUFFIXES])
-    return first_of(F.filter(suffixes, lambda s: F.endswith(bare, s)))
+    return first_of(F.filter(F.expr(sql_text(L.SUFFIXES)), lambda s: F.endswith(bare, s)))
 
 
 def split_suffix(df: DataFrame, pn: str, base: str = "base", code: str = "code") -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import report, search
 from ..operators import tables as T
 from ..operators import text as X
 from ..sources import documents, libraries, sinks
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, staged
 from ..streaming import jobs, runner, usage
 from . import datasheets
 from . import fixtures as fx
@@ -240,6 +240,11 @@ def text_pins(s, d):
 
 # --- sources and sinks --------------------------------------------------------------
 
+def _nodes(s, d):
+    """Nodes of the generated libraries; read by several steps, so written once."""
+    return staged(libraries.shred(fx.library_files(s, d).select("file", "content")), "nodes")
+
+
 @query
 def library_scan(s, d):
     folder = shared_folder(s, "library")
@@ -263,30 +268,30 @@ def nested_text_nodes(s, d):
 
 @query
 def symbol_entries(s, d):
-    return libraries.symbol_entries(libraries.shred(fx.library_files(s, d).select("file", "content"))).drop("node")
+    return libraries.symbol_entries(_nodes(s, d)).drop("node")
 
 
 @query
 def symbol_geometry(s, d):
-    nodes = libraries.shred(fx.library_files(s, d).select("file", "content"))
+    nodes = _nodes(s, d)
     return libraries.pin_geometry(nodes)
 
 
 @query
 def shape_boxes(s, d):
-    nodes = libraries.shred(fx.library_files(s, d).select("file", "content"))
+    nodes = _nodes(s, d)
     return G.bounding_boxes(libraries.shape_points(nodes), ["file"])
 
 
 @query
 def visible_texts(s, d):
-    nodes = libraries.shred(fx.library_files(s, d).select("file", "content"))
+    nodes = _nodes(s, d)
     return libraries.visible_texts(nodes).select("file", "property", "text")
 
 
 @query
 def pad_geometry(s, d):
-    nodes = libraries.shred(fx.footprint_files(s, d))
+    nodes = staged(libraries.shred(fx.footprint_files(s, d)), "nodes")
     return libraries.pad_geometry(nodes).drop("pad_pos")
 
 
