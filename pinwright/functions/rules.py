@@ -42,6 +42,16 @@ def lookup(table: dict, key: Column) -> Column:
     return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
+def numbered(df: DataFrame, keep, array: Column, pos: str, out: str) -> DataFrame:
+    """One row per array element with its position.
+
+    The outer form is used because the inner one makes the optimizer test the
+    array's size first, evaluating the whole expression behind it twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(pos, out))
+    return rows.filter(F.col(pos).isNotNull())
+
+
 def case_chain(branches, otherwise) -> Column:
     """``CASE`` from (condition, value) pairs in order: the first match wins."""
     chain = None

@@ -126,8 +126,9 @@ def detect_headers(cells: DataFrame) -> DataFrame:
         F.struct(F.lit(i + 1).alias("form"), F.lit(start).alias("data_start"), F.when(cond, row).alias("header"))
         for i, (start, cond, row) in enumerate(forms)])
     # One row per heading cell, so that every role pattern runs once per cell.
-    spread = work.select(*TABLE, "page_num", "n_rows", F.explode(candidates).alias("_f")).select(
-        *TABLE, "page_num", "n_rows", "_f.form", "_f.data_start", F.posexplode("_f.header").alias("col", "text"))
+    spread = work.select(*TABLE, "page_num", "n_rows", F.explode_outer(candidates).alias("_f")).select(
+        *TABLE, "page_num", "n_rows", "_f.form", "_f.data_start", F.posexplode_outer("_f.header").alias("col", "text")
+    ).filter("col is not null")
     c = F.col("text")
     roles = spread.select("*", F.struct(
         "col", "text", R.is_pin_header(c).alias("pin"), R.is_name_header(c).alias("name"),
@@ -234,6 +235,8 @@ def read_pins(cells: DataFrame, groups: DataFrame) -> DataFrame:
             lambda v: ~v.isin("", "-")))
         .drop("row", "alt_cols")
     )
+    # Parsed rows are far smaller than the cells and read twice by the fill.
+    body = staged(body, "rows")
     block = F.struct(F.col("table_seq"), F.col("layout"), F.floor(F.col("row_idx") / ordered.BLOCK))
     filled = continuation_fill(body, ["doc_id", "group_no"], ["table_seq", "layout", "row_idx"], block)
     low = F.lower("description")
@@ -241,10 +244,10 @@ def read_pins(cells: DataFrame, groups: DataFrame) -> DataFrame:
         low, F.lit("exposed pad"))
     numbers = F.when(F.size("numbers") > 0, F.col("numbers")).when(pad, F.array(F.lit("EP"))).otherwise(
         F.array().cast("array<string>"))
-    return filled.select(
-        "doc_id", "group_no", "table_seq", "layout", "row_idx", "name", "description",
-        F.coalesce("io", R.infer_pin_type(F.col("name"), F.col("description"))).alias("pin_type"),
-        "alt_functions", F.posexplode(numbers).alias("num_pos", "number"))
+    keep = ["doc_id", "group_no", "table_seq", "layout", "row_idx", "name", "description", "io", "alt_functions"]
+    every = R.numbered(filled, keep, numbers, "num_pos", "number")
+    return every.withColumn(
+        "pin_type", F.coalesce("io", R.infer_pin_type(F.col("name"), F.col("description")))).drop("io")
 
 
 def score_groups(pins: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataFrame:

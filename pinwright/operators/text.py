@@ -5,6 +5,8 @@ one document group rows again.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def orderable_packages(docs: DataFrame) -> DataFrame:
     found = d.withColumn("_m", F.regexp_extract_all("text", pattern, F.lit(1)))
     code = F.upper("_c")
     ordering = (
-        found.select("doc_id", F.posexplode("_m").alias("pos", "_c"))
+        R.numbered(found, ["doc_id"], F.col("_m"), "pos", "_c")
         .select("doc_id", "pos", R.lookup(named, code).alias("name"),
                 R.lookup(counts, code).alias("pin_count"), code.alias("code"))
     )
@@ -178,8 +180,17 @@ def _mentions(rank: int, pattern: str, name: str) -> Column:
         count = m if counted else F.lit(None).cast("string")
         return F.struct(F.lit(rank).alias("rank"), i.alias("at"), full.alias("name"), count.alias("count"))
 
-    return F.transform(
+    found = F.transform(
         F.regexp_extract_all("text", F.lit("(?i)" + pattern), F.lit(1 if counted else 0)), entry)
+    # Few texts name a given family at all: a plain substring test comes first.
+    return F.when(F.contains("_up", F.lit(_family_word(pattern))), found).otherwise(
+        F.array().cast("array<struct<rank:int,at:int,name:string,count:string>>"))
+
+
+def _family_word(pattern: str) -> str:
+    """The longest run of capitals every match of a package pattern contains."""
+    plain = re.sub(r"\(\?<?!.*?\)|\[[^\]]*\]|\\.|\(\?:.*?\)", " ", pattern)
+    return max(re.findall(r"[A-Z]+(?!\?)", plain), key=len)
 
 
 def mentioned_packages(docs: DataFrame) -> DataFrame:
@@ -190,7 +201,7 @@ def mentioned_packages(docs: DataFrame) -> DataFrame:
     hits = F.concat(*[_mentions(rank, pat, name) for rank, (pat, name) in enumerate(L.PACKAGE_PATTERNS)])
     count = F.coalesce("_h.count", F.lit("0")).cast("int")
     return (
-        docs.select("doc_id", F.posexplode(hits).alias("pos", "_h"))
+        R.numbered(docs.select("doc_id", "text", F.upper("text").alias("_up")), ["doc_id"], hits, "pos", "_h")
         .select("doc_id", "pos", F.col("_h.name").alias("name"),
                 F.when(count == 0, F.coalesce(R.lookup(L.FIXED_PIN_COUNTS, F.col("_h.name")), F.lit(0)))
                 .otherwise(count).alias("pin_count"))

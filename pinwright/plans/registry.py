@@ -43,7 +43,7 @@ def manufacturer(s, d):
 @query
 def source_candidates(s, d):
     c = R.source_candidates(fx.parts(s, d), "part_number")
-    return c.select("part_id", F.posexplode("candidates").alias("rank", "address"))
+    return R.numbered(c, ["part_id"], F.col("candidates"), "rank", "address")
 
 
 @query
@@ -53,7 +53,7 @@ def ordering_variants(s, d):
         (F.col("part_id") % 4000 + 1000).cast("string"),
         F.element_at(F.array(*[F.lit(x) for x in ("G+T", "ARMZ", "EMSE", "-3.3", "X+T10", "ACPZ-1.5", "CS8")]),
                      (F.col("part_id") % 7 + 1).cast("int")))
-    return fx.parts(s, d).select("part_id", F.posexplode(R.ordering_variants(pn)).alias("rank", "variant"))
+    return R.numbered(fx.parts(s, d), ["part_id"], R.ordering_variants(pn), "rank", "variant")
 
 
 @query
@@ -64,8 +64,8 @@ def domain_maker(s, d):
 
 @query
 def redirect_links(s, d):
-    return fx.table(s, d, "pages").select(
-        "page_id", F.posexplode(R.redirect_links(F.expr(fx.LINK_HTML))).alias("rank", "address"))
+    links = R.redirect_links(F.expr(fx.LINK_HTML))
+    return R.numbered(fx.table(s, d, "pages"), ["page_id"], links, "rank", "address")
 
 
 @query
@@ -76,7 +76,7 @@ def address_tiers(s, d):
         return F.replace(u, F.lit(a), F.lit(b))
 
     urls = F.array(u, sub("example.com", "ti.com"), sub("example.net", "github.com"), sub("example.org", "lcsc.com"))
-    return fx.table(s, d, "pages").select("page_id", F.posexplode(R.rank_addresses(urls)).alias("rank", "address"))
+    return R.numbered(fx.table(s, d, "pages"), ["page_id"], R.rank_addresses(urls), "rank", "address")
 
 
 @query
@@ -105,8 +105,8 @@ def pin_type_inference(s, d):
 
 @query
 def pin_number_list(s, d):
-    return fx.cells(s, d).filter("col_idx = 1").select(
-        "doc_id", "row_idx", F.posexplode(R.pin_numbers(F.col("text"))).alias("num_pos", "number"))
+    cells = fx.cells(s, d).filter("col_idx = 1")
+    return R.numbered(cells, ["doc_id", "row_idx"], R.pin_numbers(F.col("text")), "num_pos", "number")
 
 
 @query
@@ -123,8 +123,8 @@ def header_roles(s, d):
 
 @query
 def footprint_terms(s, d):
-    return fx.packages(s, d).select("doc_id", "cand_pos", F.posexplode(
-        R.footprint_terms(F.col("name"), F.col("pin_count"))).alias("term_pos", "term"))
+    terms = R.footprint_terms(F.col("name"), F.col("pin_count"))
+    return R.numbered(fx.packages(s, d), ["doc_id", "cand_pos"], terms, "term_pos", "term")
 
 
 @query
