@@ -266,8 +266,8 @@ def reconcile_thermal(rows: DataFrame) -> DataFrame:
     lists = (
         pairs.filter("_pads > 1").withColumn("_nth", F.row_number().over(order))
         .filter("_nth <= _pads").groupBy("doc_id", "pad", "a_pos")
-        .agg(F.array_sort(F.collect_list(F.struct("b_pos", "number"))).alias("_c"))
-        .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a_pos", "_c"))).alias("_p"))
+        .agg(F.sort_array(F.collect_list(F.struct("b_pos", "number"))).alias("_c"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a_pos", "_c"))).alias("_p"))
     )
 
     def take(taken: Column, pad: Column) -> Column:
@@ -419,7 +419,7 @@ def merged_heads(pins: DataFrame, power_only: bool = False) -> DataFrame:
 
 def nest_alternates(merged: DataFrame) -> DataFrame:
     """Sink form: merged pins with their alternate numbers as an ordered array."""
-    alts = F.array_sort(F.collect_list(F.when(
+    alts = F.sort_array(F.collect_list(F.when(
         ~F.col("is_primary"), F.struct("row_pos", "number"))))
     return merged.groupBy("doc_id", "primary_pos").agg(
         F.min_by(F.struct("number", "name", "pin_type"), "row_pos").alias("_p"), alts.alias("_a")

@@ -35,30 +35,33 @@ def header_roles(cells: DataFrame) -> DataFrame:
         R.is_alt_header(c).alias("alternate"))
 
 
-def is_section_row(row: Column) -> Column:
-    """One non-empty cell holding nothing but section words (spaces may be lost)."""
-    filled = F.filter(F.transform(row, lambda c: R.strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
-    text = F.upper(F.element_at(filled, 1))
+def is_section_text(text: Column) -> Column:
+    """Nothing but section words in an upper-case text (spaces may be lost)."""
     words = F.filter(F.split(F.regexp_replace(text, r"\bAND\b", ""), r"\s+"), lambda w: w != "")
     known = [w.upper() for w in L.SECTION_WORDS]
-    # Longest word first is not needed: every listed word is cut in list order.
     rest = F.replace(text, F.lit("AND"), F.lit(""))
     for w in known:
         rest = F.replace(rest, F.lit(w), F.lit(" "))
     spelled = (F.size(words) > 0) & F.forall(words, lambda w: w.isin(known))
-    return F.when(F.size(filled) == 1, spelled | (R.strip(rest) == "")).otherwise(F.lit(False))
+    return spelled | (R.strip(rest) == "")
+
+
+def is_section_row(row: Column) -> Column:
+    """One non-empty cell, and that a section heading."""
+    filled = F.filter(F.transform(row, lambda c: R.strip(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    return F.when(F.size(filled) == 1, is_section_text(F.upper(F.try_element_at(filled, F.lit(1))))).otherwise(
+        F.lit(False))
 
 
 def rows_of(cells: DataFrame) -> DataFrame:
     """One row per table row with its cells as an array; widths stay small."""
-    spots = F.array_sort(F.collect_list(F.struct("col_idx", "text")))
     grouped = cells.groupBy(*TABLE, "page_num", "row_idx").agg(
-        spots.alias("_c"), (F.max("col_idx") + 1).alias("_w"))
+        F.sort_array(F.collect_list(F.struct("col_idx", "text"))).alias("_c"), (F.max("col_idx") + 1).alias("_w"))
+    dense = F.transform("_c", lambda c: c["text"])
     by_col = F.map_from_entries("_c")
+    gaps = F.transform(F.sequence(F.lit(0), F.col("_w") - 1), lambda i: F.try_element_at(by_col, i))
     return grouped.select(
-        *TABLE, "page_num", "row_idx",
-        F.transform(F.sequence(F.lit(0), F.col("_w") - 1),
-                    lambda i: F.try_element_at(by_col, i)).alias("row"))
+        *TABLE, "page_num", "row_idx", F.when(F.size("_c") == F.col("_w"), dense).otherwise(gaps).alias("row"))
 
 
 def drop_section_rows(cells: DataFrame) -> DataFrame:
@@ -125,16 +128,20 @@ def detect_headers(cells: DataFrame) -> DataFrame:
     candidates = F.array(*[
         F.struct(F.lit(i + 1).alias("form"), F.lit(start).alias("data_start"), F.when(cond, row).alias("header"))
         for i, (start, cond, row) in enumerate(forms)])
-    # One row per heading cell, so that every role pattern runs once per cell.
+    # One row per heading cell.
     spread = work.select(*TABLE, "page_num", "n_rows", F.explode_outer(candidates).alias("_f")).select(
         *TABLE, "page_num", "n_rows", "_f.form", "_f.data_start", F.posexplode_outer("_f.header").alias("col", "text")
     ).filter("col is not null")
-    c = F.col("text")
-    roles = spread.select("*", F.struct(
-        "col", "text", R.is_pin_header(c).alias("pin"), R.is_name_header(c).alias("name"),
-        R.is_type_header(c).alias("type"), R.is_desc_header(c).alias("desc"), R.is_alt_header(c).alias("alt")).alias("_c"))
+    # Headings repeat endlessly: the role patterns run once per distinct text.
+    spread = staged(spread.withColumn("_key", F.coalesce("text", F.lit(""))), "headings")
+    c = F.col("_key")
+    judged = spread.select("_key").distinct().select(
+        "_key", R.is_pin_header(c).alias("pin"), R.is_name_header(c).alias("name"),
+        R.is_type_header(c).alias("type"), R.is_desc_header(c).alias("desc"), R.is_alt_header(c).alias("alt"))
+    roles = spread.join(judged, "_key").withColumn(
+        "_c", F.struct("col", "text", "pin", "name", "type", "desc", "alt"))
     whole = roles.groupBy(*TABLE, "page_num", "n_rows", "form", "data_start").agg(
-        F.array_sort(F.collect_list("_c")).alias("heads"),
+        F.sort_array(F.collect_list("_c")).alias("heads"),
         F.max("_c.pin").alias("_pin"), F.max("_c.name").alias("_name"))
     return (
         whole.filter("_pin and _name").groupBy(*TABLE)
@@ -216,24 +223,29 @@ def continuation_fill(rows: DataFrame, keys, order, block: Column) -> DataFrame:
 
 def read_pins(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """Pins of every layout group: (doc_id, group_no, table_seq, layout, row_idx, num_pos, …)."""
+    # Only the cells a layout points at are kept, by plain aggregates per row.
     def at(col):
-        return F.when(F.col(col) < F.size("row"), F.get("row", F.col(col)))
+        return F.max(F.when(F.col("col_idx") == F.col(col), F.col("text")))
 
+    filled = R.strip(F.coalesce("text", F.lit("")))
+    extra = F.when(F.array_contains("alt_cols", F.col("col_idx")) & ~filled.isin("", "-"),
+                   F.struct("col_idx", filled.alias("v")))
     body = (
-        rows_of(cells).drop("page_num").join(groups, TABLE)
-        .filter("row_idx >= data_start")
-        .filter(F.size("row") > F.greatest("pin_col", "name_col"))
-        .filter(~is_section_row(F.col("row")))
-        .withColumn("name", R.short_pin_name(at("name_col")))
+        cells.drop("page_num").join(groups, TABLE).filter("row_idx >= data_start")
+        .groupBy("doc_id", "group_no", "table_seq", "layout", "row_idx")
+        .agg(F.max("col_idx").alias("_last"), F.max(F.greatest("pin_col", "name_col")).alias("_need"),
+             F.count_if(filled != "").alias("_filled"), F.max(filled).alias("_only"),
+             at("name_col").alias("_name"), at("pin_col").alias("_pin"), at("type_col").alias("type_cell"),
+             at("desc_col").alias("_desc"), F.collect_list(extra).alias("_alt"))
+        .filter("_last >= _need")
+        .filter((F.col("_filled") != 1) | ~is_section_text(F.upper("_only")))
+        .withColumn("name", R.short_pin_name(F.col("_name")))
         .filter("name <> ''")
-        .withColumn("type_cell", at("type_col"))
-        .withColumn("io", R.io_type(F.col("type_cell")))
-        .withColumn("description", R.strip(F.coalesce(at("desc_col"), F.lit(""))))
-        .withColumn("numbers", R.pin_numbers(R.strip(F.coalesce(at("pin_col"), F.lit("")))))
-        .withColumn("alt_functions", F.filter(
-            F.transform("alt_cols", lambda i: R.strip(F.coalesce(F.get("row", i), F.lit("")))),
-            lambda v: ~v.isin("", "-")))
-        .drop("row", "alt_cols")
+        .select("doc_id", "group_no", "table_seq", "layout", "row_idx", "name", "type_cell",
+                R.io_type(F.col("type_cell")).alias("io"),
+                R.strip(F.coalesce("_desc", F.lit(""))).alias("description"),
+                R.pin_numbers(R.strip(F.coalesce("_pin", F.lit("")))).alias("numbers"),
+                F.transform(F.sort_array("_alt"), lambda a: a["v"]).alias("alt_functions"))
     )
     # Parsed rows are far smaller than the cells and read twice by the fill.
     body = staged(body, "rows")

@@ -41,7 +41,7 @@ def full_text(pages: DataFrame, chunk: int = 256) -> DataFrame:
     than the finished text. Source documents are at most 50 MB.
     """
     def joined(parts):
-        ordered_parts = F.array_sort(F.collect_list(parts))
+        ordered_parts = F.sort_array(F.collect_list(parts))
         return F.array_join(F.transform(ordered_parts, lambda p: p["t"]), "\n")
 
     part = pages.groupBy("doc_id", F.floor(F.col("page_num") / chunk).alias("_chunk")).agg(
@@ -89,7 +89,7 @@ def pack_context(pages: DataFrame, budget: int = L.CONTEXT_BUDGET,
                  least: int = L.CONTEXT_MIN_REMAINDER) -> DataFrame:
     """One context text per document; its length is bounded by the budget."""
     kept = packed_pages(pages, budget, least)
-    parts = F.array_sort(F.collect_list(F.struct("tier", "page_num", "kept")))
+    parts = F.sort_array(F.collect_list(F.struct("tier", "page_num", "kept")))
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: F.concat(
         F.lit("--- Page "), p["page_num"].cast("string"), F.lit(" ---\n"), p["kept"])),
         "\n\n").alias("context"))

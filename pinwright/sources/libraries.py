@@ -94,7 +94,7 @@ def shred(files: DataFrame) -> DataFrame:
     own = F.when(opens, F.struct("parent", "depth", "top"))
     return (
         linked.groupBy("file", "node")
-        .agg(F.max(own).alias("_n"), F.transform(F.array_sort(F.collect_list(atom)), lambda a: a["v"]).alias("_atoms"))
+        .agg(F.max(own).alias("_n"), F.transform(F.sort_array(F.collect_list(atom)), lambda a: a["v"]).alias("_atoms"))
         .select("file", "node", "_n.parent", "_n.depth",
                 F.when(F.col("_n.depth") >= 2, F.col("_n.top")).alias("top"),
                 F.coalesce(R.first_of(F.col("_atoms")), F.lit("")).alias("tag"),
