@@ -9,7 +9,7 @@ the block-wise helpers of ``ordered``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
@@ -68,70 +68,51 @@ def drop_section_rows(cells: DataFrame) -> DataFrame:
     return rows_of(cells).filter(~is_section_row(F.col("row")))
 
 
-def _filled(row: Column) -> Column:
-    return F.transform(row, lambda c: R.strip(F.coalesce(c, F.lit(""))))
-
-
-def _merged(upper: Column, lower: Column) -> Column:
-    pairs = F.zip_with(_filled(upper), _filled(lower),
-                       lambda a, b: R.strip(F.concat_ws(" ", a, b)))
-    return pairs
-
-
-def _labelled(row: Column) -> Column:
-    """Second heading row under a lone PIN title: unknown columns become pin columns."""
-    cells = _filled(row)
-
-    def raw(c, patterns):
-        return c.rlike("(?i)" + "|".join(patterns))
-
-    name_at = F.array_position(F.transform(cells, lambda c: (c != "") & raw(c, L.HEADER_NAME)),
-                               F.lit(True))
-    marked = F.transform(cells, lambda c, i: F.when(
-        (i + 1 == name_at) | (c == "") | raw(c, L.HEADER_TYPE) | raw(c, L.HEADER_DESC), c
-    ).otherwise(F.concat(F.lit("PIN "), c)))
-    return F.when(name_at > 0, marked)
-
-
 def detect_headers(cells: DataFrame) -> DataFrame:
-    """Heading of every pin table: (doc_id, table_seq, page_num, form, data_start, header).
+    """Heading of every pin table: (doc_id, table_seq, page_num, form, data_start, heads).
 
     Five forms in order: row 0; rows 0+1 merged; row 1; row 1 under a PIN title;
     rows 1+2 merged. A heading needs a pin and a name column; one column may
-    serve as both.
+    serve as both. ``heads`` lists the heading cells with their possible roles.
     """
-    # One pass: table length, page, and the cells of the three possible heading rows.
-    near = F.when(F.col("row_idx") <= 2, F.struct("row_idx", "col_idx", "text"))
-    work = cells.groupBy(*TABLE).agg(
-        (F.max("row_idx") + 1).alias("n_rows"), F.min("page_num").alias("page_num"),
-        F.collect_list(near).alias("_top"))
-
-    def heading(i):
-        own = F.filter("_top", lambda c: c["row_idx"] == i)
-        by_col = F.map_from_entries(F.transform(own, lambda c: F.struct(c["col_idx"], c["text"])))
-        width = F.array_max(F.transform(own, lambda c: c["col_idx"]))
-        cells_ = F.transform(F.sequence(F.lit(0), width), lambda k: F.try_element_at(by_col, k))
-        return F.when(F.size(own) > 0, cells_)
-
-    for i in range(3):
-        work = work.withColumn(f"r{i}", heading(i))
-    n = F.col("n_rows")
-    pads = [F.coalesce(F.col(f"r{i}"), F.array().cast("array<string>")) for i in range(3)]
-    title = F.try_element_at(F.filter(F.transform(_filled(pads[0]), F.upper), lambda c: c != ""), F.lit(1))
+    # Per column: the three possible heading cells, and how far the table goes.
+    at = [F.col("row_idx") == i for i in range(3)]
+    columns = cells.groupBy(*TABLE, "col_idx").agg(
+        F.max("row_idx").alias("_last"), F.min("page_num").alias("_page"),
+        *[F.max(F.when(at[i], F.col("text"))).alias(f"t{i}") for i in range(3)],
+        *[F.max(at[i]).alias(f"h{i}") for i in range(3)])
+    t = [R.strip(F.coalesce(f"t{i}", F.lit(""))) for i in range(3)]
+    table = Window.partitionBy(*TABLE)
+
+    def raw(c, patterns):
+        return c.rlike("(?i)" + "|".join(patterns))
+
+    work = columns.select(
+        *TABLE, "col_idx", *[F.col(f"h{i}") for i in range(3)], F.col("t0").alias("raw0"), F.col("t1").alias("raw1"),
+        *[t[i].alias(f"t{i}") for i in range(3)],
+        (F.max("_last").over(table) + 1).alias("n_rows"), F.min("_page").over(table).alias("page_num"),
+        F.min_by(F.upper(t[0]), F.when(t[0] != "", F.col("col_idx"))).over(table).alias("_title"),
+        F.min(F.when((t[1] != "") & raw(t[1], L.HEADER_NAME), F.col("col_idx"))).over(table).alias("_name_at"))
+    n, c0, c1, c2 = F.col("n_rows"), F.col("t0"), F.col("t1"), F.col("t2")
+    # Under a lone PIN title, columns that are neither type nor description count pins.
+    known = (F.col("col_idx") == F.col("_name_at")) | (c1 == "") | raw(c1, L.HEADER_TYPE) | raw(c1, L.HEADER_DESC)
+    labelled = F.when(known, c1).otherwise(F.concat(F.lit("PIN "), c1))
     forms = [
-        (1, n >= 2, pads[0]),
-        (2, n > 2, _merged(pads[0], pads[1])),
-        (2, n > 2, pads[1]),
-        (2, (n > 2) & title.isin("PIN", "PINS"), _labelled(pads[1])),
-        (3, n > 3, _merged(pads[1], pads[2])),
+        (1, (n >= 2) & F.col("h0"), F.col("raw0")),
+        (2, (n > 2) & (F.col("h0") | F.col("h1")), R.strip(F.concat(c0, F.lit(" "), c1))),
+        (2, (n > 2) & F.col("h1"), F.col("raw1")),
+        (2, (n > 2) & F.col("h1") & F.col("_title").isin("PIN", "PINS") & F.col("_name_at").isNotNull(), labelled),
+        (3, (n > 3) & (F.col("h1") | F.col("h2")), R.strip(F.concat(c1, F.lit(" "), c2))),
     ]
     candidates = F.array(*[
-        F.struct(F.lit(i + 1).alias("form"), F.lit(start).alias("data_start"), F.when(cond, row).alias("header"))
-        for i, (start, cond, row) in enumerate(forms)])
-    # One row per heading cell.
-    spread = work.select(*TABLE, "page_num", "n_rows", F.explode_outer(candidates).alias("_f")).select(
-        *TABLE, "page_num", "n_rows", "_f.form", "_f.data_start", F.posexplode_outer("_f.header").alias("col", "text")
-    ).filter("col is not null")
+        F.struct(F.lit(i + 1).alias("form"), F.lit(start).alias("data_start"), cond.alias("ok"),
+                 F.when(cond, text).alias("text"))
+        for i, (start, cond, text) in enumerate(forms)])
+    # One row per heading cell and form.
+    spread = work.select(
+        *TABLE, "page_num", "n_rows", F.col("col_idx").alias("col"), F.explode_outer(candidates).alias("_f")
+    ).filter("_f.ok").select(
+        *TABLE, "page_num", "n_rows", "_f.form", "_f.data_start", "col", "_f.text")
     # Headings repeat endlessly: the role patterns run once per distinct text.
     spread = staged(spread.withColumn("_key", F.coalesce("text", F.lit(""))), "headings")
     c = F.col("_key")
@@ -146,7 +127,7 @@ def detect_headers(cells: DataFrame) -> DataFrame:
     return (
         whole.filter("_pin and _name").groupBy(*TABLE)
         .agg(F.min_by(F.struct("page_num", "n_rows", "form", "data_start", "heads"), "form").alias("_h"))
-        .select(*TABLE, "_h.*").withColumn("header", F.transform("heads", lambda h: h["text"]))
+        .select(*TABLE, "_h.*")
     )
 
 
@@ -171,15 +152,16 @@ def column_roles(headers: DataFrame) -> DataFrame:
 
 def layouts(headers: DataFrame) -> DataFrame:
     """One layout per pin column; several columns keep their heading as a label."""
-    label = R.strip(F.replace(
-        F.coalesce(F.get("header", F.col("pin_col")), F.lit("")), F.lit("\n"), F.lit(" ")))
+    own = R.first_of(F.filter("heads", lambda h: h["col"] == F.col("pin_col")))["text"]
+    label = R.strip(F.replace(F.coalesce(own, F.lit("")), F.lit("\n"), F.lit(" ")))
     return (
         column_roles(headers).drop("pin_col")
-        .select(*TABLE, "page_num", "n_rows", "data_start", "header", "name_col", "type_col",
+        .select(*TABLE, "page_num", "n_rows", "data_start", "heads", "name_col", "type_col",
                 "desc_col", "alt_cols", F.size("pin_cols").alias("_many"),
-                F.posexplode("pin_cols").alias("layout", "pin_col"))
+                F.posexplode_outer("pin_cols").alias("layout", "pin_col"))
+        .filter("pin_col is not null")
         .withColumn("label", F.when(F.col("_many") > 1, label).otherwise(""))
-        .drop("header", "_many")
+        .drop("heads", "_many")
     )
 
 

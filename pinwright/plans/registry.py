@@ -653,14 +653,15 @@ def exposed_pad_pins(s, d):
 
 # --- tables ---------------------------------------------------------------------------------
 
-def _groups(s, d):
-    return T.table_groups(T.layouts(T.detect_headers(fx.grid(s, d))))
+def _groups(cells):
+    return T.table_groups(T.layouts(T.detect_headers(cells)))
 
 
 @query
 def header_detection(s, d):
     return T.detect_headers(fx.grid(s, d)).select(
-        "doc_id", "table_seq", "form", "data_start", F.array_join("header", "|", "").alias("header"))
+        "doc_id", "table_seq", "form", "data_start",
+        F.array_join(F.transform("heads", lambda h: h["text"]), "|", "").alias("header"))
 
 
 @query
@@ -677,12 +678,13 @@ def table_layouts(s, d):
 
 @query
 def table_groups(s, d):
-    return _groups(s, d).select("doc_id", "table_seq", "layout", "pin_col", "group_no")
+    return _groups(fx.grid(s, d)).select("doc_id", "table_seq", "layout", "pin_col", "group_no")
 
 
 @query
 def table_pins(s, d):
-    return T.read_pins(fx.grid(s, d), _groups(s, d)).drop("alt_functions")
+    cells = fx.grid(s, d)
+    return T.read_pins(cells, _groups(cells)).drop("alt_functions")
 
 
 @query
@@ -694,8 +696,9 @@ def continuation_fill(s, d):
 
 @query
 def table_scoring(s, d):
-    g = _groups(s, d)
-    return T.score_groups(T.read_pins(fx.grid(s, d), g), g, fx.wanted(s, d))
+    cells = fx.grid(s, d)
+    g = _groups(cells)
+    return T.score_groups(T.read_pins(cells, g), g, fx.wanted(s, d))
 
 
 @query
