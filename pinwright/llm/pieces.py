@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pinwright.llm.frames import Memo, annotate, texts
 
@@ -202,13 +203,13 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids",
     """
     carried = [c for c in carry if c != "decoded"]
     source = encoded.select(*carried, *([] if ids in carried else [ids]))
-    at = source.columns.index(ids)
+    at, places = source.columns.index(ids), [source.columns.index(c) for c in carried]
     schema = T.StructType([*(source.schema[c] for c in carried), T.StructField("decoded", T.StringType())])
 
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
 
-        arrow, coder = to_arrow_schema(schema), codec(model)
+    def run(batches):
+        coder = codec(model)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -216,7 +217,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids",
                 values = column.values.to_numpy(zero_copy_only=False)
                 ends = column.offsets.to_numpy()
                 out = [coder.decode(values[a:b]) for a, b in zip(ends, ends[1:])]
-                made = [*(part.column(source.columns.index(c)) for c in carried), pa.array(out, pa.string())]
+                made = [*(part.column(i) for i in places), pa.array(out, pa.string())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(made, arrow)], schema=arrow)
 
     return source.mapInArrow(run, schema)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pinwright.llm import counts, pieces
+from pinwright.llm import counts, pieces, quality, records
 
 QUERIES = {
     "op1_sentencepiece_round_trip": pieces.op1_sentencepiece_round_trip,
+    "op5_token_records": records.op5_token_records,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_token_counts": counts.op9_token_counts,
 }
 
