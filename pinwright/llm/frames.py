@@ -30,6 +30,20 @@ def others(df: DataFrame, taken: Sequence[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n",
+             share: float = 1 / 1000) -> DataFrame:
+    """Inner join on keys that are unique on the right, where ``n`` counts their left rows.
+
+    Keys with more than ``share`` of all rows are sent by broadcast: 1 / share rows at
+    most, whatever the data. No other key is large enough to hold up a task.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(n) > total * share).drop(n))
+    rest = right.where(F.col(n) <= total * share).drop(n)
+    return left.join(hot, keys).unionByName(
+        left.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice holds about SLICE_BYTES of text."""
     size = pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0)

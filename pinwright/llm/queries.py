@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pinwright.llm import counts, pieces, quality, records
+from pinwright.llm import counts, lines, pieces, quality, records, simhash
 
 QUERIES = {
     "op1_sentencepiece_round_trip": pieces.op1_sentencepiece_round_trip,
     "op5_token_records": records.op5_token_records,
+    "op6_simhash_components": simhash.op6_simhash_components,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_line_dedup": lines.op8_line_dedup,
     "op9_token_counts": counts.op9_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_line_dedup": lines.OP8_SQL,
+}
