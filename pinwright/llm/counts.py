@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -22,8 +23,8 @@ PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fixed value: the white space of that pattern.
 WHITE = "\t-\r \x85\xa0  -     　"
-_RUN = regex.compile(f"[{WHITE}][{WHITE}]")
-_WORD = regex.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_RUN = re.compile(f"[{WHITE}][{WHITE}]")
+_WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
 def byte_letters() -> list[str]:

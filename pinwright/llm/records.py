@@ -18,6 +18,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ def unframe(stream) -> bytes | None:
 class IdEncoder:
     """Ids by the tokenizers library, one stretch at a time, stretches kept in a memo."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 400_000):
+    def __init__(self, path: str, end_id: int, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -83,19 +84,24 @@ class IdEncoder:
     def encode(self, whole: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as packed bytes."""
         cuts = [cut_words(t, self.special) for t in whole]
-        need = set().union(*(c[1:] for c in cuts if c))
-        if len(self.known) + len(need) > self.limit:
+        heads = self.raw([c[0] if c else t for t, c in zip(whole, cuts)])
+        rows = [[head, *map(self.known.get, islice(c, 1, None) if c else ())] for head, c in zip(heads, cuts)]
+        lack: dict[str, list[tuple[list, int]]] = {}
+        for row, words in zip(rows, cuts):
+            at, gaps = 0, row.count(None)
+            for _ in range(gaps):
+                at = row.index(None, at)
+                lack.setdefault(words[at], []).append((row, at))
+                at += 1
+        if len(self.known) + len(lack) > self.limit:
             self.known.clear()
-        lack = [w for w in need if w not in self.known]
-        made = dict(zip(lack, self.raw([w if w[:1] == "\n" else " " + w for w in lack])))
-        self.known.update(made)
-        get = self.known.__getitem__
-        heads = iter(self.raw([c[0] if c else t for t, c in zip(whole, cuts)]))
-        out = [b"".join((next(heads), *map(get, c[1:] if c else ()), self.end)) for c in cuts]
-        for word in lack:
-            if len(word) > 48:
-                del self.known[word]
-        return out
+        made = self.raw([w if w[:1] == "\n" else " " + w for w in lack])
+        for (word, places), ids in zip(lack.items(), made):
+            if len(word) <= 48:
+                self.known[word] = ids
+            for row, at in places:
+                row[at] = ids
+        return [b"".join(row) + self.end for row in rows]
 
 
 @lru_cache(maxsize=2)
