@@ -60,7 +60,7 @@ class PieceCodec:
             self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.fits = Memo(self._fits, limit=300_000, longest=2)
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, limit=1_000_000)
 
     def remerge(self, text: str) -> list[str]:
         """The merge rule itself: best score first, leftmost first among equals."""
