@@ -112,8 +112,8 @@ WITH w AS (
   UNION ALL
   SELECT 'i', item_id,
          list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark),
-p AS (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS at FROM w WHERE len(ws) > 0),
-s AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, at, at + 4), ' ') AS sh FROM p),
+p AS (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS pos FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, pos, pos + 4), ' ') AS sh FROM p),
 n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, n.n AS n_item, count(*) AS n_shared, count(*) / n.n AS containment
 FROM s d JOIN s i ON d.sh = i.sh AND d.kind = 'd' AND i.kind = 'i' JOIN n ON n.id = i.id
