@@ -106,12 +106,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 OP4_SQL = r"""
-WITH w AS (
-  SELECT 'd' AS kind, doc_id AS id,
-         list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS ws FROM documents
-  UNION ALL
-  SELECT 'i', item_id,
-         list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') FROM benchmark),
+WITH c AS (
+  SELECT 'd' AS kind, doc_id AS id, lower(text) AS t FROM documents
+  UNION ALL SELECT 'i', item_id, lower(text) FROM benchmark),
+v AS (SELECT kind, id, regexp_replace(regexp_replace(t, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '') AS t FROM c),
+w AS (SELECT kind, id, string_split_regex(t, '[^\p{L}\p{N}]+') AS ws FROM v WHERE t <> ''),
 p AS (SELECT kind, id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS pos FROM w WHERE len(ws) > 0),
 s AS (SELECT DISTINCT kind, id, array_to_string(list_slice(ws, pos, pos + 4), ' ') AS sh FROM p),
 n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id)
