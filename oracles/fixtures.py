@@ -61,7 +61,8 @@ VIEWS = {
     "fx_answers": f"SELECT {', '.join(fx.ANSWER_COLUMNS)} FROM events",
     "fx_conv": """SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page_num,
         CASE WHEN turn % 3 = 2 THEN 'Pin name list ' ELSE '' END || text AS text FROM conversations""",
-    "fx_wanted": f"SELECT {', '.join(fx.WANTED_COLUMNS)} FROM orders",
+    "fx_wanted": f"SELECT {', '.join(fx.WANTED_COLUMNS)} FROM orders WHERE o_orderkey % 11 <> 0",
+    "fx_long": """SELECT doc_id // 10 AS doc_id, page_num, string_agg(text, chr(10) ORDER BY fx_conv.doc_id) AS text FROM fx_conv GROUP BY 1, 2""",
     "fx_files": f"SELECT {', '.join(fx.FILE_COLUMNS)} FROM pages",
     "fx_library": f"SELECT CAST(ord AS STRING) AS file, lib, ord, name, pin_count, description, keywords, {fx.LIBRARY_TEXT} AS content FROM fx_symbols",
     "fx_mods": f"SELECT p_partkey, p_size, CAST(p_partkey AS STRING) AS file, {fx.FOOTPRINT_TEXT} AS content FROM part",
@@ -94,6 +95,7 @@ VIEWS["fx_package_cells"] = (
     + ") u")
 
 NEEDS = {
+    "fx_long": ["fx_conv"],
     "fx_pins": ["fx_lines"], "fx_cells": ["fx_lines"], "fx_library": ["fx_symbols"],
     "fx_grid_rows": ["fx_lines"], "fx_grid": ["fx_grid_rows"], "fx_package_cells": ["fx_lines"],
 }

@@ -76,7 +76,7 @@ SCORE = {
     "uq": "SELECT doc_id, group_no, count(DISTINCT number) AS unique_pins FROM tp GROUP BY doc_id, group_no",
     "gp": f"""SELECT doc_id, group_no, sum(n_rows - data_start) AS data_rows, bool_or(package <> '' AND label <> '' AND (contains(upper(label), {_fam('upper(package)')})
         OR contains(upper(package), {_fam('upper(label)')}))) AS hit, arg_min(label, table_seq * 100 + layout) AS label, min(expected_count) AS expected_count, min(base) AS base
-        FROM grp JOIN fx_wanted USING (doc_id) GROUP BY doc_id, group_no""",
+        FROM grp LEFT JOIN fx_wanted USING (doc_id) GROUP BY doc_id, group_no""",
     "sc": """SELECT doc_id, group_no, unique_pins, CAST(data_rows AS BIGINT) AS data_rows, CAST(unique_pins + CASE WHEN expected_count > 0 AND unique_pins = expected_count THEN 10000 ELSE 0 END + CASE WHEN hit THEN 100000 ELSE 0 END
         + CASE WHEN base <> '' AND label <> '' AND (contains(replace(upper(label), 'PIN ', ''), base) OR contains(base, replace(upper(label), 'PIN ', ''))) THEN 50000 ELSE 0 END AS BIGINT) AS priority,
         least(1.0, CAST(unique_pins AS DOUBLE) / greatest(data_rows, 1)) AS confidence FROM uq JOIN gp USING (doc_id, group_no)""",
@@ -133,8 +133,10 @@ O["pad_pin_map"] = W("""SELECT doc_id, pad, arg_max(primary_pin, late * 1000000
    SELECT doc_id, 0 AS late, row_pos, number AS pad, primary_pin FROM mp UNION ALL SELECT doc_id, 1, min(row_pos), arg_min(exposed_pad, row_pos), arg_min(primary_pin, row_pos) FROM mp JOIN ep ON footprint_id = doc_id
    WHERE number = 'EP' AND exposed_pad IS NOT NULL GROUP BY doc_id) z GROUP BY doc_id, pad""", {**EXPOSED,
    "mp": "SELECT doc_id, row_pos, number, first_value(number) OVER (PARTITION BY doc_id, upper(name) ORDER BY row_pos) AS primary_pin FROM fx_pins"})
-O["stacked_pins"] = W("""SELECT doc_id, row_pos AS pin_pos, number, name, round(first_value(x) OVER g, 6) AS x, round(first_value(y) OVER g, 6) AS y FROM fx_pins JOIN fx_pads ON footprint_id = doc_id AND pad_number = row_pos
-   WINDOW g AS (PARTITION BY doc_id, upper(name) ORDER BY row_pos)""")
+O["stacked_pins"] = W("""SELECT doc_id, pin_pos, number, name, round(CASE WHEN moves THEN fx ELSE x END, 6) AS x, round(CASE WHEN moves THEN fy ELSE y END, 6) AS y, CASE WHEN moves THEN fa ELSE angle END AS angle
+   FROM (SELECT *, x IS NOT NULL AND fx IS NOT NULL AS moves FROM (SELECT doc_id, row_pos AS pin_pos, number, name, x, y, pad_number % 4 * 90 AS angle,
+     first_value(x) OVER g AS fx, first_value(y) OVER g AS fy, first_value(pad_number % 4 * 90) OVER g AS fa FROM fx_pins LEFT JOIN fx_pads ON footprint_id = doc_id AND pad_number = row_pos
+   WINDOW g AS (PARTITION BY doc_id, upper(name) ORDER BY row_pos)) a) b""")
 HEADS = {**TYPED, "hp": """SELECT doc_id, row_pos AS pin_pos, number, name, pin_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, upper(name) ORDER BY row_pos) AS rn FROM typed WHERE number <> 'EP') z WHERE rn = 1"""}
 _g = "CAST(2.54 AS DOUBLE)"
 O["grid_layout"] = W(f"""SELECT doc_id, pin_pos, number, name, side, round(CASE side WHEN 'left' THEN -box_w / 2 - {_g} WHEN 'right' THEN box_w / 2 + {_g} ELSE coalesce(-{_g} * (nb - 1) / 2 + (slot - 1) * {_g}, 0) END, 6) + 0 AS x,
@@ -153,7 +155,7 @@ O["preview_layout"] = W(f"""SELECT doc_id, pin_pos, number, name, side, round(CA
    round(CASE side WHEN 'top' THEN h / 2 WHEN 'bottom' THEN -h / 2 ELSE h / 2 - (slot - 0.5) * (h / m) END, 6) + 0 AS y, CASE side WHEN 'left' THEN 180 WHEN 'right' THEN 0 WHEN 'top' THEN 90 ELSE 270 END AS angle,
    round(-w / 2 - 7.54, 6) AS box_x, round(-h / 2 - 7.54, 6) AS box_y, round(w + 15.08, 6) AS box_w, round(h + 15.08, 6) AS box_h FROM (
    SELECT f.*, greatest(max(CASE WHEN side IN ('left', 'right') THEN m ELSE 0 END) OVER (PARTITION BY doc_id), 1) * {_g} AS h, greatest(greatest(max(CASE WHEN side IN ('top', 'bottom') THEN m ELSE 0 END) OVER (PARTITION BY doc_id), 1) * {_g}, CAST(10.16 AS DOUBLE)) AS w FROM (
-   SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY seq) AS slot, count(*) OVER (PARTITION BY doc_id, side) AS m FROM moved) f) z""", {**HEADS,
+   SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY seq) AS slot, count(*) OVER (PARTITION BY doc_id, side) AS m FROM moved) f) z""", {**HEADS, "hp": HEADS["hp"].replace(" WHERE number <> 'EP'", ""),
    "s0": """SELECT *, CASE WHEN pin_type = 'power_in' THEN 'top' WHEN pin_type IN ('power_out', 'no_connect') THEN 'bottom' WHEN pin_type IN ('output', 'open_collector', 'open_emitter') THEN 'right' ELSE 'left' END AS s FROM hp""",
    "s1": """SELECT *, row_number() OVER (PARTITION BY doc_id, s ORDER BY pin_pos) AS k, count(*) FILTER (WHERE s = 'left') OVER (PARTITION BY doc_id) AS l, count(*) FILTER (WHERE s = 'right') OVER (PARTITION BY doc_id) AS r,
       count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY CASE s WHEN 'top' THEN 0 ELSE 1 END, pin_pos) AS tb FROM s0""",

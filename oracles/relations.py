@@ -73,7 +73,9 @@ O["footprint_match"] = W("""SELECT p.doc_id, CASE WHEN n.lib IS NOT NULL THEN 1
    CAST(CASE WHEN n.lib IS NOT NULL THEN 100 WHEN c.lib IS NOT NULL THEN 95 ELSE coalesce(h.s, w.s, 0) END AS DOUBLE) AS footprint_score
    FROM pk p LEFT JOIN known n ON upper(n.key) = upper(p.name) LEFT JOIN known c ON c.key = p.code
    LEFT JOIN hit h ON h.doc_id = p.doc_id LEFT JOIN wide w ON w.doc_id = p.doc_id""", {
-    "pk": "SELECT * FROM fx_packages WHERE cand_pos = 1",
+    "chosen": f"""SELECT doc_id, coalesce(arg_min(name, cand_pos) FILTER (WHERE code <> '' AND upper(code) = upper(suffix)), CASE WHEN count(*) = 1 THEN min(name) END) AS selected
+       FROM fx_packages LEFT JOIN (SELECT part_id, {S.code('part_number')} AS suffix FROM fx_parts WHERE part_id % 10 <> 0) s ON part_id = doc_id GROUP BY doc_id""",
+    "pk": """SELECT doc_id, name, arg_min(code, cand_pos) AS code, arg_min(pin_count, cand_pos) AS pin_count FROM fx_packages JOIN chosen c USING (doc_id) WHERE name = selected GROUP BY doc_id, name""",
     "known": f"SELECT m.* FROM (VALUES {_map}) m(pos, key, lib, name) WHERE (lib, name) IN (SELECT (lib, name) FROM fx_footprints)",
     "terms": TERMS,
     "tq": "SELECT doc_id, pos, upper(trim(term)) AS query, pin_count FROM terms WHERE cand_pos = 1 AND term IS NOT NULL",
@@ -121,7 +123,7 @@ O["thermal_pad_pins"] = W(f"""SELECT doc_id, number, name, pin_type, description
    AND NOT EXISTS (SELECT 1 FROM fx_pins p WHERE p.doc_id = footprint_id AND p.number = CAST(pad_number AS STRING))""", TYPED)
 O["first_per_number"] = W("""SELECT doc_id, row_pos, number, name, io, description FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, number ORDER BY row_pos) AS rn FROM fx_pins) z WHERE rn = 1""")
 O["package_auto_select"] = W(f"""SELECT doc_id, count(*) AS candidates, coalesce(arg_min(name, cand_pos) FILTER (WHERE code <> '' AND upper(code) = upper(suffix)),
-   CASE WHEN count(*) = 1 THEN min(name) END) AS selected FROM fx_packages JOIN (SELECT part_id, {S.code('part_number')} AS suffix FROM fx_parts) s ON part_id = doc_id GROUP BY doc_id""")
+   CASE WHEN count(*) = 1 THEN min(name) END) AS selected FROM fx_packages LEFT JOIN (SELECT part_id, {S.code('part_number')} AS suffix FROM fx_parts WHERE part_id % 10 <> 0) s ON part_id = doc_id GROUP BY doc_id""")
 O["review_overlay"] = W("""SELECT doc_id, row_pos, number, CASE WHEN row_pos % 5 = 2 THEN 'E_' || name ELSE name END AS name, io,
    CASE WHEN row_pos % 5 = 2 AND doc_id % 2 = 0 THEN 'edited' ELSE description END AS description FROM fx_pins""")
 O["symbol_pin_update"] = W("""SELECT t.doc_id, t.number, coalesce(i.name, t.name) AS name, coalesce(i.pin_type, 'passive') AS pin_type, i.name IS NOT NULL AS updated
@@ -136,12 +138,14 @@ O["model_inference"] = W("""SELECT lib, name, CASE WHEN max(CASE WHEN ord % 4 <>
 # Pin comparison; the fixture has one thermal label per document, so the pad takes
 # the first missing pin of an equivalent name.
 DIFF = {
-    "ex": "SELECT doc_id, number, arg_max(name, row_pos) AS name, count(*) AS listed FROM fx_pins GROUP BY doc_id, number",
-    "j": f"""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.number, b.number) AS number, a.name AS an, b.name AS bn, a.listed,
-       CASE WHEN a.name IS NULL THEN 'missing' WHEN b.name IS NULL THEN CASE WHEN {within('upper(a.number)', L.THERMAL_LABELS)} OR {within('upper(trim(a.name))', L.THERMAL_LABELS)} THEN 'thermal' ELSE 'extra' END
-       WHEN {S.same_name('a.name', 'b.name')} THEN 'ok' ELSE 'renamed' END AS status FROM ex a FULL JOIN fx_truth b ON a.doc_id = b.doc_id AND a.number = b.number""",
-    "tk": f"""SELECT m.doc_id, arg_min(m.number, CAST(m.number AS INT)) AS number FROM (SELECT * FROM j WHERE status = 'missing') m JOIN (SELECT doc_id, an FROM j WHERE status = 'thermal') t
-       ON t.doc_id = m.doc_id AND {S.same_name('t.an', 'm.bn')} GROUP BY m.doc_id""",
+    "ex": """SELECT doc_id, number, arg_max(name, pos) AS name, sum(listed) AS listed FROM (SELECT doc_id, number, name, row_pos * 10 AS pos, 1 AS listed FROM fx_pins
+       UNION ALL SELECT doc_id, CAST(row_pos + 3 AS STRING), name, row_pos * 10 + 1, 0 FROM fx_pins WHERE row_pos % 3 = 1) z GROUP BY doc_id, number""",
+    "met": """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.number, b.number) AS number, a.name AS an, b.name AS bn, a.listed FROM ex a FULL JOIN fx_truth b ON a.doc_id = b.doc_id AND a.number = b.number""",
+    "alike": f"""SELECT an, bn, {S.same_name('an', 'bn')} AS same FROM (SELECT DISTINCT a.an, b.bn FROM (SELECT DISTINCT an FROM met WHERE an IS NOT NULL) a, (SELECT DISTINCT bn FROM met WHERE bn IS NOT NULL) b) z""",
+    "j": f"""SELECT met.*, CASE WHEN met.an IS NULL THEN 'missing' WHEN met.bn IS NULL THEN CASE WHEN {within('upper(number)', L.THERMAL_LABELS)} OR {within('upper(trim(met.an))', L.THERMAL_LABELS)} THEN 'thermal' ELSE 'extra' END
+       WHEN same THEN 'ok' ELSE 'renamed' END AS status FROM met LEFT JOIN alike ON alike.an = met.an AND alike.bn = met.bn""",
+    "tk": """SELECT m.doc_id, arg_min(m.number, CAST(m.number AS INT)) AS number FROM (SELECT * FROM j WHERE status = 'missing') m JOIN (SELECT doc_id, an FROM j WHERE status = 'thermal') t
+       ON t.doc_id = m.doc_id JOIN alike ON alike.an = t.an AND alike.bn = m.bn AND same GROUP BY m.doc_id""",
     "d": """SELECT doc_id, coalesce(CAST(sum(listed) AS BIGINT), 0) AS extracted_count, count(bn) AS expected_count,
        count(*) FILTER (WHERE status = 'missing') - count(DISTINCT tk.number) AS missing, count(*) FILTER (WHERE status = 'extra') AS extra, count(*) FILTER (WHERE status = 'renamed') AS renamed
        FROM j LEFT JOIN tk USING (doc_id) GROUP BY doc_id""",

@@ -135,11 +135,11 @@ O["component_class"] = W("SELECT doc_id, " + S.chain([(S.has("low", w), q(n)) fo
                          + " AS component_type FROM (SELECT doc_id, lower(text) AS low FROM fx_docs) z")
 O["document_full_text"] = W("SELECT doc_id, string_agg(text, chr(10) ORDER BY page_num) AS full_text FROM fx_conv GROUP BY doc_id")
 O["context_packing"] = W("""SELECT doc_id, string_agg('--- Page ' || CAST(page_num AS STRING) || ' ---' || chr(10) || kept, chr(10) || chr(10) ORDER BY tier, page_num) AS context FROM (
-   SELECT *, CASE WHEN upto <= 1500 THEN text WHEN upto - len <= 1500 AND over = 1 AND 1500 - (upto - len) > 100 THEN left(text, CAST(1500 - (upto - len) AS INT)) END AS kept FROM (
-     SELECT *, sum(CASE WHEN upto > 1500 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY tier, page_num) AS over FROM (
+   SELECT *, CASE WHEN upto <= 30000 THEN text WHEN upto - len <= 30000 AND over = 1 AND 30000 - (upto - len) > 500 THEN left(text, CAST(30000 - (upto - len) AS INT)) END AS kept FROM (
+     SELECT *, sum(CASE WHEN upto > 30000 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY tier, page_num) AS over FROM (
        SELECT *, length(text) AS len, sum(length(text)) OVER (PARTITION BY doc_id ORDER BY tier, page_num) AS upto FROM (
          SELECT *, CASE WHEN page_num <= 2 THEN 0 WHEN contains(upper(text), 'PIN') AND (contains(upper(text), 'NAME') OR contains(upper(text), 'FUNCTION')
-           OR contains(upper(text), 'DESCRIPTION')) THEN 1 ELSE 2 END AS tier FROM fx_conv) a) b) c) d WHERE kept IS NOT NULL GROUP BY doc_id""")
+           OR contains(upper(text), 'DESCRIPTION')) THEN 1 ELSE 2 END AS tier FROM fx_long) a) b) c) d WHERE kept IS NOT NULL GROUP BY doc_id""")
 O["answer_packages"] = W("""SELECT doc_id, cand_pos, name, pin_count, code, dimensions FROM (
    SELECT doc_id, 0 AS cand_pos, json_extract_string(answer, '$.packages[0].name') AS name, CAST(json_extract_string(answer, '$.packages[0].pin_count') AS INT) AS pin_count, 'D' AS code, '' AS dimensions FROM fx_answers
    UNION ALL SELECT doc_id, 1, json_extract_string(answer, '$.packages[1].name'), CAST(json_extract_string(answer, '$.packages[1].pin_count') AS INT), '', '' FROM fx_answers) z

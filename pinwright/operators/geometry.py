@@ -159,11 +159,17 @@ def pad_pin_map(pins: DataFrame, exposed: DataFrame) -> DataFrame:
 
 
 def stack_same_names(pins: DataFrame, key: str) -> DataFrame:
-    """Same-name pins of a symbol move onto the first one's position."""
-    first = pins.groupBy(key, F.upper("name").alias("_n")).agg(
-        F.min_by(F.struct("x", "y"), "pin_pos").alias("_at"))
-    return pins.withColumn("_n", F.upper("name")).join(first, [key, "_n"]).select(
-        key, "pin_pos", "number", "name", F.col("_at.x").alias("x"), F.col("_at.y").alias("y"))
+    """Same-name pins of a symbol move onto the first one's position and angle.
+
+    Pins without a position (null x) stay without one, and so does a group whose
+    first pin has none.
+    """
+    at = F.struct("x", "y", "angle")
+    first = pins.groupBy(key, F.upper("name").alias("_n")).agg(F.min_by(at, "pin_pos").alias("_first"))
+    moves = F.col("_first.x").isNotNull() & F.col("x").isNotNull()
+    return pins.withColumn("_n", F.upper("name")).join(first, [key, "_n"]).withColumn(
+        "_at", F.when(moves, F.col("_first")).otherwise(at)).select(
+        key, "pin_pos", "number", "name", "_at.x", "_at.y", "_at.angle")
 
 
 def _side_rank(pins: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
-from ..functions.names import equivalent_names, judged_pairs
+from ..functions.names import judged_pairs
 from ..sources.shared import staged
 from . import ordered
 from .search import contains_join
@@ -141,10 +141,13 @@ def add_thermal_pads(pins: DataFrame, thermal: DataFrame) -> DataFrame:
 
 
 def auto_select_package(candidates: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Package whose code equals the number's suffix, else the only candidate."""
+    """Package whose code equals the number's suffix, else the only candidate.
+
+    Documents without a suffix row still get their only candidate.
+    """
     hit = (F.col("code") != "") & (F.upper("code") == F.upper("suffix"))
     return (
-        candidates.join(suffixes, "doc_id")
+        candidates.join(suffixes, "doc_id", "left")
         .groupBy("doc_id")
         .agg(F.count(F.lit(1)).alias("candidates"),
              F.min_by("name", F.when(hit, F.col("cand_pos"))).alias("_by_code"),
@@ -212,35 +215,43 @@ def infer_models(footprints: DataFrame, files: DataFrame) -> DataFrame:
 
 # --- comparison with known pins -----------------------------------------------------
 
-def _by_number(pins: DataFrame, pos: str) -> DataFrame:
-    """One row per (document, number): the last name wins, the first place counts."""
-    return pins.groupBy("doc_id", "number").agg(
-        F.max_by("name", pos).alias("name"), F.min(pos).alias("pos"),
-        F.count(F.lit(1)).alias("listed"))
+def _side(pins: DataFrame, pos: str, side: str) -> DataFrame:
+    """One row per number a pin goes by; alternates follow it and are not listed pins."""
+    alternates = F.col("alt_numbers") if "alt_numbers" in pins.columns else F.array().cast("array<string>")
+    numbers = F.concat(F.array("number"), F.coalesce(alternates, F.array().cast("array<string>")))
+    return pins.select("doc_id", "name", F.col(pos).alias("_p"), F.posexplode(numbers).alias("_i", "number")).select(
+        "doc_id", "number", "name", F.struct("_p", "_i").alias("pos"), F.lit(side).alias("_side"),
+        F.when(F.col("_i") == 0, 1).otherwise(0).alias("_listed"))
 
 
 def diff_rows(extracted: DataFrame, expected: DataFrame) -> DataFrame:
     """Pin-by-pin outcome: ok, renamed, missing, extra or thermal.
 
-    ``extracted(doc_id, number, name, row_pos)``, ``expected(…, pin_pos)``. The
-    joined rows are written once, because counting, name comparison and thermal
-    pads each read them. Names are compared once per distinct pair.
+    ``extracted(doc_id, number, name, row_pos[, alt_numbers])``, ``expected(…, pin_pos)``.
+    Every alternate number of an extracted pin is found under its name, while the
+    counts of listed pins leave alternates out. For each number the last name wins
+    and the first place counts; a null name is a name, not a missing pin. Both
+    sides meet in one aggregate, and names are compared once per distinct pair.
     """
-    a = _by_number(extracted, "row_pos").select(
-        "doc_id", "number", F.col("name").alias("a_name"), F.col("pos").alias("a_pos"),
-        F.col("listed").alias("a_listed"))
-    b = _by_number(expected, "pin_pos").select(
-        "doc_id", "number", F.col("name").alias("b_name"), F.col("pos").alias("b_pos"),
-        F.col("listed").alias("b_listed"))
+    both = _side(extracted, "row_pos", "a").unionByName(_side(expected, "pin_pos", "b"))
+
+    def of(side, value):
+        return F.when(F.col("_side") == side, value)
+
+    met = both.groupBy("doc_id", "number").agg(*[
+        agg for s in ("a", "b") for agg in (
+            F.max_by(F.struct("name"), of(s, F.col("pos")))["name"].alias(f"{s}_name"),
+            F.min(of(s, F.col("pos"))).alias(f"{s}_pos"),
+            F.sum(of(s, F.col("_listed"))).alias(f"{s}_listed"))])
     label = F.upper("number").isin(L.THERMAL_LABELS) | F.upper(R.strip(F.col("a_name"))).isin(
         L.THERMAL_LABELS)
     side = (
-        F.when(F.col("a_name").isNull(), "missing")
-        .when(F.col("b_name").isNull(), F.when(label, "thermal").otherwise("extra"))
-        .when(F.upper(R.strip(F.col("a_name"))) == F.upper(R.strip(F.col("b_name"))), "ok")
+        F.when(F.col("a_listed").isNull(), "missing")
+        .when(F.col("b_listed").isNull(), F.when(label, "thermal").otherwise("extra"))
+        .when(F.upper(R.strip(F.col("a_name"))).eqNullSafe(F.upper(R.strip(F.col("b_name")))), "ok")
         .otherwise("differs")
     )
-    rows = staged(a.join(b, ["doc_id", "number"], "full").withColumn("side", side), "diff")
+    rows = staged(met.withColumn("side", side), "diff")
     judged = judged_pairs(rows.filter("side = 'differs'"), "a_name", "b_name")
     return rows.join(judged, ["a_name", "b_name"], "left").withColumn(
         "status", F.when(F.col("side") != "differs", F.col("side"))
@@ -251,14 +262,15 @@ def reconcile_thermal(rows: DataFrame) -> DataFrame:
     """(doc_id, number) of missing pins taken over by thermal pads.
 
     A thermal pad under a label ("EP") takes the first free missing pin of
-    equivalent name; pads choose in order. The r-th pad of a document needs only
-    its first r candidates, because at most r-1 are taken before its turn, so
-    candidate lists stay short and exact. Which names agree is settled once per
-    distinct name.
+    equivalent name; pads choose in order. Only documents with both a pad and a gap
+    count. The r-th pad of a document needs only its first r candidates, because at
+    most r-1 are taken before its turn, so candidate lists stay short and exact.
+    Which names agree is settled once per distinct pair of names that meet in a document.
     """
     pads = rows.filter("side = 'thermal'").select("doc_id", F.col("number").alias("pad"), "a_pos", "a_name")
     gaps = rows.filter("side = 'missing'").select("doc_id", "number", "b_pos", "b_name")
-    agree = equivalent_names(pads, "a_name", gaps, "b_name")
+    meeting = pads.select("doc_id", "a_name").distinct().join(gaps.select("doc_id", "b_name").distinct(), "doc_id")
+    agree = judged_pairs(meeting, "a_name", "b_name").filter("same").drop("same")
     count = pads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pads"))
     pairs = pads.join(agree, "a_name").join(gaps, ["doc_id", "b_name"]).join(count, "doc_id")
     single = pairs.filter("_pads = 1").groupBy("doc_id").agg(F.min_by("number", "b_pos").alias("number"))
@@ -285,7 +297,7 @@ def pin_diff(extracted: DataFrame, expected: DataFrame, strict: bool = False) ->
     counts = rows.groupBy("doc_id").agg(
         F.coalesce(F.sum("a_listed"), F.lit(0)).alias("extracted_count"),
         F.coalesce(F.sum("b_listed"), F.lit(0)).alias("expected_count"),
-        F.count("b_name").alias("_expected"),
+        F.count("b_listed").alias("_expected"),
         F.count_if(F.col("status") == "missing").alias("_missing"),
         F.count_if(F.col("status") == "extra").alias("extra"),
         F.count_if(F.col("status") == "renamed").alias("renamed"),

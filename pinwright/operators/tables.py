@@ -260,7 +260,8 @@ def score_groups(pins: DataFrame, groups: DataFrame, wanted: DataFrame) -> DataF
 
     fits = (target != "") & (label != "") & (family(target) != "") & (family(label) != "") & (
         F.contains(label, family(target)) | F.contains(target, family(label)))
-    spans = groups.join(wanted, "doc_id").groupBy("doc_id", "group_no").agg(
+    # A document that nothing is known of is scored all the same.
+    spans = groups.join(wanted, "doc_id", "left").groupBy("doc_id", "group_no").agg(
         F.sum(F.col("n_rows") - F.col("data_start")).alias("data_rows"),
         F.max(F.coalesce(fits, F.lit(False))).alias("package_hit"),
         F.min_by("label", F.struct("table_seq", "layout")).alias("_label"),

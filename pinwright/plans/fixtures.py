@@ -244,6 +244,17 @@ def pages_of_conversations(spark, sf):
         """CASE WHEN turn % 3 = 2 THEN 'Pin name list ' ELSE '' END || text AS text""")
 
 
+def long_pages(spark, sf):
+    """Ten conversations make a document; a page is one turn number of all of them."""
+    pages = pages_of_conversations(spark, sf)
+    return pages.groupBy(F.expr("doc_id div 10").alias("doc_id"), "page_num").agg(F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda p: p["text"]), "\n").alias("text"))
+
+
+#: Every third pin goes by the number three places on as well.
+ALTERNATES = """CASE WHEN row_pos % 3 = 1 THEN array(CAST(row_pos + 3 AS STRING)) ELSE array() END"""
+
+
 # Heading cells of the table forms: (form, row_idx, col_idx, text).
 GRID_HEADS = [
     (0, 0, 0, "Name"), (0, 0, 1, "Pin No."), (0, 0, 2, "I/O"), (0, 0, 3, "Description"),
@@ -312,7 +323,8 @@ WANTED_COLUMNS = [
 
 
 def wanted(spark, sf):
-    return table(spark, sf, "orders").selectExpr(*WANTED_COLUMNS)
+    # Nothing is known of every eleventh document.
+    return table(spark, sf, "orders").filter("o_orderkey % 11 <> 0").selectExpr(*WANTED_COLUMNS)
 
 
 PACKAGE_TEXT = """CASE l_partkey % 4 WHEN 0 THEN 'D (SOIC, 8)' WHEN 1 THEN 'DGS (VSSOP, 20)'

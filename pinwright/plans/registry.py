@@ -185,7 +185,7 @@ def component_class(s, d):
 
 @query
 def context_packing(s, d):
-    return X.pack_context(fx.pages_of_conversations(s, d), budget=1500, least=100)
+    return X.pack_context(fx.long_pages(s, d))
 
 
 @query
@@ -447,8 +447,10 @@ def symbol_match(s, d):
 
 @query
 def footprint_match(s, d):
-    chosen = fx.packages(s, d).filter("cand_pos = 1").select("doc_id", "name", "code", "pin_count")
-    return search.match_footprints(chosen, fx.footprints(s, d))
+    chosen = package_auto_select(s, d).filter("selected is not null").select("doc_id", F.col("selected").alias("name"))
+    cands = ordered.first_per_key(fx.packages(s, d), ["doc_id", "name"], ["cand_pos"])
+    return search.match_footprints(
+        chosen.join(cands, ["doc_id", "name"]).select("doc_id", "name", "code", "pin_count"), fx.footprints(s, d))
 
 
 @query
@@ -532,7 +534,7 @@ def first_per_number(s, d):
 
 @query
 def package_auto_select(s, d):
-    suffixes = R.split_suffix(fx.parts(s, d), "part_number").select(F.col("part_id").alias("doc_id"), F.col("code").alias("suffix"))
+    suffixes = R.split_suffix(fx.parts(s, d).filter("part_id % 10 <> 0"), "part_number").select(F.col("part_id").alias("doc_id"), F.col("code").alias("suffix"))
     return P.auto_select_package(fx.packages(s, d), suffixes)
 
 
@@ -563,19 +565,23 @@ def model_inference(s, d):
     return P.infer_models(fx.footprints(s, d).select("lib", "name").distinct(), files)
 
 
+def _pins_with_alternates(s, d):
+    return fx.pins(s, d).withColumn("alt_numbers", F.expr(fx.ALTERNATES))
+
+
 @query
 def pin_diff(s, d):
-    return P.pin_diff(fx.pins(s, d), _truth_pins(s, d))
+    return P.pin_diff(_pins_with_alternates(s, d), _truth_pins(s, d))
 
 
 @query
 def pin_diff_strict(s, d):
-    return P.pin_diff(fx.pins(s, d), _truth_pins(s, d), strict=True)
+    return P.pin_diff(_pins_with_alternates(s, d), _truth_pins(s, d), strict=True)
 
 
 @query
 def pin_diff_details(s, d):
-    rows = P.diff_rows(fx.pins(s, d), _truth_pins(s, d))
+    rows = P.diff_rows(_pins_with_alternates(s, d), _truth_pins(s, d))
     taken = P.reconcile_thermal(rows).withColumn("taken", F.lit(True))
     return rows.join(taken, ["doc_id", "number"], "left").select(
         "doc_id", "number", F.when(F.col("taken"), "reconciled").otherwise(F.col("status")).alias("status"))
@@ -749,8 +755,9 @@ def pad_pin_map(s, d):
 @query
 def stacked_pins(s, d):
     names = fx.pins(s, d).select("doc_id", F.col("row_pos").alias("pin_pos"), "number", "name")
-    at = fx.pads(s, d).select(F.col("footprint_id").alias("doc_id"), F.col("pad_number").alias("pin_pos"), "x", "y")
-    return _rounded(G.stack_same_names(names.join(at, ["doc_id", "pin_pos"]), "doc_id"))
+    at = fx.pads(s, d).select(F.col("footprint_id").alias("doc_id"), F.col("pad_number").alias("pin_pos"), "x", "y",
+                              F.expr("pad_number % 4 * 90").alias("angle"))
+    return _rounded(G.stack_same_names(names.join(at, ["doc_id", "pin_pos"], "left"), "doc_id"))
 
 
 def _layout_pins(s, d):
@@ -768,7 +775,8 @@ def grid_layout(s, d):
 
 @query
 def preview_layout(s, d):
-    return _rounded(G.layout_preview(_layout_pins(s, d)))
+    every = P.merged_heads(_typed_pins(s, d)).withColumnRenamed("row_pos", "pin_pos")
+    return _rounded(G.layout_preview(every))
 
 
 # --- reports ------------------------------------------------------------------------------------
@@ -776,7 +784,7 @@ def preview_layout(s, d):
 @query
 def run_summary(s, d):
     tiers = fx.table(s, d, "orders").selectExpr("o_orderkey AS doc_id", "CAST(o_orderkey % 4 AS INT) AS tier")
-    return report.run_summary(datasheets.accuracy_run(fx.pins(s, d), _truth_pins(s, d), tiers))
+    return report.run_summary(datasheets.accuracy_run(_pins_with_alternates(s, d), _truth_pins(s, d), tiers))
 
 
 @query

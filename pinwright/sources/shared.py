@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: list[str] = []
+FOLDER = "spark.checkpoint.dir"
+#: Spark removes a query's shuffle files when it ends, not whenever the driver next
+#: collects garbage; a written table never needs them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_given: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder set in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session with a local master uses its warehouse, which all of
+    its threads see. On a cluster that is an error: executors could not see each other's files.
+    """
+    base = spark.conf.get(FOLDER, None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError(f"set {FOLDER} to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staged"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; local scratch only if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _fallback:
-            _fallback.append(tempfile.mkdtemp(prefix="pinwright-"))
-        base = _fallback[0]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    _given.append(f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _given[-1]
+
+
+@contextmanager
+def shuffle_cleanup(spark: SparkSession):
+    """Queries that run inside drop their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, None)
+    if before is None:  # an older Spark
+        yield
+        return
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -27,5 +56,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     files outlive any executor.
     """
     folder = shared_folder(df.sparkSession, label)
-    df.write.parquet(folder)
+    with shuffle_cleanup(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this process has staged; no frame that reads it is usable after."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _given:
+        path = jvm.org.apache.hadoop.fs.Path(_given.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ordered
+
 
 def upserted(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Library after replacing symbols of the same name and appending the rest."""
+    """Library after replacing symbols of the same name and appending the rest.
+
+    Of several new symbols of one name the last one, by ``ord``, stays.
+    """
     kept = current.join(new.select("lib", "name").distinct(), ["lib", "name"], "left_anti")
-    return kept.unionByName(new.select(kept.columns))
+    return kept.unionByName(ordered.last_per_key(new, ["lib", "name"], ["ord"]).select(kept.columns))
 
 
 def upsert_library(spark: SparkSession, folder: str, new: DataFrame) -> None:

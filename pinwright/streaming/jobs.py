@@ -31,14 +31,21 @@ def fold_jobs(events: DataFrame) -> DataFrame:
 
 
 class _Expiry(StatefulProcessor):
-    """Keeps a job's creation time and one timer; its age decides, not activity."""
+    """Keeps a job's creation time and one timer; its age decides, not activity.
+
+    A job expires once: what was created stays as an expired mark, one number per job
+    ever seen, and later events of the job change nothing.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.created = handle.getValueState("created", "created_ms bigint")
+        self.created = handle.getValueState("created", "created_ms bigint, expired boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.created.get()[0] if self.created.exists() else None
+        known, expired = self.created.get() if self.created.exists() else (None, False)
+        if expired:
+            yield pd.DataFrame()
+            return
         first = known
         for frame in rows:
             low = int(frame["ts"].min().value // 1_000_000)
@@ -46,13 +53,13 @@ class _Expiry(StatefulProcessor):
         if first is not None and first != known:
             if known is not None:
                 self.handle.deleteTimer(known + L.JOB_SECONDS * 1000)
-            self.created.update((first,))
+            self.created.update((first, False))
             self.handle.registerTimer(first + L.JOB_SECONDS * 1000)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         created = self.created.get()[0]
-        self.created.clear()
+        self.created.update((created, True))
         yield pd.DataFrame({
             "job_id": [key[0]], "created_ms": [created],
             "expired_ms": [created + L.JOB_SECONDS * 1000]})

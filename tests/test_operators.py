@@ -145,3 +145,119 @@ def test_empty_box(spark):
     none = spark.createDataFrame([], "k int, x double, y double")
     row = G.bounding_boxes(none, ["k"], spark.createDataFrame([(1,)], "k int")).first()
     assert (row.box_x, row.box_y, row.box_w, row.box_h) == (0.0, 0.0, 10.0, 10.0)
+
+
+# --- streams over several batches -------------------------------------------------
+
+def _in_files(spark, rows, folder, parts):
+    """The event table as ``parts`` files in order of time, read one per batch."""
+    ordered_rows = rows.sort("ts", "event_id").collect()
+    size = -(-len(ordered_rows) // parts)
+    for i in range(parts):
+        spark.createDataFrame(ordered_rows[i * size:(i + 1) * size], rows.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _streams(spark):
+    from pinwright.functions import rules as R
+    from pinwright.streaming import jobs, runner, usage
+
+    def mail(df):
+        return df.withColumn("email", R.normal_email(F.col("email")))
+
+    def devices(df):
+        return mail(df).withColumn("kind", F.when(F.col("event_type") == "signup", "clear").otherwise("ask"))
+
+    def customers(df):
+        return df.withColumn("customer_key", R.email_key(F.col("email")))
+
+    return {
+        "job_fold": (fx.JOB_COLUMNS, lambda e: runner.run_updates(jobs.fold_jobs(e), ["job_id"])),
+        "job_expiry": (fx.JOB_COLUMNS, lambda e: runner.run_rows(jobs.expired_jobs(e))),
+        "token_use": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(
+            e.filter("mode = 'consume'"), usage.single_use_tokens(), usage.FIRST_STATE)),
+        "quota": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(mail(e), usage.quota_step, usage.QUOTA_STATE)),
+        "device_binding": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(devices(e), usage.device_step, usage.DEVICE_STATE)),
+        "customer_creation": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(
+            customers(e), usage.customer_creation(), usage.FIRST_STATE)),
+        "customer_keys": (fx.USAGE_COLUMNS, lambda e: runner.run_rows(usage.unique_creations(e))),
+    }
+
+
+@pytest.mark.parametrize("name", ["job_fold", "job_expiry", "token_use", "quota", "device_binding",
+                                  "customer_creation", "customer_keys"])
+def test_streams_give_the_same_rows_in_several_batches(spark, tmp_path, name):
+    from pinwright.streaming import runner
+
+    runner.prepare(spark)
+    columns, drain = _streams(spark)[name]
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    if name == "customer_keys":  # within one day, so that no watermark passes between batches
+        events = events.sort("ts", "event_id").limit(200).withColumn("ts", F.lit("2024-01-01 10:00:00").cast(events.schema["ts"].dataType))
+    results = []
+    for parts in (1, 4):
+        stream = _in_files(spark, events, str(tmp_path / str(parts)), parts)
+        results.append(sorted(map(repr, drain(stream.selectExpr(*columns)).collect())))
+    assert results[0] and results[0] == results[1]
+    if name == "job_expiry":
+        jobs_seen = [r.split(",")[0] for r in results[1]]
+        assert len(jobs_seen) == len(set(jobs_seen))
+
+
+def test_a_null_pin_name_is_a_name(spark):
+    got = spark.createDataFrame([(1, "1", None, 1, ["4", "5"]), (1, "2", "GND", 2, None), (1, "9", "X", 3, [])],
+                                "doc_id long, number string, name string, row_pos int, alt_numbers array<string>")
+    want = spark.createDataFrame([(1, "1", "VCC", 1), (1, "2", None, 2), (1, "4", "VCC", 3), (1, "7", "A", 4)],
+                                 "doc_id long, number string, name string, pin_pos int")
+    rows = {r.number: r.status for r in pins.diff_rows(got, want).collect()}
+    assert rows == {"1": "renamed", "2": "renamed", "4": "renamed", "5": "extra", "7": "missing", "9": "extra"}
+    (row,) = pins.pin_diff(got, want).collect()
+    assert (row.extracted_count, row.expected_count, row.missing, row.extra, row.renamed) == (3, 4, 1, 2, 3)
+
+
+def test_alternates_reach_the_lookup(spark):
+    got = spark.createDataFrame([(1, "2", "OUT", 1, ["3", "4"]), (1, "1", "VCC", 2, [])],
+                                "doc_id long, number string, name string, row_pos int, alt_numbers array<string>")
+    want = spark.createDataFrame([(1, str(i), n, i) for i, n in enumerate(["VCC", "OUT", "OUT", "OUT"], 1)],
+                                 "doc_id long, number string, name string, pin_pos int")
+    (row,) = pins.pin_diff(got, want, strict=True).collect()
+    assert (row.extracted_count, row.missing, row.extra, row.renamed, row.status) == (2, 0, 0, 0, "PASS")
+
+
+def test_same_names_stack_with_their_angle(spark):
+    table = spark.createDataFrame(
+        [(1, 1, "1", "out", 1.0, 2.0, 90), (1, 2, "2", "OUT", 5.0, 6.0, 0), (1, 3, "3", "OUT", None, None, None),
+         (1, 4, "4", "IN", None, None, None), (1, 5, "5", "in", 7.0, 8.0, 180)],
+        "doc_id long, pin_pos int, number string, name string, x double, y double, angle int")
+    got = {r.number: (r.x, r.y, r.angle) for r in G.stack_same_names(table, "doc_id").collect()}
+    assert got == {"1": (1.0, 2.0, 90), "2": (1.0, 2.0, 90), "3": (None,) * 3, "4": (None,) * 3, "5": (7.0, 8.0, 180)}
+
+
+def test_the_last_new_symbol_of_a_name_stays(spark):
+    from pinwright.sources import sinks
+
+    old = spark.createDataFrame([("L", "A", 1, 3), ("L", "B", 2, 4)], "lib string, name string, ord long, pin_count int")
+    new = spark.createDataFrame([("L", "B", 5, 8), ("L", "B", 7, 9), ("L", "C", 6, 1)], old.schema)
+    assert sorted(map(tuple, sinks.upserted(old, new).collect())) == [("L", "A", 1, 3), ("L", "B", 7, 9), ("L", "C", 6, 1)]
+
+
+def test_a_document_that_nothing_is_known_of_keeps_its_table(spark):
+    cands = spark.createDataFrame([(1, 1, "SOIC-8", "D"), (2, 1, "DIP", ""), (2, 2, "SON", "")],
+                                  "doc_id long, cand_pos int, name string, code string")
+    none = spark.createDataFrame([], "doc_id long, suffix string")
+    got = {r.doc_id: r.selected for r in pins.auto_select_package(cands, none).collect()}
+    assert got == {1: "SOIC-8", 2: None}
+
+
+def test_no_shared_folder_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from pinwright.sources.shared import shared_root
+
+    conf = {"spark.sql.warehouse.dir": "file:/w"}
+    session = lambda master: N(conf=N(get=lambda k, d=None: conf.get(k, d)), sparkContext=N(master=master))
+    with pytest.raises(ValueError):
+        shared_root(session("spark://host:7077"))
+    assert shared_root(session("local[4]")) == "file:/w/staged"
+    conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert shared_root(session("spark://host:7077")) == "hdfs://x/y"
