@@ -57,7 +57,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     folder = shared_folder(df.sparkSession, label)
     with shuffle_cleanup(df.sparkSession):
-        df.write.parquet(folder)
+        df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
