@@ -40,30 +40,37 @@ def contains_join(queries: DataFrame, query: str, texts: DataFrame, text: str,
     """Pairs (by, query, text) where the text contains the query.
 
     Joined on the query's rarest gram among the texts, so popular fragments do
-    not blow up the candidate set. An empty query is inside every text.
+    not blow up the candidate set. Only a number per text travels with its grams; the
+    text is fetched for the candidates at the end, and every candidate is checked. Queries of
+    one or two characters go by grams of their own size, so that other texts'
+    short grams are never listed for the long ones; the empty query is inside every text.
     """
     by = list(by)
     qs = queries.select(*by, F.col(query).alias("_q")).filter("_q is not null").distinct()
-    ts = texts.select(*by, F.col(text).alias("_t")).filter("_t is not null").distinct()
-    q_grams = qs.withColumn("_gram", F.explode(
-        F.when(F.length("_q") >= 3, _grams(F.col("_q"), 3)).otherwise(F.array("_q"))
-    ))
-    wanted = q_grams.select(*by, "_gram").distinct()
-    t_grams = ts.withColumn("_gram", F.explode(F.concat(
-        _grams(F.col("_t"), 3), _grams(F.col("_t"), 2), _grams(F.col("_t"), 1),
-        F.array(F.lit("")),
-    ))).join(wanted, [*by, "_gram"], "left_semi")
+    ts = texts.select(*by, F.col(text).alias("_t")).filter("_t is not null").distinct().withColumn(
+        "_id", F.xxhash64("_t"))
+    long_q, short_q = qs.filter(F.length("_q") >= 3), qs.filter(F.length("_q").isin(1, 2))
+
+    def listed(sizes, wanted):
+        grams = F.concat(*[_grams(F.col("_t"), n) for n in sizes])
+        return ts.select(*by, "_id", F.explode(grams).alias("_gram")).join(
+            wanted.select(*by, "_gram").distinct(), [*by, "_gram"], "left_semi")
+
+    q_grams = long_q.withColumn("_gram", F.explode(_grams(F.col("_q"), 3)))
+    t_grams = listed((3,), q_grams)
     seen = t_grams.groupBy(*by, "_gram").agg(F.count(F.lit(1)).alias("_seen"))
     key = (
-        q_grams.join(seen, [*by, "_gram"], "left")
+        q_grams.join(seen, [*by, "_gram"])
         .groupBy(*by, "_q")
-        .agg(F.min_by("_gram", F.struct(F.coalesce("_seen", F.lit(0)), F.col("_gram"))).alias("_gram"))
-    )
-    return (
-        key.join(t_grams, [*by, "_gram"])
-        .filter(F.contains("_t", F.col("_q")))
-        .select(*by, F.col("_q").alias(query), F.col("_t").alias(text))
+        .agg(F.min_by("_gram", F.struct("_seen", "_gram")).alias("_gram"))
     )
+    found = key.join(t_grams, [*by, "_gram"]).select(*by, "_q", "_id")
+    shorts = short_q.withColumn("_gram", F.col("_q"))
+    found = found.unionByName(shorts.join(listed((2, 1), shorts), [*by, "_gram"]).select(*by, "_q", "_id"))
+    pairs = found.join(ts, [*by, "_id"]).filter(F.contains("_t", F.col("_q"))).select(*by, "_q", "_t")
+    empty = qs.filter("_q = ''").withColumn("_gram", F.lit(""))
+    every = ts.withColumn("_gram", F.lit("")).join(empty, [*by, "_gram"]).select(*by, "_q", "_t")
+    return pairs.unionByName(every).select(*by, F.col("_q").alias(query), F.col("_t").alias(text))
 
 
 def wildcard_pairs(queries: DataFrame, query: str, names: DataFrame, name: str) -> DataFrame:

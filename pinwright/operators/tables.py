@@ -75,12 +75,15 @@ def detect_headers(cells: DataFrame) -> DataFrame:
     rows 1+2 merged. A heading needs a pin and a name column; one column may
     serve as both. ``heads`` lists the heading cells with their possible roles.
     """
-    # Per column: the three possible heading cells, and how far the table goes.
+    # Only the first three rows can be headings, a filter that reaches the scan; how far
+    # a table goes is a plain numeric aggregate over all cells.
     at = [F.col("row_idx") == i for i in range(3)]
-    columns = cells.groupBy(*TABLE, "col_idx").agg(
-        F.max("row_idx").alias("_last"), F.min("page_num").alias("_page"),
+    columns = cells.filter("row_idx < 3").groupBy(*TABLE, "col_idx").agg(
         *[F.max(F.when(at[i], F.col("text"))).alias(f"t{i}") for i in range(3)],
         *[F.max(at[i]).alias(f"h{i}") for i in range(3)])
+    reach = cells.groupBy(*TABLE).agg(
+        (F.max("row_idx") + 1).alias("n_rows"), F.min("page_num").alias("page_num"))
+    columns = columns.join(reach, TABLE)
     t = [R.strip(F.coalesce(f"t{i}", F.lit(""))) for i in range(3)]
     table = Window.partitionBy(*TABLE)
 
@@ -90,7 +93,7 @@ def detect_headers(cells: DataFrame) -> DataFrame:
     work = columns.select(
         *TABLE, "col_idx", *[F.col(f"h{i}") for i in range(3)], F.col("t0").alias("raw0"), F.col("t1").alias("raw1"),
         *[t[i].alias(f"t{i}") for i in range(3)],
-        (F.max("_last").over(table) + 1).alias("n_rows"), F.min("_page").over(table).alias("page_num"),
+        "n_rows", "page_num",
         F.min_by(F.upper(t[0]), F.when(t[0] != "", F.col("col_idx"))).over(table).alias("_title"),
         F.min(F.when((t[1] != "") & raw(t[1], L.HEADER_NAME), F.col("col_idx"))).over(table).alias("_name_at"))
     n, c0, c1, c2 = F.col("n_rows"), F.col("t0"), F.col("t1"), F.col("t2")

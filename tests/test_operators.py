@@ -261,3 +261,19 @@ def test_no_shared_folder_on_a_cluster():
     assert shared_root(session("local[4]")) == "file:/w/staged"
     conf["spark.checkpoint.dir"] = "hdfs://x/y/"
     assert shared_root(session("spark://host:7077")) == "hdfs://x/y"
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_contains_join_equals_the_plain_form(spark, by):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("ABC-é") for _ in range(n))
+    qs = [(i % 2, q) for i, q in enumerate(["", "A", "é", "AB", "ZZ", "ABC", *[word(rng.randint(1, 6)) for _ in range(40)], None])]
+    ts = [(i % 2, t) for i, t in enumerate(["", "A", "BA", None, *[word(rng.randint(0, 12)) for _ in range(60)]])]
+    got = search.contains_join(spark.createDataFrame(qs, "g int, q string"), "q",
+                               spark.createDataFrame(ts, "g int, t string"), "t", by)
+    want = {(*([g] if by else []), q, t) for g, q in qs for h, t in ts
+            if q is not None and t is not None and q in t and (not by or g == h)}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
