@@ -87,7 +87,7 @@ O["footprint_match"] = W("""SELECT p.doc_id, CASE WHEN n.lib IS NOT NULL THEN 1
        AND t.rank <= 5 AND pad_count = bq.pin_count GROUP BY doc_id"""})
 
 O["cached_document"] = W("""SELECT part_id, key, file_name FROM (SELECT k.part_id, k.key, f.file_name, row_number() OVER (PARTITION BY k.part_id ORDER BY k.pos, f.file_pos) AS rn
-   FROM keys k JOIN fx_files f ON contains(replace(replace(lower(f.file_name), '-', ''), '_', ''), k.key) WHERE length(k.key) >= 4) z WHERE rn = 1""", {
+   FROM keys k JOIN fx_files f ON f.size_bytes > 1000 AND contains(replace(replace(lower(f.file_name), '-', ''), '_', ''), k.key) WHERE length(k.key) >= 4) z WHERE rn = 1""", {
     "k0": f"""SELECT part_id, replace(lower({S.base('part_number')}), '-', '') AS k1, replace(lower(trim(part_number)), '-', '') AS k2 FROM fx_parts""",
     "keys": """SELECT part_id, k1 AS key, 0 AS pos FROM k0 UNION ALL SELECT part_id, k2, 1 FROM k0
        UNION ALL SELECT part_id, left(k1, CAST(n AS INT)), 100 - n FROM k0, range(1, 60) r(n) WHERE n < length(k1) AND n >= greatest(5, floor(length(k1) * 0.8))
@@ -199,7 +199,8 @@ O["exposed_pad_pins"] = W(f"""SELECT doc_id, number, name, pin_type, d AS descri
       WHEN doc_id % 4 = 1 AND row_pos = 1 THEN 'PowerPAD of part' ELSE description END AS d FROM typed"""})
 
 # --- sources and sinks --------------------------------------------------------------------------
-O["library_scan"] = W("SELECT lib, count(*) AS files, CAST(sum(length(content)) AS BIGINT) AS characters FROM fx_library GROUP BY lib")
+O["library_scan"] = W("""SELECT lib, CAST(length(content) AS INT) AS characters, md5(content) AS digest FROM (SELECT lib, content FROM whole
+   UNION ALL SELECT lib || '_torn', left(content, 100) FROM whole) z""", {"whole": "SELECT lib, string_agg(content, chr(10) ORDER BY ord) AS content FROM fx_library GROUP BY lib"})
 O["footprint_pad_count"] = W("SELECT file, CAST(p_size % 4 + p_partkey % 3 AS INT) AS pad_count FROM fx_mods")
 O["index_snapshot"] = W("SELECT lib, ord, name, pin_count FROM fx_symbols")
 O["document_admission"] = "SELECT page_id, CAST(strlen(html) AS BIGINT) AS length FROM pages WHERE strlen(html) BETWEEN 1000 AND 52428800 AND starts_with(html, '<!DOC')"
@@ -213,7 +214,7 @@ O["linked_truth"] = W("""SELECT id, pn, family, coalesce(CASE WHEN id % 2 = 0 TH
    "FROM orders JOIN (SELECT *, doc_id AS link FROM fx_pins UNION ALL SELECT *, doc_id + 1 FROM fx_pins) p ON p.link = o_orderkey WHERE"))
 O["library_upsert"] = W("""SELECT lib, name, ord, CASE WHEN ord % 6 = 0 THEN pin_count + 100 ELSE pin_count END AS pin_count FROM b
    UNION ALL SELECT lib, name || '_NEW', ord, pin_count FROM b WHERE ord % 10 = 0""", {"b": "SELECT lib, name, min(ord) AS ord, arg_min(pin_count, ord) AS pin_count FROM fx_symbols GROUP BY lib, name"})
-O["file_manifest"] = "SELECT CAST(length(s_name) + 1 AS BIGINT) AS size_bytes, count(*) AS files FROM supplier GROUP BY 1"
+O["file_manifest"] = "SELECT CAST(s_suppkey % 16 AS INT) AS bucket, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS size_bytes FROM supplier GROUP BY 1"
 _good = "ord % 50 <> 0"
 O["symbol_entries"] = W(f"""SELECT CAST(ord AS STRING) AS file, name, description || ' "q" (x)' AS description, keywords, '' AS footprint, '' AS fp_filters, '' AS extends, 2 AS own_pins FROM fx_symbols WHERE {_good}
    UNION ALL SELECT CAST(ord AS STRING), name || '_B', 'child of ' || name, '', '', '', name, 0 FROM fx_symbols WHERE {_good}""")

@@ -361,13 +361,14 @@ def lookup_keys(df: DataFrame, pn: str) -> DataFrame:
 def cached_document(parts: DataFrame, pn: str, files: DataFrame, keep) -> DataFrame:
     """First stored document whose name holds a key of the part number.
 
-    ``files(file_pos, file_name)`` in listing order; keys are tried best first
-    and the scan stops at the first key shorter than four characters.
+    ``files(file_pos, file_name, size_bytes)`` in listing order; keys are tried best first
+    and the scan stops at the first key shorter than four characters. Files of no more than
+    the least admissible size are passed over, and the next one is tried.
     """
     keyed = lookup_keys(parts, pn)
     stop = keyed.filter(F.length("key") < 4).groupBy(*keep).agg(F.min("key_pos").alias("_stop"))
     keyed = keyed.join(stop, list(keep), "left").filter("_stop is null or key_pos < _stop")
-    cores = files.withColumn("_core", F.regexp_replace(F.lower("file_name"), "[-_]", ""))
+    cores = files.filter(F.col("size_bytes") > L.MIN_DOCUMENT_BYTES).withColumn("_core", F.regexp_replace(F.lower("file_name"), "[-_]", ""))
     found = (
         contains_join(keyed, "key", cores, "_core")
         .join(cores.groupBy("_core").agg(F.min_by("file_name", "file_pos").alias("_name"),

@@ -389,6 +389,7 @@ FILE_COLUMNS = [
     "page_id AS file_pos",
     f"""substr(md5(url), 1, 12) || '_' || CASE page_id % 3 WHEN 0 THEN 'tps' WHEN 1 THEN 'mcp-' ELSE 'xyz_' END
         || CAST(page_id * 7 % 400 AS STRING) || '.pdf' AS file_name""",
+    "length(html) AS size_bytes",
 ]
 
 

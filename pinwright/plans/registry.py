@@ -248,11 +248,13 @@ def _nodes(s, d):
 @query
 def library_scan(s, d):
     folder = shared_folder(s, "library")
-    fx.library_files(s, d).select("lib", "content").write.partitionBy("lib").text(folder)
-    files = s.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return files.groupBy("lib").agg(
-        F.sum(F.regexp_count("value", F.lit(r"\(kicad_symbol_lib "))).alias("files"),
-        F.sum(F.length(F.replace("value", F.lit("\n"), F.lit("")))).alias("characters"))
+    parts = F.sort_array(F.collect_list(F.struct(F.col("file").cast("long"), "content")))
+    files = fx.library_files(s, d).groupBy("lib").agg(
+        F.array_join(F.transform(parts, lambda p: p["content"]), "\n").alias("content"))
+    torn = files.select(F.concat("lib", F.lit("_torn")).alias("lib"), F.substring("content", 1, 100).alias("content"))
+    sinks.write_files(files.unionByName(torn).select(F.concat("lib", F.lit(".kicad_sym")).alias("name"), "content"), folder)
+    return libraries.scan_symbol_files(s, folder).select(
+        "lib", F.length("content").alias("characters"), F.md5("content").alias("digest"))
 
 
 @query
@@ -362,10 +364,10 @@ def status_writeback(s, d):
 @query
 def file_manifest(s, d):
     folder = shared_folder(s, "manifest")
-    fx.table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("value")).write.partitionBy(
-        "s_suppkey").text(folder)
+    named = fx.table(s, d, "supplier").select(F.expr("s_suppkey % 16").alias("bucket"), F.col("s_name").alias("value"))
+    named.repartition(16, "bucket").write.partitionBy("bucket").text(folder)
     files = sinks.manifest(s, folder).filter("filename not like '%SUCCESS%' and filename not like '.%'")
-    return files.groupBy("size_bytes").agg(F.count(F.lit(1)).alias("files"))
+    return files.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("int").alias("bucket"), "size_bytes")
 
 
 @query

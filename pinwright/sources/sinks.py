@@ -43,8 +43,33 @@ def append_status(diff: DataFrame, folder: str, run_date) -> None:
     status_rows(diff, run_date).write.mode("append").partitionBy("run_date").parquet(folder)
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """Write each row (name, content) as one file of its own name to a shared folder.
+
+    Spark's own text sink names its files itself. A file is written under a passing name
+    and then moved, so a repeated task replaces whole files only.
+    """
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.fs  # noqa: F401
+
+    def run(batches):
+        disk, base = pa.fs.FileSystem.from_uri(folder)
+        disk.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                passing = f"{base}/.{uuid.uuid4().hex}"
+                with disk.open_output_stream(passing) as out:
+                    out.write((content or "").encode())
+                disk.move(passing, f"{base}/{name}")
+            yield batch.select([0])
+
+    files.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """Names and sizes of written files, without reading their content."""
+    """Paths, names and sizes of written files, without reading their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
+    return files.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"),
                         F.col("length").alias("size_bytes"))
