@@ -39,36 +39,35 @@ def unescaped(text: Column) -> Column:
     return F.array_join(F.transform(parts, plain), "\\")
 
 
-def _at(left: DataFrame, right: DataFrame, a: str, b: str) -> Column:
-    return left["tree"].eqNullSafe(right["tree"]) & (left[a] == right[b])
+def pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, node, anc, total) of 2^k answers up and the scores on the way, and the ends.
 
-
-def pointers(messages: DataFrame) -> list[DataFrame]:
-    """Tables (tree, node, anc, total): 2^k answers up, and the scores of those 2^k messages.
-
-    A parent that is not there makes a root; messages on a circle have no root, and
-    the rounds end when the reach passes the number of messages.
+    Only messages that have not reached their root go into the next round; the ends hold each
+    of the others with the score of its whole path. A parent that is not there makes a root;
+    messages on a circle have no root, and the rounds end when the reach passes the number
+    of messages.
     """
     known = messages.select("tree", "node").alias("p")
     first = messages.alias("m").join(
         known, F.col("m.tree").eqNullSafe(F.col("p.tree")) & (F.col("m.parent") == F.col("p.node")), "left")
     jump = staged(first.select(F.col("m.tree").alias("tree"), F.col("m.node").alias("node"),
                                F.col("p.node").alias("anc"), F.col("m.score").alias("total")), "reply-jump")
-    size, tables = jump.count(), []
+    size, tables, done = jump.count(), [], jump.where("anc IS NULL")
     while True:
-        tables.append(jump)
-        if jump.where("anc IS NOT NULL").isEmpty() or 1 << len(tables) > 2 * size:
-            return tables
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = staged(a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.anc") == F.col("b.node")), "left")
+        above = jump.where("anc IS NOT NULL")
+        if above.isEmpty() or 1 << len(tables) > 2 * size:
+            return tables, done.select("tree", "node", "total")
+        tables.append(above)
+        a, b = above.alias("a"), above.unionByName(done).alias("b")
+        jump = staged(a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.anc") == F.col("b.node")))
                       .select("a.tree", "a.node", F.col("b.anc").alias("anc"),
-                              (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total")), "reply-jump")
+                              (F.col("a.total") + F.col("b.total")).alias("total")), "reply-jump")
+        done = done.unionByName(jump.where("anc IS NULL"))
 
 
-def best_branches(messages: DataFrame, jumps: list[DataFrame], branches: int) -> DataFrame:
+def best_branches(messages: DataFrame, scored: DataFrame, branches: int) -> DataFrame:
     """(tree, leaf): the leaves whose paths score highest, ``branches`` per tree; ties by leaf."""
     parents = messages.select(F.col("tree").alias("t"), F.col("parent").alias("p")).where("p IS NOT NULL").distinct()
-    scored = jumps[-1].where("anc IS NULL")
     leaves = scored.join(parents, scored["tree"].eqNullSafe(parents["t"]) & (scored["node"] == parents["p"]), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     return (leaves.withColumn("place", F.row_number().over(order)).where(F.col("place") <= branches)
@@ -78,8 +77,8 @@ def best_branches(messages: DataFrame, jumps: list[DataFrame], branches: int) ->
 def branch_messages(leaves: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """(tree, leaf, node, height): all messages from each leaf (height 0) up to its root."""
     path = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("height"))
-    for k, jump in enumerate(jumps[:-1]):
-        p, j = path.alias("p"), jump.where("anc IS NOT NULL").alias("j")
+    for k, jump in enumerate(jumps):
+        p, j = path.alias("p"), jump.alias("j")
         above = (p.join(j, F.col("p.tree").eqNullSafe(F.col("j.tree")) & (F.col("p.node") == F.col("j.node")))
                  .select("p.tree", "p.leaf", F.col("j.anc").alias("node"), (F.col("p.height") + (1 << k)).alias("height")))
         path = staged(path.unionByName(above), "reply-path")
@@ -97,8 +96,8 @@ def format_branches(messages: DataFrame, branches: int = 1, loss_roles: tuple[st
     messages = staged(messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"),
                                       F.coalesce("text", F.lit("")).alias("text"),
                                       F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
-    jumps = pointers(messages)
-    path = branch_messages(best_branches(messages, jumps, branches), jumps)
+    jumps, scored = pointers(messages)
+    path = branch_messages(best_branches(messages, scored, branches), jumps)
     p, m = path.alias("p"), messages.alias("m")
     rows = p.join(m, F.col("p.tree").eqNullSafe(F.col("m.tree")) & (F.col("p.node") == F.col("m.node"))).select(
         "p.tree", "p.leaf", (-F.col("p.height")).alias("place"), escaped(F.col("m.role")).alias("role"),
