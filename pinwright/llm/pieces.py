@@ -17,6 +17,7 @@ one, and what a cut gives is kept in a bounded memo per worker.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -29,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pinwright.llm.frames import Memo, annotate, texts
 
 SPACE = "▁"
+NEVER = float("-inf")
 REPLACED = "�"
 
 
@@ -57,55 +59,62 @@ class PieceCodec:
                        for p in self.ids)
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, (len(p) - 1, 1 << len(p)))
         self.automaton.make_automaton()
         self.fits = Memo(self._fits, limit=300_000, longest=2)
         self.words = Memo(self._word, limit=1_000_000)
 
     def remerge(self, text: str) -> list[str]:
         """The merge rule itself: best score first, leftmost first among equals."""
-        symbols, scores = list(text), self.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                score = scores.get(symbols[i] + symbols[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return symbols
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+        symbols, score = list(text), self.scores.get
+        # Score of each symbol joined with the next one; index() finds the leftmost best.
+        joined = [score(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while joined:
+            best = max(joined)
+            if best == NEVER:
+                break
+            at = joined.index(best)
+            symbols[at] += symbols.pop(at + 1)
+            del joined[at]
+            if at < len(joined):
+                joined[at] = score(symbols[at] + symbols[at + 1], NEVER)
+            if at:
+                joined[at - 1] = score(symbols[at - 1] + symbols[at], NEVER)
+        return symbols
 
     def _fits(self, pair: tuple[str, str]) -> bool:
         return self.remerge(pair[0] + pair[1]) == [p for p in pair if p]
 
     def split(self, text: str) -> list[str]:
         """The pieces of one stretch of normalised text."""
-        size = len(text)
-        lengths: list[list[int]] = [[] for _ in range(size)]
-        for end, length in self.automaton.iter(text):
-            lengths[end - length + 1].append(length)
-        for found in lengths:
-            if not found or found[0] != 1:
-                found.insert(0, 1)  # a character that is no piece stands for itself
+        size, fits = len(text), self.fits
+        # Bit n of a position: a piece of n characters begins there. A single character
+        # that is no piece stands for itself.
+        found = [2] * size
+        for end, (before, bit) in self.automaton.iter(text):
+            found[end - before] |= bit
         out: list[str] = []
-        tried: list[int] = []
-        failed, pos, k, fits = 0, 0, len(lengths[0]) - 1 if size else -1, self.fits
+        untried: list[int] = []
+        failed, pos, left, last = 0, 0, found[0] if size else 0, ""
         while pos < size:
-            last = out[-1] if out else ""
-            while k >= 0:
-                end = pos + lengths[pos][k]
-                if not failed >> end & 1 and fits[last, text[pos:end]]:
-                    break
-                k -= 1
-            if k >= 0:
-                out.append(text[pos:end])
-                tried.append(k)
-                pos = end
-                k = len(lengths[pos]) - 1 if pos < size else -1
+            while left:
+                length = left.bit_length() - 1
+                left ^= 1 << length
+                end = pos + length
+                if not failed >> end & 1:
+                    piece = text[pos:end]
+                    if fits[last, piece]:
+                        break
             else:
                 failed |= 1 << pos
                 pos -= len(out.pop())
-                k = tried.pop() - 1
+                left = untried.pop()
+                last = out[-1] if out else ""
+                continue
+            out.append(piece)
+            untried.append(left)
+            last, pos = piece, end
+            left = found[pos] if pos < size else 0
         return out
 
     def _ids(self, text: str) -> list[int]:
@@ -122,7 +131,7 @@ class PieceCodec:
 
     def _word(self, word: str) -> bytes:
         # A word that begins with a line break had no space before it.
-        return np.array(self._ids(word if word[:1] == "\n" else SPACE + word), np.int32).tobytes()
+        return array("i", self._ids(word if word[:1] == "\n" else SPACE + word)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without begin and end ids."""
