@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ def shred(files: DataFrame) -> DataFrame:
     the parent the last node opened one level up. Files with unbalanced brackets
     or an opening bracket without a tag are left out.
 
-    The windows run per file. A file is one input row and its token array was
-    built inside one task, so such a group is never larger than a single row.
+    Depth and top-level borders are found along the file, which is one input row;
+    parents are looked for inside one top-level node at a time.
     """
     order = Window.partitionBy("file").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -81,7 +83,8 @@ def shred(files: DataFrame) -> DataFrame:
         F.struct(F.col("depth").alias("level"), F.lit(1).alias("role")),
         F.struct((F.col("depth") - 1).alias("level"), F.lit(0).alias("role")),
     )).otherwise(F.array(F.struct(F.col("depth").alias("level"), F.lit(0).alias("role"))))
-    at_level = Window.partitionBy("file", "level").orderBy("pos", "role").rowsBetween(
+    inside = F.when(F.col("level") >= 2, F.col("top")).otherwise(-1)
+    at_level = Window.partitionBy("file", inside, "level").orderBy("pos", "role").rowsBetween(
         Window.unboundedPreceding, -1)
     linked = (
         t.filter(~closes & (F.col("depth") > 0)).withColumn("_r", F.explode(roles))
@@ -250,24 +253,32 @@ def pad_geometry(nodes: DataFrame) -> DataFrame:
 # --- snapshot ----------------------------------------------------------------------------
 
 def write_snapshot(index: DataFrame, folder: str) -> None:
-    """Index as Parquet partitioned by library, with the build time beside it."""
-    index.write.mode("overwrite").partitionBy("lib").parquet(f"{folder}/index")
-    index.sparkSession.range(1).select(F.current_timestamp().alias("built_at")).write.mode(
-        "overwrite").parquet(f"{folder}/built")
+    """Store an index as a new version, Parquet partitioned by library.
+
+    The row that names the version and its build time is appended last, so a build that
+    dies half-way changes nothing for readers.
+    """
+    version = uuid.uuid4().hex
+    index.write.partitionBy("lib").parquet(f"{folder}/index/{version}")
+    index.sparkSession.range(1).select(
+        F.current_timestamp().alias("built_at"), F.lit(version).alias("version")).write.mode(
+        "append").parquet(f"{folder}/built")
 
 
 def load_snapshot(spark: SparkSession, folder: str, build, force: bool = False,
                   days: int = L.SNAPSHOT_DAYS) -> DataFrame:
-    """The stored index when younger than ``days``; else built and stored anew."""
-    from pyspark.errors import AnalysisException
-
-    fresh = False
-    if not force:
-        try:
-            fresh = not spark.read.parquet(f"{folder}/built").filter(
-                F.col("built_at") > F.current_timestamp() - F.make_dt_interval(F.lit(days))).isEmpty()
-        except AnalysisException:
-            fresh = False
-    if not fresh:
+    """The newest stored index when younger than ``days``; else built and stored anew.
+
+    Only a folder without any finished build counts as empty; other faults are raised.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/built/_SUCCESS")
+    stored = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    def newest():
+        young = F.col("built_at") > F.current_timestamp() - F.make_dt_interval(F.lit(days))
+        return spark.read.parquet(f"{folder}/built").select("built_at", "version", young.alias("young")).sort(
+            F.desc("built_at")).first()
+
+    if force or not stored or not newest()["young"]:
         write_snapshot(build(), folder)
-    return spark.read.parquet(f"{folder}/index")
+    return spark.read.parquet(f"{folder}/index/{newest()['version']}")
