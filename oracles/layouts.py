@@ -139,7 +139,7 @@ O["stacked_pins"] = W("""SELECT doc_id, pin_pos, number, name, round(CASE WHEN m
    WINDOW g AS (PARTITION BY doc_id, upper(name) ORDER BY row_pos)) a) b""")
 HEADS = {**TYPED, "hp": """SELECT doc_id, row_pos AS pin_pos, number, name, pin_type FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, upper(name) ORDER BY row_pos) AS rn FROM typed WHERE number <> 'EP') z WHERE rn = 1"""}
 _g = "CAST(2.54 AS DOUBLE)"
-O["grid_layout"] = W(f"""SELECT doc_id, pin_pos, number, name, side, round(CASE side WHEN 'left' THEN -box_w / 2 - {_g} WHEN 'right' THEN box_w / 2 + {_g} ELSE coalesce(-{_g} * (nb - 1) / 2 + (slot - 1) * {_g}, 0) END, 6) + 0 AS x,
+_grid = (f"""SELECT doc_id, pin_pos, number, name, side, round(CASE side WHEN 'left' THEN -box_w / 2 - {_g} WHEN 'right' THEN box_w / 2 + {_g} ELSE coalesce(-{_g} * (nb - 1) / 2 + (slot - 1) * {_g}, 0) END, 6) + 0 AS x,
    round(CASE WHEN side IN ('left', 'right') THEN box_h / 2 - {_g} - (slot - 1) * {_g} ELSE -box_h / 2 - {_g} END, 6) + 0 AS y, CASE side WHEN 'left' THEN 0 WHEN 'right' THEN 180 ELSE 90 END AS angle, round(box_w, 6) AS box_w, round(box_h, 6) AS box_h FROM (
    SELECT a.*, coalesce(nb, 0) AS nb, greatest(coalesce(lc, 0), coalesce(rc, 0), 1) * {_g} + {_g} + CASE WHEN nb > 0 THEN 5.08 ELSE 0 END AS box_h, greatest(CAST(15.24 AS DOUBLE), CASE WHEN nb > 0 THEN nb * {_g} + 5.08 ELSE 0 END) AS box_w
    FROM everyone a LEFT JOIN cnt2 c ON c.doc_id = a.doc_id) z""", {**HEADS,
@@ -151,6 +151,9 @@ O["grid_layout"] = W(f"""SELECT doc_id, pin_pos, number, name, side, round(CASE
        FROM sl JOIN cnt ON cnt.doc_id = sl.doc_id WHERE l = 0 AND r = 0
        UNION ALL SELECT h.doc_id, h.pin_pos, 'EP', 'GND', 'hidden', g.slot FROM (SELECT doc_id, min(row_pos) AS pin_pos FROM fx_pins WHERE number = 'EP' GROUP BY doc_id) h
        LEFT JOIN (SELECT doc_id, min(slot) AS slot FROM sl WHERE side = 'bottom' AND upper(name) = 'GND' GROUP BY doc_id) g ON g.doc_id = h.doc_id"""})
+O["grid_layout"] = W("""SELECT * FROM res UNION ALL SELECT r.doc_id, r.pin_pos, f.number, r.name, r.side, r.x, r.y, r.angle, r.box_w, r.box_h FROM res r
+   JOIN (SELECT doc_id, number, row_pos, min(row_pos) OVER (PARTITION BY doc_id, upper(name)) AS pin_pos FROM typed WHERE number <> 'EP') f
+   ON f.doc_id = r.doc_id AND f.pin_pos = r.pin_pos WHERE f.row_pos <> f.pin_pos AND r.side <> 'hidden'""", {**_grid[1], "res": _grid[0]})
 O["preview_layout"] = W(f"""SELECT doc_id, pin_pos, number, name, side, round(CASE side WHEN 'left' THEN -w / 2 WHEN 'right' THEN w / 2 ELSE -w / 2 + (slot - 0.5) * (w / m) END, 6) + 0 AS x,
    round(CASE side WHEN 'top' THEN h / 2 WHEN 'bottom' THEN -h / 2 ELSE h / 2 - (slot - 0.5) * (h / m) END, 6) + 0 AS y, CASE side WHEN 'left' THEN 180 WHEN 'right' THEN 0 WHEN 'top' THEN 90 ELSE 270 END AS angle,
    round(-w / 2 - 7.54, 6) AS box_x, round(-h / 2 - 7.54, 6) AS box_y, round(w + 15.08, 6) AS box_w, round(h + 15.08, 6) AS box_h FROM (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..sources.shared import staged
 from . import ordered
 
 GRID = 2.54
@@ -177,12 +178,14 @@ def _side_rank(pins: DataFrame) -> DataFrame:
                            ordered.block_of("pin_pos"))
 
 
-def layout_grid(pins: DataFrame) -> DataFrame:
+def layout_grid(pins: DataFrame, alternates: DataFrame | None = None) -> DataFrame:
     """Positions in a newly built symbol: grounds below, outputs right.
 
     ``pins(doc_id, pin_pos, number, name, pin_type, is_hidden)`` after merging;
     hidden pins sit under the first GND. Pins go 2.54 apart; the box grows with
     the longer side and with the bottom row. Returns x, y, angle and the box.
+    ``alternates(doc_id, pin_pos, number)`` are the numbers folded into a shown pin; each
+    gets a row of its own at that pin's place.
     """
     ground = (F.col("pin_type") == "power_in") & F.upper("name").isin(L.GROUND_NAMES)
     side = (
@@ -228,8 +231,13 @@ def layout_grid(pins: DataFrame) -> DataFrame:
     y = F.when(F.col("side").isin("left", "right"), F.col("box_h") / 2 - GRID - nth * GRID).otherwise(
         -F.col("box_h") / 2 - GRID)
     angle = F.when(F.col("side") == "left", 0).when(F.col("side") == "right", 180).otherwise(90)
-    return every.select("doc_id", "pin_pos", "number", "name", "side", x.alias("x"), y.alias("y"),
-                        angle.alias("angle"), "box_w", "box_h")
+    placed = every.select("doc_id", "pin_pos", "number", "name", "side", x.alias("x"), y.alias("y"),
+                          angle.alias("angle"), "box_w", "box_h")
+    if alternates is None:
+        return placed
+    at = staged(placed, "grid")
+    folded = at.filter("side <> 'hidden'").drop("number").join(alternates, ["doc_id", "pin_pos"])
+    return at.unionByName(folded.select(at.columns))
 
 
 def layout_preview(pins: DataFrame) -> DataFrame:

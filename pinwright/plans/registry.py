@@ -772,7 +772,9 @@ def grid_layout(s, d):
     shown = _layout_pins(s, d).withColumn("is_hidden", F.lit(False))
     hidden = fx.pins(s, d).filter("number = 'EP'").groupBy("doc_id").agg(F.min("row_pos").alias("pin_pos")).selectExpr(
         "doc_id", "pin_pos", "'EP' AS number", "'GND' AS name", "'power_in' AS pin_type", "0L AS alt_count", "true AS is_hidden")
-    return _rounded(G.layout_grid(shown.unionByName(hidden)))
+    folded = P.merge_pins(_typed_pins(s, d).filter("number <> 'EP'")).filter("not is_primary").select(
+        "doc_id", F.col("primary_pos").alias("pin_pos"), "number")
+    return _rounded(G.layout_grid(shown.unionByName(hidden), folded))
 
 
 @query
