@@ -215,6 +215,18 @@ O["linked_truth"] = W("""SELECT id, pn, family, coalesce(CASE WHEN id % 2 = 0 TH
 O["library_upsert"] = W("""SELECT lib, name, ord, CASE WHEN ord % 6 = 0 THEN pin_count + 100 ELSE pin_count END AS pin_count FROM b
    UNION ALL SELECT lib, name || '_NEW', ord, pin_count FROM b WHERE ord % 10 = 0""", {"b": "SELECT lib, name, min(ord) AS ord, arg_min(pin_count, ord) AS pin_count FROM fx_symbols GROUP BY lib, name"})
 O["file_manifest"] = "SELECT CAST(s_suppkey % 16 AS INT) AS bucket, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS size_bytes FROM supplier GROUP BY 1"
+O["nested_text_nodes"] = W("""SELECT file, node, max(par) AS parent, max(lvl) AS depth, coalesce(arg_min(v, pos), '') AS tag, coalesce(string_agg(v, '|' ORDER BY pos) FILTER (WHERE rn > 1), '') AS atoms
+   FROM (SELECT *, row_number() OVER (PARTITION BY file, node, v IS NULL ORDER BY pos) AS rn FROM placed) z GROUP BY file, node""", {
+    "tok": """SELECT file, unnest(l) AS tok, CAST(unnest(range(len(l))) AS INT) AS pos FROM (SELECT file, regexp_extract_all(content, '\\(|\\)|"(?:[^"\\\\]|\\\\.)*"|[^\\s()"]+') AS l FROM fx_library) z""",
+    "sums": "SELECT *, CAST(sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS INT) AS s, tok = '(' AND lag(tok) OVER (PARTITION BY file ORDER BY pos) = '(' AS untagged FROM tok",
+    "deep": "SELECT *, s - min(least(s, 0)) OVER (PARTITION BY file ORDER BY pos) AS depth FROM sums",
+    "fine": "SELECT file FROM deep GROUP BY file HAVING arg_max(depth, pos) = 0 AND NOT coalesce(bool_or(untagged), false)",
+    "roles": """SELECT file, pos, tok, depth, depth AS level, 1 AS role FROM deep WHERE tok = '(' UNION ALL SELECT file, pos, tok, depth, depth - 1, 0 FROM deep WHERE tok = '('
+       UNION ALL SELECT file, pos, tok, depth, depth, 0 FROM deep WHERE tok NOT IN ('(', ')') AND depth > 0""",
+    "linked": """SELECT *, last_value(CASE WHEN role = 1 THEN pos END IGNORE NULLS) OVER (PARTITION BY file, level ORDER BY pos, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent
+       FROM roles WHERE file IN (SELECT file FROM fine)""",
+    "placed": """SELECT file, pos, CASE WHEN tok = '(' THEN pos ELSE parent END AS node, CASE WHEN tok = '(' THEN parent END AS par, CASE WHEN tok = '(' THEN depth END AS lvl,
+       CASE WHEN tok = '(' THEN NULL WHEN length(tok) >= 2 AND starts_with(tok, '"') AND ends_with(tok, '"') THEN replace(substr(tok, 2, length(tok) - 2), '\\"', '"') ELSE tok END AS v FROM linked WHERE role = 0"""})
 _good = "ord % 50 <> 0"
 O["symbol_entries"] = W(f"""SELECT CAST(ord AS STRING) AS file, name, description || ' "q" (x)' AS description, keywords, '' AS footprint, '' AS fp_filters, '' AS extends, 2 AS own_pins FROM fx_symbols WHERE {_good}
    UNION ALL SELECT CAST(ord AS STRING), name || '_B', 'child of ' || name, '', '', '', name, 0 FROM fx_symbols WHERE {_good}""")
