@@ -9,13 +9,14 @@ or an array literal, never as row arrival order.
 from __future__ import annotations
 
 # --- Fixed values: package/reel suffixes of part numbers, in test order ------
-SUFFIXES = """
-DDCR DDC DDWR DDW DRCR DRC DGKR DGK RGER RGE RGTR RGT RGYR RGY PWPR PWP PWR PW
-DSGR DSG DCKR DCK DBVR DBV QDRR QDR RSAR RSA DGSR DGS RTER RTE YZFR YZF
-YFFR YFF RHAR RHA RHBR RHB DADR DAD DGNR DGN DLHR DLH DSCR DSC DWKR DWK
-DGQR DGQ DRBR DRB DRLR DRL DRVR DRV DDAR DDA IDGSR IDGS IDR ID MFXR MFX
-PDRLR PDRL DR D
-""".split()
+SUFFIXES = [
+    "DDCR", "DDC", "DDWR", "DDW", "DRCR", "DRC", "DGKR", "DGK", "RGER", "RGE", "RGTR", "RGT",
+    "RGYR", "RGY", "PWPR", "PWP", "PWR", "PW", "DSGR", "DSG", "DCKR", "DCK", "DBVR", "DBV", "QDRR",
+    "QDR", "RSAR", "RSA", "DGSR", "DGS", "RTER", "RTE", "YZFR", "YZF", "YFFR", "YFF", "RHAR",
+    "RHA", "RHBR", "RHB", "DADR", "DAD", "DGNR", "DGN", "DLHR", "DLH", "DSCR", "DSC", "DWKR",
+    "DWK", "DGQR", "DGQ", "DRBR", "DRB", "DRLR", "DRL", "DRVR", "DRV", "DDAR", "DDA", "IDGSR",
+    "IDGS", "IDR", "ID", "MFXR", "MFX", "PDRLR", "PDRL", "DR", "D",
+]
 
 # --- Fixed values: package name or code to library footprint -----------------
 PACKAGE_FOOTPRINTS = {
@@ -431,10 +432,11 @@ HEADER_ALT = [
 ]
 
 # --- Fixed values: words a section-heading row may consist of -----------------
-SECTION_WORDS = """
-power ground control output input analog digital supply communication interface
-test misc other signal clock system thermal status
-""".split()
+SECTION_WORDS = [
+    "power", "ground", "control", "output", "input", "analog", "digital", "supply",
+    "communication", "interface", "test", "misc", "other", "signal", "clock", "system", "thermal",
+    "status",
+]
 
 # --- Fixed values: pad wording in a number cell, a name and a description -----
 PAD_NUMBER_CELL = (
@@ -510,20 +512,20 @@ DOMAIN_MAKERS = [
 ]
 
 # --- Fixed values: address tiers ----------------------------------------------
-REJECTED_SITES = """
-handsontec.com instructables.com arduino.cc adafruit.com/product
-sparkfun.com/product youtube.com github.com hackaday.com
-""".split()
-MAKER_SITES = """
-ti.com analog.com microchip.com onsemi.com st.com nxp.com infineon.com
-renesas.com diodes.com rohm.com allegromicro.com invensense.com tdk.com
-bosch-sensortec.com espressif.com raspberrypi.com wch-ic.com wch.cn ftdichip.com
-maxlinear.com vishay.com mouser.com digikey.com arrow.com
-""".split()
-AGGREGATOR_SITES = """
-alldatasheet.com datasheet4u.com datasheets.com mouser.com digikey.com
-arrow.com lcsc.com
-""".split()
+REJECTED_SITES = [
+    "handsontec.com", "instructables.com", "arduino.cc", "adafruit.com/product",
+    "sparkfun.com/product", "youtube.com", "github.com", "hackaday.com",
+]
+MAKER_SITES = [
+    "ti.com", "analog.com", "microchip.com", "onsemi.com", "st.com", "nxp.com", "infineon.com",
+    "renesas.com", "diodes.com", "rohm.com", "allegromicro.com", "invensense.com", "tdk.com",
+    "bosch-sensortec.com", "espressif.com", "raspberrypi.com", "wch-ic.com", "wch.cn",
+    "ftdichip.com", "maxlinear.com", "vishay.com", "mouser.com", "digikey.com", "arrow.com",
+]
+AGGREGATOR_SITES = [
+    "alldatasheet.com", "datasheet4u.com", "datasheets.com", "mouser.com", "digikey.com",
+    "arrow.com", "lcsc.com",
+]
 
 # --- Fixed values: words that disqualify a description line -------------------
 DESCRIPTION_SKIP = [
@@ -625,3 +627,30 @@ TOKEN_SECONDS = 300
 JOB_SECONDS = 1_800
 SNAPSHOT_DAYS = 7
 LICENSED_STATUSES = ["active", "trialing", "past_due"]
+
+
+# Heading, end and line patterns of pin sections.
+SECTION_HEAD = r"(?imd)^Pin\s+No\.?\s+(?:Mnemonic|Name|Symbol)\s+(?:Description|Function)"
+SECTION_HEAD_SPLIT = (
+    r"(?imd)^Pin\s+No\.?\s*$\n^(?:[A-Z][\w-]*\s+)*(?:Mnemonic|Name|Symbol)\s+(?:Description|Function)"
+)
+SECTION_END = (
+    r"(?imd)^(?:TYPICAL|ABSOLUTE|ELECTRICAL|THERMAL|ORDERING|PACKAGE|APPLICATION|BLOCK\s+DIAGRAM"
+    r"|Figure\s+\d|Table\s+\d|Rev\.\s+[A-Z])"
+)
+PIN_NAME = r"([A-Z][A-Z0-9_/\-\+\.]*(?:\s*/\s*[A-Z][A-Z0-9_/\-\+\.]*)?)"
+LINE_DUAL = r"(?md)^(\d+)\s+(\d+)\s+" + PIN_NAME + r"\s+(.*?)$"
+LINE_SINGLE = r"(?md)^(\d+)\s*(?:\(EPAD\)\s*)?" + PIN_NAME + r"\s+(.*?)$"
+LINE_EPAD = r"(?imd)^(?:\d+\s+)?(?:\d+\s+)?(?:\(EPAD\)\s*)?(?:EPAD|Exposed\s+Pad)\s+(.*?)$"
+NAMED_PINS = (
+    r"([A-Z][A-Z0-9_/]*)\s*\((?:Pins?\s+[\d]+(?:\s*,\s*\d+)*(?:\s*,\s*Exposed\s+Pad\s+Pin\s+\d+)?\s*/)?"
+    r"Pins?\s+([\d]+(?:\s*,\s*\d+)*)(?:\s*,\s*Exposed\s+Pad\s+Pin\s+(\d+))?\)\s*:"
+)
+COMMON_WORDS = ["THE", "FOR", "AND", "WITH", "FROM", "THIS", "THAT", "NOTE", "TABLE", "FIGURE",
+                "SEE", "WHEN", "PIN"]
+GENERIC_NAMED = r"(?iU)Pin\s+(\d+)\s*[–\-:]\s*(\w+)"
+GENERIC_LINE = r"(?md)^(\d+)\s+([A-Z][A-Z0-9_/]+)\s+(.*)$"
+JUNK_NAMES = ["NATSISE", "CRUOS"]
+FET_PINS = [("1", "G", "input", "Gate"), ("2", "S", "passive", "Source"), ("3", "D", "passive", "Drain")]
+BJT_PINS = [("1", "C", "passive", "Collector"), ("2", "B", "input", "Base"),
+            ("3", "E", "passive", "Emitter")]

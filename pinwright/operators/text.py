@@ -260,34 +260,6 @@ def all_packages(docs: DataFrame, from_tables: DataFrame | None = None) -> DataF
 
 # --- pins in text -----------------------------------------------------------------------
 
-# Heading, end and line patterns of pin sections.
-SECTION_HEAD = r"(?imd)^Pin\s+No\.?\s+(?:Mnemonic|Name|Symbol)\s+(?:Description|Function)"
-SECTION_HEAD_SPLIT = (
-    r"(?imd)^Pin\s+No\.?\s*$\n^(?:[A-Z][\w-]*\s+)*(?:Mnemonic|Name|Symbol)\s+(?:Description|Function)"
-)
-SECTION_END = (
-    r"(?imd)^(?:TYPICAL|ABSOLUTE|ELECTRICAL|THERMAL|ORDERING|PACKAGE|APPLICATION|BLOCK\s+DIAGRAM"
-    r"|Figure\s+\d|Table\s+\d|Rev\.\s+[A-Z])"
-)
-PIN_NAME = r"([A-Z][A-Z0-9_/\-\+\.]*(?:\s*/\s*[A-Z][A-Z0-9_/\-\+\.]*)?)"
-LINE_DUAL = r"(?md)^(\d+)\s+(\d+)\s+" + PIN_NAME + r"\s+(.*?)$"
-LINE_SINGLE = r"(?md)^(\d+)\s*(?:\(EPAD\)\s*)?" + PIN_NAME + r"\s+(.*?)$"
-LINE_EPAD = r"(?imd)^(?:\d+\s+)?(?:\d+\s+)?(?:\(EPAD\)\s*)?(?:EPAD|Exposed\s+Pad)\s+(.*?)$"
-NAMED_PINS = (
-    r"([A-Z][A-Z0-9_/]*)\s*\((?:Pins?\s+[\d]+(?:\s*,\s*\d+)*(?:\s*,\s*Exposed\s+Pad\s+Pin\s+\d+)?\s*/)?"
-    r"Pins?\s+([\d]+(?:\s*,\s*\d+)*)(?:\s*,\s*Exposed\s+Pad\s+Pin\s+(\d+))?\)\s*:"
-)
-COMMON_WORDS = ["THE", "FOR", "AND", "WITH", "FROM", "THIS", "THAT", "NOTE", "TABLE", "FIGURE",
-                "SEE", "WHEN", "PIN"]
-GENERIC_NAMED = r"(?iU)Pin\s+(\d+)\s*[–\-:]\s*(\w+)"
-GENERIC_LINE = r"(?md)^(\d+)\s+([A-Z][A-Z0-9_/]+)\s+(.*)$"
-JUNK_NAMES = ["NATSISE", "CRUOS"]
-FET_PINS = [("1", "G", "input", "Gate"), ("2", "S", "passive", "Source"), ("3", "D", "passive", "Drain")]
-BJT_PINS = [("1", "C", "passive", "Collector"), ("2", "B", "input", "Base"),
-            ("3", "E", "passive", "Emitter")]
-
-
-
 def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -324,10 +296,10 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
 
     d = docs.select(
         "doc_id", "text",
-        F.coalesce(_after_first(t, SECTION_HEAD), _after_first(t, SECTION_HEAD_SPLIT)).alias("_after"),
+        F.coalesce(_after_first(t, L.SECTION_HEAD), _after_first(t, L.SECTION_HEAD_SPLIT)).alias("_after"),
         ((says("N-CHANNEL", "NMOS") | says("P-CHANNEL", "PMOS")) & says("MOSFET", "FET", "DRAIN")).alias("fet"),
         (says("NPN", "PNP") & says("TRANSISTOR", "BJT", "COLLECTOR")).alias("bjt"))
-    end = F.regexp_instr(F.col("_after"), F.lit(SECTION_END))
+    end = F.regexp_instr(F.col("_after"), F.lit(L.SECTION_END))
     # Line breaks inside parentheses are closed up before paragraphs are read.
     joined = t
     for _ in range(5):
@@ -337,15 +309,15 @@ def _raw_matches(docs: DataFrame) -> DataFrame:
         F.when(end > 0, F.substring(F.col("_after"), F.lit(1), end - 1)).otherwise(F.col("_after")).alias("_sec"),
         F.when(t.rlike(r"(?i)PIN\s+FUNCTIONS"), joined).alias("_joined"))
     sec, para = F.col("_sec"), F.col("_joined")
-    d = d.select("*", _found(sec, LINE_DUAL).alias("_dual"), _found(sec, LINE_SINGLE).alias("_single"))
+    d = d.select("*", _found(sec, L.LINE_DUAL).alias("_dual"), _found(sec, L.LINE_SINGLE).alias("_single"))
     dual = (F.size("_dual") >= 3) & (F.size("_dual") >= F.size("_single") * 0.5)
-    tails = F.regexp_extract_all(para, F.lit(NAMED_PINS + r"(?=([\s\S]{0,200}))"), F.lit(4))
+    tails = F.regexp_extract_all(para, F.lit(L.NAMED_PINS + r"(?=([\s\S]{0,200}))"), F.lit(4))
     raw = F.concat(
         F.when(dual, tagged(DUAL, F.col("_dual"))).otherwise(tagged(SINGLE, F.col("_single"))),
-        tagged(EPAD, _found(sec, LINE_EPAD)),
-        tagged(PARAGRAPH, _found(para, NAMED_PINS), tails),
-        tagged(NAMED, _found(t, GENERIC_NAMED)),
-        tagged(LISTED, _found(t, GENERIC_LINE)),
+        tagged(EPAD, _found(sec, L.LINE_EPAD)),
+        tagged(PARAGRAPH, _found(para, L.NAMED_PINS), tails),
+        tagged(NAMED, _found(t, L.GENERIC_NAMED)),
+        tagged(LISTED, _found(t, L.GENERIC_LINE)),
     )
     return d.select("doc_id", "headed", "fet", "bjt", F.explode_outer(raw).alias("_e")).select(
         "doc_id", "headed", "fet", "bjt", "_e.*")
@@ -366,20 +338,20 @@ def _parsed(raw: DataFrame) -> DataFrame:
     rows = raw.filter("kind is not null").select(
         "doc_id", "kind", F.floor(kind / 10).cast("int").alias("strategy"),
         ((F.col("at") + shift) * 2).alias("pos"),
-        group({DUAL: (LINE_DUAL, 2), SINGLE: (LINE_SINGLE, 1), PARAGRAPH: (NAMED_PINS, 2),
-               NAMED: (GENERIC_NAMED, 1), LISTED: (GENERIC_LINE, 1)}).alias("numbers"),
-        group({DUAL: (LINE_DUAL, 3), SINGLE: (LINE_SINGLE, 2), PARAGRAPH: (NAMED_PINS, 1),
-               NAMED: (GENERIC_NAMED, 2), LISTED: (GENERIC_LINE, 2)}).alias("name"),
+        group({DUAL: (L.LINE_DUAL, 2), SINGLE: (L.LINE_SINGLE, 1), PARAGRAPH: (L.NAMED_PINS, 2),
+               NAMED: (L.GENERIC_NAMED, 1), LISTED: (L.GENERIC_LINE, 1)}).alias("numbers"),
+        group({DUAL: (L.LINE_DUAL, 3), SINGLE: (L.LINE_SINGLE, 2), PARAGRAPH: (L.NAMED_PINS, 1),
+               NAMED: (L.GENERIC_NAMED, 2), LISTED: (L.GENERIC_LINE, 2)}).alias("name"),
         F.when(kind == PARAGRAPH, sentence).otherwise(group({
-            DUAL: (LINE_DUAL, 4), SINGLE: (LINE_SINGLE, 3), EPAD: (LINE_EPAD, 1),
-            LISTED: (GENERIC_LINE, 3)})).alias("description"),
-        F.when(kind == PARAGRAPH, F.regexp_extract(m, NAMED_PINS, 3)).alias("pad"))
+            DUAL: (L.LINE_DUAL, 4), SINGLE: (L.LINE_SINGLE, 3), EPAD: (L.LINE_EPAD, 1),
+            LISTED: (L.GENERIC_LINE, 3)})).alias("description"),
+        F.when(kind == PARAGRAPH, F.regexp_extract(m, L.NAMED_PINS, 3)).alias("pad"))
     number = R.strip(F.substring_index("numbers", ",", 1))
     others = F.when(F.contains("numbers", F.lit(",")), F.regexp_replace(
         F.regexp_replace("numbers", r"^[^,]*,\s*", ""), r"\s*,\s*", ",")).otherwise("")
     accepted = (
         F.when(kind.isin(DUAL, SINGLE), _small(number) & ~F.col("name").rlike(r"^[0-9.]+[A-Z]$"))
-        .when(kind == PARAGRAPH, ~F.upper("name").isin(COMMON_WORDS))
+        .when(kind == PARAGRAPH, ~F.upper("name").isin(L.COMMON_WORDS))
         .when(kind.isin(NAMED, LISTED), _small(number) & (F.length("name") <= 20)
               & ~F.col("name").rlike(r"^[0-9.]+$"))
         .otherwise(True))
@@ -409,7 +381,7 @@ def pins_from_text(docs: DataFrame, hint: int = 0) -> DataFrame:
     value = F.when(F.col("number").rlike(r"^\d+$"), F.col("number").try_cast("bigint"))
     per_strategy = parsed.groupBy("doc_id", "strategy").agg(
         F.max(F.coalesce(value > 50, F.lit(False))).alias("_high"),
-        F.max(F.upper("name").isin(JUNK_NAMES)).alias("_junk"),
+        F.max(F.upper("name").isin(L.JUNK_NAMES)).alias("_junk"),
         F.count_if(value <= 4).alias("_low"))
     best = per_strategy.groupBy("doc_id").agg(
         F.min_by(F.struct("strategy", (F.col("_high") | F.col("_junk") | (F.col("_low") < hint)).alias("junk")),
@@ -422,7 +394,7 @@ def pins_from_text(docs: DataFrame, hint: int = 0) -> DataFrame:
         F.when(misread & F.col("fet"), "fet").when(misread & F.col("bjt"), "bjt").alias("_template"))
     read = parsed.join(chosen.filter("_template is null"), "doc_id").filter("strategy = _s").drop("_s", "_template")
     pinouts = docs.sparkSession.createDataFrame(
-        [(t, i, n, name, kind, text) for t, rows in (("fet", FET_PINS), ("bjt", BJT_PINS))
+        [(t, i, n, name, kind, text) for t, rows in (("fet", L.FET_PINS), ("bjt", L.BJT_PINS))
          for i, (n, name, kind, text) in enumerate(rows)],
         "_template string, pos int, number string, name string, fixed string, description string")
     standard = chosen.filter("_template is not null").join(F.broadcast(pinouts), "_template").select(
