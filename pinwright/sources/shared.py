@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +70,26 @@ def release(spark: SparkSession) -> None:
     while _given:
         path = jvm.org.apache.hadoop.fs.Path(_given.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the workers, wherever the session was started.
+
+    A zip of it goes to the shared folder once per Spark context, as with ``--py-files``.
+    """
+    from pyarrow.fs import FileSystem
+
+    context = spark.sparkContext
+    if getattr(context, "_pinwright_shipped", False):
+        return
+    package, held = Path(__file__).parents[1], io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    disk, folder = FileSystem.from_uri(shared_root(spark).replace("file:///", "/").replace("file:/", "/"))
+    disk.create_dir(folder, recursive=True)
+    name = f"{package.name}-{uuid.uuid4().hex}.zip"
+    with disk.open_output_stream(f"{folder}/{name}") as out:
+        out.write(held.getvalue())
+    context.addPyFile(f"{shared_root(spark)}/{name}")
+    context._pinwright_shipped = True

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -37,6 +39,9 @@ class _Expiry(StatefulProcessor):
     ever seen, and later events of the job change nothing.
     """
 
+    def __init__(self, life_ms: int) -> None:
+        self.life_ms = life_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.created = handle.getValueState("created", "created_ms bigint, expired boolean")
@@ -52,9 +57,9 @@ class _Expiry(StatefulProcessor):
             first = low if first is None else min(first, low)
         if first is not None and first != known:
             if known is not None:
-                self.handle.deleteTimer(known + L.JOB_SECONDS * 1000)
+                self.handle.deleteTimer(known + self.life_ms)
             self.created.update((first, False))
-            self.handle.registerTimer(first + L.JOB_SECONDS * 1000)
+            self.handle.registerTimer(first + self.life_ms)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -62,7 +67,7 @@ class _Expiry(StatefulProcessor):
         self.created.update((created, True))
         yield pd.DataFrame({
             "job_id": [key[0]], "created_ms": [created],
-            "expired_ms": [created + L.JOB_SECONDS * 1000]})
+            "expired_ms": [created + self.life_ms]})
 
     def close(self) -> None:
         pass
@@ -73,7 +78,12 @@ def expired_jobs(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return (
         events.select("job_id", "ts").withWatermark("ts", delay).groupBy("job_id")
         .transformWithStateInPandas(
-            statefulProcessor=_Expiry(),
+            statefulProcessor=_Expiry(L.JOB_SECONDS * 1000),
             outputStructType="job_id bigint, created_ms bigint, expired_ms bigint",
             outputMode="append", timeMode="EventTime")
     )
+
+
+# The state store starts Python processes of its own, which do not get shipped packages:
+# the processor travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
