@@ -61,8 +61,8 @@ class PieceCodec:
         for p in self.ids:
             self.automaton.add_word(p, (len(p) - 1, 1 << len(p)))
         self.automaton.make_automaton()
-        self.fits = Memo(self._fits, limit=300_000, longest=2)
-        self.words = Memo(self._word, limit=1_000_000)
+        self.fits = Memo(self._fits, limit=200_000, longest=2)
+        self.words = Memo(self._word)
 
     def remerge(self, text: str) -> list[str]:
         """The merge rule itself: best score first, leftmost first among equals."""
