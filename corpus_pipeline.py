@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pinwright.llm.decontaminate import find_items
 from pinwright.llm.lines import drop_lines
-from pinwright.llm.pieces import decode_pieces, digests, encode_pieces
+from pinwright.llm.pieces import digests, round_trip
 from pinwright.llm.quality import quality_rules
 from pinwright.llm.simhash import fingerprints, near_components
 from pinwright.sources.shared import staged
@@ -48,9 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids, and digests of ids and decoded text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode_pieces(encode_pieces(docs, model, carry=("doc_id", "source")), model,
-                         carry=("doc_id", "source", "ids"))
-    return digests(both, ("doc_id", "source", "ids"))
+    return digests(round_trip(docs, model, carry=("doc_id", "source")), ("doc_id", "source", "ids"))
 
 
 STAGES = [

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: The white space of the contracts; ``bytes.split`` and ``bytes.strip`` use just these.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 

@@ -232,14 +232,23 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "ids",
     return source.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, model: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Add ``ids`` and ``decoded`` in one pass: encode_pieces, then decode_pieces on what it gave."""
+    def both(column: pa.Array) -> list[pa.Array]:
+        coder = codec(model)
+        ids = [coder.encode(t) for t in texts(column)]
+        return [flat(ids), pa.array([coder.decode(i) for i in ids], pa.string())]
+
+    return annotate(docs, both, [T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
+                                 T.StructField("decoded", T.StringType())], carry, text)
+
+
 def op1_sentencepiece_round_trip(spark, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = encode_pieces(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
-    both = decode_pieces(encoded, model, carry=("doc_id", "ids"))
-    return digests(both)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return digests(round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def digests(both: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

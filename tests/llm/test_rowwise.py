@@ -53,8 +53,12 @@ def test_decode_of_any_ids_equals_the_library(piece_model):
 def test_piece_rows(docs, odd_texts, piece_model):
     rows = list(enumerate(odd_texts)) + [(None, "no id"), (1, "twice"), (1, "twice")]
     both = pieces.decode_pieces(pieces.encode_pieces(docs(rows), PIECES), PIECES, carry=("doc_id", "ids"))
-    got = sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256, r.decoded_sha256, r.n_tokens)
-                 for r in pieces.digests(both).collect())
+    def read(df):
+        return sorted((r.doc_id is None, r.doc_id or 0, r.ids_sha256, r.decoded_sha256, r.n_tokens)
+                      for r in pieces.digests(df).collect())
+
+    got = read(both)
+    assert read(pieces.round_trip(docs(rows), PIECES)) == got
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     ids = [(i, piece_model.encode(t or "")) for i, t in rows]
     want = sorted((i is None, i or 0, sha(",".join(map(str, x))), sha(piece_model.decode(x)), len(x)) for i, x in ids)
