@@ -66,7 +66,7 @@ def unframe(stream) -> bytes | None:
 class IdEncoder:
     """Ids by the tokenizers library, one stretch at a time, stretches kept in a memo."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_600_000):
+    def __init__(self, path: str, end_id: int, limit: int = 1_390_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
