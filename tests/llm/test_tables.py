@@ -337,3 +337,24 @@ def test_every_exact_repeat_is_found(docs):
     assert want and all(match[a] & match[b] for a, b in want)  # in one place's class
 
 
+
+
+def shingled(w):
+    return np.array([hash(tuple(w[i:i + 5])) for i in range(len(w) - 4)])
+
+
+@pytest.mark.parametrize("inserted", [0, 1])
+@pytest.mark.parametrize("n", [50, 52, 55, 60])
+def test_one_edit_at_any_place(n, inserted):
+    """Around any shared token, a passage with one word replaced or inserted is verified."""
+    rng = random.Random(n)
+    for at in range(n):
+        passage = prose(rng, n).split()
+        edited = passage[:at] + ["edited"] + passage[at + 1 - inserted:]
+        x, y = (set(shingled(w).tolist()) for w in (passage, edited))
+        assert len(x & y) >= 0.8 * len(x | y)
+        a, b = (shingled(prose(rng, 60).split() + w + prose(rng, 70).split()) for w in (passage, edited))
+        for m in range(60, 60 + n - 4):
+            for o_m in np.flatnonzero(b == a[m]):
+                (got,) = passages.verified(a, b, [m], int(m - o_m), passages.PassageRule())
+                assert got[1] - got[0] >= 46 and got[4] >= 0.8 and got[0] <= m < got[1]
