@@ -358,3 +358,20 @@ def test_one_edit_at_any_place(n, inserted):
             for o_m in np.flatnonzero(b == a[m]):
                 (got,) = passages.verified(a, b, [m], int(m - o_m), passages.PassageRule())
                 assert got[1] - got[0] >= 46 and got[4] >= 0.8 and got[0] <= m < got[1]
+
+
+def test_repeats_whose_lines_occur_before(docs):
+    """A passage of two long lines that each stand alone in smaller documents, at odd k in the smallest of them all."""
+    rng = random.Random(21)
+    text = lambda n: prose(rng, n, 10**6)
+    rows, want = [], set()
+    for k in range(20):
+        lines_ = [text(30), text(30)]
+        alone = [" ".join([text(60), x, text(60)]) for x in lines_ for _ in range(8)]
+        again = [" ".join([text(70), *lines_, text(70)]) for _ in range(2)]
+        if k % 2:
+            alone = [" ".join([*alone, again.pop()])]
+        rows += [(1000 * k + j, t) for j, t in enumerate(alone + again)]
+        want.add((1000 * k + len(alone + again) - 1, 1000 * k + len(alone + again) - 2))
+    got = {(r.doc_id, r.match_doc_id) for r in passages.near_duplicate_passages(docs(rows)).collect()}
+    assert want <= got, len(want - got)
