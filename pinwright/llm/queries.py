@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pinwright.llm import (chat, counts, decontaminate, lines, passages, pieces, quality,
+from pinwright.llm import (chat, counts, decontaminate, divergence, lines, passages, pieces, quality,
                            records, simhash, urls)
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_token_counts": counts.op9_token_counts,
     "op10_near_duplicate_passages": passages.op10_near_duplicate_passages,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat.OP3_SQL,
     "op4_benchmark_decontamination": decontaminate.OP4_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }

@@ -31,7 +31,7 @@ def test_rows_equal_the_sql(spark, name):
 
 
 def test_every_query_has_its_number():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark):
