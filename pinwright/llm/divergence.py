@@ -6,7 +6,7 @@ just that count there. The terms that have count a in one group and count b in a
 are the AND of two bitsets, and their number is its popcount: a joint cell. A term's share
 depends on its count alone, so a divergence is the sum over the cells of their size
 times one value of f. Terms that a group lacks have no bitset: the cells with a zero are
-the complement, a level's size less its positive cells.
+the complement, a level's size less its positive cells. Sums are kept as two longs each.
 
 Ids run by falling frequency inside a slice, so rare terms, which have few levels, share
 words of 64, and the many levels of frequent terms meet inside a few words only.
@@ -29,7 +29,7 @@ TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 3
 #: Terms and sources that meet in one task, on average; both only shape the work.
 SLICE_TERMS, SOURCE_BLOCK = 2048, 32
 #: Different terms that a task holds before it sends its counts on.
-HELD = 300_000
+HELD = 600_000
 WHOLE = 1_000_000_000
 
 COUNTED = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "source", "term")]
@@ -71,14 +71,16 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         yield from emitted(held)
 
     found = docs.select(*named, F.col(quoted(text)).alias("_text")).mapInArrow(run, COUNTED)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    # A task's counts are sums already, so they are dealt out as they are.
+    return found.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
-def share(count, total, kinds) -> Column:
-    """1 + floor(10^9 (count + 1) / (total + kinds)), exact."""
-    over = (F.lit(WHOLE).cast("decimal(20,0)") * (F.col(count).cast("decimal(18,0)") + 1)).cast("decimal(38,0)")
-    under = F.greatest(F.col(total) + F.col(kinds), F.lit(1)).cast("decimal(20,0)")
-    return F.lit(1) + F.call_function("div", over, under)
+def share(count: str, total: str, kinds: str) -> Column:
+    """1 + floor(10^9 (count + 1) / (total + kinds)), exact: in longs where the product fits one."""
+    more, under = F.col(count) + 1, F.greatest(F.col(total) + F.col(kinds), F.lit(1))
+    wide = F.lit(WHOLE).cast("decimal(10,0)") * more.cast("decimal(19,0)")
+    return F.lit(1) + F.when(more < 9 * WHOLE, F.call_function("div", F.lit(WHOLE) * more, under)).otherwise(
+        F.call_function("div", wide, under.cast("decimal(20,0)")))
 
 
 def f(p: Column, q: Column) -> Column:
@@ -92,49 +94,55 @@ def bitsets(kept: DataFrame) -> DataFrame:
             .agg(F.bit_or(bit).alias("bits")))
 
 
-CELL = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "source", "item")]
-                    + [T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
+PART = T.StructType([T.StructField(c, T.StringType()) for c in ("lang", "source", "item")]
+                    + [T.StructField(c, T.LongType()) for c in ("high", "low")])
+
+
+def halves(values: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Sums of runs of longs as two longs each, so that none overflows."""
+    return [np.add.reduceat(values >> 32, first), np.add.reduceat(values & 0xFFFFFFFF, first)]
 
 
 def joint_cells(levels: DataFrame, blocks: int) -> DataFrame:
-    """(lang, source, item, a, b, n): terms with count a in one and b in the other, both positive.
+    """(lang, source, item, high, low): what the positive joint cells of a slice add to a pair's sum.
 
-    Each pair of sources comes once per slice and pair of counts. The sources are dealt into
-    ``blocks``, and a task takes one slice of two blocks, so that it stays bounded for any number of sources.
+    A cell (a, b) of n terms adds n (f(a, b) - f(a, 0) - f(0, b) + f(0, 0)): its own f, less what its terms
+    have as part of a level against zero. The sources are dealt into ``blocks``, and a task takes one slice of two
+    blocks, so that it stays bounded for any number of sources.
     """
-    arrow = to_arrow_schema(CELL)
+    arrow = to_arrow_schema(PART)
+
+    def change(p, q, p0, q0):
+        return (p - q) ** 2 // q - (p - q0) ** 2 // q0 - (p0 - q) ** 2 // q + (p0 - q0) ** 2 // q0
 
     def cells(key, table):
         low, high = key[2].as_py(), key[3].as_py()
-        kinds = pa.StructArray.from_arrays(
-            [table["source"].combine_chunks(), table["n"].combine_chunks(), table["block"].combine_chunks()], ["s", "n", "block"])
-        names, of = np.unique(np.asarray(kinds.field("s").to_pylist(), object), return_inverse=True)
-        numbers, count = np.unique(kinds.field("n").to_numpy(), return_inverse=True)
-        level = of.astype(np.int64) * len(numbers) + count
-        block, word = kinds.field("block").to_numpy(), table["word"].to_numpy()
+        names, of = np.unique(np.asarray(table["source"].to_pylist(), object), return_inverse=True)
+        block, word, p, p0 = (table[c].to_numpy() for c in ("block", "word", "p", "p0"))
         bits = table["bits"].to_numpy().view(np.uint64)
-        order = np.argsort(word, kind="stable")
-        span, pairs, joint = len(names) * len(numbers), [], []
+        order, found = np.argsort(word, kind="stable"), []
         for rows in np.split(order, np.flatnonzero(np.diff(word[order])) + 1):
             left, right = (rows[block[rows] == x] for x in (low, high))
             both = np.bitwise_count(bits[left][:, None] & bits[right][None, :])
             if low == high:
                 both[of[left][:, None] >= of[right][None, :]] = 0
             i, j = np.nonzero(both)
-            pairs.append(level[left[i]] * span + level[right[j]])
-            joint.append(both[i, j].astype(np.int64))
-        cell, at = np.unique(np.concatenate(pairs), return_inverse=True)
-        n = np.bincount(at, np.concatenate(joint), len(cell)).astype(np.int64)
-        x, y = np.divmod(cell, span)
-        return pa.Table.from_arrays(
-            [pa.array([key[0].as_py()] * len(cell), pa.string()), pa.array(names[x // len(numbers)], pa.string()),
-             pa.array(names[y // len(numbers)], pa.string()), pa.array(numbers[x % len(numbers)]),
-             pa.array(numbers[y % len(numbers)]), pa.array(n)], schema=arrow)
+            x, y, n = left[i], right[j], both[i, j].astype(np.int64)
+            found.append((of[x] * len(names) + of[y], n * change(p[x], p[y], p0[x], p0[y]), n * change(p[y], p[x], p0[y], p0[x])))
+        pair, there, back = map(np.concatenate, zip(*found))
+        order = np.argsort(pair, kind="stable")
+        pair, there, back = pair[order], there[order], back[order]
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        x, y = (pa.array(names[k], pa.string()) for k in np.divmod(pair[first], len(names)))
+        made = [pa.Table.from_arrays([pa.array([key[0].as_py()] * len(first), pa.string()), g, h, *map(pa.array, halves(v, first))],
+                                     schema=arrow) for g, h, v in ((x, y, there), (y, x, back)) if len(first)]
+        return pa.concat_tables([arrow.empty_table(), *made])
 
     block = F.pmod(F.xxhash64("source"), F.lit(blocks))
     met = (levels.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
            .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")))
-    return met.groupBy("lang", "slice", "low", "high").applyInArrow(cells, CELL)
+    return (met.select("lang", "slice", "low", "high", "block", "word", "source", "bits", "p", "p0")
+            .groupBy("lang", "slice", "low", "high").applyInArrow(cells, PART))
 
 
 def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, text: str = "text") -> DataFrame:
@@ -163,30 +171,23 @@ def source_divergence(docs: DataFrame, least_docs: int = 3, top: int = 200, text
     groups = staged(counted.where("term = ''").select(*group).join(sums, group, "left").join(whole, "lang", "left")
                     .fillna(zero).withColumn("none", F.lit(0)).withColumn("p0", share("none", "group_total", "kinds")).drop("none"), "groups")
 
-    levels = staged(bitsets(rows), "count-levels")
-    sizes = (levels.groupBy(*group, "n").agg(F.sum(F.bit_count("bits")).alias("size")).join(groups, group)
-             .select(*group, "n", "size", "p0", share("n", "group_total", "kinds").alias("p")))
-    sizes = staged(sizes, "level-sizes")
+    levels = staged(bitsets(rows).join(groups, group).select(
+        *group, "slice", "word", "n", "bits", "p0", share("n", "group_total", "kinds").alias("p")), "count-levels")
+    sizes = staged(levels.groupBy(*group, "p", "p0").agg(F.sum(F.bit_count("bits")).alias("size")), "level-sizes")
     blocks = max(1, -(-groups.select("source").distinct().count() // SOURCE_BLOCK))
-    once = staged(joint_cells(levels, blocks).groupBy(*group, "item", "a", "b").agg(F.sum("n").alias("n")), "joint-cells")
-    cells = once.unionByName(once.select("lang", F.col("item").alias("source"), F.col("source").alias("item"),
-                                         F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-
+    p, q, p0, q0 = map(F.col, ("p", "q", "p0", "q0"))
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
     pairs = groups.select(*group, "p0", "kinds").join(other, "lang").where("source <> item")
-    p, q, p0, q0 = map(F.col, ("p", "q", "p0", "q0"))
-    left = sizes.select("lang", "source", F.col("n").alias("a"), "p", "p0")
-    right = sizes.select("lang", F.col("source").alias("item"), F.col("n").alias("b"), F.col("p").alias("q"), F.col("p0").alias("q0"))
-    positive = (cells.join(left, [*group, "a"]).join(right, ["lang", "item", "b"])
-                .select(*group, "item", "n", (f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)).alias("f")))
-    ours = (pairs.drop("p0").join(sizes.drop("n"), group)
-            .select(*group, "item", F.col("size").alias("n"), (f(p, q0) - f(p0, q0)).alias("f")))
+
+    def added(rows: DataFrame, n: str, value: Column) -> DataFrame:
+        whole = F.col(n) * value
+        return rows.select(*group, "item", F.shiftright(whole, 32).alias("high"), whole.bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"))
+
+    ours = added(pairs.drop("p0").join(sizes, group), "size", f(p, q0) - f(p0, q0))
     their_sizes = sizes.select("lang", F.col("source").alias("item"), "size", F.col("p").alias("q"), F.col("p0").alias("q0"))
-    theirs = (pairs.drop("q0").join(their_sizes, ["lang", "item"])
-              .select(*group, "item", F.col("size").alias("n"), (f(p0, q) - f(p0, q0)).alias("f")))
-    empty = pairs.select(*group, "item", F.col("kinds").alias("n"), f(p0, q0).alias("f"))
-    summed = (positive.unionByName(ours).unionByName(theirs).unionByName(empty).groupBy(*group, "item")
-              .agg(F.sum(F.col("n").cast("decimal(19,0)") * F.col("f").cast("decimal(19,0)")).cast("long").alias("value")))
+    theirs = added(pairs.drop("q0").join(their_sizes, ["lang", "item"]), "size", f(p0, q) - f(p0, q0))
+    summed = (joint_cells(levels, blocks).unionByName(ours).unionByName(theirs).unionByName(added(pairs, "kinds", f(p0, q0)))
+              .groupBy(*group, "item").agg((F.sum("high") * F.lit(1 << 32) + F.sum("low")).alias("value")))
 
     in_rows = rows.join(groups, group).select(
         *group, F.col("term").alias("item"), share("n", "group_total", "kinds").alias("p"), share("total", "lang_total", "kinds").alias("q"))
