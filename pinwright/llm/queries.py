@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pinwright.llm import (chat, counts, decontaminate, divergence, lines, passages, pieces, quality,
-                           records, simhash, urls)
+from pinwright.llm import (alignment, chat, counts, decontaminate, divergence, lines, passages, pieces,
+                           quality, records, simhash, urls)
 
 QUERIES = {
     "op1_sentencepiece_round_trip": pieces.op1_sentencepiece_round_trip,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_token_counts": counts.op9_token_counts,
     "op10_near_duplicate_passages": passages.op10_near_duplicate_passages,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {
