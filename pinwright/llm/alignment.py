@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -34,9 +35,10 @@ from pinwright.llm.frames import quoted, slices, texts
 from pinwright.sources.shared import staged
 
 #: Bytes of a range; longer texts are dealt out. Characters of a block, and fragments composed at a time.
-RANGE_BYTES, BLOCK_SIZE, FAN = 1 << 15, 1 << 24, 8
-#: Cuts that a worker remembers.
-KNOWN = 300_000
+RANGE_BYTES, BLOCK_SIZE, FAN = 1 << 15, 1 << 23, 8
+#: Cuts that a worker remembers; as many older ones go when these are full.
+KNOWN = 150_000
+_RUN = re.compile(f"[{WHITE}][{WHITE}]")
 _SAFE = re.compile(f"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])")
 #: The same cuts in bytes, only next to characters that are surely no white space.
 _SAFE_BYTES = re.compile(rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf]))(?=[ \n][\x21-\x7e\xc3-\xdf\xe4-\xf4])")
@@ -102,75 +104,127 @@ class Aligner:
         if any("▁" in p.lstrip("▁") or "\n" in p for p in shown):
             raise ValueError("only models whose pieces end before a space or line break are supported")
         self.b_bytes = {i: bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(shown)}
-        self.a_size = {i: len(x) for i, x in self.a_bytes.items()}
-        self.b_size = {i: len(x) for i, x in self.b_bytes.items()}
+        self.a_size, self.b_size = (np.array([len(x[i]) for i in range(len(x))], np.int64) for x in (self.a_bytes, self.b_bytes))
+        numbers = range(max(len(self.a_size), len(self.b_size)))
+        self.shown = np.array([[f"{i}{mark}" for i in numbers] for mark in ",|;"], object)
         self.known: dict[str, Unit | None] = {}
+        self.older: dict[str, Unit | None] = {}
 
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int], bool]]:
-        """Ids of A and B, and whether both give the bytes back.
+    def encode(self, stretches: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B, the ids of all stretches, and where those of each begin (and the end).
 
-        A stretch begins with a space, which for B stands for the one it puts in front, or with a line break.
+        A stretch begins with a space, which for B is the one it puts in front, or with a line break. Where no
+        white space meets white space, A begins anew with each stretch, so that it can have many as one text.
         """
-        ours = self.tokens.encode_batch_fast(stretches, add_special_tokens=False)
-        theirs = self.pieces.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
-        for s, a, b in zip(stretches, ours, theirs):
-            a, b, raw = a.ids, b if s[0] == " " else b[1:], s.encode()
-            same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
-            yield a, b, same
-
-    def unit(self, a: list[int], b: list[int]) -> Unit:
-        """Walk along both: each step links the two tokens at hand, and drops the one that ends first."""
-        a_size, b_size, links, groups = self.a_size, self.b_size, [], []
-        i = j = i0 = j0 = 0
-        left, right = a_size[a[0]], b_size[b[0]]
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if left < right:
-                i, right = i + 1, right - left
-                left = a_size[a[i]]
-            elif right < left:
-                j, left = j + 1, left - right
-                right = b_size[b[j]]
-            else:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                if i == len(a):
-                    return Unit(";".join(groups), i, j, len(groups), np.array(links, np.int64).tobytes())
-                i0, j0, left, right = i, j, a_size[a[i]], b_size[b[j]]
+        joined = "".join(stretches)
+        if _RUN.search(joined):
+            a = [x.ids for x in self.tokens.encode_batch_fast(stretches, add_special_tokens=False)]
+            ours = _flat(a)
+        else:
+            some = ["".join(stretches[at:at + 1024]) for at in range(0, len(stretches), 1024)]
+            ids, _ = _flat([x.ids for x in self.tokens.encode_batch_fast(some, add_special_tokens=False)])
+            ends = np.cumsum([0, *(len(s.encode()) for s in stretches)])
+            ours = ids, np.searchsorted(np.cumsum(self.a_size[ids]), ends, "right")
+        b = self.pieces.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        return [ours, _flat([x if s[0] == " " else x[1:] for s, x in zip(stretches, b)])]
+
+    def same(self, raw: bytes, a: np.ndarray, b: np.ndarray) -> bool:
+        return b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))
+
+    def units(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Unit]:
+        """Units of stretches, all at once; both sides of each have the same bytes.
+
+        The bytes between two neighbouring ends, of either side, belong to one token of each: a link.
+        A group ends where an end of both does.
+        """
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.union1d(a_end, b_end)
+        links = a[np.searchsorted(a_end, ends)] << 32 | b[np.searchsorted(b_end, ends)]
+        both = np.intersect1d(a_end, b_end, assume_unique=True)
+        done = a_end[n_a[1:] - 1]  # of the stretches
+        n_links, n_groups = (np.concatenate([[0], np.searchsorted(x, done, "right")]) for x in (ends, both))
+        # All tokens in the order of the text form: by group, A before B. A mark follows each.
+        group = np.concatenate([np.searchsorted(both, a_end), np.searchsorted(both, b_end)])
+        order = np.argsort(group, kind="stable")
+        side = order >= len(a)
+        last = np.diff(np.append(group[order] * 2 + side, -1)) != 0
+        shown = self.shown[np.where(last, np.where(side, 2, 1), 0), np.concatenate([a, b])[order]].tolist()
+        at, raw = (n_a + n_b).tolist(), links.tobytes()
+        return [Unit("".join(shown[x:y])[:-1], *n, raw[k * 8:m * 8]) for x, y, n, k, m in
+                zip(at, at[1:], zip(*(np.diff(x).tolist() for x in (n_a, n_b, n_groups))), n_links.tolist(), n_links[1:].tolist())]
+
+    def made(self, stretches: list[str]) -> list[Unit | None]:
+        """Units of stretches; None where the bytes differ."""
+        if not stretches:
+            return []
+        (a, n_a), (b, n_b) = self.encode(stretches)
+        if self.same("".join(stretches).encode(), a, b):
+            return self.units(a, n_a, b, n_b)
+        if len(stretches) == 1:
+            return [None]
+        half = len(stretches) // 2
+        return self.made(stretches[:half]) + self.made(stretches[half:])
 
     def words(self, keys: list[str]) -> dict[str, Unit | None]:
         """Units of stretches whose leading space, if they have one, is left out; None where the bytes differ."""
-        lack = [k for k in keys if k not in self.known]
-        if len(self.known) + len(lack) > KNOWN:
-            self.known, lack = {}, keys
-        made = self.encode([stretch_of(k) for k in lack])
-        fresh = {k: self.unit(a, b) if same else None for k, (a, b, same) in zip(lack, made)}
-        found = {k: fresh[k] if k in fresh else self.known[k] for k in keys}
-        self.known.update((k, u) for k, u in fresh.items() if len(k) <= 48)
+        found = {k: self.known[k] if k in self.known else self.older[k] for k in keys if k in self.known or k in self.older}
+        lack = [k for k in keys if k not in found]
+        found.update(zip(lack, self.made([stretch_of(k) for k in lack])))
+        if len(self.known) + len(found) > KNOWN:
+            self.known, self.older = {}, self.known
+        self.known.update((k, u) for k, u in found.items() if len(k) <= 48)
         return found
 
     def groups(self, keys: list[str]) -> dict[str, Unit]:
         """Units of single groups."""
-        return {k: self.unit(*(list(map(int, x.split(","))) for x in k.split("|"))) for k in keys}
+        sides = zip(*((list(map(int, x.split(","))) for x in k.split("|")) for k in keys))
+        return dict(zip(keys, self.units(*chain.from_iterable(map(_flat, sides))))) if keys else {}
 
     def fragment(self, stretch: str, base: int, low: int, high: int) -> Fragment:
-        """The fragment of the tokens that end in (low, high]; the stretch begins at byte ``base``."""
-        a, b, same = next(self.encode([stretch]))
-        if not same:
-            return START._replace(ok=False)
-        a, b = np.array(a), np.array(b)
-        a_end = base + np.cumsum([self.a_size[i] for i in a.tolist()])
-        b_end = base + np.cumsum([self.b_size[i] for i in b.tolist()])
+        """The fragment of the tokens that end in (low, high]; the stretch begins at byte ``base``.
+
+        Cuts well inside the range are whole groups; only those at its borders are looked at by token.
+        """
+        keys = cut_text(stretch[1:]) if stretch[0] == " " else [stretch]
+        whole, at = START._replace(cut=False), base
+        units, parts = self.words(list(dict.fromkeys(keys))), []
+        for k in keys:
+            begin, at = at, at + len(stretch_of(k).encode())
+            if units[k] is None:
+                return START._replace(ok=False)
+            if begin >= low and at <= high and begin > base:
+                parts.append(units[k].groups)
+            elif at > low and begin < high:
+                whole = compose(self._closed(whole, parts), self._at_border(stretch_of(k), begin, low, high))
+                parts = []
+        return self._closed(whole, parts)
+
+    @staticmethod
+    def _closed(before: Fragment, groups: list[str]) -> Fragment:
+        """``before`` and whole groups: the first one ends its open suffix, or is its open prefix."""
+        if not groups:
+            return before
+        first, _, rest = ";".join(groups).partition(";")
+        return compose(before, Fragment(True, True, *first.split("|"), rest, "", ""))
+
+    def _at_border(self, stretch: str, base: int, low: int, high: int) -> Fragment:
+        (a, _), (b, _) = self.encode([stretch])
+        a_end, b_end = base + np.cumsum(self.a_size[a]), base + np.cumsum(self.b_size[b])
         inside = (a_end > low) & (a_end <= high), (b_end > low) & (b_end <= high)
         a, a_end, b, b_end = a[inside[0]], a_end[inside[0]], b[inside[1]], b_end[inside[1]]
         ends = np.intersect1d(a_end, b_end)
         parts = [[",".join(map(str, p.tolist())) for p in np.split(x, np.searchsorted(end, ends, "right"))]
                  for x, end in ((a, a_end), (b, b_end))]
-        groups = list(map("|".join, zip(*parts)))
-        cut = len(ends) > 0
+        groups, cut = list(map("|".join, zip(*parts))), len(ends) > 0
         return Fragment(True, cut, parts[0][0], parts[1][0], ";".join(groups[1:-1]), *((p[-1] if cut else "") for p in parts))
 
 
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of many lists in a row, and where those of each begin (and the end)."""
+    lists = list(lists)
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.cumsum([0, *map(len, lists)])
+
+
 @lru_cache(maxsize=2)
 def aligner(vocabulary: str, model: str) -> Aligner:
     return Aligner(vocabulary, model)
@@ -292,36 +346,37 @@ class Block:
     def __init__(self, name: int):
         self.name, self.size = name, 0
         self.at: dict[str, int] = {}
-        self.units: list[Unit | None] = []
+        self.shown: list[str] = []
+        self.links: list[bytes] = []
+        self.stats = np.zeros((0, 4), np.int64)  # tokens of A and B, groups; -1 where the bytes differ
         self.seen = np.zeros(0, np.int64)
 
     def rows(self, docs: list[tuple], resolve) -> pa.RecordBatch:
         """Rows of (doc_id, keys); keys are None for a text without tokens."""
-        lack = list(dict.fromkeys(k for _, keys in docs for k in keys or () if k not in self.at))
-        for k, u in resolve(lack).items():
-            self.at[k] = len(self.units)
-            self.units.append(u)
+        lack = list(dict.fromkeys(k for k in chain.from_iterable(keys or () for _, keys in docs) if k not in self.at))
         none = Unit("", 0, 0, 0, b"")
-        stats = np.array([(u or none)[1:4] for u in self.units] or [(0, 0, 0)], np.int64)
-        bad = np.array([u is None for u in self.units] or [False])
-        shown = [u and u.groups for u in self.units]
-        self.seen = np.concatenate([self.seen, np.zeros(len(self.units) - len(self.seen), np.int64)])
+        fresh = [(u or none, -(u is None)) for u in map(resolve(lack).__getitem__, lack)]
+        self.at.update(zip(lack, range(len(self.at), len(self.at) + len(lack))))
+        self.shown += [u.groups for u, _ in fresh]
+        self.links += [u.links for u, _ in fresh]
+        self.stats = np.concatenate([self.stats, np.array([(*u[1:4], bad) for u, bad in fresh], np.int64).reshape(-1, 4)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(lack), np.int64)])
         made = []
         for doc_id, keys in docs:
             own = np.fromiter(map(self.at.__getitem__, keys or ()), np.int32, len(keys or ()))
-            if not len(own) or bad[own].any():
+            *sums, bad = self.stats[own].sum(0).tolist()
+            if not len(own) or bad:
                 made.append((self.name, doc_id, 0, 0, 0, "", own[:0]))
                 continue
-            self.seen += np.bincount(own, minlength=len(self.seen))
-            text = ";".join(map(shown.__getitem__, own))
-            made.append((self.name, doc_id, *stats[own].sum(0).tolist(), hashlib.sha256(text.encode()).hexdigest(), own))
+            np.add.at(self.seen, own, 1)
+            text = ";".join(map(self.shown.__getitem__, own.tolist()))
+            made.append((self.name, doc_id, *sums, hashlib.sha256(text.encode()).hexdigest(), own))
         return _batch([(*r, None, None, None, None) for r in made])
 
     def end(self) -> pa.RecordBatch:
         """The row of the block itself: its links, how often each occurs, and the links of each unit."""
-        raw = [np.frombuffer(u.links if u else b"", np.int64) for u in self.units]
-        starts = np.cumsum([0, *map(len, raw)])
-        pairs, links = np.unique(np.concatenate([*raw, np.empty(0, np.int64)]), return_inverse=True)
+        starts = np.cumsum([0, *map(len, self.links)]) // 8
+        pairs, links = np.unique(np.frombuffer(b"".join(self.links), np.int64), return_inverse=True)
         times = np.repeat(self.seen, np.diff(starts))
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, links, times)
