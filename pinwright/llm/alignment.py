@@ -462,7 +462,8 @@ def aligned_documents(docs: DataFrame, vocabulary: str, model: str, text: str =
     made = composed(fragments(ranged.repartition("key", "idx"), vocabulary, model), deepest)
     # START comes before: the open prefix of a whole text is a group, and nothing stays open.
     first = F.when(F.col("head_a") != "", F.concat_ws("|", "head_a", "head_b"))
-    joined = made.select("doc_id", F.when(F.col("ok"), F.concat_ws(";", first, F.when(F.col("closed") != "", F.col("closed")))).alias("_text"))
+    joined = staged(made.select("doc_id", F.when(F.col("ok"), F.concat_ws(";", first, F.when(F.col("closed") != "", F.col("closed")))).alias("_text")),
+                    "composed")  # written, so that no task has two Python workers
     held = staged(blocks_of(docs.where(~is_long), cut_text, words, 0, block_size)
                   .unionByName(blocks_of(joined, lambda v: v.split(";"), groups, 1, block_size)), "aligned-blocks")
 
