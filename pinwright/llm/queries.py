@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pinwright.llm import (alignment, chat, counts, decontaminate, divergence, lines, passages, pieces,
-                           quality, records, simhash, urls)
+from pinwright.llm import (alignment, attention, chat, counts, decontaminate, divergence, lines, passages,
+                           pieces, quality, records, simhash, urls)
 
 QUERIES = {
     "op1_sentencepiece_round_trip": pieces.op1_sentencepiece_round_trip,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_token_counts": counts.op9_token_counts,
     "op10_near_duplicate_passages": passages.op10_near_duplicate_passages,
+    "op11_quality_classifier": attention.op11_quality_classifier,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_tokenizer_alignment": alignment.op13_tokenizer_alignment,
 }
