@@ -195,14 +195,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", text
                 sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> AttentionModel:
     """Fit on labelled documents that are not held out.
 
-    At most ``sample_docs`` of them, in the order of their ids' hashes, with texts of at most ``sample_bytes``:
-    what comes to the driver is bounded whatever the corpus. Without labels the score is a constant;
+    At most ``sample_docs`` labels, in the order of their ids' hashes, and of these the texts of at most ``sample_bytes``:
+    what is broadcast and what comes to the driver is bounded whatever the corpus. Without labels the score is a constant;
     of repeated ids all rows count.
     """
+    order = F.xxhash64("doc_id")
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).alias("_label"))
-    rows = (docs.select("doc_id", F.col(quoted(text)).alias("_text")).where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= sample_bytes)
-            .join(known, "doc_id").select(F.xxhash64("doc_id").alias("_order"), "doc_id", "_text", "_label")
-            .orderBy("_order", "doc_id", "_text", "_label").limit(sample_docs).collect())
+    chosen = known.orderBy(order, "doc_id", "_label").limit(sample_docs)
+    rows = (docs.where(F.coalesce(F.octet_length(quoted(text)), F.lit(0)) <= sample_bytes)
+            .select("doc_id", F.col(quoted(text)).alias("_text")).join(F.broadcast(chosen), "doc_id")
+            .orderBy(order, "doc_id", "_text", "_label").limit(sample_docs).collect())
     marks = np.array([r["_label"] for r in rows], float)
     model = AttentionModel.blank((marks.sum() + 1) / (len(marks) + 2))
     if not len(rows):
