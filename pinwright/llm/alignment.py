@@ -39,7 +39,7 @@ from pinwright.sources.shared import staged
 #: Bytes of a range; longer texts are dealt out. Characters of a block, and fragments composed at a time.
 RANGE_BYTES, BLOCK_SIZE, FAN = 1 << 15, 1 << 23, 8
 #: Cuts that a worker remembers; as many older ones go when these are full.
-KNOWN = 200_000
+KNOWN = 150_000
 _RUN = re.compile(f"[{WHITE}][{WHITE}]")
 _SAFE = re.compile(f"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])")
 #: The same cuts in bytes, only next to characters that are surely no white space.
@@ -229,7 +229,6 @@ def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
 
 @lru_cache(maxsize=2)
 def aligner(vocabulary: str, model: str) -> Aligner:
-    gc.set_threshold(1 << 20)  # the memo has no cycles, and looking for them took a fifth of the time
     return Aligner(vocabulary, model)
 
 
@@ -402,7 +401,10 @@ def blocks_of(docs: DataFrame, keys, resolve, mark: int, width: int) -> DataFram
                 if block is None:
                     block, made = Block((TaskContext.get().partitionId() << 32 | made) * 2 + mark), made + 1
                 values = texts(part.column(1))
-                yield block.rows([(i, keys(v) if v else None) for i, v in zip(part.column(0).to_pylist(), values)], resolve)
+                gc.disable()  # units have no cycles, and looking for them took a fifth of the time
+                rows = block.rows([(i, keys(v) if v else None) for i, v in zip(part.column(0).to_pylist(), values)], resolve)
+                gc.enable()
+                yield rows
                 block.size += sum(map(len, values))
                 if block.size >= width:
                     yield block.end()
