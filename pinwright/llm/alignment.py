@@ -37,7 +37,7 @@ from pinwright.llm.frames import quoted, slices, texts
 from pinwright.sources.shared import staged
 
 #: Bytes of a range; longer texts are dealt out. Characters of a block, and fragments composed at a time.
-RANGE_BYTES, BLOCK_SIZE, FAN = 1 << 15, 1 << 23, 8
+RANGE_BYTES, BLOCK_SIZE, FAN = 1 << 16, 1 << 23, 8
 #: Cuts that a worker remembers; as many older ones go when these are full.
 KNOWN = 150_000
 _RUN = re.compile(f"[{WHITE}][{WHITE}]")
