@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pinwright.llm.counts import WHITE, byte_letters, cut_words
+from pinwright.llm.counts import RUN, WHITE, byte_letters, cut_words
 from pinwright.llm.frames import quoted, slices, texts
 from pinwright.sources.shared import staged
 
@@ -40,7 +40,6 @@ from pinwright.sources.shared import staged
 RANGE_BYTES, BLOCK_SIZE, FAN = 1 << 16, 1 << 23, 8
 #: Cuts that a worker remembers; as many older ones go when these are full.
 KNOWN = 150_000
-_RUN = re.compile(f"[{WHITE}][{WHITE}]")
 _SAFE = re.compile(f"(?<=[^{WHITE}])(?=[ \n][^{WHITE}])")
 #: The same cuts in bytes, only next to characters that are surely no white space.
 _SAFE_BYTES = re.compile(rb"(?:(?<=[\x21-\x7e])|(?<=[\xc3-\xdf][\x80-\xbf]))(?=[ \n][\x21-\x7e\xc3-\xdf\xe4-\xf4])")
@@ -119,7 +118,7 @@ class Aligner:
         white space meets white space, A begins anew with each stretch, so that it can have many as one text.
         """
         joined = "".join(stretches)
-        if _RUN.search(joined):
+        if RUN.search(joined):
             a = [x.ids for x in self.tokens.encode_batch_fast(stretches, add_special_tokens=False)]
             ours = _flat(a)
         else:

@@ -23,7 +23,7 @@ PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Fixed value: the white space of that pattern.
 WHITE = "\t-\r \x85\xa0  -     　"
-_RUN = re.compile(f"[{WHITE}][{WHITE}]")
+RUN = re.compile(f"[{WHITE}][{WHITE}]")
 _WORD = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
@@ -41,7 +41,7 @@ def cut_words(text: str, special: tuple[str, ...]) -> list[str] | None:
     stretch. A stretch that begins with a line break stands for itself, any other
     one had a space before it (the first one is given a line break's form apart).
     """
-    if _RUN.search(text) or any(s in text for s in special):
+    if RUN.search(text) or any(s in text for s in special):
         return None
     return text.replace("\n", " \n").split(" ")
 

@@ -18,7 +18,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pinwright.llm.counts import cut_words
+from pinwright.llm.counts import RUN, cut_words
 from pinwright.llm.frames import quoted, slices, texts
 from pinwright.sources.shared import shared_folder, staged
 
@@ -74,6 +74,9 @@ class IdEncoder:
         self.special = tuple(t.content for t in self.tokens.get_added_tokens_decoder().values())
         self.kind = np.dtype("<u2" if max(self.tokens.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
+        self.size = np.zeros(self.tokens.get_vocab_size(), np.int64)  # a character of an entry stands for one byte
+        for entry, i in self.tokens.get_vocab().items():
+            self.size[i] = len(entry)
         self.limit = limit
         self.known: dict[str, bytes] = {}
 
@@ -81,27 +84,42 @@ class IdEncoder:
         found = self.tokens.encode_batch_fast(many, add_special_tokens=False)
         return [np.array(x.ids, self.kind).tobytes() for x in found]
 
+    def raw_stretches(self, many: list[str]) -> list[bytes]:
+        """As ``raw`` for stretches that ``cut_words`` gave.
+
+        Where no white space meets white space, each one begins anew, so many are encoded as one text
+        and its ids are told apart by their bytes.
+        """
+        made = []
+        for at in range(0, len(many), 1024):
+            some = many[at:at + 1024]
+            joined = "".join(some)
+            if RUN.search(joined):
+                made += self.raw(some)
+                continue
+            ids = np.array(self.tokens.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.cumsum([0, *(len(s.encode()) for s in some)])
+            cuts = (np.searchsorted(np.cumsum(self.size[ids]), ends, "right") * self.kind.itemsize).tolist()
+            packed = ids.tobytes()
+            made += [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+        return made
+
     def encode(self, whole: list[str]) -> list[bytes]:
         """The ids of each text with the end id, as packed bytes."""
         cuts = [cut_words(t, self.special) for t in whole]
         heads = self.raw([c[0] if c else t for t, c in zip(whole, cuts)])
-        rows = [[head, *map(self.known.get, islice(c, 1, None) if c else ())] for head, c in zip(heads, cuts)]
-        lack: dict[str, list[tuple[list, int]]] = {}
-        for row, words in zip(rows, cuts):
-            at, gaps = 0, row.count(None)
-            for _ in range(gaps):
-                at = row.index(None, at)
-                lack.setdefault(words[at], []).append((row, at))
-                at += 1
+        rests = [c[1:] if c else [] for c in cuts]
+        lack = list(set(chain.from_iterable(rests)).difference(self.known))
         if len(self.known) + len(lack) > self.limit:
             self.known.clear()
-        made = self.raw([w if w[:1] == "\n" else " " + w for w in lack])
-        for (word, places), ids in zip(lack.items(), made):
-            if len(word) <= 48:
-                self.known[word] = ids
-            for row, at in places:
-                row[at] = ids
-        return [b"".join(row) + self.end for row in rows]
+            lack = list(set(chain.from_iterable(rests)))
+        known = self.known
+        known.update(zip(lack, self.raw_stretches([w if w[:1] == "\n" else " " + w for w in lack])))
+        made = [b"".join((head, *map(known.__getitem__, rest), self.end)) for head, rest in zip(heads, rests)]
+        for w in lack:
+            if len(w) > 48:
+                del known[w]
+        return made
 
 
 @lru_cache(maxsize=2)
