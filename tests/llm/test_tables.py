@@ -375,3 +375,27 @@ def test_repeats_whose_lines_occur_before(docs):
         want.add((1000 * k + len(alone + again) - 1, 1000 * k + len(alone + again) - 2))
     got = {(r.doc_id, r.match_doc_id) for r in passages.near_duplicate_passages(docs(rows)).collect()}
     assert want <= got, len(want - got)
+
+
+@pytest.mark.parametrize("text", ["a", "a b", "a b c", "a b c d", "a b c d e", "  "])
+def test_passages_of_a_few_words(docs, text):
+    for rows in ([(1, text)], [(1, text), (2, text), (3, None)]):
+        assert passages.near_duplicate_passages(docs(rows)).collect() == []
+
+
+def test_edited_copies_whose_lines_occur_before(docs):
+    """Passages of three stock lines with one word replaced anywhere: each line stands alone in many smaller documents."""
+    rng = random.Random(22)
+    text = lambda n: prose(rng, n, 10**6)
+    rows, pairs = [], []
+    for k in range(40):
+        lines_ = [text(20) for _ in range(3)]
+        rows += [(1000 * k + j, " ".join([text(50), lines_[j % 3], text(50)])) for j in range(9)]
+        words_ = " ".join(lines_).split()
+        edited = words_.copy()
+        edited[rng.randrange(60)] = text(1)
+        rows += [(1000 * k + 100 + j, " ".join([text(70), *w, text(70)])) for j, w in enumerate((words_, edited))]
+        pairs.append((1000 * k + 101, 1000 * k + 100))
+    got = {(r.doc_id, r.match_doc_id) for r in passages.near_duplicate_passages(docs(rows)).collect()}
+    found = sum(p in got for p in pairs)
+    assert found >= 0.9 * len(pairs), found
