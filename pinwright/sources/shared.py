@@ -64,12 +64,23 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of one frame that ``staged`` gave, after all that is made of it has been written."""
+    folders = {path.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for path in df.inputFiles()}
+    for folder in [f for f in _given if f.split(":", 1)[-1].lstrip("/") in folders]:
+        _given.remove(folder)
+        _delete(df.sparkSession, folder)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all that this process has staged; no frame that reads it is usable after."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _given:
-        path = jvm.org.apache.hadoop.fs.Path(_given.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _given.pop())
 
 
 def ship(spark: SparkSession) -> None:
