@@ -63,10 +63,21 @@ def unframe(stream) -> bytes | None:
     return body[:-4]
 
 
+class _Known(dict):
+    """Ids of stretches; those of long ones are held for one call only."""
+
+    def __init__(self):
+        super().__init__()
+        self.long: dict[str, bytes] = {}
+
+    def __missing__(self, word):
+        return self.long[word]
+
+
 class IdEncoder:
     """Ids by the tokenizers library, one stretch at a time, stretches kept in a memo."""
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_390_000):
+    def __init__(self, path: str, end_id: int, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +89,7 @@ class IdEncoder:
         for entry, i in self.tokens.get_vocab().items():
             self.size[i] = len(entry)
         self.limit = limit
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def raw(self, many: list[str]) -> list[bytes]:
         found = self.tokens.encode_batch_fast(many, add_special_tokens=False)
@@ -109,16 +120,15 @@ class IdEncoder:
         cuts = [cut_words(t, self.special) for t in whole]
         heads = self.raw([c[0] if c else t for t, c in zip(whole, cuts)])
         rests = [c[1:] if c else [] for c in cuts]
-        lack = list(set(chain.from_iterable(rests)).difference(self.known))
-        if len(self.known) + len(lack) > self.limit:
-            self.known.clear()
-            lack = list(set(chain.from_iterable(rests)))
-        known = self.known
-        known.update(zip(lack, self.raw_stretches([w if w[:1] == "\n" else " " + w for w in lack])))
+        known, wanted = self.known, set(chain.from_iterable(rests))
+        lack = list(wanted.difference(known))
+        if len(known) + len(lack) > self.limit:
+            known.clear()
+            lack = list(wanted)
+        for word, ids in zip(lack, self.raw_stretches([w if w[:1] == "\n" else " " + w for w in lack])):
+            (known if len(word) <= 48 else known.long)[word] = ids
         made = [b"".join((head, *map(known.__getitem__, rest), self.end)) for head, rest in zip(heads, rests)]
-        for w in lack:
-            if len(w) > 48:
-                del known[w]
+        known.long.clear()
         return made
 
 
