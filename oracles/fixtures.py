@@ -20,7 +20,7 @@ VIEWS = {
        p_brand || CASE WHEN p_partkey % 16 = 4 THEN ' XYZ' || CAST((p_partkey % 80) * 5 + 4 AS STRING) ELSE '' END AS keywords,
        CAST(p_size % 8 + 3 AS INT) AS pin_count,
        CASE WHEN p_partkey % 9 = 0 AND p_partkey >= 50 THEN p_partkey - 50 END AS extends_ord
-       FROM part WHERE p_partkey % 2 = 0""",
+       FROM part""",
     "fx_footprints": """SELECT p_partkey AS ord, CASE p_partkey % 6 WHEN 0 THEN 'Package_TO_SOT_SMD' WHEN 1 THEN 'Package_SO'
            WHEN 2 THEN 'Package_DFN_QFN' WHEN 3 THEN 'Package_SON' WHEN 4 THEN 'Package_QFP' ELSE 'Package_DIP' END AS lib,
         CASE p_partkey % 6 WHEN 0 THEN 'SOT-23-' WHEN 1 THEN 'TSSOP-' WHEN 2 THEN 'QFN_' WHEN 3 THEN 'WSON-' WHEN 4 THEN 'LQFP' ELSE 'DIP-' END

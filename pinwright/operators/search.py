@@ -68,9 +68,12 @@ def contains_join(queries: DataFrame, query: str, texts: DataFrame, text: str,
     shorts = short_q.withColumn("_gram", F.col("_q"))
     found = found.unionByName(shorts.join(listed((2, 1), shorts), [*by, "_gram"]).select(*by, "_q", "_id"))
     pairs = found.join(ts, [*by, "_id"]).filter(F.contains("_t", F.col("_q"))).select(*by, "_q", "_t")
-    empty = qs.filter("_q = ''").withColumn("_gram", F.lit(""))
-    every = ts.withColumn("_gram", F.lit("")).join(empty, [*by, "_gram"]).select(*by, "_q", "_t")
-    return pairs.unionByName(every).select(*by, F.col("_q").alias(query), F.col("_t").alias(text))
+    empty = qs.filter("_q = ''")
+    if by:
+        every = ts.join(empty, by)
+    else:  # one query at most: a yes or no, read once, instead of a join without a key
+        every = ts.filter(empty.agg(F.count(F.lit(1)) > 0).scalar()).withColumn("_q", F.lit(""))
+    return pairs.unionByName(every.select(*by, "_q", "_t")).select(*by, F.col("_q").alias(query), F.col("_t").alias(text))
 
 
 def wildcard_pairs(queries: DataFrame, query: str, names: DataFrame, name: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import rules as R
+from .shared import staged
 
 # Tokens of library text, numbered-pad pattern, sub-symbol names.
-TOKEN = r'\(|\)|"(?:[^"\\]|\\.)*"|[^\s()"]+'
+STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+TOKEN = rf'\(|\)|{STRING}|[^\s()"]+'
 PAD_ENTRY = r'\(pad\s+(?:"[^"]+"|[^\s)]+)\s+(?:smd|thru_hole)'
 SUB_SYMBOL = r".*_\d+_\d+$"
+BLOCK_CHARS = 1 << 16  # characters of library text per block
 
 
 def scan_symbol_files(spark: SparkSession, folder: str, glob: str = "*.kicad_sym") -> DataFrame:
@@ -48,48 +51,138 @@ def _unquoted(token: Column) -> Column:
     return F.when(quoted, F.replace(inner, F.lit('\\"'), F.lit('"'))).otherwise(token)
 
 
-def shred(files: DataFrame) -> DataFrame:
+def _joined(parts: DataFrame, by: list[str]) -> DataFrame:
+    """The texts of (part, text) rows put together in the order of ``part``."""
+    some = F.sort_array(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy(*by).agg(F.array_join(F.transform(some, lambda x: x["text"]), "").alias("text"))
+
+
+def _pieces(files: DataFrame, width: int) -> DataFrame:
+    """Long texts cut before the first bracket behind each multiple of ``width``: (file, blk, text)."""
+    raw = files.select("file", F.posexplode(
+        F.regexp_extract_all("content", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("k", "piece"))
+    head = F.when(F.col("k") == 0, "").otherwise(F.regexp_extract("piece", r"^[^(]*+", 0))
+    cut = raw.withColumn("head", head).withColumn("body", F.expr("substring(piece, length(head) + 1)"))
+    before = Window.partitionBy("file").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.when((F.col("k") == 0) | (F.col("body") != ""), F.col("k"))
+    owners = cut.select("file", "k", starts.alias("start")).select(  # one short row per piece
+        "file", "k", F.last("start", ignorenulls=True).over(before).alias("blk"))
+    heads = cut.filter("head <> ''").select("file", "k", "head").join(owners, ["file", "k"])
+    parts = cut.filter(starts.isNotNull()).select("file", F.col("k").alias("blk"), F.lit(0).alias("part"), F.col("body").alias("text"))
+    return _joined(parts.unionByName(heads.select("file", "blk", F.col("k").alias("part"), F.col("head").alias("text"))), ["file", "blk"])
+
+
+def blocks(files: DataFrame, width: int) -> DataFrame:
+    """(file, blk, text): texts in blocks of about ``width`` characters that begin at a bracket outside of strings.
+
+    A bracket may stand inside a string. What a block does to "inside a string" is a map of two states:
+    constant, or one that keeps or turns the state. Along the file the state is that of the last constant,
+    turned as often as maps since then turn it. Blocks that begin inside a string join the one before.
+    """
+    long = F.length("content") > width
+    cut = _pieces(files.filter(long), width)
+    from_outside = F.contains(F.regexp_replace("text", f"(?s){STRING}", ""), F.lit('"'))
+    rest = F.regexp_extract("text", r'(?s)^[^"\\]*+(?:\\.[^"\\]*+)*+"(.*)$', 1)
+    leaves = F.col("text").rlike(r'(?s)^[^"\\]*+(?:\\.[^"\\]*+)*+"')
+    from_inside = ~leaves | F.contains(F.regexp_replace(rest, f"(?s){STRING}", ""), F.lit('"'))
+    states = cut.select("file", "blk", from_outside.alias("o"), from_inside.alias("i"))
+    order = Window.partitionBy("file").orderBy("blk")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    states = states.withColumn("turns", F.sum(F.when(F.col("o") & ~F.col("i"), 1).otherwise(0)).over(upto))
+    fixed = F.when(F.col("o") == F.col("i"), F.struct(F.col("o").cast("int").alias("v"), "turns"))
+    known = states.withColumn("last", F.last(fixed, ignorenulls=True).over(before)).withColumn(
+        "turned", F.coalesce(F.lag("turns").over(order), F.lit(0)))
+    inside = (F.coalesce("last.v", F.lit(0)) + F.col("turned") - F.coalesce("last.turns", F.lit(0))) % 2 == 1
+    owners = known.withColumn("inside", inside).select(
+        "file", "blk", F.last(F.when(~F.col("inside"), F.col("blk")), ignorenulls=True).over(upto).alias("owner"))
+    whole = _joined(cut.join(owners, ["file", "blk"]).select("file", "owner", F.col("blk").alias("part"), "text"), ["file", "owner"])
+    return files.filter(~long).select("file", F.lit(0).alias("blk"), F.col("content").alias("text")).unionByName(
+        whole.withColumnRenamed("owner", "blk"))
+
+
+def _tokens(some: DataFrame, *more: str) -> DataFrame:
+    """Tokens of blocks with the running sum of opened less closed brackets in the block."""
+    step = F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)
+    upto = Window.partitionBy("file", "blk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return some.select("file", "blk", *more, F.posexplode(
+        F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("at", "tok")).withColumn("rel", F.sum(step).over(upto))
+
+
+def _along(some: DataFrame) -> DataFrame:
+    """What each block of a file begins with: tokens before it, depth, and the open nodes by level.
+
+    (file, blk, base, sum, low, stack), of files with balanced brackets and a tag behind each opening one. A block's
+    summary is its tokens, its sum and lowest running sum, and its unmatched openings; a file has one short row
+    per block and level.
+    """
+    t = _tokens(some)
+    opens = F.col("tok") == "("
+    local = Window.partitionBy("file", "blk").orderBy("at")
+    t = t.withColumn("untagged", opens & (F.lag("tok").over(local) == "("))
+    sums = t.groupBy("file", "blk").agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("rel", "at").alias("total"), F.min("rel").alias("least"),
+        F.min_by("tok", "at").alias("first"), F.max_by("tok", "at").alias("final"),
+        F.max(F.coalesce("untagged", F.lit(False))).alias("bad"))
+    order = Window.partitionBy("file").orderBy("blk")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    held = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).withColumn(
+        "sum", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    # Closing brackets beyond the outermost level are ignored: depth counts from the lowest sum so far.
+    reached = F.least(F.col("sum") + F.col("least"), F.lit(0))
+    held = held.withColumn("low", F.coalesce(F.min(reached).over(before), F.lit(0))).withColumn(
+        "bad", F.col("bad") | ((F.col("first") == "(") & F.coalesce(F.lag("final").over(order) == "(", F.lit(False))))
+    held = held.withColumn("end_low", F.least("low", reached)).withColumn("depth", F.col("sum") - F.col("low")).withColumn(
+        "end_depth", F.col("sum") + F.col("total") - F.col("end_low"))
+    fine = held.groupBy("file").agg(F.max("bad").alias("bad"), F.max_by("end_depth", "blk").alias("end")).filter("end = 0 and not bad")
+    held = held.join(fine.select("file"), "file", "left_semi")
+    unmatched = (
+        t.filter(opens).groupBy("file", "blk", "rel").agg(F.max("at").alias("at"))
+        .join(held.select("file", "blk", "base", "sum", "total", "end_low"), ["file", "blk"]).filter("rel <= total")
+        .select("file", "blk", (F.col("sum") + F.col("rel") - F.col("end_low")).alias("level"), (F.col("base") + F.col("at")).alias("node")))
+    asked = held.filter("depth > 0").select("file", "blk", F.explode(F.sequence(F.lit(1), "depth")).alias("level"))
+    earlier = Window.partitionBy("file", "level").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    stacks = (
+        asked.join(unmatched, ["file", "blk", "level"], "full")
+        .withColumn("open", F.last("node", ignorenulls=True).over(earlier))
+        .groupBy("file", "blk").agg(F.map_from_entries(F.collect_list(F.when(
+            F.col("open").isNotNull(), F.struct("level", "open")))).alias("stack")))
+    return held.select("file", "blk", "base", "sum", "low").join(stacks, ["file", "blk"], "left")
+
+
+def shred(files: DataFrame, width: int = BLOCK_CHARS) -> DataFrame:
     """Library text to node rows: (file, node, parent, depth, top, tag, values).
 
-    ``files(file, content)``. A node is named by the place of its opening token;
-    ``top`` is the enclosing second-level node. Depth is a running sum of +1/-1,
-    the parent the last node opened one level up. Files with unbalanced brackets
+    ``files(file, content)``, one row per file. A node is named by the place of its opening token;
+    ``top`` is the enclosing second-level node. Files with unbalanced brackets
     or an opening bracket without a tag are left out.
 
-    Depth and top-level borders are found along the file, which is one input row;
-    parents are looked for inside one top-level node at a time.
+    A long text is cut into blocks, which spread over tasks; no window holds more than the tokens of
+    one. Depths and open nodes at the begin of a block come from the summaries of those before it, and parents are
+    looked for inside the block first.
     """
-    order = Window.partitionBy("file").orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    tokens = files.select(
-        "file", F.posexplode(F.regexp_extract_all("content", F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+    some = blocks(files, width)
+    known = staged(some.join(_along(some), ["file", "blk"]), "text-blocks")
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    t = tokens.withColumn("_sum", F.sum(step).over(upto))
-    # Closing brackets beyond the outermost level are ignored.
-    t = t.withColumn("depth", (F.col("_sum") - F.min(F.least("_sum", F.lit(0))).over(upto)).cast("int"))
-    t = t.withColumn("_untagged", opens & (F.lag("tok").over(order) == "("))
-    whole = Window.partitionBy("file")
-    t = (
-        t.withColumn("_end", F.last("depth").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_bad", F.max(F.coalesce("_untagged", F.lit(False))).over(whole))
-        .filter("_end = 0 and not _bad")
-        .withColumn("top", F.last(F.when(opens & (F.col("depth") == 2), F.col("pos")), ignorenulls=True).over(upto))
-        .select("file", "pos", "tok", "depth", "top")
-    )
+    upto = Window.partitionBy("file", "blk").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    t = _tokens(known, "base", "sum", "low", "stack").withColumn("_sum", F.col("sum") + F.col("rel"))
+    t = t.withColumn("depth", (F.col("_sum") - F.least("low", F.min("_sum").over(upto))).cast("int"))
+    t = t.withColumn("pos", F.col("base") + F.col("at"))
+    here = F.last(F.when(opens & (F.col("depth") == 2), F.col("pos")), ignorenulls=True).over(upto)
+    t = t.withColumn("top", F.coalesce(here, F.try_element_at("stack", F.lit(2).cast("long"))))
     # Every node stands at its own level as a possible parent and one level up as a
     # child; an atom belongs to its own level. The last node opened at the level wins.
     roles = F.when(opens, F.array(
         F.struct(F.col("depth").alias("level"), F.lit(1).alias("role")),
         F.struct((F.col("depth") - 1).alias("level"), F.lit(0).alias("role")),
     )).otherwise(F.array(F.struct(F.col("depth").alias("level"), F.lit(0).alias("role"))))
-    inside = F.when(F.col("level") >= 2, F.col("top")).otherwise(-1)
-    at_level = Window.partitionBy("file", inside, "level").orderBy("pos", "role").rowsBetween(
+    at_level = Window.partitionBy("file", "blk", "level").orderBy("pos", "role").rowsBetween(
         Window.unboundedPreceding, -1)
     linked = (
         t.filter(~closes & (F.col("depth") > 0)).withColumn("_r", F.explode(roles))
-        .select("file", "pos", "tok", "depth", "top", "_r.level", "_r.role")
-        .withColumn("parent", F.last(F.when(F.col("role") == 1, F.col("pos")), ignorenulls=True).over(at_level))
+        .select("file", "blk", "pos", "tok", "depth", "top", "stack", "_r.level", "_r.role")
+        .withColumn("parent", F.coalesce(
+            F.last(F.when(F.col("role") == 1, F.col("pos")), ignorenulls=True).over(at_level),
+            F.try_element_at("stack", F.col("level").cast("long"))))
         .filter("role = 0")
         .withColumn("node", F.when(opens, F.col("pos")).otherwise(F.col("parent")))
     )

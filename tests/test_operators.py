@@ -277,3 +277,22 @@ def test_contains_join_equals_the_plain_form(spark, by):
             if q is not None and t is not None and q in t and (not by or g == h)}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_search_has_no_pairing_without_a_key(spark, threshold):
+    """Also with the empty query, which every entry answers at the prefix score."""
+    symbols = fx.symbols(spark, SF).limit(60)
+    asked = spark.createDataFrame([("", 0), ("", 5), ("AD8", 4), ("XYZ12", 0), ("S", 0)], "query string, pin_count int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = search.search_symbols(asked, symbols)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, got.collect()))
+        feet = search.search_footprints(asked, fx.footprints(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search("NestedLoop|Cartesian", plan + feet)
+    assert rows == sorted(map(tuple, search.search_symbols_plain(asked, symbols).collect()))
+    assert sum(r[0] == "" for r in rows) == 120
