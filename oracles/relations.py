@@ -215,8 +215,7 @@ O["linked_truth"] = W("""SELECT id, pn, family, coalesce(CASE WHEN id % 2 = 0 TH
 O["library_upsert"] = W("""SELECT lib, name, ord, CASE WHEN ord % 6 = 0 THEN pin_count + 100 ELSE pin_count END AS pin_count FROM b
    UNION ALL SELECT lib, name || '_NEW', ord, pin_count FROM b WHERE ord % 10 = 0""", {"b": "SELECT lib, name, min(ord) AS ord, arg_min(pin_count, ord) AS pin_count FROM fx_symbols GROUP BY lib, name"})
 O["file_manifest"] = "SELECT CAST(s_suppkey % 16 AS INT) AS bucket, CAST(sum(strlen(s_name) + 1) AS BIGINT) AS size_bytes FROM supplier GROUP BY 1"
-O["nested_text_nodes"] = W("""SELECT file, node, max(par) AS parent, max(lvl) AS depth, coalesce(arg_min(v, pos), '') AS tag, coalesce(string_agg(v, '|' ORDER BY pos) FILTER (WHERE rn > 1), '') AS atoms
-   FROM (SELECT *, row_number() OVER (PARTITION BY file, node, v IS NULL ORDER BY pos) AS rn FROM placed) z GROUP BY file, node""", {
+_NODE_CTES = {
     "tok": """SELECT file, unnest(l) AS tok, CAST(unnest(range(len(l))) AS INT) AS pos FROM (SELECT file, regexp_extract_all(content, '\\(|\\)|"(?:[^"\\\\]|\\\\.)*"|[^\\s()"]+') AS l FROM fx_library) z""",
     "sums": "SELECT *, CAST(sum(CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY file ORDER BY pos) AS INT) AS s, tok = '(' AND lag(tok) OVER (PARTITION BY file ORDER BY pos) = '(' AS untagged FROM tok",
     "deep": "SELECT *, s - min(least(s, 0)) OVER (PARTITION BY file ORDER BY pos) AS depth FROM sums",
@@ -226,15 +225,88 @@ O["nested_text_nodes"] = W("""SELECT file, node, max(par) AS parent, max(lvl) AS
     "linked": """SELECT *, last_value(CASE WHEN role = 1 THEN pos END IGNORE NULLS) OVER (PARTITION BY file, level ORDER BY pos, role ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent
        FROM roles WHERE file IN (SELECT file FROM fine)""",
     "placed": """SELECT file, pos, CASE WHEN tok = '(' THEN pos ELSE parent END AS node, CASE WHEN tok = '(' THEN parent END AS par, CASE WHEN tok = '(' THEN depth END AS lvl,
-       CASE WHEN tok = '(' THEN NULL WHEN length(tok) >= 2 AND starts_with(tok, '"') AND ends_with(tok, '"') THEN replace(substr(tok, 2, length(tok) - 2), '\\"', '"') ELSE tok END AS v FROM linked WHERE role = 0"""})
+       CASE WHEN tok = '(' THEN NULL WHEN length(tok) >= 2 AND starts_with(tok, '"') AND ends_with(tok, '"') THEN replace(substr(tok, 2, length(tok) - 2), '\\"', '"') ELSE tok END AS v FROM linked WHERE role = 0"""}
+_NODE_CTES["nodes"] = "SELECT file, node, max(par) AS parent, max(lvl) AS depth, coalesce(arg_min(v, pos), '') AS tag, list(v ORDER BY pos) FILTER (WHERE v IS NOT NULL) AS vals FROM placed GROUP BY file, node"
+O["nested_text_nodes"] = W("""SELECT file, node, max(par) AS parent, max(lvl) AS depth, coalesce(arg_min(v, pos), '') AS tag, coalesce(string_agg(v, '|' ORDER BY pos) FILTER (WHERE rn > 1), '') AS atoms
+   FROM (SELECT *, row_number() OVER (PARTITION BY file, node, v IS NULL ORDER BY pos) AS rn FROM placed) z GROUP BY file, node""", _NODE_CTES)
 _good = "ord % 50 <> 0"
 O["symbol_entries"] = W(f"""SELECT CAST(ord AS STRING) AS file, name, description || ' "q" (x)' AS description, keywords, '' AS footprint, '' AS fp_filters, '' AS extends, 2 AS own_pins FROM fx_symbols WHERE {_good}
    UNION ALL SELECT CAST(ord AS STRING), name || '_B', 'child of ' || name, '', '', '', name, 0 FROM fx_symbols WHERE {_good}""")
 O["symbol_geometry"] = W(f"""SELECT CAST(ord AS STRING) AS file, s.name AS symbol, v.number, v.name, v.pin_type, 'line' AS shape, CAST(v.x AS DOUBLE) AS x, CAST(CASE WHEN v.number = '1' THEN pin_count ELSE 0 END AS DOUBLE) AS y,
    CAST(v.angle AS DOUBLE) AS angle, CAST(2.54 AS DOUBLE) AS length, CAST(ord % 3 AS INT) AS unit FROM (SELECT ord, name, pin_count FROM fx_symbols WHERE {_good}) s,
    (VALUES ('1', 'VCC', 'power_in', 0, 90), ('2', 'IN', 'input', -5, 0)) v(number, name, pin_type, x, angle)""")
-O["shape_boxes"] = W(f"""SELECT CAST(ord AS STRING) AS file, CAST(-5 - 2.0 AS DOUBLE) AS box_x, CAST(-2.5 AS DOUBLE) - greatest((pin_count + 2.5) * 0.15, 2.0) AS box_y,
-   CAST(10 + 4 AS DOUBLE) AS box_w, pin_count + CAST(2.5 AS DOUBLE) + greatest((pin_count + 2.5) * 0.15, 2.0) * 2 AS box_h FROM fx_symbols WHERE {_good}""")
+def _n(c):
+    return f"coalesce(try_cast({c} AS DOUBLE), 0.0)"
+
+
+_PLACES = ("start", "mid", "end", "center", "at")
+_SYMBOL_OWNERS = {
+    "owned": """SELECT a.file, a.node AS owner, coalesce(b.node, a.node) AS top, coalesce(b.vals[2], a.vals[2]) AS symbol, b.node IS NULL AS shared,
+       CASE WHEN b.node IS NULL THEN 0 ELSE coalesce(try_cast(regexp_extract(substr(a.vals[2], length(b.vals[2]) + 1), '^_(\\d+)_\\d+$', 1) AS INT), 0) END AS unit
+       FROM nodes a LEFT JOIN nodes b ON b.file = a.file AND b.node = a.parent AND b.tag = 'symbol' AND b.depth = 2 WHERE a.tag = 'symbol' AND (a.depth = 2 OR b.node IS NOT NULL AND a.depth = 3)""",
+    "drawn": """SELECT n.file, n.node AS shape, n.tag, n.tag AS kind, o.symbol, o.unit, CASE WHEN n.tag = 'text' THEN coalesce(n.vals[2], '') ELSE '' END AS text
+       FROM nodes n JOIN owned o ON o.file = n.file AND o.owner = n.parent WHERE n.tag IN ('rectangle', 'polyline', 'arc', 'circle', 'text', 'bezier')""",
+}
+_FOOTPRINT_OWNERS = {
+    "drawn": """SELECT n.file, n.node AS shape, n.tag, CASE n.tag WHEN 'fp_rect' THEN 'rectangle' ELSE substr(n.tag, 4) END AS kind,
+       coalesce((SELECT arg_min(l.vals[2], l.node) FROM nodes l WHERE l.file = n.file AND l.parent = n.node AND l.tag = 'layer'), '') AS layer,
+       CASE WHEN n.tag = 'fp_text' THEN coalesce(nullif(n.vals[3], ''), n.vals[2], '') ELSE '' END AS text
+       FROM nodes n WHERE n.depth = 2 AND n.tag IN ('fp_line', 'fp_arc', 'fp_circle', 'fp_poly', 'fp_text', 'fp_rect')""",
+}
+_SHAPE_CTES = {
+    "kid": "SELECT d.file, d.shape, c.tag, min(c.node) AS node, arg_min(c.vals, c.node) AS vals FROM drawn d JOIN nodes c ON c.file = d.file AND c.parent = d.shape GROUP BY ALL",
+    "grand": "SELECT k.file, k.shape, k.tag || ' ' || g.tag AS tag, min(g.node) AS node, arg_min(g.vals, g.node) AS vals FROM kid k JOIN nodes g ON g.file = k.file AND g.parent = k.node WHERE k.tag IN ('stroke', 'fill', 'effects') GROUP BY ALL",
+    "sized": "SELECT g.file, g.shape, arg_min(s.vals, s.node) AS vals FROM grand g JOIN nodes s ON s.file = g.file AND s.parent = g.node AND s.tag = 'size' WHERE g.tag = 'effects font' GROUP BY ALL",
+    "facts": "SELECT d.*, " + ", ".join(f"max(k.vals) FILTER (WHERE k.tag = '{t}') AS k_{t}" for t in (*_PLACES, "radius"))
+    + """, max(g.vals[2]) FILTER (WHERE g.tag = 'stroke width') AS width, max(g.vals[2]) FILTER (WHERE g.tag = 'fill type') AS filled, max(s.vals) AS sizes
+       FROM drawn d LEFT JOIN kid k ON k.file = d.file AND k.shape = d.shape LEFT JOIN grand g ON g.file = d.file AND g.shape = d.shape
+       LEFT JOIN sized s ON s.file = d.file AND s.shape = d.shape GROUP BY ALL""",
+    "made": "SELECT * EXCLUDE (" + ", ".join(f"k_{t}" for t in (*_PLACES, "radius")) + ", width, filled, sizes), "
+    + ", ".join(f"CASE WHEN {has} THEN {_n(f'k_{t}[{i}]')} END AS {t}_{c}" for t, has in (
+        ("start", "kind IN ('rectangle', 'arc', 'line') AND k_start IS NOT NULL"), ("mid", "kind = 'arc' AND k_mid IS NOT NULL"),
+        ("end", "kind IN ('rectangle', 'arc', 'line') AND k_end IS NOT NULL"), ("center", "kind = 'circle' AND k_center IS NOT NULL"), ("at", "kind = 'text'"))
+        for c, i in (("x", 2), ("y", 3)))
+    + f""", CASE WHEN kind <> 'circle' THEN 0.0 WHEN tag = 'circle' AND k_radius IS NOT NULL THEN {_n('k_radius[2]')}
+       WHEN k_center IS NOT NULL AND k_end IS NOT NULL THEN sqrt(pow({_n('k_end[2]')} - {_n('k_center[2]')}, 2) + pow({_n('k_end[3]')} - {_n('k_center[3]')}, 2)) ELSE 0.0 END AS radius,
+       CASE WHEN kind = 'text' THEN {_n('k_at[4]')} ELSE 0.0 END AS angle, CASE WHEN kind = 'text' THEN {_n('sizes[2]')} ELSE 0.0 END AS font_size,
+       {_n('width')} AS stroke, coalesce(nullif(filled, ''), 'none') AS fill FROM facts""",
+    "listed": """SELECT n.file, n.node AS shape, p.node AS seq, p.vals FROM nodes n JOIN (SELECT file, parent, min(node) AS node FROM nodes WHERE tag = 'pts' GROUP BY ALL) l ON l.file = n.file AND l.parent = n.node
+       JOIN nodes p ON p.file = l.file AND p.parent = l.node AND p.tag = 'xy' WHERE n.tag IN ('polyline', 'bezier', 'fp_poly')""",
+}
+# Whole arcs: the circle through three points, and its four outermost points that lie on the way.
+_ARC_CTES = {
+    "a": "SELECT *, 2 * (ax * (by_ - cy) + bx * (cy - ay) + cx * (ay - by_)) AS d FROM (SELECT file, shape, start_x AS ax, start_y AS ay, mid_x AS bx, mid_y AS by_, end_x AS cx, end_y AS cy FROM made WHERE start_x IS NOT NULL AND mid_x IS NOT NULL AND end_x IS NOT NULL) z",
+    "b": """SELECT *, ((ax * ax + ay * ay) * (by_ - cy) + (bx * bx + by_ * by_) * (cy - ay) + (cx * cx + cy * cy) * (ay - by_)) / d AS ux,
+       ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by_ * by_) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d AS uy FROM a WHERE abs(d) >= 1e-10""",
+    "way": """SELECT *, sqrt(pow(ax - ux, 2) + pow(ay - uy, 2)) AS r, CASE WHEN d > 0 THEN 1 ELSE -1 END AS turn FROM b""",
+    "out": """SELECT file, shape, ux + r * dx AS x, uy + r * dy AS y FROM way, (VALUES (1, 0), (0, 1), (-1, 0), (0, -1)) v(dx, dy)
+       WHERE turn * ((cx - ax) * (uy + r * dy - ay) - (cy - ay) * (ux + r * dx - ax)) <= 1e-9""",
+    "bounds": """SELECT file, shape, unnest([start_x, mid_x, end_x, at_x, CASE WHEN radius <> 0 THEN center_x - radius END, CASE WHEN radius <> 0 THEN center_x + radius END]) AS x,
+       unnest([start_y, mid_y, end_y, at_y, CASE WHEN radius <> 0 THEN center_y - radius END, CASE WHEN radius <> 0 THEN center_y + radius END]) AS y FROM made
+       UNION ALL SELECT * FROM out UNION ALL SELECT l.file, l.shape, """ + _n("vals[2]") + ", " + _n("vals[3]") + """ FROM listed l""",
+}
+_BOX = """round(coalesce(min(x) - greatest((max(x) - min(x)) * 0.15, 2.0), 0.0), 4) + 0 AS box_x, round(coalesce(min(y) - greatest((max(y) - min(y)) * 0.15, 2.0), 0.0), 4) + 0 AS box_y,
+   round(coalesce(max(x) - min(x) + 2 * greatest((max(x) - min(x)) * 0.15, 2.0), 10.0), 4) + 0 AS box_w, round(coalesce(max(y) - min(y) + 2 * greatest((max(y) - min(y)) * 0.15, 2.0), 10.0), 4) + 0 AS box_h"""
+_ROW = ", ".join(["kind", "text", *[f"round({t}_{c}, 6) + 0 AS {t}_{c}" for t in _PLACES for c in "xy"],
+                  *[f"round({c}, 6) + 0 AS {c}" for c in ("radius", "angle", "font_size", "stroke")], "fill"])
+_MOD_CTES = {**_NODE_CTES, "tok": _NODE_CTES["tok"].replace("fx_library", "fx_mods")}
+_DRAWN = "(tag = 'fp_text' OR layer IN ('F.SilkS', 'F.CrtYd', 'F.Fab', 'B.SilkS', 'B.CrtYd', 'B.Fab', 'F.Cu', 'B.Cu'))"
+O["symbol_shapes"] = W(f"SELECT file, symbol, unit, {_ROW} FROM made", {**_NODE_CTES, **_SYMBOL_OWNERS, **_SHAPE_CTES})
+O["shape_points"] = W(f"SELECT file, shape, seq, {_n('vals[2]')} AS x, {_n('vals[3]')} AS y FROM listed", {**_NODE_CTES, "listed": _SHAPE_CTES["listed"]})
+O["shape_boxes"] = W(f"""SELECT s.file, s.symbol, {_BOX} FROM (SELECT DISTINCT file, top, symbol FROM owned WHERE shared) s LEFT JOIN (
+   SELECT d.file, d.symbol, b.x, b.y FROM drawn d JOIN bounds b ON b.file = d.file AND b.shape = d.shape
+   UNION ALL SELECT file, symbol, x, y FROM pinned UNION ALL SELECT file, symbol, x + len * cos(radians(turned)), y + len * sin(radians(turned)) FROM pinned) p
+   ON p.file = s.file AND p.symbol = s.symbol GROUP BY s.file, s.symbol""", {**_NODE_CTES, **_SYMBOL_OWNERS, **_SHAPE_CTES, **_ARC_CTES,
+   "pinned": f"""SELECT n.file, o.symbol, {_n('a.vals[2]')} AS x, {_n('a.vals[3]')} AS y, {_n('a.vals[4]')} AS turned, CASE WHEN l.node IS NULL THEN 2.54 ELSE {_n('l.vals[2]')} END AS len
+      FROM nodes n JOIN owned o ON o.file = n.file AND o.owner = n.parent LEFT JOIN nodes a ON a.file = n.file AND a.parent = n.node AND a.tag = 'at'
+      LEFT JOIN nodes l ON l.file = n.file AND l.parent = n.node AND l.tag = 'length' WHERE n.tag = 'pin'"""})
+O["footprint_shapes"] = W(f"SELECT file, layer, {_ROW} FROM made WHERE {_DRAWN}", {**_MOD_CTES, **_FOOTPRINT_OWNERS, **_SHAPE_CTES})
+O["footprint_boxes"] = W(f"""SELECT m.file, {_BOX} FROM fx_mods m LEFT JOIN (
+   SELECT d.file, b.x, b.y FROM drawn d JOIN bounds b ON b.file = d.file AND b.shape = d.shape WHERE {_DRAWN}
+   UNION ALL SELECT file, x - w / 2, y - h / 2 FROM padded UNION ALL SELECT file, x + w / 2, y + h / 2 FROM padded) p ON p.file = m.file GROUP BY m.file""",
+   {**_MOD_CTES, **_FOOTPRINT_OWNERS, **_SHAPE_CTES, **_ARC_CTES,
+   "padded": f"""SELECT n.file, {_n('a.vals[2]')} AS x, {_n('a.vals[3]')} AS y, CASE WHEN s.node IS NULL THEN 1.0 ELSE {_n('s.vals[2]')} END AS w, CASE WHEN s.node IS NULL THEN 1.0 ELSE {_n('s.vals[3]')} END AS h
+      FROM nodes n LEFT JOIN nodes a ON a.file = n.file AND a.parent = n.node AND a.tag = 'at' LEFT JOIN nodes s ON s.file = n.file AND s.parent = n.node AND s.tag = 'size' WHERE n.tag = 'pad'"""})
 O["visible_texts"] = W(f"SELECT CAST(ord AS STRING) AS file, 'Reference' AS property, 'U' AS text FROM fx_symbols WHERE {_good}")
 O["pad_geometry"] = """SELECT CAST(p_partkey AS STRING) AS file, '1' AS number, 'smd' AS pad_type, 'rect' AS shape, CAST(1 AS DOUBLE) AS x, CAST(2 AS DOUBLE) AS y, CAST(90 AS DOUBLE) AS angle, CAST(1.5 AS DOUBLE) AS w,
    CAST(p_size AS DOUBLE) AS h, CAST(0.25 AS DOUBLE) AS corner_ratio, CAST(NULL AS DOUBLE) AS drill_x, CAST(NULL AS DOUBLE) AS drill_y, 'F.Cu F.Mask' AS layers, false AS heatsink FROM part, range(3) r(i) WHERE i < p_size % 4

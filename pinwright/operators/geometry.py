@@ -105,6 +105,27 @@ def arc_points(arcs: DataFrame, keys) -> DataFrame:
     return work.select(*keys, F.explode(points).alias("_p")).select(*keys, "_p.x", "_p.y")
 
 
+def shape_extents(shapes: DataFrame, listed: DataFrame, keys) -> DataFrame:
+    """Points that bound drawn shapes: whole arcs by their sweep, circles by centre and radius, texts by their place.
+
+    ``shapes`` carries start, mid, end, center and at as (x, y) or null, radius and kind, ``listed`` the points
+    of shapes that are lists of them, by (file, shape).
+    """
+    whole = (F.col("kind") == "arc") & F.col("start").isNotNull() & F.col("mid").isNotNull() & F.col("end").isNotNull()
+    arcs = shapes.filter(whole).select(*keys, *[F.col(f"{p}.{c}").alias(f"{n}{c}") for p, n in (("start", "a"), ("mid", "b"), ("end", "c")) for c in "xy"])
+
+    def corner(sign):
+        r = F.col("radius") * sign
+        return F.when(F.col("radius") != 0, F.struct((F.col("center.x") + r).alias("x"), (F.col("center.y") + r).alias("y")))
+
+    single = F.array_compact(F.array(
+        *[F.when(~whole, F.col(p)) for p in ("start", "mid", "end")], F.col("at"),
+        F.when(F.col("center").isNotNull(), corner(-1)), F.when(F.col("center").isNotNull(), corner(1))))
+    points = shapes.select(*keys, F.explode(single).alias("_p")).select(*keys, "_p.x", "_p.y")
+    lists = shapes.select(*dict.fromkeys([*keys, "file", "shape"])).join(listed, ["file", "shape"]).select(*keys, "x", "y")
+    return points.unionByName(arc_points(arcs, keys)).unionByName(lists)
+
+
 def thermal_pads(pads: DataFrame, keys) -> DataFrame:
     """Pads marked as heat sinks, or copper without paste larger than 1 x 1.
 

@@ -360,8 +360,14 @@ def package_parts(spark, sf):
 LIBRARY_TEXT = """'(kicad_symbol_lib (version 1) (symbol "' || name || '" (property "Reference" "U" (at 0 1 0)'
    || ' (effects (font (size 1 1)))) (property "Value" "' || name || '" (effects (hide yes))) (property "Description" "'
    || description || ' ' || chr(92) || '"q' || chr(92) || '" (x)") (property "ki_keywords" "' || keywords || '") (symbol "' || name
-   || '_0_1" (rectangle (start -5 ' || CAST(pin_count AS STRING) || ') (end 5 -2.5)) (arc (start 0 0) (mid 1 1) (end 2 0)))'
-   || ' (symbol "' || name || '_' || CAST(ord % 3 AS STRING) || '_1" (pin power_in line (at 0 '
+   || '_0_1" (rectangle (start -5 ' || CAST(pin_count AS STRING) || ') (end 5 -2.5) (stroke (width 0.254) (type default)) (fill (type background)))'
+   || ' (arc (start 0 0) (mid 1 1) (end 2 0) (fill (type none)) (stroke (width 0)))'
+   || ' (arc (start ' || CAST(3 + ord % 5 AS STRING) || ' 0) (mid -' || CAST(3 + ord % 5 AS STRING) || ' 0) (end 0 -' || CAST(3 + ord % 5 AS STRING) || '))'
+   || CASE ord % 4 WHEN 0 THEN ' (arc (start 9 9) (end 1 1))' WHEN 1 THEN ' (arc (start 0 0) (mid 4 0) (end 8 0))' ELSE '' END
+   || ' (circle (center 1 ' || CAST(ord % 7 AS STRING) || ') '
+   || CASE WHEN ord % 3 = 0 THEN '(end 4 ' || CAST(ord % 7 + 4 AS STRING) || ')' ELSE '(radius 2.5)' END || ' (fill (type outline)))'
+   || ' (text "note ' || CAST(ord % 9 AS STRING) || '" ' || CASE WHEN ord % 5 = 0 THEN '' ELSE '(at 0 -8 900) ' END || '(effects (font (size 1.5 1.25)))))'
+   || ' (symbol "' || name || '_' || CAST(ord % 3 AS STRING) || '_1" (polyline (pts (xy -6 0) (xy ' || CAST(ord % 13 AS STRING) || ' 9.5)) (stroke (width 0.1)) (fill (type none))) (pin power_in line (at 0 '
    || CAST(pin_count AS STRING) || ' 90) (length 2.54) (name "VCC") (number "1"))'
    || ' (pin input line (at -5 0 0) (length 2.54) (name "IN") (number "2")))) (symbol "' || name
    || '_B" (extends "' || name || '") (property "Description" "child of ' || name || '")))'
@@ -372,7 +378,12 @@ def library_files(spark, sf):
     return symbols(spark, sf).selectExpr("CAST(ord AS STRING) AS file", "lib", f"{LIBRARY_TEXT} AS content")
 
 
-FOOTPRINT_TEXT = """'(footprint "F' || CAST(p_partkey AS STRING) || '" (fp_line (start 0 0) (end 1 1) (layer "F.SilkS"))'
+FOOTPRINT_TEXT = """'(footprint "F' || CAST(p_partkey AS STRING) || '" (fp_line (start 0 0) (end 1 1) (layer "F.SilkS") (stroke (width 0.12)))'
+   || ' (fp_circle (center 0 0) (end ' || CAST(p_size % 6 AS STRING) || ' 1) (layer "' || CASE WHEN p_partkey % 4 = 0 THEN 'F.Mask' ELSE 'F.CrtYd' END || '"))'
+   || ' (fp_arc (start 2 0) (mid 0 2) (end -2 0) (layer "F.Fab"))'
+   || ' (fp_rect (start -1 -1) (end 3 ' || CAST(p_partkey % 8 AS STRING) || ') (layer "B.SilkS") (fill (type solid)))'
+   || ' (fp_poly (pts (xy 0 0) (xy 7 ' || CAST(p_partkey % 3 AS STRING) || ')) (layer "F.Cu"))'
+   || ' (fp_text reference "REF' || CAST(p_partkey % 10 AS STRING) || '" (at 0 -3 90) (layer "F.Paste") (effects (font (size 1 1))))'
    || repeat('(pad "1" smd rect (at 1 2 90) (size 1.5 ' || CAST(p_size AS STRING)
              || ') (layers "F.Cu" "F.Mask") (roundrect_rratio 0.25))', CAST(p_size % 4 AS INT))
    || repeat('(pad "" thru_hole circle (at -1 0) (size 2 2) (drill 0.8 0.4) (property pad_prop_heatsink))',

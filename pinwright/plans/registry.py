@@ -279,10 +279,48 @@ def symbol_geometry(s, d):
     return libraries.pin_geometry(nodes)
 
 
+def _shape_rows(shapes, *keys):
+    """Shape rows with every place as two columns."""
+    places = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in libraries.PLACES for c in "xy"]
+    return _rounded(shapes.select(*keys, "kind", "text", *places, "radius", "angle", "font_size", "stroke", "fill"))
+
+
+@query
+def symbol_shapes(s, d):
+    return _shape_rows(libraries.symbol_shapes(_nodes(s, d)), "file", "symbol", "unit")
+
+
+@query
+def shape_points(s, d):
+    return libraries.listed_points(_nodes(s, d))
+
+
 @query
 def shape_boxes(s, d):
-    nodes = _nodes(s, d)
-    return G.bounding_boxes(libraries.shape_points(nodes), ["file"])
+    """Boxes of symbols: of their shapes and pins; a symbol without any has the empty box."""
+    nodes, keys = _nodes(s, d), ["file", "symbol"]
+    drawn = G.shape_extents(libraries.symbol_shapes(nodes), libraries.listed_points(nodes), keys)
+    pins = G.pin_points(libraries.pin_geometry(nodes), keys)
+    return _rounded(G.bounding_boxes(drawn.unionByName(pins), keys, libraries.symbol_entries(nodes).select("file", F.col("name").alias("symbol"))), 4)
+
+
+def _mod_nodes(s, d):
+    return staged(libraries.shred(fx.footprint_files(s, d)), "nodes")
+
+
+@query
+def footprint_shapes(s, d):
+    shapes = libraries.footprint_shapes(_mod_nodes(s, d))
+    return _shape_rows(shapes.filter(G.drawn(F.col("tag"), F.col("layer"))), "file", "layer")
+
+
+@query
+def footprint_boxes(s, d):
+    """Boxes of footprints: of the shapes on the layers that are drawn, and of the pads."""
+    nodes, keys = _mod_nodes(s, d), ["file"]
+    shapes = libraries.footprint_shapes(nodes).filter(G.drawn(F.col("tag"), F.col("layer")))
+    points = G.shape_extents(shapes, libraries.listed_points(nodes), keys).unionByName(G.pad_points(libraries.pad_geometry(nodes), keys))
+    return _rounded(G.bounding_boxes(points, keys, fx.footprint_files(s, d)), 4)
 
 
 @query
@@ -293,8 +331,7 @@ def visible_texts(s, d):
 
 @query
 def pad_geometry(s, d):
-    nodes = staged(libraries.shred(fx.footprint_files(s, d)), "nodes")
-    return libraries.pad_geometry(nodes).drop("pad_pos")
+    return libraries.pad_geometry(_mod_nodes(s, d)).drop("pad_pos")
 
 
 @query

@@ -255,20 +255,89 @@ def _number(c: Column, default: float = 0.0) -> Column:
     return F.coalesce(c.try_cast("double"), F.lit(default))
 
 
-def shape_points(nodes: DataFrame, tags=tuple(L.SYMBOL_SHAPES)) -> DataFrame:
-    """Points of drawn shapes: (file, top, shape, tag, unit_name, role, seq, x, y)."""
-    shapes = nodes.filter(F.col("tag").isin(*tags)).select(
-        "file", "top", F.col("node").alias("shape"), F.col("tag").alias("shape_tag"),
-        F.col("parent").alias("owner"))
-    roles = ["start", "mid", "end", "center", "at"]
-    direct = nodes.filter(F.col("tag").isin(*roles)).select(
-        "file", F.col("parent").alias("shape"), F.col("tag").alias("role"), "node", "values")
-    lists = nodes.filter("tag = 'pts'").select("file", F.col("parent").alias("shape"), F.col("node").alias("parent"))
-    listed = nodes.filter("tag = 'xy'").join(lists, ["file", "parent"]).select(
-        "file", "shape", F.lit("pts").alias("role"), "node", "values")
-    return shapes.join(direct.unionByName(listed), ["file", "shape"]).select(
-        "file", "top", "owner", "shape", "shape_tag", "role", F.col("node").alias("seq"),
-        _number(value_at(0)).alias("x"), _number(value_at(1)).alias("y"))
+def _owners(nodes: DataFrame) -> DataFrame:
+    """Symbols and their sub-symbols, which hold shapes and pins: (file, parent, top, symbol, unit, shared)."""
+    named = nodes.filter("tag = 'symbol' and depth in (2, 3)").select(
+        "file", F.col("node").alias("parent"), "top", value_at(0).alias("_name"), F.col("depth").alias("_d"))
+    heads = named.filter("_d = 2").select("file", "top", F.col("_name").alias("symbol"))
+    unit = F.when(F.col("_d") == 2, 0).otherwise(R.unit_number(F.col("_name"), F.col("symbol")))
+    return named.join(heads, ["file", "top"]).select(
+        "file", "parent", "top", "symbol", unit.alias("unit"), (F.col("_d") == 2).alias("_shared"))
+
+
+PLACES = ["start", "mid", "end", "center", "at"]
+
+
+def _shapes(drawn: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Geometry of shape nodes ``drawn(file, shape, tag, text, ...)`` from their children, first of a tag first.
+
+    Adds start, mid, end, center and at as (x, y) or null, radius, angle, font_size, stroke width and fill type. A circle without a
+    radius has that of its end; a text without a place stands at the origin.
+    """
+    below = nodes.filter(F.col("tag").isin(*PLACES, "radius", "layer", "stroke", "fill", "effects")).select(
+        "file", F.col("parent").alias("shape"), "node", "tag", "values")
+    first = below.groupBy("file", "shape").agg(
+        *[F.min_by("values", F.when(F.col("tag") == t, F.col("node"))).alias(f"_{t}") for t in (*PLACES, "radius", "layer")],
+        *[F.min(F.when(F.col("tag") == t, F.col("node"))).alias(f"_{t}") for t in ("stroke", "fill", "effects")])
+    rows = drawn.join(first, ["file", "shape"], "left")
+
+    def inner(rows, parent, tag, out, what):
+        found = nodes.filter(F.col("tag") == tag).groupBy("file", F.col("parent").alias(parent)).agg(
+            F.min_by(what, "node").alias(out))
+        return rows.join(found, ["file", parent], "left")
+
+    rows = inner(rows, "_stroke", "width", "_width", value_at(0))
+    rows = inner(rows, "_fill", "type", "_type", value_at(0))
+    rows = inner(rows, "_effects", "font", "_font", F.col("node"))
+    rows = inner(rows, "_font", "size", "_size", value_at(0))
+
+    def place(t):
+        return F.when(F.col(f"_{t}").isNotNull(), F.struct(
+            _number(F.get(f"_{t}", F.lit(0))).alias("x"), _number(F.get(f"_{t}", F.lit(1))).alias("y")))
+
+    kind, at = F.col("kind"), {t: place(t) for t in PLACES}
+    ends = F.hypot(at["end"]["x"] - at["center"]["x"], at["end"]["y"] - at["center"]["y"])
+    radius = F.when(F.col("_radius").isNotNull() & (F.col("tag") == "circle"), _number(F.get("_radius", F.lit(0)))).otherwise(ends)
+    is_text = kind == "text"
+    origin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    return rows.select(
+        *drawn.columns, F.coalesce(F.get("_layer", F.lit(0)), F.lit("")).alias("layer"),
+        *[F.when(kind.isin("rectangle", "arc", "line") & (F.lit(t != "mid") | (kind == "arc")), at[t]).alias(t) for t in ("start", "mid", "end")],
+        F.when(kind == "circle", at["center"]).alias("center"),
+        F.when(kind == "circle", F.coalesce(radius, F.lit(0.0))).otherwise(0.0).alias("radius"),
+        F.when(is_text, F.coalesce(at["at"], origin)).alias("at"),
+        F.when(is_text, _number(F.get("_at", F.lit(2)))).otherwise(0.0).alias("angle"),
+        F.when(is_text, _number(F.col("_size"))).otherwise(0.0).alias("font_size"),
+        _number(F.col("_width")).alias("stroke"),
+        F.when(F.coalesce("_type", F.lit("")) == "", "none").otherwise(F.col("_type")).alias("fill"))
+
+
+def symbol_shapes(nodes: DataFrame) -> DataFrame:
+    """Shapes drawn on a symbol or one of its units: (file, symbol, unit, shape, kind, text, geometry, pen)."""
+    own = nodes.filter(F.col("tag").isin(*L.SYMBOL_SHAPES)).select("file", "parent", F.col("node").alias("shape"), "tag", "values")
+    kind = F.col("tag")
+    drawn = own.join(_owners(nodes), ["file", "parent"]).select(
+        "file", "top", "symbol", "unit", "shape", "tag", kind.alias("kind"),
+        F.when(kind == "text", F.coalesce(value_at(0), F.lit(""))).otherwise("").alias("text"))
+    return _shapes(drawn, nodes).drop("tag", "layer")
+
+
+def footprint_shapes(nodes: DataFrame) -> DataFrame:
+    """Shapes of a footprint, not yet cut to the layers that are drawn: (file, shape, tag, kind, text, layer, geometry, pen)."""
+    own = nodes.filter(F.col("tag").isin(*L.FOOTPRINT_SHAPES) & (F.col("depth") == 2))
+    kind = R.case_chain([(F.col("tag") == "fp_rect", "rectangle")], F.regexp_replace("tag", "^fp_", ""))
+    said = F.coalesce(F.when(value_at(1) != "", value_at(1)), value_at(0), F.lit(""))
+    drawn = own.select("file", F.col("node").alias("shape"), "tag", kind.alias("kind"),
+                       F.when(F.col("tag") == "fp_text", said).otherwise("").alias("text"))
+    return _shapes(drawn, nodes)
+
+
+def listed_points(nodes: DataFrame) -> DataFrame:
+    """Points of polylines, curves and polygons: (file, shape, seq, x, y), of the first list of each."""
+    of = nodes.filter(F.col("tag").isin("polyline", "bezier", "fp_poly")).select("file", F.col("node").alias("shape"))
+    lists = nodes.filter("tag = 'pts'").groupBy("file", F.col("parent").alias("shape")).agg(F.min("node").alias("parent"))
+    return nodes.filter("tag = 'xy'").join(lists.join(of, ["file", "shape"], "left_semi"), ["file", "parent"]).select(
+        "file", "shape", F.col("node").alias("seq"), _number(value_at(0)).alias("x"), _number(value_at(1)).alias("y"))
 
 
 def pin_geometry(nodes: DataFrame) -> DataFrame:
@@ -277,21 +346,17 @@ def pin_geometry(nodes: DataFrame) -> DataFrame:
         F.min_by("values", "node").alias("values"))
     at = at.select("file", "node", _number(value_at(0)).alias("x"), _number(value_at(1)).alias("y"),
                    _number(value_at(2)).alias("angle"))
-    owner = nodes.filter("tag = 'symbol'").select(
-        "file", F.col("node").alias("parent"), value_at(0).alias("owner_name"), F.col("depth").alias("_d"))
-    head = owner.filter("_d = 2").select("file", F.col("parent").alias("top"), F.col("owner_name").alias("symbol"))
     placed = (
-        _pin_nodes(nodes).join(at, ["file", "node"], "left")
+        _pin_nodes(nodes).drop("top").join(at, ["file", "node"], "left")
         .join(_child(nodes, "length", "_len"), ["file", "node"], "left")
-        .join(owner, ["file", "parent"]).join(head, ["file", "top"])
+        .join(_owners(nodes), ["file", "parent"])
         .select("file", "top", "node", "symbol", F.coalesce("number", F.lit("")).alias("number"),
                 F.coalesce("name", F.lit("")).alias("name"), F.coalesce("type", F.lit("unspecified")).alias("pin_type"),
                 F.coalesce("shape", F.lit("line")).alias("shape"),
                 F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"),
                 F.coalesce("angle", F.lit(0.0)).alias("angle"),
                 F.when(F.col("_len").isNull(), 2.54).otherwise(_number(F.col("_len"))).alias("length"),
-                F.when(F.col("_d") == 2, 0).otherwise(R.unit_number(F.col("owner_name"), F.col("symbol")))
-                .alias("unit"), (F.col("_d") == 2).alias("_shared"))
+                "unit", "_shared")
     )
     # Pins directly on the symbol count only where no pin of that number came before.
     first = placed.groupBy("file", "top", "number").agg(
