@@ -82,8 +82,9 @@ VIEWS["fx_grid"] = (
         f"SELECT doc_id, table_seq, head_rows + k AS row_idx, {i} AS col_idx, {c} AS text FROM fx_grid_rows"
         for i, c in enumerate(fx.GRID_CELLS))
     + """ UNION ALL SELECT doc_id, table_seq, head_rows + k, 4, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE CAST(rn + 100 AS STRING) END
-          FROM fx_grid_rows WHERE form = 0 AND doc_id % 7 = 0
-        UNION ALL SELECT doc_id, table_seq, 0, 4, 'PIN SOT-23' FROM (SELECT DISTINCT doc_id, table_seq FROM fx_grid_rows
+          FROM fx_grid_rows WHERE form = 0 AND doc_id % 7 = 0"""
+    + "".join(f" UNION ALL SELECT doc_id, table_seq, head_rows + k, {i}, {c} FROM fx_grid_rows WHERE form = 0" for i, c in fx.GRID_ALTERNATES.items())
+    + """ UNION ALL SELECT doc_id, table_seq, 0, 4, 'PIN SOT-23' FROM (SELECT DISTINCT doc_id, table_seq FROM fx_grid_rows
           WHERE form = 0 AND doc_id % 7 = 0) z
         UNION ALL SELECT doc_id, table_seq, h.r, h.c, h.t FROM (SELECT DISTINCT doc_id, table_seq, form FROM fx_grid_rows) g
           JOIN (VALUES """ + _heads + ") h(f, r, c, t) ON g.form = h.f) u")

@@ -24,7 +24,7 @@ HEADERS = {
       UNION ALL SELECT doc_id, table_seq, 4, 2, col_idx, CASE WHEN col_idx = name_at OR {_t('t1')} = '' OR {S.type_role('t1')} OR {S.desc_role('t1')} THEN {_t('t1')} ELSE 'PIN ' || trim(t1) END
         FROM w JOIN sz USING (doc_id, table_seq) JOIN first0 USING (doc_id, table_seq) JOIN name1 USING (doc_id, table_seq) WHERE n_rows > 2 AND h1 AND title IN ('PIN', 'PINS')
       UNION ALL SELECT doc_id, table_seq, 5, 3, col_idx, trim({_t('t1')} || ' ' || {_t('t2')}) FROM w JOIN sz USING (doc_id, table_seq) WHERE n_rows > 3 AND (h1 OR h2)""",
-    "rl": f"""SELECT *, {S.pin_role('text')} AS p, {S.name_role('text')} AS n, {S.type_role('text')} AS ty, {S.desc_role('text')} AS de FROM cand""",
+    "rl": f"""SELECT *, {S.pin_role('text')} AS p, {S.name_role('text')} AS n, {S.type_role('text')} AS ty, {S.desc_role('text')} AS de, {S.alt_role('text')} AS al FROM cand""",
     "form": "SELECT doc_id, table_seq, min(form) AS form FROM (SELECT doc_id, table_seq, form FROM rl GROUP BY doc_id, table_seq, form HAVING bool_or(p) AND bool_or(n)) z GROUP BY doc_id, table_seq",
     "hd": "SELECT rl.* FROM rl JOIN form USING (doc_id, table_seq, form)",
     "nc": "SELECT doc_id, table_seq, form, data_start, min(col_idx) FILTER (WHERE n) AS name_col FROM hd GROUP BY doc_id, table_seq, form, data_start",
@@ -66,8 +66,12 @@ READ = {
     "got": f"""SELECT * FROM nums WHERE number IS NOT NULL UNION ALL SELECT b3.*, 1, 'EP' FROM b3 WHERE (regexp_matches(upper(name), {q(L.PAD_NAME)}) OR contains(lower(description), 'thermal pad')
         OR contains(lower(description), 'exposed pad')) AND NOT EXISTS (SELECT 1 FROM nums x WHERE x.doc_id = b3.doc_id AND x.group_no = b3.group_no AND x.table_seq = b3.table_seq AND x.layout = b3.layout
         AND x.row_idx = b3.row_idx AND x.number IS NOT NULL)""",
+    "alts": f"""SELECT g.doc_id, g.table_seq, g.row_idx, string_agg({_t('g.text')}, '|' ORDER BY g.col_idx) AS alt_functions FROM fx_grid g JOIN hd USING (doc_id, table_seq, col_idx)
+        JOIN roles r USING (doc_id, table_seq) WHERE hd.al AND g.col_idx <> coalesce(r.name_col, -1) AND g.col_idx <> coalesce(r.type_col, -1) AND g.col_idx <> coalesce(r.desc_col, -1)
+        AND {_t('g.text')} NOT IN ('', '-') GROUP BY g.doc_id, g.table_seq, g.row_idx""",
     "tp": f"""SELECT doc_id, group_no, table_seq, layout, row_idx, name, description, coalesce(io, {S.infer('name', 'description')}) AS pin_type,
-        CAST(row_number() OVER (PARTITION BY doc_id, group_no, table_seq, layout, row_idx ORDER BY pos) - 1 AS INT) AS num_pos, number FROM got""",
+        CAST(row_number() OVER (PARTITION BY doc_id, group_no, table_seq, layout, row_idx ORDER BY pos) - 1 AS INT) AS num_pos, number,
+        coalesce(alt_functions, '') AS alt_functions FROM got LEFT JOIN alts USING (doc_id, table_seq, row_idx)""",
 }
 O["table_pins"] = W("SELECT * FROM tp", READ)
 _fam = "regexp_replace({}, '-\\d+$', '')".format
@@ -83,7 +87,7 @@ SCORE = {
     "sr": "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY priority DESC, confidence DESC, group_no) = 1 AS best FROM sc",
 }
 O["table_scoring"] = W("SELECT * FROM sr", SCORE)
-O["datasheet_pins"] = W(f"""SELECT doc_id, number, name, pin_type, description FROM kept UNION ALL SELECT doc_id, 'EP', 'GND', 'power_in', 'Exposed thermal pad' FROM kept GROUP BY doc_id
+O["datasheet_pins"] = W(f"""SELECT doc_id, number, name, pin_type, description, alt_functions FROM kept UNION ALL SELECT doc_id, 'EP', 'GND', 'power_in', 'Exposed thermal pad', '' FROM kept GROUP BY doc_id
    HAVING NOT bool_or(number = 'EP') AND regexp_matches(lower(string_agg(description, ' ' ORDER BY table_seq, layout, row_idx, num_pos)), '{L.PAD_DESCRIPTION}')""", {**SCORE,
    "bp": """SELECT * FROM (SELECT tp.*, row_number() OVER (PARTITION BY doc_id, number ORDER BY table_seq, layout, row_idx, num_pos) AS rn FROM tp JOIN (SELECT doc_id, group_no FROM sr WHERE best) s USING (doc_id, group_no)) z WHERE rn = 1""",
    "kept": f"SELECT * FROM bp WHERE doc_id IN (SELECT doc_id FROM bp GROUP BY doc_id HAVING avg(length(name)) <= 20 AND NOT (count(*) >= 3 AND count(*) FILTER (WHERE {S.standard('name')}) < count(*) * 0.4))"})

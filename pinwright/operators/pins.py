@@ -460,7 +460,11 @@ def add_exposed_pad(pins: DataFrame, order=("row_pos",), block: Column | None =
     added = docs.select("doc_id", F.lit("EP").alias("number"), F.lit("GND").alias("name"),
                         F.lit("power_in").alias("pin_type"),
                         F.lit("Exposed thermal pad").alias("description"))
-    return pins.select("doc_id", "number", "name", "pin_type", "description").unionByName(added)
+    columns = ["doc_id", "number", "name", "pin_type", "description"]
+    if "alt_functions" in pins.columns:
+        columns.append("alt_functions")
+        added = added.withColumn("alt_functions", F.array().cast("array<string>"))
+    return pins.select(*columns).unionByName(added)
 
 
 def fill_footprint_property(packages: DataFrame, table: DataFrame) -> DataFrame:

@@ -293,7 +293,7 @@ def best_pins(pins: DataFrame, scores: DataFrame) -> DataFrame:
     """Pins of the winning group, first occurrence per number."""
     chosen = pins.join(scores.filter("best").select("doc_id", "group_no"),
                        ["doc_id", "group_no"], "left_semi")
-    return ordered.first_per_key(chosen.drop("alt_functions"), ["doc_id", "number"],
+    return ordered.first_per_key(chosen, ["doc_id", "number"],
                                  ["table_seq", "layout", "row_idx", "num_pos"])
 
 

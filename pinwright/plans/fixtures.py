@@ -258,6 +258,7 @@ ALTERNATES = """CASE WHEN row_pos % 3 = 1 THEN array(CAST(row_pos + 3 AS STRING)
 # Heading cells of the table forms: (form, row_idx, col_idx, text).
 GRID_HEADS = [
     (0, 0, 0, "Name"), (0, 0, 1, "Pin No."), (0, 0, 2, "I/O"), (0, 0, 3, "Description"),
+    (0, 0, 5, "Alternate Functions"), (0, 0, 6, "Additional function"),
     (1, 0, 0, ""), (1, 0, 1, "PIN"), (1, 0, 2, "TYPE"), (1, 0, 3, "DESCRIPTION"),
     (1, 1, 0, "NAME"), (1, 1, 1, "NO."), (1, 1, 2, None), (1, 1, 3, ""),
     (2, 0, 0, "SPEC"), (2, 0, 1, None), (2, 0, 2, ""), (2, 0, 3, ""),
@@ -283,6 +284,12 @@ GRID_CELLS = [
        THEN 'Exposed pad or supply' ELSE l_returnflag || ' supply voltage' END""",
 ]
 
+# Alternate functions, in tables of form 0: two columns, partly blank or dashed.
+GRID_ALTERNATES = {
+    5: """CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN rn % 3 = 0 THEN '-' ELSE ' ALT' || CAST(rn AS STRING) || ' ' END""",
+    6: """CASE WHEN l_partkey % 11 = 0 OR rn % 2 = 0 THEN '' ELSE 'T' || CAST(l_linenumber AS STRING) END""",
+}
+
 
 def _numbered_lines(spark, sf):
     li = table(spark, sf, "lineitem").select(
@@ -304,12 +311,15 @@ def grid(spark, sf):
     second = rows.filter("form = 0 and doc_id % 7 = 0").selectExpr(
         "doc_id", "table_seq", "head_rows + k AS row_idx", "4 AS col_idx",
         "CASE WHEN l_partkey % 11 = 0 THEN '' ELSE CAST(rn + 100 AS STRING) END AS text")
+    alternates_sql = ", ".join(f"{i}, {c}" for i, c in GRID_ALTERNATES.items())
+    third = rows.filter("form = 0").selectExpr(
+        "doc_id", "table_seq", "head_rows + k AS row_idx", f"stack({len(GRID_ALTERNATES)}, {alternates_sql}) AS (col_idx, text)")
     heads = spark.createDataFrame(GRID_HEADS, "form int, row_idx int, col_idx int, text string")
     tables = rows.select("doc_id", "table_seq", "form").distinct()
     top = tables.join(F.broadcast(heads), "form").select("doc_id", "table_seq", "row_idx", "col_idx", "text")
     top2 = tables.filter("form = 0 and doc_id % 7 = 0").selectExpr(
         "doc_id", "table_seq", "0 AS row_idx", "4 AS col_idx", "'PIN SOT-23' AS text")
-    every = body.unionByName(second).unionByName(top).unionByName(top2)
+    every = body.unionByName(second).unionByName(third).unionByName(top).unionByName(top2)
     # Cells are a stored input of the table rules; derived here, so stored here.
     return staged(every.selectExpr("doc_id", "table_seq + 1 AS page_num", "table_seq",
                                    "CAST(row_idx AS INT) AS row_idx", "col_idx", "text"), "cells")

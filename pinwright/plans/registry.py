@@ -230,7 +230,10 @@ def package_identification(s, d):
 
 @query
 def package_candidates(s, d):
-    return X.all_packages(fx.documents(s, d)).select("doc_id", "name", "pin_count", "code", "tier")
+    docs = fx.documents(s, d)
+    asked = docs.select("doc_id").distinct()
+    listed = T.packages_from_tables(fx.package_cells(s, d).join(asked, "doc_id", "left_semi"), fx.package_parts(s, d))
+    return X.all_packages(docs, listed).select("doc_id", "name", "pin_count", "code", "tier")
 
 
 @query
@@ -729,7 +732,7 @@ def table_groups(s, d):
 @query
 def table_pins(s, d):
     cells = fx.grid(s, d)
-    return T.read_pins(cells, _groups(cells)).drop("alt_functions")
+    return T.read_pins(cells, _groups(cells)).withColumn("alt_functions", F.array_join("alt_functions", "|"))
 
 
 @query
@@ -748,7 +751,8 @@ def table_scoring(s, d):
 
 @query
 def datasheet_pins(s, d):
-    return datasheets.pins_from_tables(fx.grid(s, d), fx.wanted(s, d))
+    pins = datasheets.pins_from_tables(fx.grid(s, d), fx.wanted(s, d))
+    return pins.withColumn("alt_functions", F.array_join("alt_functions", "|"))
 
 
 @query
