@@ -201,12 +201,16 @@ O["exposed_pad_pins"] = W(f"""SELECT doc_id, number, name, pin_type, d AS descri
 # --- sources and sinks --------------------------------------------------------------------------
 O["library_scan"] = W("""SELECT lib, CAST(length(content) AS INT) AS characters, md5(content) AS digest FROM (SELECT lib, content FROM whole
    UNION ALL SELECT lib || '_torn', left(content, 100) FROM whole) z""", {"whole": "SELECT lib, string_agg(content, chr(10) ORDER BY ord) AS content FROM fx_library GROUP BY lib"})
-O["footprint_pad_count"] = W("SELECT file, CAST(p_size % 4 + p_partkey % 3 AS INT) AS pad_count FROM fx_mods")
+O["footprint_pad_count"] = W("""SELECT 'Lib_' || CAST(p_partkey % 7 AS STRING) AS lib, 'F' || file AS name, CASE WHEN p_partkey % 41 = 0 THEN 0
+   ELSE CAST(len(regexp_extract_all(content, '\\(pad\\s+(?:"[^"]+"|[^\\s)]+)\\s+(?:smd|thru_hole)')) AS INT) END AS pad_count FROM fx_mods""")
 O["index_snapshot"] = W("SELECT lib, ord, name, pin_count FROM fx_symbols")
-O["document_admission"] = "SELECT page_id, CAST(strlen(html) AS BIGINT) AS length FROM pages WHERE strlen(html) BETWEEN 1000 AND 52428800 AND starts_with(html, '<!DOC')"
+O["document_admission"] = """SELECT page_id, CAST(strlen(body) AS BIGINT) AS length, md5(body) AS digest FROM (
+   SELECT page_id, CASE WHEN page_id % 7 = 0 THEN substr(t, 1, 999) ELSE t END AS body FROM (
+     SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '<!DOC' ELSE '%PDF-' END || coalesce(html, '') AS t FROM pages) a) b
+   WHERE page_id % 11 <> 0 AND strlen(body) BETWEEN 1000 AND 52428800 AND starts_with(body, '%PDF-')"""
 O["table_admission"] = W("""SELECT doc_id, page_num - 1 AS table_seq, row_idx, col_idx, text FROM fx_cells WHERE (doc_id, page_num) IN (SELECT (doc_id, page_num) FROM fx_cells GROUP BY doc_id, page_num HAVING count(DISTINCT row_idx) > 1)""")
 O["truth_load"] = """SELECT 'tps' || CAST(o_orderkey AS STRING) AS pn, o_orderpriority AS family, 1 AS tier, pin_pos, number, name, type FROM orders,
-   (VALUES (0, '1', 'VCC', 'power_in'), (1, '2', 'GND', NULL)) v(pin_pos, number, name, type) WHERE o_orderkey % 3 IN (0, 1) AND contains('TPS' || CAST(o_orderkey AS STRING), 'TPS1')"""
+   (VALUES (0, '1', 'VCC', 'power_in'), (1, '2', 'GND', NULL)) v(pin_pos, number, name, type) WHERE o_orderkey % 3 IN (0, 1) AND o_orderkey % 37 <> 0 AND contains('TPS' || CAST(o_orderkey AS STRING), 'TPS1')"""
 O["linked_truth"] = W("""SELECT id, pn, family, coalesce(CASE WHEN id % 2 = 0 THEN CAST(8 AS BIGINT) END, n) AS expected_pins, source_id, pin_id, number, name, coalesce(io, 'unspecified') AS type FROM (
    SELECT o_orderkey AS id, 'P' || CAST(o_orderkey AS STRING) AS pn, o_orderpriority AS family, p.doc_id AS source_id, p.row_pos AS pin_id, number, name, io, count(*) OVER (PARTITION BY o_orderkey) AS n
    FROM orders JOIN fx_pins p ON p.doc_id = o_orderkey OR p.doc_id + 1 = o_orderkey WHERE o_orderkey % 5 <> 0) z""".replace(

@@ -262,7 +262,13 @@ def library_scan(s, d):
 
 @query
 def footprint_pad_count(s, d):
-    return fx.footprint_files(s, d).select("file", libraries.pad_count(F.col("content")).alias("pad_count"))
+    """Files in library folders; every 41st is cut inside a character."""
+    folder, key = shared_folder(s, "footprints"), F.col("file").cast("long")
+    raw = F.col("content").cast("binary")
+    torn = F.when(key % 41 == 0, F.concat(raw, F.unhex(F.lit("C3")))).otherwise(raw)
+    name = F.concat(F.lit("Lib_"), (key % 7).cast("string"), F.lit(".pretty/F"), "file", F.lit(".kicad_mod"))
+    sinks.write_files(fx.footprint_files(s, d).select(name.alias("name"), torn.alias("content")), folder)
+    return libraries.scan_footprints(s, folder)
 
 
 @query
@@ -347,9 +353,15 @@ def index_snapshot(s, d):
 
 @query
 def document_admission(s, d):
-    files = fx.table(s, d, "pages").select(
-        "page_id", F.octet_length("html").alias("length"), F.col("html").cast("binary").alias("content"))
-    return documents.admit_documents(files, "<!DOC").select("page_id", F.col("length").cast("bigint").alias("length"))
+    """Pages stored as files, of which some have the header of documents; too small ones among them."""
+    folder = shared_folder(s, "documents")
+    body = F.concat(F.when(F.col("page_id") % 5 == 0, "<!DOC").otherwise("%PDF-"), F.coalesce("html", F.lit("")))
+    body = F.when(F.col("page_id") % 7 == 0, F.substring(body, 1, 999)).otherwise(body)
+    name = F.concat("page_id", F.when(F.col("page_id") % 11 == 0, ".txt").otherwise(".pdf"))
+    sinks.write_files(fx.table(s, d, "pages").select(name.alias("name"), body.alias("content")), folder)
+    return documents.scan_documents(s, folder).select(
+        F.regexp_extract("path", r"(\d+)\.pdf$", 1).cast("bigint").alias("page_id"), "length",
+        F.md5("content").alias("digest"))
 
 
 @query
@@ -363,7 +375,10 @@ def truth_load(s, d):
     text = F.expr("""'{"pn":"tps' || CAST(o_orderkey AS STRING) || '","family":"' || o_orderpriority || '",'
         || CASE o_orderkey % 3 WHEN 0 THEN '' ELSE '"tier":' || CAST(o_orderkey % 3 AS STRING) || ',' END
         || '"pins":[{"number":"1","name":"VCC","type":"power_in"},{"number":"2","name":"GND"}]}'""")
-    parts = fx.table(s, d, "orders").select(F.from_json(text, documents.TRUTH_SCHEMA).alias("t")).select("t.*")
+    folder = shared_folder(s, "truth")
+    torn = F.when(F.col("o_orderkey") % 37 == 0, F.substring(text, 1, 30)).otherwise(text)
+    fx.table(s, d, "orders").select(torn.alias("value")).write.text(folder)
+    parts = documents.read_truth(s, folder)
     return documents.select_truth(parts, tier=1, number="TPS1")
 
 

@@ -13,10 +13,13 @@ TRUTH_SCHEMA = (
 )
 
 
-def scan_documents(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
-    """Stored documents of admissible size; the size test is pushed to the listing."""
+def scan_documents(spark: SparkSession, folder: str, glob: str = "*.pdf", magic: str = "%PDF-") -> DataFrame:
+    """Stored documents of admissible size and header: (path, length, content).
+
+    The size test is pushed to the source, so files of other sizes are not opened.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return admit_documents(files)
+    return admit_documents(files, magic).select("path", "length", "content")
 
 
 def admit_documents(files: DataFrame, magic: str = "%PDF-") -> DataFrame:
@@ -29,8 +32,13 @@ def admit_documents(files: DataFrame, magic: str = "%PDF-") -> DataFrame:
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Ground-truth parts from JSON with a fixed schema."""
-    return spark.read.schema(TRUTH_SCHEMA).option("multiLine", True).json(path)
+    """Ground-truth parts from JSON, one object per line, with a fixed schema.
+
+    Lines are split over tasks. A damaged line is set aside by its text, it does not end the others; a part
+    without a number is none.
+    """
+    rows = spark.read.schema(f"{TRUTH_SCHEMA}, _damaged string").option("columnNameOfCorruptRecord", "_damaged").json(path)
+    return rows.filter("_damaged IS NULL AND pn IS NOT NULL").drop("_damaged")
 
 
 def select_truth(parts: DataFrame, tier: int | None = None, number: str | None = None) -> DataFrame:

@@ -29,14 +29,17 @@ def scan_symbol_files(spark: SparkSession, folder: str, glob: str = "*.kicad_sym
 
 
 def scan_footprints(spark: SparkSession, folder: str) -> DataFrame:
-    """Footprint files two levels deep as (lib, name, pad_count)."""
-    files = spark.read.option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.kicad_mod").text(folder, wholetext=True)
-    path = F.col("_metadata.file_path")
+    """Footprint files two levels deep as (lib, name, pad_count).
+
+    A file that cannot be read as text counts 0 pads and does not stop the others: each one is read
+    as bytes, and decoded by itself.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.kicad_mod").option("recursiveFileLookup", "true").load(folder)
+    content = F.expr("try_validate_utf8(CAST(content AS STRING))")  # null for other bytes
     return files.select(
-        F.regexp_extract(path, r"([^/]+)\.pretty/[^/]+$", 1).alias("lib"),
-        F.regexp_extract(path, r"([^/]+)\.kicad_mod$", 1).alias("name"),
-        pad_count(F.col("value")).alias("pad_count"),
+        F.regexp_extract("path", r"([^/]+)\.pretty/[^/]+$", 1).alias("lib"),
+        F.regexp_extract("path", r"([^/]+)\.kicad_mod$", 1).alias("name"),
+        pad_count(content).alias("pad_count"),
     ).filter("lib <> ''")
 
 

@@ -46,7 +46,7 @@ def append_status(diff: DataFrame, folder: str, run_date) -> None:
 def write_files(files: DataFrame, folder: str) -> None:
     """Write each row (name, content) as one file of its own name to a shared folder.
 
-    Spark's own text sink names its files itself. A file is written under a passing name
+    Names may hold folders; content is text or bytes. Spark's own text sink names its files itself. A file is written under a passing name
     and then moved, so a repeated task replaces whole files only.
     """
     import uuid
@@ -61,7 +61,9 @@ def write_files(files: DataFrame, folder: str) -> None:
             for name, content in zip(*(c.to_pylist() for c in batch.columns)):
                 passing = f"{base}/.{uuid.uuid4().hex}"
                 with disk.open_output_stream(passing) as out:
-                    out.write((content or "").encode())
+                    out.write(content.encode() if isinstance(content, str) else content or b"")
+                if "/" in name:
+                    disk.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
                 disk.move(passing, f"{base}/{name}")
             yield batch.select([0])
 
