@@ -17,28 +17,6 @@ from pinwright.sources.shared import shared_folder
 SF = "/root/testdata/sf0.001"
 
 
-def one(spark, value, expr, kind="string"):
-    return spark.createDataFrame([(value,)], f"v {kind}").select(expr(F.col("v")).alias("o")).first()["o"]
-
-
-@pytest.mark.parametrize("cell,want", [
-    ("5", ["5"]), ("2,3,4", ["2", "3", "4"]), ("", []), (None, []), ("   ", []), ("1\n2\n3", ["1", "2", "3"]),
-    ("1,2\n3;4", ["1", "2", "3", "4"]), ("ThermalPad", ["EP"]), ("E.P.", ["EP"]), ("see note 5", []),
-    ("1,12,13,24,\nThermal pad", ["1", "12", "13", "24", "EP"]), ("-", []), ("PAD", ["EP"]), ("0", ["0"]),
-])
-def test_pin_numbers(spark, cell, want):
-    assert one(spark, cell, R.pin_numbers) == want
-
-
-@pytest.mark.parametrize("pn,base,code", [
-    ("TPS54302PWPR", "TPS54302", "PWP"), ("LM321DDCR", "LM321", "DDC"), ("LM358", "LM358", None), ("", "", None),
-    ("ADS1115IDGSR", "ADS1115I", "DGS"), ("LP5907MFX-1.2", "LP5907", "MFX"), ("X1QDRR", "X1", "QD"),
-])
-def test_suffix(spark, pn, base, code):
-    row = R.split_suffix(spark.createDataFrame([(pn,)], "v string"), "v").first()
-    assert (row["base"], row["code"]) == (base, code)
-
-
 @pytest.mark.parametrize("a,b,same", [
     ("~{EN}", "EN", True), ("PA0/WKUP", "PA0", True), ("SO (IO1)", "SO/IO1", True), ("+", "1IN+", True),
     ("V_{CC}", "VCC", True), ("RT(X Y)", "SS", True), ("GPIO26 / ADC0", "GPIO26_ADC0", True), ("A", "B", False),
