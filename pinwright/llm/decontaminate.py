@@ -31,31 +31,37 @@ def words_of(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def shingle_hashes(words: Column, size: int = SHINGLE) -> Column:
-    """Hashes of all runs of ``size`` words in order; of the whole if it is shorter."""
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - size),
-                       lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(size)]))
-    return hashed, runs
-
-
-def with_shingles(rows: DataFrame, key: str, text: str, size: int = SHINGLE) -> DataFrame:
-    """(key, words, at, sh): every shingle of a text with its position."""
-    hashed, runs = shingle_hashes(F.col("_w"), size)
-    whole = F.array(F.xxhash64("_h"))
+def hashed_words(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, words and their hashes), for texts with a word."""
     return (rows.select(F.col(quoted(key)).alias(key), words_of(F.col(quoted(text))).alias("_w"))
-            .where(F.size("_w") > 0).withColumn("_h", hashed)
-            .select(key, "_w", F.posexplode(F.when(F.size("_w") < size, whole).otherwise(runs)).alias("at", "sh")))
+            .where(F.size("_w") > 0).withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w))))
 
 
-def shingle_text(size: int = SHINGLE) -> Column:
-    return F.array_join(F.slice("_w", F.col("at") + 1, size), " ")
+def runs_of(size: int) -> Column:
+    """(at, size, sh): the hashes of all runs of ``size`` words; none in a shorter text."""
+    made = F.transform(F.sequence(F.lit(0), F.size("_w") - size), lambda i: F.struct(
+        i.alias("at"), F.lit(size).alias("size"), F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(size)]).alias("sh")))
+    return F.when(F.size("_w") >= size, made).otherwise(F.array().cast("array<struct<at:int,size:int,sh:bigint>>"))
+
+
+def with_shingles(rows: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """(key, _w, at, size, sh): the runs of each of ``sizes`` words of a text with their places."""
+    runs = runs_of(sizes[0]) if len(sizes) == 1 else F.concat(*map(runs_of, sizes))
+    return hashed_words(rows, key, text).select(key, "_w", F.explode(runs).alias("_s")).select(key, "_w", "_s.*")
+
+
+def shingle_text() -> Column:
+    return F.array_join(F.slice("_w", F.col("at") + 1, F.col("size")), " ")
 
 
 def item_shingles(items: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(item_id, sh, shingle, n): the different shingles of each item and their number."""
-    each = (with_shingles(items.where("item_id IS NOT NULL"), "item_id", "text", size)
-            .select("item_id", "sh", shingle_text(size).alias("shingle")).distinct())
+    """(item_id, size, sh, shingle, n): the different shingles of each item and their number.
+
+    An item of fewer than ``size`` words is one run of its own length.
+    """
+    each = with_shingles(items.where("item_id IS NOT NULL"), "item_id", "text", list(range(1, size + 1)))
+    each = each.where(F.col("size") == F.least(F.size("_w"), F.lit(size)))
+    each = each.select("item_id", "size", "sh", shingle_text().alias("shingle")).distinct()
     sizes = each.groupBy("item_id").agg(F.count("*").alias("n"))
     return each.join(sizes, "item_id")
 
@@ -80,18 +86,21 @@ def find_items(docs: DataFrame, items: DataFrame, least: float = 0.8, size: int
 
     ``docs`` has doc_id and a text column, ``items`` has item_id and text. Rows of one id are one
     document or one item; rows without an id, and texts without a word, are in nothing
-    and contain nothing. A text of fewer than five words is one shingle of its own.
+    and contain nothing. An item of fewer than five words is one run of its own length, and is looked for among
+    the documents' runs of that length; no other lengths than those of items are listed.
     The items' tables are written first, so that their size is known: Spark sends them
     to every task if they are below its broadcast limit, and shuffles otherwise.
     """
     spelled = staged(item_shingles(items, size), "item-shingles")
     index = staged(sketches(spelled, least), "item-sketches")
+    sizes = sorted(r["size"] for r in spelled.select("size").distinct().collect()) or [size]  # five at most
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.col(quoted(text)).alias("text"))
-    found = staged(with_shingles(texts, "doc_id", "text", size).select("doc_id", "sh")
+    found = staged(with_shingles(texts, "doc_id", "text", sizes).select("doc_id", "sh")
                    .join(index, "sh").select("doc_id", "item_id").distinct(), "item-candidates")
     near = staged(found.select("doc_id").distinct(), "candidate-documents")
-    held = with_shingles(texts.join(near, "doc_id", "left_semi"), "doc_id", "text", size)
-    same = held.join(spelled, (held["sh"] == spelled["sh"]) & (shingle_text(size) == spelled["shingle"]))
+    held = with_shingles(texts.join(near, "doc_id", "left_semi"), "doc_id", "text", sizes).select(
+        "doc_id", "sh", shingle_text().alias("shingle"))  # few words a row, in case it is shuffled
+    same = held.join(spelled, ["sh", "shingle"])
     counted = (same.select("doc_id", "item_id", "n", "shingle").distinct()
                .groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("n_shared")))
     return (counted.join(found, ["doc_id", "item_id"], "left_semi")

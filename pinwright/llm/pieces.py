@@ -171,11 +171,14 @@ class PieceCodec:
 
 def utf8(raw: bytes) -> str:
     """Decode, with one U+FFFD for each byte that belongs to no character."""
-    try:
-        return raw.decode()
-    except UnicodeDecodeError as fault:
-        at = fault.start
-        return raw[:at].decode() + REPLACED + utf8(raw[at + 1:])
+    parts, at = [], 0
+    while True:
+        try:
+            return "".join((*parts, raw[at:].decode()))
+        except UnicodeDecodeError as fault:
+            end = at + fault.start
+            parts += (raw[at:end].decode(), REPLACED)
+            at = end + 1
 
 
 @lru_cache(maxsize=2)

@@ -10,16 +10,16 @@ Manhattan bound, and then the exact distance.
 The counts are kept in unary code inside one long (0, 01 or 11 per segment), which
 makes the Manhattan distance the bit count of an exclusive or.
 
-A cell with more than ``cell_limit`` different fingerprints is not paired. All its
-fingerprints go another exact way: each is listed at every point within half the
-distance, and those at one point link to the least among them, since two
-fingerprints are within ``bits`` of each other exactly if they share such a point.
+A cell with more than ``cell_limit`` different fingerprints is not paired. All its fingerprints go
+to a finer grid: with a block more, a distance of at most ``bits`` leaves a block more untouched, and
+cells agree in three blocks of ``bits + 3``, then in four of ``bits + 4``, and so on. In the last grid every cell is paired,
+so no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +32,8 @@ from pinwright.llm.components import connected_components
 from pinwright.llm.frames import annotate, join_hot, texts
 from pinwright.sources.shared import staged
 
+#: Blocks that a cell holds, grid after grid.
+LEVELS = (2, 3, 4, 5)
 SEED = 42
 EVEN = 0x5555555555555555
 _hash = partial(xxhash.xxh64_digest, seed=SEED)
@@ -68,19 +70,20 @@ def unary(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def block_masks(bits: int) -> list[int]:
-    """One mask over the unary code for each pair of blocks of axes, as signed longs."""
-    cuts = [round(i * 32 / (bits + 2)) for i in range(bits + 3)]
+def block_masks(bits: int, untouched: int = 2) -> list[int]:
+    """One mask over the unary code for each choice of ``untouched`` blocks of axes, as signed longs."""
+    n = bits + untouched
+    cuts = [round(i * 32 / n) for i in range(n + 1)]
     masks = [(1 << 2 * b) - (1 << 2 * a) for a, b in zip(cuts, cuts[1:])]
-    pairs = (x | y for x, y in combinations(masks, 2))
-    return [m - (1 << 64) if m >> 63 else m for m in pairs]
+    chosen = (sum(c) for c in combinations(masks, untouched))  # blocks do not overlap
+    return [m - (1 << 64) if m >> 63 else m for m in chosen]
 
 
-def in_cells(nodes: DataFrame, bits: int) -> DataFrame:
+def in_cells(nodes: DataFrame, bits: int, untouched: int = 2) -> DataFrame:
     """(grid, cell, fp): each fingerprint in its cell of every grid."""
     code = unary(F.col("fp"))
     grids = F.array(*[F.struct(F.lit(k).cast("int").alias("grid"), code.bitwiseAND(F.lit(m)).alias("cell"))
-                      for k, m in enumerate(block_masks(bits))])
+                      for k, m in enumerate(block_masks(bits, untouched))])
     return nodes.select("fp", F.explode(grids).alias("g")).select("g.grid", "g.cell", "fp")
 
 
@@ -150,30 +153,6 @@ def cell_links(cells: DataFrame, bits: int) -> DataFrame:
     return dealt.mapInArrow(run, LINK)
 
 
-def midpoint_links(nodes: DataFrame, bits: int) -> DataFrame:
-    """All links among ``nodes`` up to connection, without pairing: rows grow in proportion."""
-    half = (bits + 1) // 2  # an odd limit lists points that are too far; the distance is checked
-    flips = [sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)]
-    masks = np.array(flips, np.uint64)
-    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("point", T.LongType())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(fps), 64):
-                part = fps[at:at + 64]
-                points = (part.view(np.uint64)[:, None] ^ masks[None, :]).ravel().view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part, len(masks))), pa.array(points)], schema=arrow)
-
-    if bits % 2:
-        raise ValueError("the half-way points need an even number of bits")
-    listed = nodes.select("fp").mapInArrow(run, schema)
-    shared = staged(listed.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "points")
-    return join_hot(listed, shared, ["point"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-
-
 def near_components(prints: DataFrame, bits: int = 4, cell_limit: int = 4096) -> DataFrame:
     """Add ``component_id`` to rows with ``doc_id`` and ``fp``.
 
@@ -183,12 +162,19 @@ def near_components(prints: DataFrame, bits: int = 4, cell_limit: int = 4096) ->
     ``prints`` is read several times and should be a written table.
     """
     nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
-    cells = in_cells(nodes, bits)
-    full = staged(cells.groupBy("grid", "cell").agg(F.count("*").alias("n"))
-                  .where(F.col("n") > cell_limit).drop("n"), "full-cells")
-    links = cell_links(cells.join(full, ["grid", "cell"], "left_anti"), bits)
-    crowded = staged(cells.join(full, ["grid", "cell"], "left_semi").select("fp").distinct(), "crowded")
-    links = links.unionByName(midpoint_links(crowded, bits))
+    links, left = [], nodes
+    for untouched in LEVELS:
+        cells = in_cells(left, bits, untouched)
+        if untouched == LEVELS[-1]:
+            links.append(cell_links(cells, bits))
+            break
+        full = staged(cells.groupBy("grid", "cell").agg(F.count("*").alias("n"))
+                      .where(F.col("n") > cell_limit).drop("n"), "full-cells")
+        links.append(cell_links(cells.join(full, ["grid", "cell"], "left_anti"), bits))
+        if full.isEmpty():
+            break
+        left = staged(cells.join(full, ["grid", "cell"], "left_semi").select("fp").distinct(), "crowded")
+    links = reduce(DataFrame.unionByName, links)
     roots = connected_components(links, "a", "b")
     placed = staged(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                     .withColumn("root", F.coalesce("root", "fp")), "placed")

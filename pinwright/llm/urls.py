@@ -104,7 +104,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     of key and url. If they hold no two classes, their one class is the verdict of all the rest
     (allow, if there is none). Input columns named like a computed one are replaced.
     """
-    made = ("host", "path", "rule", "verdict", "block_score", "suffix", "label", "_hit", *FEATURES)
+    made = ("host", "path", "rule", "verdict", "block_score", "suffix", "label", "_hit", "_features", "_prediction", "_raw", "_probability", *FEATURES)
     keep = [c for c in others(pages, made)]
     rows = described(pages.select(*[F.col(quoted(c)) for c in keep]), url, rules)
     statistics = staged(suffix_statistics(rows), "suffix-statistics")

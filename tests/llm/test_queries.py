@@ -14,7 +14,7 @@ import corpus_pipeline
 from pinwright.llm.quality import Bands, measure
 from pinwright.llm.queries import ORACLES, QUERIES
 
-from test_tables import plain_components, plain_lines, plain_print, plain_shingles
+from test_tables import plain_components, plain_item, plain_lines, plain_print, plain_shingles
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
@@ -41,9 +41,9 @@ def test_pipeline(spark):
     rows = [(i, t) for _, i, t, _, _ in plain_lines(rows)]
     root = plain_components([(i, plain_print(t)) for i, t in rows], lambda x, y: (x ^ y).bit_count() <= 4)
     rows = [(i, t) for i, t in rows if root[i] == i]
-    items = [plain_shingles(r["text"]) for r in ds.dataset(f"{SF}/benchmark.parquet").to_table().to_pylist()]
+    items = [plain_item(r["text"]) for r in ds.dataset(f"{SF}/benchmark.parquet").to_table().to_pylist()]
     rows = [(i, t) for i, t in rows
-            if not any(x and len(x & s) >= 0.8 * len(x) for s in [plain_shingles(t)] for x in items)]
+            if not any(x and len(x & plain_shingles(t, n)) >= 0.8 * len(x) for n, x in items)]
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = sorted((i, model.encode(t), sha(model.decode(model.encode(t)))) for i, t in rows)

@@ -152,3 +152,10 @@ def test_a_damaged_record_is_noticed(tmp_path):
 def test_no_documents_no_records(docs, tmp_path):
     manifest = records.write_records(docs([]), BPE, f"file://{tmp_path}/none")
     assert records.read_records(manifest, f"file://{tmp_path}/none").collect() == []
+
+
+def test_many_bytes_without_a_character():
+    from pinwright.llm import pieces
+
+    assert pieces.utf8(b"\x80" * 5000) == "\ufffd" * 5000
+    assert pieces.utf8(b"a\xc3\xc3\xa9\xf0\x9f\x98") == "a\ufffd\u00e9\ufffd\ufffd\ufffd"

@@ -116,7 +116,7 @@ def cloud(rng, n):
     return out + [0, 0, out[0], (1 << 64) - 1]
 
 
-@pytest.mark.parametrize("cell_limit", [4096, 6])
+@pytest.mark.parametrize("cell_limit", [4096, 6, 1])
 def test_components(spark, cell_limit):
     rng = random.Random(11)
     prints = list(enumerate(cloud(rng, 300), 1000))
@@ -160,9 +160,19 @@ def test_long_paths_of_links(spark):
 
 # -- decontamination --------------------------------------------------------------
 
-def plain_shingles(text):
-    w = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
-    return {" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+def plain_words(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def plain_shingles(text, size=5):
+    w = plain_words(text)
+    return {" ".join(w[i:i + size]) for i in range(len(w) - size + 1)}
+
+
+def plain_item(text):
+    """The size of an item's runs, and the runs."""
+    size = min(5, len(plain_words(text)))
+    return size, plain_shingles(text, size) if size else set()
 
 
 def test_items_in_documents(spark, docs):
@@ -184,14 +194,18 @@ def test_items_in_documents(spark, docs):
     have = {}
     for i, t in rows:
         if i is not None:
-            have.setdefault(i, set()).update(plain_shingles(t))
+            for k in range(1, 6):
+                have.setdefault((i, k), set()).update(plain_shingles(t, k))
     want = set()
     for k, t in items:
-        s = plain_shingles(t)
-        for i, d in have.items():
-            if k is not None and s and len(s & d) >= 0.8 * len(s):
+        size, s = plain_item(t)
+        for (i, n), d in have.items():
+            if n == size and k is not None and s and len(s & d) >= 0.8 * len(s):
                 want.add((i, k, len(s), len(s & d)))
     assert {(r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got.collect()} == want
+    short = spark.createDataFrame([(1, "beta gamma delta"), (2, "gamma"), (3, "delta beta")], "item_id long, text string")
+    short = decontaminate.find_items(docs([(7, "one alpha Beta, gamma; DELTA two three four"), (8, "gamma")]), short)
+    assert {(r.doc_id, r.item_id) for r in short.collect()} == {(7, 1), (7, 2), (8, 2)}
     assert decontaminate.find_items(docs([]), spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert decontaminate.find_items(docs(rows), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
@@ -399,3 +413,25 @@ def test_edited_copies_whose_lines_occur_before(docs):
     got = {(r.doc_id, r.match_doc_id) for r in passages.near_duplicate_passages(docs(rows)).collect()}
     found = sum(p in got for p in pairs)
     assert found >= 0.9 * len(pairs), found
+
+
+def test_rules_on_every_page(spark):
+    """Host, path and rule of all given pages by plain string work."""
+    import pyarrow.dataset as ds
+
+    table = ds.dataset("/root/testdata/sf0.001/pages.parquet").to_table(columns=["page_id", "url"]).to_pylist()
+    want = {}
+    for row in table:
+        _, mark, rest = (row["url"] or "").partition("://")
+        end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = (rest[:end].translate(LOW), rest[end:]) if mark else ("", "")
+        path = tail[:min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+        fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        rule = max(fits, key=lambda r: len(r.text), default=None)
+        want[row["page_id"]] = host, path, rule and rule.text, rule and rule.verdict
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(
+        "page_id", "url", F.lit(1).alias("_features"), F.lit(2).alias("_probability"), F.lit("x").alias("n"))
+    got = {r.page_id: r for r in urls.judge_urls(pages).collect()}
+    assert len(got) == len(want) and any(w[2] for w in want.values())
+    for i, (host, path, rule, verdict) in want.items():
+        assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict == (verdict or got[i].verdict)
