@@ -181,7 +181,11 @@ O["job_fold_stream"] = W("""SELECT job_id, last_event, outcome, messages, events
 O["job_expiry_stream"] = W("""SELECT job_id, c AS created_ms, c + 1800000 AS expired_ms FROM (SELECT job_id, epoch_us(min(ts)) // 1000 AS c FROM fx_job_events GROUP BY job_id) z WHERE c + 1800000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
 _claim = """SELECT event_id, {k} AS {n}, CASE WHEN rn = 1 THEN '{a}' WHEN epoch_us(ts) - first <= {s} THEN '{b}' ELSE '{c}' END AS verdict FROM (SELECT *, row_number() OVER w AS rn, first_value(epoch_us(ts)) OVER w AS first
    FROM (SELECT *, {k} AS kk FROM fx_usage WHERE {f}) y WINDOW w AS (PARTITION BY kk ORDER BY ts, event_id)) z"""
-O["token_use_stream"] = W(_claim.format(k="generation_id", n="generation_id", a="accepted", b="already_used", c="expired", s=300000000, f="mode = 'consume'"))
+# An id has three events at most: each is measured against the last accepted one.
+O["token_use_stream"] = W("""SELECT event_id, generation_id, CASE WHEN rn = 1 OR (rn = 2 AND t - t1 > life) OR (rn = 3 AND t - CASE WHEN t2 - t1 > life THEN t2 ELSE t1 END > life)
+   THEN 'accepted' ELSE 'already_used' END AS verdict FROM (SELECT *, 300000000 AS life, nth_value(t, 1) OVER g AS t1, nth_value(t, 2) OVER g AS t2, row_number() OVER w AS rn
+     FROM (SELECT event_id, generation_id, ts, epoch_us(ts) AS t FROM fx_usage WHERE mode = 'consume') y
+     WINDOW w AS (PARTITION BY generation_id ORDER BY ts, event_id), g AS (PARTITION BY generation_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) z""")
 O["customer_creation_stream"] = W(_claim.format(k="left(sha256(lower(trim(email))), 32)", n="customer_key", a="created", b="replayed", c="found", s=86400000000, f="true"))
 O["customer_keys_stream"] = W("SELECT DISTINCT left(sha256(lower(trim(email))), 32) AS customer_key FROM fx_usage")
 O["quota_stream"] = W("""SELECT event_id, lower(trim(email)) AS email, rn <= 3 AS allowed, CAST(least(rn, 3) AS INT) AS generations_used FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY ts, event_id) AS rn FROM fx_usage WHERE mode = 'consume') z""")

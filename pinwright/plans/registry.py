@@ -885,26 +885,26 @@ def job_expiry_stream(s, d):
 @query
 def token_use_stream(s, d):
     asks = _events(s, d, fx.USAGE_COLUMNS).filter("mode = 'consume'")
-    return runner.run_folded(asks, usage.single_use_tokens(), usage.FIRST_STATE)
+    return runner.run_rows(usage.single_use_tokens(asks))
 
 
 @query
 def quota_stream(s, d):
     asks = _events(s, d, fx.USAGE_COLUMNS).withColumn("email", R.normal_email(F.col("email")))
-    return runner.run_folded(asks, usage.quota_step, usage.QUOTA_STATE)
+    return runner.run_rows(usage.quota(asks))
 
 
 @query
 def device_binding_stream(s, d):
     asks = _events(s, d, fx.USAGE_COLUMNS).withColumn("email", R.normal_email(F.col("email"))).withColumn(
         "kind", F.when(F.col("event_type") == "signup", "clear").otherwise("ask"))
-    return runner.run_folded(asks, usage.device_step, usage.DEVICE_STATE)
+    return runner.run_rows(usage.device_binding(asks))
 
 
 @query
 def customer_creation_stream(s, d):
     asks = _events(s, d, fx.USAGE_COLUMNS).withColumn("customer_key", R.email_key(F.col("email")))
-    return runner.run_folded(asks, usage.customer_creation(), usage.FIRST_STATE)
+    return runner.run_rows(usage.customer_creation(asks))
 
 
 @query

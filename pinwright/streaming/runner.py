@@ -1,13 +1,13 @@
 """Running streams to completion and reading their results.
 
-Results and state go to tables in the shared folder, one directory per batch
+Results go to tables in the shared folder, one directory per batch
 number, so a replayed batch overwrites its own output (exactly once) and a lost
-executor costs only a recomputation.
+executor costs only a recomputation. State is Spark's own, in its checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,33 +51,5 @@ def run_rows(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
-
-
-def run_folded(stream: DataFrame, step: Step, state_schema: str) -> DataFrame:
-    """Drain a stream through ``step(batch, state) -> (rows, new state)``.
-
-    Both sides are ordinary DataFrames, so a key with very many rows is handled
-    by partial aggregation and skew-aware joins instead of one Python worker.
-    """
-    spark = stream.sparkSession
-    folder = shared_folder(spark, "folded")
-    schemas: list = []
-
-    def fold(batch: DataFrame, number: int) -> None:
-        if number == 0:
-            state = spark.createDataFrame([], state_schema)
-        else:
-            state = spark.read.schema(state_schema).parquet(f"{folder}/state/{number - 1}")
-        rows, after = step(batch, state)
-        schemas[:] = [rows.schema]
-        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-        after.write.mode("overwrite").parquet(f"{folder}/state/{number}")
-
-    (stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
-     .foreachBatch(fold).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(schemas[0]).parquet(f"{folder}/out").drop("batch")
-
-
 def _with_batch(stream: DataFrame):
     return T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])

@@ -1,101 +1,191 @@
 """Usage streams: single-use tokens, free quota, device binding, customers.
 
-Each rule is a step over (batch, state table) for ``runner.run_folded``. The
-steps only use aggregates, pruned ranks and joins, so one customer holding a
-large share of all requests is no special case. Events of a later batch are
-taken to be later than those of earlier batches.
+Each rule is a processor with Spark's keyed state: what it must know of a key is one small
+value. The rows of a key are judged in the order of their time inside a batch, and on arrival between
+batches: a row that comes late is judged by what is known then, as a decision that has been
+given cannot be taken back.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import lookups as L
 from ..functions import rules as R
 from ..operators import ordered
 
-FIRST_STATE = "claim string, first_ts timestamp, first_event bigint"
-QUOTA_STATE = "email string, used int"
-DEVICE_STATE = "email string, epoch bigint, machine_id string"
 
+def _micros(ts: pd.Series) -> pd.Series:
+    return ts.astype("datetime64[us]").astype("int64")
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The rows of one key in a batch by time; a batch is bounded by the stream's admission limits."""
+    frame = pd.concat(list(rows), ignore_index=True)
+    return frame.assign(at=_micros(frame["ts"])).sort_values(["at", "event_id"])
+
+
+class _SingleUse(StatefulProcessor):
+    """The first use of an id is accepted, and uses within its life are refused.
+
+    The state is the time of the accepted use. A timer drops it when the watermark has passed its
+    end, so the store holds the ids of the last minutes only; a use after that is a first one again.
+    """
+
+    def __init__(self, life: int) -> None:
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        known = first = self.first.get()[0] if self.first.exists() else None
+        verdicts = []
+        for at in frame["at"]:
+            accepted = first is None or abs(at - first) > self.life
+            verdicts.append("accepted" if accepted else "already_used")
+            first = at if first is None or accepted and at > first else first
+        if first != known:
+            self.first.update((first,))
+            self.handle.registerTimer((first + self.life) // 1000 + 1)
+        yield pd.DataFrame({"event_id": frame["event_id"], "generation_id": key[0], "verdict": verdicts})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        if self.first.exists() and (self.first.get()[0] + self.life) // 1000 + 1 <= end:
+            self.first.clear()
+        yield pd.DataFrame()
 
-def first_claims(key: str, seconds: int, first: str, soon: str, later: str):
-    """Step: the first event of a key is ``first``; repeats within ``seconds`` of
-    it are ``soon``, all others ``later``."""
+    def close(self) -> None:
+        pass
 
-    def step(batch: DataFrame, state: DataFrame):
-        rows = batch.withColumn("claim", F.col(key))
-        fresh = rows.groupBy("claim").agg(
-            F.min(F.struct(F.col("ts").alias("first_ts"), F.col("event_id").alias("first_event"))).alias("_f"))
-        merged = fresh.select("claim", "_f.*").unionByName(state).groupBy("claim").agg(
-            F.min(F.struct("first_ts", "first_event")).alias("_f")).select("claim", "_f.*")
-        age = F.unix_micros("ts") - F.unix_micros("first_ts")
-        verdict = (
-            F.when(F.col("event_id") == F.col("first_event"), first)
-            .when(age <= seconds * 1_000_000, soon).otherwise(later)
-        )
-        out = rows.join(merged, "claim").select("event_id", F.col("claim").alias(key), verdict.alias("verdict"))
-        return out, merged
 
-    return step
+class _Creation(StatefulProcessor):
+    """The first sign-up of a customer creates, repeats within a day are replayed, later ones find the customer.
+
+    The state is the time of creation, one number per customer there is.
+    """
+
+    def __init__(self, life: int) -> None:
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = _in_order(rows)
+        fresh = not self.first.exists()
+        first = int(frame["at"].iloc[0]) if fresh else self.first.get()[0]
+        if fresh:
+            self.first.update((first,))
+        verdicts = (frame["at"] - first <= self.life).map({True: "replayed", False: "found"}).tolist()
+        if fresh:
+            verdicts[0] = "created"
+        yield pd.DataFrame({"event_id": frame["event_id"], "customer_key": key[0], "verdict": verdicts})
+
+    def close(self) -> None:
+        pass
+
+
+class _Quota(StatefulProcessor):
+    """The first ``limit`` requests of a customer are allowed; the state is how many have been.
+
+    Of a batch only the earliest rows that may still be allowed are held.
+    """
+
+    def __init__(self, limit: int) -> None:
+        self.limit = limit
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "n int")
 
-def single_use_tokens():
-    """First use of a generation id is accepted; its token lives five minutes."""
-    return first_claims("generation_id", L.TOKEN_SECONDS, "accepted", "already_used", "expired")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        used = self.used.get()[0] if self.used.exists() else 0
+        held = None
+        for frame in rows:
+            frame = pd.concat([f for f in (held, frame.assign(at=_micros(frame["ts"]))) if f is not None]).sort_values(["at", "event_id"])
+            held, rest = frame.iloc[:self.limit - used], frame.iloc[self.limit - used:]
+            yield self._rows(key, rest, False, [self.limit] * len(rest))
+        if held is not None and len(held):
+            yield self._rows(key, held, True, range(used + 1, used + 1 + len(held)))
+            self.used.update((used + len(held),))
 
+    @staticmethod
+    def _rows(key, frame: pd.DataFrame, allowed: bool, used) -> pd.DataFrame:
+        return pd.DataFrame({"event_id": frame["event_id"], "email": key[0], "allowed": allowed,
+                             "generations_used": pd.Series(list(used), index=frame.index, dtype="int32")})
 
-def customer_creation():
-    """Repeated sign-ups fold into one customer per hashed email; within a day the
-    repeat is answered from the idempotency record."""
-    return first_claims("customer_key", 86_400, "created", "replayed", "found")
+    def close(self) -> None:
+        pass
 
 
-def quota_step(batch: DataFrame, state: DataFrame):
-    """The first three consuming requests of a customer are allowed."""
-    asks = batch.filter("mode = 'consume'")
-    first = ordered.top_per_key(asks.select("email", "ts", "event_id"), ["email"],
-                                [F.asc("ts"), F.asc("event_id")], L.FREE_QUOTA)
-    granted = (
-        first.join(state, "email", "left")
-        .filter(F.col("rank") + F.coalesce("used", F.lit(0)) <= L.FREE_QUOTA)
-        .select("event_id", (F.col("rank") + F.coalesce("used", F.lit(0))).cast("int").alias("used_after"))
+class _Device(StatefulProcessor):
+    """The first device of a customer is bound, others are refused; a ``clear`` event opens a new epoch.
+
+    The state is the epoch and its device.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.bound = handle.getValueState("bound", "epoch bigint, machine_id string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        epoch, machine = self.bound.get() if self.bound.exists() else (0, None)
+        frame, out = _in_order(rows), []
+        for event_id, kind, asks in zip(frame["event_id"], frame["kind"], frame["machine_id"]):
+            if kind == "clear":
+                epoch, machine = epoch + 1, None
+                continue
+            machine = asks if machine is None else machine
+            out.append((event_id, key[0], epoch, machine, "ok" if asks == machine else "device_mismatch"))
+        self.bound.update((epoch, machine))
+        yield pd.DataFrame(out, columns=["event_id", "email", "epoch", "bound_machine", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def single_use_tokens(events: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Stream of (event_id, generation_id, verdict); a token lives five minutes of event time."""
+    return (
+        events.select("generation_id", "event_id", "ts").withWatermark("ts", delay).groupBy("generation_id")
+        .transformWithStateInPandas(_SingleUse(L.TOKEN_SECONDS * 1_000_000), "event_id bigint, generation_id string, verdict string",
+                                    "append", "EventTime")
     )
-    out = asks.select("event_id", "email").join(granted, "event_id", "left").select(
-        "event_id", "email", F.col("used_after").isNotNull().alias("allowed"),
-        F.coalesce("used_after", F.lit(L.FREE_QUOTA)).alias("generations_used"))
-    after = (
-        asks.groupBy("email").agg(F.count(F.lit(1)).alias("_n")).join(state, "email", "full")
-        .select("email", F.least(F.lit(L.FREE_QUOTA), F.coalesce("used", F.lit(0)) + F.coalesce("_n", F.lit(0)))
-                .cast("int").alias("used"))
+
+
+def customer_creation(events: DataFrame) -> DataFrame:
+    """Stream of (event_id, customer_key, verdict): repeated sign-ups fold into one customer per hashed email."""
+    return (
+        events.select("customer_key", "event_id", "ts").groupBy("customer_key")
+        .transformWithStateInPandas(_Creation(86_400_000_000), "event_id bigint, customer_key string, verdict string", "append", "None")
+    )
+
+
+def quota(events: DataFrame) -> DataFrame:
+    """Stream of (event_id, email, allowed, generations_used) for consuming requests."""
+    return (
+        events.filter("mode = 'consume'").select("email", "event_id", "ts").groupBy("email")
+        .transformWithStateInPandas(_Quota(L.FREE_QUOTA), "event_id bigint, email string, allowed boolean, generations_used int",
+                                    "append", "None")
+    )
+
+
+def device_binding(events: DataFrame) -> DataFrame:
+    """Stream of (event_id, email, epoch, bound_machine, verdict) for the requests of devices."""
+    return (
+        events.select("email", "event_id", "ts", "kind", "machine_id").groupBy("email")
+        .transformWithStateInPandas(_Device(), "event_id bigint, email string, epoch bigint, bound_machine string, verdict string",
+                                    "append", "None")
     )
-    return out, after
-
-
-def device_step(batch: DataFrame, state: DataFrame):
-    """The first device of a customer is bound, others refused; a ``clear`` event
-    opens a new epoch."""
-    block = F.floor(F.unix_micros("ts") / 86_400_000_000)
-    clears = F.when(F.col("kind") == "clear", 1).otherwise(0)
-    told = ordered.running_sum(batch, ["email"], ["ts", "event_id"], clears, "_clears", block)
-    before = state.select("email", F.col("epoch").alias("_e0"), F.col("machine_id").alias("_m0"))
-    told = told.join(before, "email", "left").withColumn(
-        "epoch", F.col("_clears") + F.coalesce("_e0", F.lit(0)))
-    asks = told.filter("kind = 'ask'")
-    bound = asks.groupBy("email", "epoch").agg(
-        F.min_by("machine_id", F.struct("ts", "event_id")).alias("_new"),
-        F.max(F.when(F.col("epoch") == F.coalesce("_e0", F.lit(0)), F.col("_m0"))).alias("_old"),
-    ).select("email", "epoch", F.coalesce("_old", "_new").alias("_bound"))
-    out = asks.join(bound, ["email", "epoch"]).select(
-        "event_id", "email", "epoch", F.col("_bound").alias("bound_machine"),
-        F.when(F.col("machine_id") == F.col("_bound"), "ok").otherwise("device_mismatch").alias("verdict"))
-    now = told.groupBy("email").agg(F.max("epoch").alias("epoch"))
-    current = now.join(bound, ["email", "epoch"], "left").join(before, "email", "full").select(
-        "email", F.coalesce("epoch", "_e0").alias("epoch"),
-        F.when(F.col("epoch").isNull() | (F.col("epoch") == F.coalesce("_e0", F.lit(0))),
-               F.coalesce("_bound", "_m0")).otherwise(F.col("_bound")).alias("machine_id"))
-    return out, current
 
 
 def licensed_customers(customers: DataFrame, subscriptions: DataFrame, looked_at: int = 5) -> DataFrame:
@@ -116,3 +206,8 @@ def unique_creations(stream: DataFrame) -> DataFrame:
         .withWatermark("ts", "24 hours").dropDuplicatesWithinWatermark(["customer_key"])
         .select("customer_key")
     )
+
+
+# The state store starts Python processes of its own, which do not get shipped packages:
+# the processors travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

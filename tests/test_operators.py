@@ -152,12 +152,10 @@ def _streams(spark):
     return {
         "job_fold": (fx.JOB_COLUMNS, lambda e: runner.run_updates(jobs.fold_jobs(e), ["job_id"])),
         "job_expiry": (fx.JOB_COLUMNS, lambda e: runner.run_rows(jobs.expired_jobs(e))),
-        "token_use": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(
-            e.filter("mode = 'consume'"), usage.single_use_tokens(), usage.FIRST_STATE)),
-        "quota": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(mail(e), usage.quota_step, usage.QUOTA_STATE)),
-        "device_binding": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(devices(e), usage.device_step, usage.DEVICE_STATE)),
-        "customer_creation": (fx.USAGE_COLUMNS, lambda e: runner.run_folded(
-            customers(e), usage.customer_creation(), usage.FIRST_STATE)),
+        "token_use": (fx.USAGE_COLUMNS, lambda e: runner.run_rows(usage.single_use_tokens(e.filter("mode = 'consume'")))),
+        "quota": (fx.USAGE_COLUMNS, lambda e: runner.run_rows(usage.quota(mail(e)))),
+        "device_binding": (fx.USAGE_COLUMNS, lambda e: runner.run_rows(usage.device_binding(devices(e)))),
+        "customer_creation": (fx.USAGE_COLUMNS, lambda e: runner.run_rows(usage.customer_creation(customers(e)))),
         "customer_keys": (fx.USAGE_COLUMNS, lambda e: runner.run_rows(usage.unique_creations(e))),
     }
 
@@ -274,3 +272,23 @@ def test_search_has_no_pairing_without_a_key(spark, threshold):
     assert not re.search("NestedLoop|Cartesian", plan + feet)
     assert rows == sorted(map(tuple, search.search_symbols_plain(asked, symbols).collect()))
     assert sum(r[0] == "" for r in rows) == 120
+
+
+def test_late_requests_are_judged_on_arrival(spark, tmp_path):
+    """The second file brings a request from before the first file's, and the third one comes after the token's life."""
+    from pinwright.streaming import runner, usage
+
+    runner.prepare(spark)
+    schema = "event_id long, generation_id string, email string, ts timestamp, mode string"
+    files = [[(1, "g", "a", "2024-01-01 10:02:00"), (2, "g", "a", "2024-01-01 10:03:00"), (3, "h", "b", "2024-01-01 10:03:00")],
+             [(4, "g", "a", "2024-01-01 10:01:00"), (5, "k", "a", "2024-01-01 10:01:30")],
+             [(6, "g", "a", "2024-01-01 18:00:00"), (7, "g", "a", "2024-01-01 18:04:59"), (8, "g", "a", "2024-01-01 18:05:01")]]
+    for rows in files:
+        spark.createDataFrame([(i, g, e, t, "consume") for i, g, e, t in rows], schema.replace("ts timestamp", "ts string")).withColumn(
+            "ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    tokens = {r.event_id: r.verdict for r in runner.run_rows(usage.single_use_tokens(stream())).collect()}
+    yes, no = "accepted", "already_used"
+    assert tokens == {1: yes, 2: no, 3: yes, 4: no, 5: yes, 6: yes, 7: no, 8: yes}
+    allowed = {r.event_id for r in runner.run_rows(usage.quota(stream())).where("allowed").collect()}
+    assert allowed == {1, 2, 3, 4}  # two of the first file, one of the second: the earliest
