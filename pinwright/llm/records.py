@@ -63,21 +63,13 @@ def unframe(stream) -> bytes | None:
     return body[:-4]
 
 
-class _Known(dict):
-    """Ids of stretches; those of long ones are held for one call only."""
-
-    def __init__(self):
-        super().__init__()
-        self.long: dict[str, bytes] = {}
-
-    def __missing__(self, word):
-        return self.long[word]
-
-
 class IdEncoder:
-    """Ids by the tokenizers library, one stretch at a time, stretches kept in a memo."""
+    """Ids by the tokenizers library, one stretch at a time, stretches kept in a memo of two generations.
 
-    def __init__(self, path: str, end_id: int, limit: int = 1_000_000):
+    A slice holds a bounded number of stretches, and so does the memo: ``limit`` in each generation, or those of one slice.
+    """
+
+    def __init__(self, path: str, end_id: int, limit: int = 690_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,7 +81,8 @@ class IdEncoder:
         for entry, i in self.tokens.get_vocab().items():
             self.size[i] = len(entry)
         self.limit = limit
-        self.known = _Known()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def raw(self, many: list[str]) -> list[bytes]:
         found = self.tokens.encode_batch_fast(many, add_special_tokens=False)
@@ -120,16 +113,15 @@ class IdEncoder:
         cuts = [cut_words(t, self.special) for t in whole]
         heads = self.raw([c[0] if c else t for t, c in zip(whole, cuts)])
         rests = [c[1:] if c else [] for c in cuts]
-        known, wanted = self.known, set(chain.from_iterable(rests))
-        lack = list(wanted.difference(known))
-        if len(known) + len(lack) > self.limit:
-            known.clear()
-            lack = list(wanted)
-        for word, ids in zip(lack, self.raw_stretches([w if w[:1] == "\n" else " " + w for w in lack])):
-            (known if len(word) <= 48 else known.long)[word] = ids
-        made = [b"".join((head, *map(known.__getitem__, rest), self.end)) for head, rest in zip(heads, rests)]
-        known.long.clear()
-        return made
+        known, older = self.known, self.older
+        new = set(chain.from_iterable(rests)).difference(known)
+        if len(known) + len(new) > self.limit:  # the memo becomes the older one, which words are taken back from
+            self.older, self.known = older, known = known, {}
+            new = set(chain.from_iterable(rests))
+        known.update((w, older[w]) for w in new if w in older)
+        lack = [w for w in new if w not in older]
+        known.update(zip(lack, self.raw_stretches([w if w[:1] == "\n" else " " + w for w in lack])))
+        return [b"".join((head, *map(known.__getitem__, rest), self.end)) for head, rest in zip(heads, rests)]
 
 
 @lru_cache(maxsize=2)
