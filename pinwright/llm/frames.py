@@ -38,7 +38,10 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n",
     most, whatever the data. No other key is large enough to hold up a task.
     """
     total = right.agg(F.sum(n)).first()[0] or 0
-    hot = F.broadcast(right.where(F.col(n) > total * share).drop(n))
+    hot = right.where(F.col(n) > total * share).drop(n)
+    if hot.isEmpty():
+        return left.join(right.drop(n), keys)
+    hot = F.broadcast(hot)
     rest = right.where(F.col(n) <= total * share).drop(n)
     return left.join(hot, keys).unionByName(
         left.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
