@@ -178,7 +178,10 @@ O["case_report"] = """SELECT 'phase' || CAST(user_id % 11 AS STRING) AS phase, c
 O["job_fold_stream"] = W("""SELECT job_id, last_event, outcome, messages, events FROM (SELECT job_id, max(event) FILTER (WHERE d = 1) AS last_event, max(event) FILTER (WHERE e = 1 AND event <> 'status') AS outcome,
    count(*) FILTER (WHERE event = 'status') AS messages, count(*) AS events FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS d,
    row_number() OVER (PARTITION BY job_id, event <> 'status' ORDER BY ts, event_id) AS e FROM fx_job_events) a GROUP BY job_id) b""")
-O["job_expiry_stream"] = W("""SELECT job_id, c AS created_ms, c + 1800000 AS expired_ms FROM (SELECT job_id, epoch_us(min(ts)) // 1000 AS c FROM fx_job_events GROUP BY job_id) z WHERE c + 1800000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""")
+# An event more than 30 days behind the job's last one starts a new job.
+O["job_expiry_stream"] = W("""SELECT job_id, c AS created_ms, c + 1800000 AS expired_ms FROM (SELECT job_id, min(ms) AS c FROM runs GROUP BY job_id, run) z WHERE c + 1800000 <= (SELECT epoch_us(max(ts)) // 1000 FROM events)""", {
+    "steps": "SELECT job_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY job_id ORDER BY ts) AS gap FROM fx_job_events",
+    "runs": "SELECT *, sum(CASE WHEN gap > 2592000000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ms) AS run FROM steps"})
 _claim = """SELECT event_id, {k} AS {n}, CASE WHEN rn = 1 THEN '{a}' WHEN epoch_us(ts) - first <= {s} THEN '{b}' ELSE '{c}' END AS verdict FROM (SELECT *, row_number() OVER w AS rn, first_value(epoch_us(ts)) OVER w AS first
    FROM (SELECT *, {k} AS kk FROM fx_usage WHERE {f}) y WINDOW w AS (PARTITION BY kk ORDER BY ts, event_id)) z"""
 # An id has three events at most: each is measured against the last accepted one.

@@ -8,10 +8,11 @@ end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions import names as N
 from ..functions import rules as R
 from ..functions.names import judged_pairs
 from ..sources.shared import staged
@@ -262,33 +263,78 @@ def reconcile_thermal(rows: DataFrame) -> DataFrame:
     """(doc_id, number) of missing pins taken over by thermal pads.
 
     A thermal pad under a label ("EP") takes the first free missing pin of
-    equivalent name; pads choose in order. Only documents with both a pad and a gap
-    count. The r-th pad of a document needs only its first r candidates, because at
-    most r-1 are taken before its turn, so candidate lists stay short and exact.
-    Which names agree is settled once per distinct pair of names that meet in a document.
+    equivalent name; pads choose in order. Names meet by the keys of their forms, once per
+    document and name, and pads whose names agree with the same names of gaps are one class.
+    Where no other class agrees with a class's gaps, its n pads take its first n gaps: a count
+    and a numbering, without any pair of a pad and a gap. Other classes of a document choose in turn
+    (``_in_turn``).
     """
-    pads = rows.filter("side = 'thermal'").select("doc_id", F.col("number").alias("pad"), "a_pos", "a_name")
+    pads = rows.filter("side = 'thermal'").select("doc_id", "a_pos", "a_name")
     gaps = rows.filter("side = 'missing'").select("doc_id", "number", "b_pos", "b_name")
-    meeting = pads.select("doc_id", "a_name").distinct().join(gaps.select("doc_id", "b_name").distinct(), "doc_id")
-    agree = judged_pairs(meeting, "a_name", "b_name").filter("same").drop("same")
-    count = pads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_pads"))
-    pairs = pads.join(agree, "a_name").join(gaps, ["doc_id", "b_name"]).join(count, "doc_id")
-    single = pairs.filter("_pads = 1").groupBy("doc_id").agg(F.min_by("number", "b_pos").alias("number"))
-    order = Window.partitionBy("doc_id", "pad").orderBy("b_pos")
-    lists = (
-        pairs.filter("_pads > 1").withColumn("_nth", F.row_number().over(order))
-        .filter("_nth <= _pads").groupBy("doc_id", "pad", "a_pos")
-        .agg(F.sort_array(F.collect_list(F.struct("b_pos", "number"))).alias("_c"))
-        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a_pos", "_c"))).alias("_p"))
+
+    every = pads.select(F.col("a_name").alias("_name")).union(gaps.select("b_name")).filter("_name is not null").distinct()
+    named = staged(every.withColumn("_forms", N.name_forms(F.col("_name"))).withColumn("_keys", N.match_keys(F.col("_forms"))), "thermal-names")
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        keys = named.select(F.col("_name").alias(name), F.explode("_keys").alias("_k"))
+        return side.select("doc_id", name).distinct().join(keys, name)
+
+    def formed(name: str, out: str) -> DataFrame:
+        return named.select(F.col("_name").alias(name), F.col("_forms").alias(out))
+
+    meeting = staged(keyed(pads, "a_name").join(keyed(gaps, "b_name"), ["doc_id", "_k"])
+                     .select("doc_id", "a_name", "b_name").distinct(), "thermal-meetings")
+    same = meeting.select("a_name", "b_name").distinct().join(formed("a_name", "_fa"), "a_name").join(
+        formed("b_name", "_fb"), "b_name").filter(N.same_pin_name(F.col("_fa"), F.col("_fb")))
+    agree = meeting.join(same.select("a_name", "b_name"), ["a_name", "b_name"])
+    classes = agree.groupBy("doc_id", "a_name").agg(F.sort_array(F.collect_set("b_name")).alias("_names"))
+    members = classes.select("doc_id", "_names").distinct().select("doc_id", "_names", F.explode("_names").alias("b_name"))
+    several = members.groupBy("doc_id", "b_name").agg((F.count(F.lit(1)) > 1).alias("_several"))
+    kinds = members.join(several, ["doc_id", "b_name"]).groupBy("doc_id", "_names").agg(F.max("_several").alias("_shared"))
+    asked = pads.join(classes, ["doc_id", "a_name"]).join(kinds, ["doc_id", "_names"])
+    asked = staged(asked.select("doc_id", "_names", "_shared", "a_pos"), "thermal-pads")
+    # A class of its own is known by its first name, which no other class has.
+    counts = asked.filter("not _shared").groupBy("doc_id", "_names").agg(F.count(F.lit(1)).alias("_pads")).select(
+        "doc_id", "_pads", F.array_min("_names").alias("_class"), F.explode("_names").alias("b_name"))
+    numbered = ordered.positions(gaps.join(counts, ["doc_id", "b_name"]), ["doc_id", "_class"], ["b_pos"],
+                                 [F.floor(F.col("b_pos._p") / ordered.BLOCK)], "_nth")
+    alone = numbered.filter("_nth <= _pads").select("doc_id", "number")
+    return alone.unionByName(_in_turn(asked.filter("_shared"), gaps))
+
+
+def _in_turn(pads: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(doc_id, number) of the gaps taken by pads of classes that share names of gaps.
+
+    ``pads(doc_id, _names, a_pos)``, ``gaps(doc_id, number, b_pos, b_name)``. Gaps of one name are taken in their order,
+    so all that a turn changes is a counter per name: pads and gaps of a document are
+    listed once, and the work is pads times names. No name needs more gaps than there are pads.
+    """
+    turns = pads.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a_pos", "_names"))).alias("_turns"))
+    asked = pads.select("doc_id", F.explode("_names").alias("b_name")).groupBy("doc_id", "b_name").agg(F.count(F.lit(1)).alias("_pads"))
+    numbered = ordered.positions(gaps.join(asked, ["doc_id", "b_name"]), ["doc_id", "b_name"], ["b_pos"],
+                                 [F.floor(F.col("b_pos._p") / ordered.BLOCK)], "_nth").filter("_nth <= _pads")
+    listed = (
+        numbered.groupBy("doc_id", "b_name").agg(F.sort_array(F.collect_list(F.struct("b_pos", "number"))).alias("_gaps"))
+        .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("b_name", "_gaps"))).alias("_kinds"))
     )
+    kinds = F.col("_kinds")
+
+    def turn(taken: Column, pad: Column) -> Column:
+        def offer(n: Column, i: Column) -> Column:
+            kind = F.get(kinds, i)
+            mine = F.array_contains(pad["_names"], kind["b_name"]) & (n < F.size(kind["_gaps"]))
+            return F.when(mine, F.struct(F.get(kind["_gaps"], n)["b_pos"].alias("b_pos"), i.alias("i")))
 
-    def take(taken: Column, pad: Column) -> Column:
-        free = F.filter(pad["_c"], lambda c: ~F.array_contains(taken, c["number"]))
-        return F.concat(taken, F.slice(F.transform(free, lambda c: c["number"]), 1, 1))
+        best = F.array_min(F.transform(taken, offer))["i"]
+        return F.transform(taken, lambda n, i: F.when(i == best, n + 1).otherwise(n))
 
-    chosen = lists.select("doc_id", F.explode(
-        F.aggregate("_p", F.array().cast("array<string>"), take)).alias("number"))
-    return single.select("doc_id", "number").unionByName(chosen)
+    taken = F.aggregate("_turns", F.transform(kinds, lambda _: F.lit(0)), turn)
+    return (
+        turns.join(listed, "doc_id").withColumn("_taken", taken)
+        .select("doc_id", F.explode(F.arrays_zip("_kinds", "_taken")).alias("_z"))
+        .select("doc_id", F.explode(F.slice("_z._kinds._gaps", F.lit(1), F.col("_z._taken"))).alias("_g"))
+        .select("doc_id", "_g.number")
+    )
 
 
 def pin_diff(extracted: DataFrame, expected: DataFrame, strict: bool = False) -> DataFrame:

@@ -69,6 +69,62 @@ def test_thermal_pads_choose_in_order(spark):
     assert (row.missing, row.extra, row.renamed, row.status) == (0, 0, 0, "PASS")
 
 
+def _compared(rows):
+    """Rows as ``diff_rows`` gives them: (doc_id, number, side, place, name)."""
+    place = {"thermal": "a", "missing": "b"}
+    return [(d, n, side, (p, 0) if place[side] == "a" else None, (p, 0) if place[side] == "b" else None,
+             name if place[side] == "a" else None, name if place[side] == "b" else None)
+            for d, n, side, p, name in rows]
+
+
+COMPARED = "doc_id int, number string, side string, a_pos struct<_p:int,_i:int>, b_pos struct<_p:int,_i:int>, a_name string, b_name string"
+
+
+def test_thermal_pads_against_one_after_the_other(spark):
+    import random
+
+    # Names that agree with several others ("A/B" with "A" and "B") make classes overlap.
+    dice, names, rows = random.Random(5), ["AA", "AA/BB", "BB", "BB/CC", "CC", "DD", None], []
+    for doc in range(60):
+        pool = dice.sample(names, dice.randint(1, len(names)))
+        for side, low in (("thermal", 1), ("missing", 100)):
+            spots = dice.sample(range(50), dice.randint(0, 12))
+            rows += [(doc, str(low + p), side, p, dice.choice(pool)) for p in spots]
+    table = spark.createDataFrame(_compared(rows), COMPARED)
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    same = {(r.a, r.b) for r in N.judged_pairs(pairs.dropna(), "a", "b").filter("same").collect()}
+    assert ("AA", "AA/BB") in same and ("AA/BB", "BB") in same and ("AA", "BB") not in same
+    want = set()
+    for doc in range(60):
+        free = sorted((p, n, name) for d, n, side, p, name in rows if d == doc and side == "missing")
+        for _, a in sorted(((p, name) for d, _, side, p, name in rows if d == doc and side == "thermal"), key=lambda x: x[0]):
+            gap = next((g for g in free if (a, g[2]) in same), None)
+            if gap:
+                free.remove(gap)
+                want.add((doc, gap[1]))
+    got = [tuple(r) for r in pins.reconcile_thermal(table).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_many_thermal_pads_in_one_document(spark):
+    import time
+
+    n = 30_000
+    side = F.when(F.col("id") < n, "thermal").otherwise("missing")
+    at = F.struct(F.col("id").cast("int").alias("_p"), F.lit(0).alias("_i"))
+    table = spark.range(2 * n).select(
+        F.lit(1).alias("doc_id"), F.col("id").cast("string").alias("number"), side.alias("side"),
+        F.when(F.col("id") < n, at).alias("a_pos"), F.when(F.col("id") >= n, at).alias("b_pos"),
+        F.when(F.col("id") < n, "AA").alias("a_name"), F.when(F.col("id") >= n, "AA").alias("b_name"))
+    start = time.monotonic()
+    assert pins.reconcile_thermal(table).count() == n
+    # Now two kinds of pads whose gaps overlap, so that they choose in turn.
+    mixed = table.withColumn("a_name", F.when((F.col("side") == "thermal") & (F.col("a_pos._p") % 2 == 0), "AA/BB").otherwise(F.col("a_name")))
+    mixed = mixed.withColumn("b_name", F.when((F.col("side") == "missing") & (F.col("b_pos._p") % 2 == 0), "BB").otherwise(F.col("b_name")))
+    assert pins.reconcile_thermal(mixed).count() == n
+    assert time.monotonic() - start < 120  # pads times gaps would be 900 million pairs
+
+
 def test_package_mentions_by_brute_force(spark):
     docs = fx.documents(spark, SF).select("doc_id", "text")
     want = []
@@ -180,6 +236,29 @@ def test_streams_give_the_same_rows_in_several_batches(spark, tmp_path, name):
         assert len(jobs_seen) == len(set(jobs_seen))
 
 
+def test_marks_of_expired_jobs_end(spark, tmp_path):
+    from pinwright.streaming import jobs, runner
+
+    runner.prepare(spark)
+    keep = 3600
+    # Job k has an event in hour k; job 0 comes back after five hours, when its mark has ended.
+    rows = [(h * 4, h, h * 3600 + m * 60) for h in range(12) for m in (0, 5)] + [(99, 0, 5 * 3600), (98, 1, 3600 + 50 * 60)]
+    events = spark.createDataFrame(rows, "event_id long, job_id long, s long").selectExpr(
+        "event_id", "job_id", "CAST(timestamp_seconds(1704067200 + s) AS timestamp_ntz) AS ts")
+    results = []
+    for parts in (1, 6):
+        stream = _in_files(spark, events, str(tmp_path / f"marks{parts}"), parts).withColumn("ts", F.col("ts").cast("timestamp"))
+        folder = shared_folder(spark, "marks")
+        query = (jobs.expired_jobs(stream, keep_seconds=keep).writeStream.outputMode("append").format("parquet")
+                 .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        results.append(sorted((r.job_id, r.created_ms // 1000 - 1704067200) for r in spark.read.parquet(f"{folder}/out").collect()))
+    assert results[0] == results[1] == sorted([(h, h * 3600) for h in range(11)] + [(0, 5 * 3600)])
+    assert held[-1] < 12 and held[-1] <= max(held[:-1])
+
+
 def test_a_null_pin_name_is_a_name(spark):
     got = spark.createDataFrame([(1, "1", None, 1, ["4", "5"]), (1, "2", "GND", 2, None), (1, "9", "X", 3, [])],
                                 "doc_id long, number string, name string, row_pos int, alt_numbers array<string>")
