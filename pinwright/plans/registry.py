@@ -483,7 +483,7 @@ def symbol_search(s, d):
 
 @query
 def symbol_top_matches(s, d):
-    best = search.top_matches(search.search_symbols(_requests(s, d), fx.symbols(s, d)), 10)
+    best = search.top_symbols(_requests(s, d), fx.symbols(s, d), 10)
     return best.select("query", "pin_count", "rank", "ord", "score", (F.col("rank") <= 5).alias("in_top5"),
                        (F.col("rank") == 1).alias("is_top"))
 

@@ -69,6 +69,22 @@ def test_thermal_pads_choose_in_order(spark):
     assert (row.missing, row.extra, row.renamed, row.status) == (0, 0, 0, "PASS")
 
 
+@pytest.mark.parametrize("k", [1, 3, 10])
+def test_top_symbols_equal_the_full_ranking(spark, k):
+    import random
+
+    dice = random.Random(k)
+    words = ["AB", "ABC", "ABX", "B", "CAB", "XYZ", "", None, "Q1", "Q1X"]
+    library = [(i, f"L{i % 3}", dice.choice(words[:6]) + dice.choice(["", "1", "X"]), dice.choice(words),
+                dice.choice(words), dice.choice([3, 4, 8, None])) for i in range(300)]
+    symbols = spark.createDataFrame(library, "ord long, lib string, name string, description string, keywords string, pin_count int")
+    asked = spark.createDataFrame([(q, p) for q in ["A", "AB", "ABC", "Q1", "Q1X", "XYZ", "", "CAB1", "NONE", "Q", None] for p in (0, 3, 5, 8, None)],
+                                  "query string, pin_count int")
+    got = sorted(map(repr, search.top_symbols(asked, symbols, k).collect()))
+    want = sorted(map(repr, search.top_matches(search.search_symbols_plain(asked, symbols), k).collect()))
+    assert got == want and got
+
+
 def _compared(rows):
     """Rows as ``diff_rows`` gives them: (doc_id, number, side, place, name)."""
     place = {"thermal": "a", "missing": "b"}
