@@ -142,60 +142,46 @@ def search_symbols(requests: DataFrame, symbols: DataFrame) -> DataFrame:
 def top_symbols(requests: DataFrame, symbols: DataFrame, k: int) -> DataFrame:
     """The best ``k`` symbols per request: ``top_matches(search_symbols(...), k)`` with bounded work.
 
-    Tiers are tried in falling order of score, and a later one only for queries whose ``k`` best can
-    still change: any hit on a name beats any on a description, and a hit on a
-    description ends the search in keywords if it scores above the best that they can give. A score depends on
+    Any hit on a name beats any on a description or on keywords, so those are searched, in one
+    pass, only for queries with fewer than ``k`` hits on names. A score depends on
     the tier and on the pin count alone, so within a tier the first ``k`` entries of each pin
     count hold all that can be among the best; nothing else leaves a search. That also holds for the
-    entries of one name, description or keyword text, before they meet the queries. An entry left out there has ``k``
-    others of its pin count before it in this tier or in an earlier one, so it cannot come back by a later tier.
+    entries of one text, before they meet the queries. An entry left out there has ``k`` others of its pin
+    count before it, in this tier or in an earlier one, so no later tier brings it back among the best.
     """
     asked = requests.select("query", "pin_count").distinct()
-    lib = symbols.select(
-        "ord", "lib", "name", F.col("pin_count").alias("entry_pin_count"),
-        F.upper("name").alias("_name"), F.upper("description").alias("_desc"),
-        F.upper("keywords").alias("_keys"),
-    )
     entry = ["ord", "lib", "name", "entry_pin_count"]
+    lib = symbols.withColumnRenamed("pin_count", "entry_pin_count")
 
-    def first_entries(pairs: DataFrame, text: str) -> DataFrame:
-        firsts = ordered.top_per_key(lib.filter(F.col(text).isNotNull()), [text, "entry_pin_count"], [F.asc("ord")], k, "_r")
-        return pairs.join(firsts.select(text, *entry), text).select("query", "_tier", *entry)
+    def listed(column: str, tier: int) -> DataFrame:
+        return lib.select(F.upper(column).alias("_text"), F.lit(tier).alias("_of"), *entry).filter("_text is not null")
 
-    def kept(hits: DataFrame) -> DataFrame:
-        firsts = ordered.top_per_key(hits, ["query", "_tier", "entry_pin_count"], [F.asc("ord")], k, "_r").drop("_r")
-        return firsts.withColumn("_base", _score(F.col("_tier"), SYMBOL_SCORES))
+    def first_entries(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return pairs.join(ordered.top_per_key(texts, ["_text", "_of", "entry_pin_count"], [F.asc("ord")], k, "_r"), "_text")
 
-    def found_in(text: str, tier: int, texts: DataFrame, before: DataFrame) -> DataFrame:
-        pairs = contains_join(texts, "query", lib, text).withColumn("_tier", F.lit(tier))
-        return kept(first_entries(pairs, text).join(before.select("query", "ord"), ["query", "ord"], "left_anti"))
+    def kept(hits: DataFrame) -> DataFrame:
+        return ordered.top_per_key(hits.select("query", "_tier", *entry), ["query", "_tier", "entry_pin_count"],
+                                   [F.asc("ord")], k, "_r").drop("_r")
 
-    texts = asked.select("query").distinct()
-    q, n = F.col("query"), F.col("_name")
-    inside = contains_join(texts, "query", lib, "_name").withColumn(
+    queries = asked.select("query").distinct()
+    names = listed("name", 0)
+    q, n = F.col("query"), F.col("_text")
+    inside = contains_join(queries, "query", names, "_text").withColumn(
         "_tier", F.when(n == q, 1).when(F.startswith(n, q), 2).otherwise(4))
-    wild = wildcard_pairs(texts, "query", lib, "_name").withColumn("_tier", F.lit(3))
-    tiers = inside.unionByName(wild).groupBy("query", "_name").agg(F.min("_tier").alias("_tier"))
-    named = staged(kept(first_entries(tiers, "_name")), "named-hits")
+    wild = wildcard_pairs(queries, "query", names, "_text").withColumn("_tier", F.lit(3))
+    tiers = inside.unionByName(wild).groupBy("query", "_text").agg(F.min("_tier").alias("_tier"))
+    named = staged(kept(first_entries(tiers, names)), "named-hits")
+
+    # A query has k hits on names or more exactly where k of them were kept.
     full = named.groupBy("query").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k)
-    # ``named`` holds k hits or more exactly where the request has so many.
-    texts = staged(texts.join(full, "query", "left_anti"), "queries-after-names")
-    described = staged(found_in("_desc", 5, texts, named), "described-hits")
-
-    hits = named.unionByName(described)
-    wanted = F.coalesce("pin_count", F.lit(0)) > 0
-    best_left = SYMBOL_SCORES[6] + F.when(wanted, COUNT_BONUS).otherwise(0.0)
-    scored = asked.join(texts, "query").join(hits, "query").withColumn(
-        "score", _adjusted(F.col("_base"), F.col("pin_count"), F.col("entry_pin_count")))
-    closed = (
-        scored.filter(F.col("score") > best_left).groupBy("query", "pin_count").agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= k).select("query", F.coalesce("pin_count", F.lit(0)).alias("_p"))
-    )
-    still = asked.withColumn("_p", F.coalesce("pin_count", F.lit(0))).join(closed, ["query", "_p"], "left_anti")
-    texts = texts.join(still.select("query").distinct(), "query", "left_semi")
-    hits = hits.unionByName(found_in("_keys", 6, staged(texts, "queries-after-descriptions"), hits))
+    still = staged(queries.join(full, "query", "left_anti"), "open-queries")
+    others = listed("description", 5).unionByName(listed("keywords", 6))
+    more = first_entries(contains_join(still, "query", others, "_text"), others).withColumn("_tier", F.col("_of"))
+    more = kept(more.join(named.select("query", "ord"), ["query", "ord"], "left_anti"))
+    best = F.min(F.struct("_tier", "lib", "name", "entry_pin_count")).alias("_e")  # an entry may be in both
+    hits = named.unionByName(more.groupBy("query", "ord").agg(best).select("query", "ord", "_e.*"))
     scored = hits.join(asked, "query").withColumn(
-        "score", _adjusted(F.col("_base"), F.col("pin_count"), F.col("entry_pin_count")))
+        "score", _adjusted(_score(F.col("_tier"), SYMBOL_SCORES), F.col("pin_count"), F.col("entry_pin_count")))
     return top_matches(scored.select("query", "pin_count", *entry, "score"), k)
 
 
