@@ -367,9 +367,13 @@ def _parsed(raw: DataFrame) -> DataFrame:
     return pins.unionByName(pads)
 
 
-def pins_from_text(docs: DataFrame, hint: int = 0) -> DataFrame:
+def pins_from_text(docs: DataFrame, hint: int = 0, hints: DataFrame | None = None) -> DataFrame:
     """Pins read from running text: (doc_id, pos, number, name, …, strategy, confidence).
 
+    ``hint`` is the expected number of pins, and ``hints(doc_id, pin_count)`` one per document,
+    which goes first: more than four expected pins rule the standard pinout of a transistor
+    out, and fewer low numbers than expected call for it.
+
     Four strategies per document, the first with pins wins: a headed pin section
     (one or two number columns), named paragraphs "NAME (Pin n):", generic
     lines, and the standard pinout of transistors, which also replaces pins that
@@ -384,10 +388,15 @@ def pins_from_text(docs: DataFrame, hint: int = 0) -> DataFrame:
         F.max(F.upper("name").isin(L.JUNK_NAMES)).alias("_junk"),
         F.count_if(value <= 4).alias("_low"))
     best = per_strategy.groupBy("doc_id").agg(
-        F.min_by(F.struct("strategy", (F.col("_high") | F.col("_junk") | (F.col("_low") < hint)).alias("junk")),
+        F.min_by(F.struct("strategy", (F.col("_high") | F.col("_junk")).alias("junk"), F.col("_low").alias("low")),
                  "strategy").alias("_b"))
     flags = raw.groupBy("doc_id").agg(F.max("headed").alias("headed"), F.max("fet").alias("fet"), F.max("bjt").alias("bjt"))
-    misread = F.coalesce("_b.junk", F.lit(True)) & F.lit(hint <= 4)
+    if hints is None:
+        flags = flags.withColumn("_hint", F.lit(hint))
+    else:
+        counts = hints.select("doc_id", F.col("pin_count").alias("_hint"))
+        flags = flags.join(counts, "doc_id", "left").withColumn("_hint", F.coalesce("_hint", F.lit(hint)))
+    misread = F.coalesce(F.col("_b.junk") | (F.col("_b.low") < F.col("_hint")), F.lit(True)) & (F.col("_hint") <= 4)
     chosen = flags.join(best, "doc_id", "left").select(
         "doc_id", F.when(F.col("headed"), 0.5).otherwise(0.3).alias("confidence"),
         F.col("_b.strategy").alias("_s"),

@@ -238,7 +238,8 @@ def package_candidates(s, d):
 
 @query
 def text_pins(s, d):
-    return X.pins_from_text(fx.documents(s, d).select("doc_id", "text"))
+    docs = fx.documents(s, d).select("doc_id", "text")
+    return X.pins_from_text(docs, hints=X.package_of_text(X.mentioned_packages(docs)))
 
 
 # --- sources and sinks --------------------------------------------------------------

@@ -165,6 +165,18 @@ def test_pins_from_text(spark, body, want):
     assert [(r.number, r.name) for r in rows] == want
 
 
+@pytest.mark.parametrize("count,names", [
+    (None, ["VCC", "GND", "IN"]), (2, ["VCC", "GND", "IN"]), (3, ["VCC", "GND", "IN"]), (4, ["G", "S", "D"]), (5, ["VCC", "GND", "IN"]),
+])
+def test_expected_pins_decide_about_the_standard_pinout(spark, count, names):
+    body = "N-channel MOSFET\nPin 1 – VCC\nPin 2 – GND\nPin 3 – IN"
+    docs = spark.createDataFrame([(1, body), (2, body)], "doc_id int, text string")
+    hints = spark.createDataFrame([(1, count)], "doc_id int, pin_count int")
+    rows = text.pins_from_text(docs, hints=hints).orderBy("pos").collect()
+    assert [r.name for r in rows if r.doc_id == 1] == names
+    assert [r.name for r in rows if r.doc_id == 2] == ["VCC", "GND", "IN"]
+
+
 def test_library_files(spark, tmp_path):
     lib = tmp_path / "Reg.kicad_sym"
     lib.write_text('(kicad_symbol_lib (symbol "A" (property "Description" "x") (symbol "A_1_1" (pin power_in line '
