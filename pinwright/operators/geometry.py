@@ -139,13 +139,13 @@ def thermal_pads(pads: DataFrame, keys) -> DataFrame:
 def exposed_pads(pads: DataFrame, key: str) -> DataFrame:
     """Largest pad of a footprint when over three times the upper median area.
 
-    The median comes from the histogram of areas (value, count), so only distinct
+    Of areas that differ by rounding errors of their product only, the first pad's counts. The median comes from the histogram of areas (value, count), so only distinct
     areas are ordered, block by block.
     """
     area = F.col("w") * F.col("h")
     named = pads.filter("number <> ''").withColumn("_a", area)
     largest = named.groupBy(key).agg(
-        F.max_by("number", F.struct(F.col("_a"), -F.col("pad_pos"))).alias("number"),
+        F.max_by("number", F.struct(F.round("_a", 9), -F.col("pad_pos"))).alias("number"),
         F.max("_a").alias("area"), F.count(F.lit(1)).alias("pads"))
     hist = named.groupBy(key, "_a").agg(F.count(F.lit(1)).alias("_n"))
     cum = ordered.running_sum(hist, [key], ["_a"], F.col("_n"), "_cum", F.floor("_a"))

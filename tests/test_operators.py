@@ -399,3 +399,12 @@ def test_late_requests_are_judged_on_arrival(spark, tmp_path):
     assert tokens == {1: yes, 2: no, 3: yes, 4: no, 5: yes, 6: yes, 7: no, 8: yes}
     allowed = {r.event_id for r in runner.run_rows(usage.quota(stream())).where("allowed").collect()}
     assert allowed == {1, 2, 3, 4}  # two of the first file, one of the second: the earliest
+
+
+def test_areas_that_differ_by_rounding_are_equal(spark):
+    """0.7 x 0.3 and 2.1 x 0.1 are one area; the product of the second is greater by its last bit."""
+    rows = [(7, 1, 0.1, 0.1), (7, 2, 0.7, 0.3), (7, 3, 2.1, 0.1), (7, 4, 0.1, 0.1), (7, 5, 0.1, 0.1)]
+    pads = spark.createDataFrame(rows, "footprint_id long, pad_pos int, w double, h double").withColumn(
+        "number", F.col("pad_pos").cast("string"))
+    assert 2.1 * 0.1 > 0.7 * 0.3
+    assert [r["exposed_pad"] for r in G.exposed_pads(pads, "footprint_id").collect()] == ["2"]
