@@ -408,3 +408,11 @@ def test_areas_that_differ_by_rounding_are_equal(spark):
         "number", F.col("pad_pos").cast("string"))
     assert 2.1 * 0.1 > 0.7 * 0.3
     assert [r["exposed_pad"] for r in G.exposed_pads(pads, "footprint_id").collect()] == ["2"]
+
+
+def test_the_first_of_equal_areas_is_the_exposed_pad_of_the_map(spark):
+    pads = spark.createDataFrame([(7, 1, 0.1, 0.1), (7, 2, 0.7, 0.3), (7, 3, 2.1, 0.1), (7, 4, 0.1, 0.1), (7, 5, 0.1, 0.1)],
+                                 "doc_id long, pad_pos int, w double, h double").withColumn("number", F.col("pad_pos").cast("string"))
+    rows = spark.createDataFrame([(7, 1, "EP", "GND"), (7, 2, "3", "OUT")], "doc_id long, row_pos int, number string, name string")
+    mapped = G.pad_pin_map(rows, G.exposed_pads(pads, "doc_id"))
+    assert {r["pad"]: r["primary_pin"] for r in mapped.collect()} == {"EP": "EP", "2": "EP", "3": "3"}
