@@ -11,7 +11,8 @@ from pinwright.functions import rules as R
 from pinwright.operators import geometry as G
 from pinwright.operators import ordered, pins, search, text
 from pinwright.plans import fixtures as fx
-from pinwright.sources import libraries
+from pinwright.plans.registry import QUERIES
+from pinwright.sources import documents, libraries
 from pinwright.sources.shared import shared_folder
 
 SF = "/root/testdata/sf0.001"
@@ -416,3 +417,14 @@ def test_the_first_of_equal_areas_is_the_exposed_pad_of_the_map(spark):
     rows = spark.createDataFrame([(7, 1, "EP", "GND"), (7, 2, "3", "OUT")], "doc_id long, row_pos int, number string, name string")
     mapped = G.pad_pin_map(rows, G.exposed_pads(pads, "doc_id"))
     assert {r["pad"]: r["primary_pin"] for r in mapped.collect()} == {"EP": "EP", "2": "EP", "3": "3"}
+
+
+def test_every_order_of_the_tier_is_loaded_as_truth(spark):
+    got = QUERIES["truth_load"](spark, SF).select("pn").distinct().count()
+    orders = fx.table(spark, SF, "orders").filter("o_orderkey % 3 in (0, 1) and startswith(cast(o_orderkey as string), '1')")
+    assert orders.filter("o_orderkey % 37 = 0").count() > 0 and got == orders.select("o_orderkey").distinct().count()
+
+
+def test_a_damaged_line_does_not_end_the_others(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"pn":"a","pins":[{"number":"1"}]}\n{"pn":"b","pi\n{"family":"x"}\n{"pn":"c","pins":[]}\n')
+    assert sorted(r["pn"] for r in documents.read_truth(spark, str(tmp_path)).collect()) == ["a", "c"]
