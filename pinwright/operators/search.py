@@ -335,10 +335,9 @@ def match_footprints(packages: DataFrame, footprints: DataFrame) -> DataFrame:
     p = packages.select("doc_id", "name", "code", "pin_count")
     by_name = known.select(F.upper("key").alias("_uname"), F.struct("map_lib", "map_name").alias("_by_name"))
     by_code = known.select(F.col("key").alias("code"), F.struct("map_lib", "map_name").alias("_by_code"))
-    d = (
+    d = staged(
         p.withColumn("_uname", F.upper("name")).join(F.broadcast(by_name), "_uname", "left")
-        .join(F.broadcast(by_code), "code", "left").drop("_uname")
-    )
+        .join(F.broadcast(by_code), "code", "left").drop("_uname"), "packages")
     unsolved = d.filter("_by_name is null and _by_code is null")
     terms = unsolved.select(
         "doc_id", "pin_count",

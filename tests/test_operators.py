@@ -428,3 +428,10 @@ def test_every_order_of_the_tier_is_loaded_as_truth(spark):
 def test_a_damaged_line_does_not_end_the_others(spark, tmp_path):
     (tmp_path / "t.json").write_text('{"pn":"a","pins":[{"number":"1"}]}\n{"pn":"b","pi\n{"family":"x"}\n{"pn":"c","pins":[]}\n')
     assert sorted(r["pn"] for r in documents.read_truth(spark, str(tmp_path)).collect()) == ["a", "c"]
+
+
+def test_packages_of_documents_are_not_broadcast(spark):
+    """A row per document in a few bytes of Parquet is no small table."""
+    joined = QUERIES["package_auto_select"](spark, SF)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
