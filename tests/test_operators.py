@@ -435,3 +435,26 @@ def test_packages_of_documents_are_not_broadcast(spark):
     joined = QUERIES["package_auto_select"](spark, SF)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_tokens_are_judged_in_buckets(spark, tmp_path):
+    """A batch costs state and calls by bucket, not by id; rows that come out of order keep their ids and verdicts."""
+    from pinwright.functions import lookups as L
+    from pinwright.streaming import runner, usage
+
+    runner.prepare(spark)
+    rows = [(i, None if i % 50 == 0 else f"g{i * 7919 % 200}", 1_000_000 + i * 104729 % 3001) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, generation_id string, s long").select(
+        "event_id", "generation_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, generation_id string, ts timestamp").parquet(str(tmp_path / "in"))
+    got = {r.event_id: (r.generation_id, r.verdict) for r in runner.run_rows(usage.single_use_tokens(stream, buckets=4)).collect()}
+    first, want = {}, {}
+    for i, g, at in sorted(rows, key=lambda r: (r[2], r[0])):
+        fresh = g not in first or at - first[g] > L.TOKEN_SECONDS
+        first[g] = at if fresh else first[g]
+        want[i] = (g, "accepted" if fresh else "already_used")
+    assert got == want
+    run = (usage.single_use_tokens(stream, buckets=4).writeStream.format("noop").trigger(availableNow=True)
+           .option("checkpointLocation", str(tmp_path / "state")).start())
+    run.awaitTermination()
+    assert max(s["numRowsTotal"] for p in run.recentProgress for s in p["stateOperators"]) <= 4
