@@ -43,11 +43,12 @@ def append_status(diff: DataFrame, folder: str, run_date) -> None:
     status_rows(diff, run_date).write.mode("append").partitionBy("run_date").parquet(folder)
 
 
-def write_files(files: DataFrame, folder: str) -> None:
+def write_files(files: DataFrame, folder: str, order: str | None = None, between: str = "\n") -> None:
     """Write each row (name, content) as one file of its own name to a shared folder.
 
     Names may hold folders; content is text or bytes. Spark's own text sink names its files itself. A file is written under a passing name
-    and then moved, so a repeated task replaces whole files only.
+    and then moved, so a repeated task replaces whole files only. With ``order``, a column, the rows of one name are one file in that
+    order, with ``between`` between them; they are written one after another and no file is held whole.
     """
     import uuid
 
@@ -57,17 +58,30 @@ def write_files(files: DataFrame, folder: str) -> None:
     def run(batches):
         disk, base = pa.fs.FileSystem.from_uri(folder)
         disk.create_dir(base, recursive=True)
-        for batch in batches:
-            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
-                passing = f"{base}/.{uuid.uuid4().hex}"
-                with disk.open_output_stream(passing) as out:
-                    out.write(content.encode() if isinstance(content, str) else content or b"")
+        name = out = passing = None
+
+        def done():
+            if out is not None:
+                out.close()
                 if "/" in name:
                     disk.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
                 disk.move(passing, f"{base}/{name}")
+
+        for batch in batches:
+            for key, value in zip(*batch.columns):
+                key, content = key.as_py(), value.as_py()
+                if order is None or key != name:
+                    done()
+                    name, passing = key, f"{base}/.{uuid.uuid4().hex}"
+                    out = disk.open_output_stream(passing)
+                else:
+                    out.write(between.encode())
+                out.write(content.encode() if isinstance(content, str) else content or b"")
             yield batch.select([0])
+        done()
 
-    files.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+    rows = files if order is None else files.repartition("name").sortWithinPartitions("name", order)
+    rows.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:

@@ -477,3 +477,12 @@ def test_headings_are_not_dealt_out_by_their_text(spark):
         T.OFTEN = before
     assert rows[0] == rows[1] and len(rows[0]) == 40
     assert all("LeftOuter, BuildRight" in p and not re.search(r"Join \[_key[^\]]*\], \[[^\]]*\], Inner", p) for p in plans)
+
+
+def test_rows_of_one_name_are_one_file(spark, tmp_path):
+    from pinwright.sources import sinks
+
+    rows = spark.createDataFrame([(f"{i % 3}.txt", i, f"row {i}") for i in range(300)], "name string, part long, content string")
+    sinks.write_files(rows.repartition(7), f"file://{tmp_path}", "part")
+    assert {f.name: f.read_text() for f in tmp_path.iterdir() if not f.name.startswith(".")} == {
+        f"{k}.txt": "\n".join(f"row {i}" for i in range(k, 300, 3)) for k in range(3)}
