@@ -486,3 +486,9 @@ def test_rows_of_one_name_are_one_file(spark, tmp_path):
     sinks.write_files(rows.repartition(7), f"file://{tmp_path}", "part")
     assert {f.name: f.read_text() for f in tmp_path.iterdir() if not f.name.startswith(".")} == {
         f"{k}.txt": "\n".join(f"row {i}" for i in range(k, 300, 3)) for k in range(3)}
+
+
+def test_gaps_split_each_part_number_once(spark):
+    plan = QUERIES["lookup_gaps"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate [part_number"):]
+    assert "regexp" not in below and "RLIKE" not in below
