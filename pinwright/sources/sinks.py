@@ -47,7 +47,7 @@ def write_files(files: DataFrame, folder: str, order: str | None = None, between
     """Write each row (name, content) as one file of its own name to a shared folder.
 
     Names may hold folders; content is text or bytes. Spark's own text sink names its files itself. A file is written under a passing name
-    and then moved, so a repeated task replaces whole files only. With ``order``, a column, the rows of one name are one file in that
+    in its own folder and then moved, so a repeated task replaces whole files only. With ``order``, a column, the rows of one name are one file in that
     order, with ``between`` between them; they are written one after another and no file is held whole.
     """
     import uuid
@@ -59,12 +59,11 @@ def write_files(files: DataFrame, folder: str, order: str | None = None, between
         disk, base = pa.fs.FileSystem.from_uri(folder)
         disk.create_dir(base, recursive=True)
         name = out = passing = None
+        known = {""}  # folders that this task has made
 
         def done():
             if out is not None:
                 out.close()
-                if "/" in name:
-                    disk.create_dir(f"{base}/{name}".rsplit("/", 1)[0], recursive=True)
                 disk.move(passing, f"{base}/{name}")
 
         for batch in batches:
@@ -72,7 +71,11 @@ def write_files(files: DataFrame, folder: str, order: str | None = None, between
                 key, content = key.as_py(), value.as_py()
                 if order is None or key != name:
                     done()
-                    name, passing = key, f"{base}/.{uuid.uuid4().hex}"
+                    inside, slash, _ = key.rpartition("/")
+                    if inside not in known:
+                        disk.create_dir(f"{base}/{inside}", recursive=True)
+                        known.add(inside)
+                    name, passing = key, f"{base}/{inside}{slash}.{uuid.uuid4().hex}"
                     out = disk.open_output_stream(passing)
                 else:
                     out.write(between.encode())

@@ -192,6 +192,17 @@ def test_library_files(spark, tmp_path):
     assert libraries.scan_footprints(spark, str(tmp_path)).collect() == [("Pkg", "SO-2", 2)]
 
 
+def test_a_scan_of_footprints_takes_no_task_per_few_files(spark, tmp_path):
+    """Files are listed and read by as many tasks as the session asks for, however many they are."""
+    from pinwright.sources import sinks
+    names = [(f"{lib}.pretty/F{i}.kicad_mod", '(pad "1" smd rect)' * (i % 3)) for lib in ("A", "B") for i in range(300)]
+    files = spark.createDataFrame([*names, ("A.pretty/note.txt", "x"), ("C/F.kicad_mod", "(pad 1 smd)")], "name string, content string")
+    sinks.write_files(files, f"file://{tmp_path}")
+    found = libraries.scan_footprints(spark, f"file://{tmp_path}")
+    assert {(r.lib, r.name): r.pad_count for r in found.collect()} == {(n[0], n.split("/")[1][:-10]): c.count("pad") for n, c in names}
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_snapshot_is_reused(spark):
     folder, built = shared_folder(spark, "snap"), []
 
