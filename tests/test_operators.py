@@ -503,3 +503,19 @@ def test_gaps_split_each_part_number_once(spark):
     plan = QUERIES["lookup_gaps"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Aggregate [part_number"):]
     assert "regexp" not in below and "RLIKE" not in below
+
+
+def test_the_pins_of_a_number_are_sorted_once(spark, monkeypatch):
+    """Both sides are dealt out by number before they are aggregated: no task sorts them before the shuffle as well."""
+    plans, written = [], pins.staged
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(pins, "staged", kept)
+    got = spark.createDataFrame([(1, 1, "1", "VCC"), (1, 2, "1", "VDD"), (1, 3, "2", "GND")], "doc_id long, row_pos int, number string, name string")
+    want = spark.createDataFrame([(1, 1, "1", "VDD"), (1, 2, "3", "OUT")], "doc_id long, pin_pos int, number string, name string")
+    rows = pins.diff_rows(got, want).collect()
+    assert {r["number"]: r["status"] for r in rows} == {"1": "ok", "2": "extra", "3": "missing"}
+    assert plans[0].index("Exchange") > plans[0].rindex("partial_max_by")
