@@ -257,9 +257,13 @@ def match_symbols(docs: DataFrame, symbols: DataFrame, doc_pins: DataFrame,
     base number, close match by pin names, best initial hit, generic by class.
     """
     d = docs.withColumn("_pn", F.upper(R.strip(F.col("part_number"))))
-    d = R.split_suffix(d, "_pn", "_base", "_code").drop("_code")
-    asked = d.select(F.col("_pn").alias("query"), "pin_count").union(
-        d.filter("_base <> _pn").select("_base", "pin_count"))
+    # The suffix patterns are slow: each distinct number is split once, by all tasks, and the result kept.
+    numbers = d.select("_pn").filter("_pn is not null").distinct().repartition(
+        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_pn")
+    bases = staged(R.split_suffix(numbers, "_pn", "_base", "_code").drop("_code"), "bases")
+    d = d.join(bases.hint("merge"), "_pn", "left")
+    asked = staged(d.select(F.col("_pn").alias("query"), "pin_count").union(
+        d.filter("_base <> _pn").select("_base", "pin_count")).distinct(), "asked")
     # At most ten rows per distinct request, read three times below.
     best = staged(top_symbols(asked, symbols, 10), "matches")
     head = best.filter("rank = 1").select(

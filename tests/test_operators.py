@@ -519,3 +519,15 @@ def test_the_pins_of_a_number_are_sorted_once(spark, monkeypatch):
     rows = pins.diff_rows(got, want).collect()
     assert {r["number"]: r["status"] for r in rows} == {"1": "ok", "2": "extra", "3": "missing"}
     assert plans[0].index("Exchange") > plans[0].rindex("partial_max_by")
+
+
+def test_a_part_number_is_split_once_for_all_its_documents(spark, monkeypatch):
+    kept, written = {}, search.staged
+    monkeypatch.setattr(search, "staged", lambda df, label: kept.setdefault(label, written(df, label)))
+    docs = spark.createDataFrame([(1, "TPS7DBVR", "ic", 3), (2, " tps7dbvr", "ic", 3), (3, "TPS7", "ic", 3), (4, None, "ic", 3)],
+                                 "doc_id long, part_number string, component_type string, pin_count int")
+    symbols = spark.createDataFrame([(9, "L", "TPS7", "d", "k", 3)], "ord long, lib string, name string, description string, keywords string, pin_count int")
+    pins_of = spark.createDataFrame([(1, "VCC")], "doc_id long, name string")
+    found = search.match_symbols(docs, symbols, pins_of, pins_of.withColumnRenamed("doc_id", "ord"), [])
+    assert {r["doc_id"]: r["symbol_ord"] for r in found.collect()} == {1: 9, 2: 9, 3: 9, 4: None}
+    assert {(r["_pn"], r["_base"]) for r in kept["bases"].collect()} == {("TPS7DBVR", "TPS7"), ("TPS7", "TPS7")} and kept["bases"].count() == 2
