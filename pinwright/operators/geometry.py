@@ -136,16 +136,18 @@ def thermal_pads(pads: DataFrame, keys) -> DataFrame:
     return pads.filter(F.col("heatsink") | (bare & big)).select(*keys, "number")
 
 
-def exposed_pads(pads: DataFrame, key: str) -> DataFrame:
+def exposed_pads(pads: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
     """Largest pad of a footprint when over three times the upper median area.
 
-    Of areas that differ by rounding errors of their product only, the first pad's counts. The median comes from the histogram of areas (value, count), so only distinct
+    Of areas that differ by rounding errors of their product only, the first pad's counts; ``weight`` is
+    another measure by which the greatest one is taken. The median comes from the histogram of areas (value, count), so only distinct
     areas are ordered, block by block.
     """
     area = F.col("w") * F.col("h")
     named = pads.filter("number <> ''").withColumn("_a", area)
+    by = F.struct(F.round("_a", 9), -F.col("pad_pos")) if weight is None else weight
     largest = named.groupBy(key).agg(
-        F.max_by("number", F.struct(F.round("_a", 9), -F.col("pad_pos"))).alias("number"),
+        F.max_by("number", by).alias("number"),
         F.max("_a").alias("area"), F.count(F.lit(1)).alias("pads"))
     hist = named.groupBy(key, "_a").agg(F.count(F.lit(1)).alias("_n"))
     cum = ordered.running_sum(hist, [key], ["_a"], F.col("_n"), "_cum", F.floor("_a"))
@@ -164,20 +166,23 @@ def pad_pin_map(pins: DataFrame, exposed: DataFrame) -> DataFrame:
     """Pad to primary pin: same-name pins share the first one's number, EP is the
     exposed pad.
 
-    ``pins(doc_id, row_pos, number, name)``, ``exposed(doc_id, exposed_pad)``.
+    ``pins(doc_id, row_pos, number, name)``, ``exposed(doc_id, exposed_pad)``. Pins without a document or a name
+    form groups as others do; a pin that has no number claims no pad from one that has.
     """
-    first = pins.groupBy("doc_id", F.upper("name").alias("_n")).agg(
+    first = pins.groupBy(F.col("doc_id").alias("_doc"), F.upper("name").alias("_n")).agg(
         F.min_by("number", "row_pos").alias("primary_pin"))
-    mapped = pins.withColumn("_n", F.upper("name")).join(first, ["doc_id", "_n"]).join(
+    named = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.upper("name").eqNullSafe(F.col("_n"))
+    mapped = pins.join(first, named).drop("_doc").join(
         exposed.select("doc_id", "exposed_pad"), "doc_id", "left")
+    known = lambda order: F.when(F.col("primary_pin").isNotNull(), order)
     own = mapped.select("doc_id", F.lit(0).alias("_late"), "row_pos", F.col("number").alias("pad"), "primary_pin")
     # The first EP pin also claims the real pad, after all others.
     real = mapped.filter("number = 'EP' and exposed_pad is not null").groupBy("doc_id").agg(
         F.lit(1).alias("_late"), F.min("row_pos").alias("row_pos"),
         F.min_by("exposed_pad", "row_pos").alias("pad"),
-        F.min_by("primary_pin", "row_pos").alias("primary_pin"))
+        F.min_by("primary_pin", known(F.col("row_pos"))).alias("primary_pin"))
     return own.unionByName(real).groupBy("doc_id", "pad").agg(
-        F.max_by("primary_pin", F.struct("_late", "row_pos")).alias("primary_pin"))
+        F.max_by("primary_pin", known(F.struct("_late", "row_pos"))).alias("primary_pin"))
 
 
 def stack_same_names(pins: DataFrame, key: str) -> DataFrame:

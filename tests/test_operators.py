@@ -531,3 +531,30 @@ def test_a_part_number_is_split_once_for_all_its_documents(spark, monkeypatch):
     found = search.match_symbols(docs, symbols, pins_of, pins_of.withColumnRenamed("doc_id", "ord"), [])
     assert {r["doc_id"]: r["symbol_ord"] for r in found.collect()} == {1: 9, 2: 9, 3: 9, 4: None}
     assert {(r["_pn"], r["_base"]) for r in kept["bases"].collect()} == {("TPS7DBVR", "TPS7"), ("TPS7", "TPS7")} and kept["bases"].count() == 2
+
+
+def test_pads_of_a_large_footprint_map_as_in_the_sql(spark, tmp_path):
+    """In a footprint of 12,000 pads the first is a hundredth smaller than the last."""
+    import duckdb
+
+    from oracles import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"""copy (select case when i < 3 then 1 else i + 10 end as l_orderkey, 1::bigint as l_partkey,
+        case when i = 1 then 23::bigint else 1 end as l_suppkey, 1 + i::int % 7 as l_linenumber,
+        case i when 1 then 47.0::double when 12000 then 16 else 1 end as l_quantity, i + 0.5::double as l_extendedprice,
+        case i when 12000 then 0.01::double else 0 end as l_discount, 0.0::double as l_tax, 'N' as l_returnflag
+        from range(1, 12001) t(i)) to '{tmp_path}/lineitem.parquet'""")
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    for name in ("pad_pin_map", "exposed_pad"):
+        got = QUERIES[name](spark, str(tmp_path))
+        theirs = con.execute(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(theirs)
+
+
+def test_pins_without_a_document_are_mapped(spark):
+    rows = spark.createDataFrame([(None, 1, "1", "GND"), (None, 2, "2", "gnd"), (7, 1, None, "A"), (7, 2, "4", "B"), (7, 3, "4", "a")],
+                                 "doc_id long, row_pos int, number string, name string")
+    none = spark.createDataFrame([], "doc_id long, exposed_pad string")
+    assert {(r["doc_id"], r["pad"], r["primary_pin"]) for r in G.pad_pin_map(rows, none).collect()} == {
+        (None, "1", "1"), (None, "2", "1"), (7, None, None), (7, "4", "4")}
