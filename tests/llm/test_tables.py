@@ -435,3 +435,17 @@ def test_rules_on_every_page(spark):
     assert len(got) == len(want) and any(w[2] for w in want.values())
     for i, (host, path, rule, verdict) in want.items():
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and got[i].verdict == (verdict or got[i].verdict)
+
+
+def test_candidates_that_share_too_little_are_not_searched(monkeypatch):
+    """A few shared shingles, in step or apart, cannot make a passage of fifty words: no stretch is looked for."""
+    draw = np.random.default_rng(5)
+    a, b = draw.integers(0, 1 << 62, 200), draw.integers(0, 1 << 62, 180)
+    b[60:72] = a[70:82]
+    b[100:106] = a[150:156]
+
+    def searched(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(passages.Agreement, "around", searched)
+    assert passages.verified(a, b, [72, 78], 10, passages.PassageRule()) == []
