@@ -219,7 +219,8 @@ def layout_grid(pins: DataFrame, alternates: DataFrame | None = None) -> DataFra
         .otherwise("right")
     )
     shown = pins.filter(~F.col("is_hidden")).withColumn("side", side)
-    per_doc = shown.groupBy("doc_id").agg(
+    ranked = staged(_side_rank(shown), "ranked-pins")
+    per_doc = ranked.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(F.col("side") == "left").alias("_l0"), F.count_if(F.col("side") == "right").alias("_r0"),
         F.count_if(F.col("side") == "bottom").alias("bottom_count"))
@@ -228,11 +229,13 @@ def layout_grid(pins: DataFrame, alternates: DataFrame | None = None) -> DataFra
     bare = (F.col("_l0") == 0) & (F.col("_r0") == 0)
     per_doc = per_doc.withColumn("left_count", F.when(bare, half).otherwise(F.col("_l0"))).withColumn(
         "right_count", F.when(bare, F.col("_n") - half).otherwise(F.col("_r0"))).withColumn("_bare", bare)
-    ranked = _side_rank(shown)
     placed = ranked.join(per_doc, "doc_id")
-    twice = placed.filter("_bare").withColumn(
-        "side", F.when(F.col("slot") <= half, "left").otherwise("right")).withColumn(
-        "slot", F.when(F.col("slot") <= half, F.col("slot")).otherwise(F.col("slot") - half).cast("int"))
+    first = F.col("slot") <= half
+    own, again = F.struct("side", "slot"), F.struct(
+        F.when(first, "left").otherwise("right").alias("side"),
+        F.when(first, F.col("slot")).otherwise(F.col("slot") - half).cast("int").alias("slot"))
+    placed = placed.withColumn("_at", F.explode(F.when(F.col("_bare"), F.array(own, again)).otherwise(F.array(own)))).withColumn(
+        "side", F.col("_at.side")).withColumn("slot", F.col("_at.slot")).drop("_at")
     # The first GND of the bottom row is where hidden pins go.
     anchor = ranked.filter("side = 'bottom' and upper(name) = 'GND'").groupBy("doc_id").agg(
         F.min("slot").alias("_gnd"))
@@ -240,7 +243,7 @@ def layout_grid(pins: DataFrame, alternates: DataFrame | None = None) -> DataFra
         pins.filter("is_hidden").withColumn("side", F.lit("hidden")).join(per_doc, "doc_id", "left")
         .join(anchor, "doc_id", "left").withColumn("slot", F.col("_gnd")).drop("_gnd")
     )
-    every = placed.unionByName(twice).unionByName(hidden.select(placed.columns))
+    every = placed.unionByName(hidden.select(placed.columns))
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     bottom = count("bottom_count")
     tallest = F.greatest(count("left_count"), count("right_count"), F.lit(1))

@@ -558,3 +558,8 @@ def test_pins_without_a_document_are_mapped(spark):
     none = spark.createDataFrame([], "doc_id long, exposed_pad string")
     assert {(r["doc_id"], r["pad"], r["primary_pin"]) for r in G.pad_pin_map(rows, none).collect()} == {
         (None, "1", "1"), (None, "2", "1"), (7, None, None), (7, "4", "4")}
+
+
+def test_pins_of_a_layout_are_numbered_once(spark):
+    """Heads, folded pins and pads come from one stored table of numbered pins, not from the lines again."""
+    assert not [f for f in QUERIES["grid_layout"](spark, SF).inputFiles() if "lineitem" in f]
