@@ -149,7 +149,10 @@ def orderable_packages(docs: DataFrame) -> DataFrame:
     named = {c: n for c, (n, _) in L.CODE_PACKAGES.items()}
     counts = {c: k for c, (_, k) in L.CODE_PACKAGES.items()}
     d = docs.filter("base <> ''")
-    found = d.withColumn("_m", F.regexp_extract_all("text", pattern, F.lit(1)))
+    # Few texts name their base at all: a plain substring test comes first, as for the families.
+    named_at_all = F.contains(F.upper("text"), F.upper("base"))
+    found = d.withColumn("_m", F.when(named_at_all | F.col("text").isNull(), F.regexp_extract_all("text", pattern, F.lit(1)))
+                         .otherwise(F.array().cast("array<string>")))
     code = F.upper("_c")
     ordering = (
         R.numbered(found, ["doc_id"], F.col("_m"), "pos", "_c")
@@ -238,6 +241,7 @@ def first_strategy(*strategies: DataFrame) -> DataFrame:
     union = tagged[0]
     for t in tagged[1:]:
         union = union.unionByName(t)
+    union = staged(union, "strategies")  # read twice
     lowest = union.groupBy("doc_id").agg(F.min("tier").alias("_t"))
     return union.join(lowest, "doc_id").filter("tier = _t").drop("_t")
 

@@ -563,3 +563,12 @@ def test_pins_without_a_document_are_mapped(spark):
 def test_pins_of_a_layout_are_numbered_once(spark):
     """Heads, folded pins and pads come from one stored table of numbered pins, not from the lines again."""
     assert not [f for f in QUERIES["grid_layout"](spark, SF).inputFiles() if "lineitem" in f]
+
+
+def test_package_strategies_are_found_once(spark):
+    """What the strategies found is stored; the choice among them reads no text again. Bases are found in either case of letters."""
+    docs = spark.createDataFrame([(1, "tps1", "", "order TPS1dbv, Tps1PWPR"), (2, "TPS2", "", "none named, SOIC-8"), (3, "TPS3", "", None)],
+                                 "doc_id long, base string, maker string, text string")
+    found = text.all_packages(docs)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doc_id"], r["code"], r["tier"]) for r in found.collect()) == [(1, "DBV", 1), (1, "PWP", 1), (2, "", 2)]
