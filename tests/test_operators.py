@@ -574,20 +574,17 @@ def test_package_strategies_are_found_once(spark):
     assert sorted((r["doc_id"], r["code"], r["tier"]) for r in found.collect()) == [(1, "DBV", 1), (1, "PWP", 1), (2, "", 2)]
 
 
-def test_heading_cells_are_dealt_out_once(spark):
-    """Of twelve columns in five forms, a table's heading cells are written to disk once and then as one row per table."""
+def test_heading_cells_are_stored_by_table(spark):
+    """Twelve columns in four forms are one row of a table when they are stored and dealt out, not one for each cell and form."""
     from pinwright.operators import tables as T
+    from pinwright.sources import shared
 
-    cells = spark.range(400).selectExpr("id AS doc_id", "explode(sequence(0, 3)) AS row_idx").selectExpr("*", "explode(sequence(0, 11)) AS col_idx").selectExpr(
+    cells = spark.range(50).selectExpr("id AS doc_id", "explode(sequence(0, 3)) AS row_idx").selectExpr("*", "explode(sequence(0, 11)) AS col_idx").selectExpr(
         "doc_id", "1 AS page_num", "0 AS table_seq", "row_idx", "col_idx",
-        "CASE WHEN row_idx = 2 AND col_idx = 0 THEN 'NAME' WHEN row_idx = 2 AND col_idx = 1 THEN 'NO.' WHEN row_idx = 1 AND col_idx < 2 THEN '' ELSE concat('x', row_idx, col_idx) END AS text")
-
-    def moved():
-        none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
-        stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
-
-    before = moved()
+        """CASE WHEN row_idx = 2 AND col_idx = 0 THEN 'NAME' WHEN row_idx = 2 AND col_idx = 1 THEN 'NO.'
+           WHEN row_idx = 1 AND col_idx < 2 THEN '' ELSE concat('x', row_idx, col_idx) END AS text""")
+    before = len(shared._given)
     heads = T.detect_headers(cells).collect()
-    assert len(heads) == 400 and {(r.form, r.data_start, len(r.heads)) for r in heads} == {(5, 3, 12)}
-    assert moved() - before < 400 * 3 * 12 + 400 * 12
+    assert len(heads) == 50 and {(r.form, r.data_start, len(r.heads)) for r in heads} == {(5, 3, 12)}
+    (stored,) = [f for f in shared._given[before:] if "headings" in f]
+    assert spark.read.parquet(stored).count() == 50
