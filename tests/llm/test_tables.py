@@ -449,3 +449,26 @@ def test_candidates_that_share_too_little_are_not_searched(monkeypatch):
 
     monkeypatch.setattr(passages.Agreement, "around", searched)
     assert passages.verified(a, b, [72, 78], 10, passages.PassageRule()) == []
+
+
+def test_repeats_of_later_documents_are_found_whatever_smaller_ones_hold(docs):
+    """Each token of a passage stands with its context in a smaller document, too; a word is replaced in each copy, so no 50 words are repeated."""
+    rng = random.Random(31)
+    text = lambda n: prose(rng, n, 10**6)
+    rows, want = [], set()
+    for k in range(30):
+        words_ = text(72).split()
+        rows += [(1000 * k + j, " ".join([text(50), *words_[at:at + 40], text(50)])) for j, at in enumerate((0, 16, 32))]
+        copies = [words_, *(words_[:at] + [text(1)] + words_[at + 1:] for at in (33, 36, 39))]
+        rows += [(1000 * k + 100 + j, " ".join([text(70), *w, text(70)])) for j, w in enumerate(copies)]
+        want |= {(1000 * k + 100 + j, 1000 * k + 100) for j in (1, 2, 3)}
+    got = {(r.doc_id, r.match_doc_id) for r in passages.near_duplicate_passages(docs(rows)).collect()}
+    assert len(want & got) >= 0.95 * len(want), len(want - got)
+
+
+def test_every_pair_of_a_key_meets(spark, monkeypatch):
+    monkeypatch.setattr(passages, "MEET_ROWS", 3)
+    rows = [(1, d, 0, m, 0, 50) for d in range(12) for m in (5, 9)] + [(2, 3, 0, 5, 0, 50), (2, 3, 0, 9, 0, 50)]
+    met = passages.meetings(spark.createDataFrame(rows, "key long, doc_id long, f int, m int, l int, r int"), "groups").collect()
+    assert sorted((r.doc_id, r.m, r.o_id, r.o_m) for r in met) == sorted(
+        (a, x, b, y) for a in range(12) for b in range(a) for x in (5, 9) for y in (5, 9))
